@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .common import read
 from .linedup import line_report
+from .neardup import classes
 from .packing import token_files
 from .quality import judge, train
 
@@ -18,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -32,6 +37,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_near_duplicates": op2_near_duplicates,
     "op5_bpe": op5_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
