@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .common import read
+from .decontaminate import leaks
 from .linedup import line_report
 from .neardup import classes
 from .packing import token_files
@@ -23,6 +24,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -38,6 +43,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_decontaminate": op3_decontaminate,
     "op5_bpe": op5_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
