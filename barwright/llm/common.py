@@ -38,7 +38,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: the lineage ends, and a lost executor costs nothing."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

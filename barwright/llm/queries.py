@@ -13,6 +13,7 @@ from .linedup import line_report
 from .neardup import classes
 from .packing import token_files
 from .quality import judge, train
+from .suffixes import remove_repeats
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
     "op5_bpe": op5_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
 }
