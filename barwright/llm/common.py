@@ -72,6 +72,35 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
             at = end
 
 
+def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The low bits of a long column's values as a bitmap of a fixed number of bits, which bounds what reaches the driver."""
+    place = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def in_bitmap(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned keys have their bit set."""
+    at = (keys & np.uint64(8 * len(known) - 1)).astype(np.int64)
+    return ((known[at >> 3] >> (at & 7)) & 1).astype(bool)
+
+
+def bits_for_keys(keys: int, least: int = 1 << 24, most: int = 1 << 31) -> int:
+    """16 bits for each key, as a power of two from 2 MB to 256 MB. Keys let through in error cost time, not results."""
+    return min(max(least, 1 << int(16 * keys).bit_length()), most)
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row's doc_id and text with the lists of the spans' columns, met by doc_id and text hash (null without any)."""
+    lists = spans.groupBy("doc_id", "text_hash").agg(*[F.collect_list(c).alias(c) for c in columns])
+    lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), *columns)
+    source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return source.join(lists, source["doc_id"].eqNullSafe(lists["_id"]) & (source["text_hash"] == lists["_hash"]), "left").select("doc_id", "text", *columns)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -14,6 +14,7 @@ from .neardup import classes
 from .packing import token_files
 from .quality import judge, train
 from .suffixes import remove_repeats
+from .units import remove_units
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_units(read(spark, sf_dir, "documents"), "sentence")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_unit_dedup": op7_unit_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
 }

@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, table
+from .common import as_text, bitmap, bits_for_keys, in_bitmap, mixed, slices, table, with_spans
+from .quality import bytes_of
 
 WIDTH, K = 200, 100
 #: Bytes of the shallow sort; windows handled at a time; distinct segments of an anchor that one task takes.
 SHALLOW, PIECE, HOT = 32, 1 << 20, 2_000
-#: Bits of the bitmap of repeated anchors: 16 for each, within these bounds (2 MB to 256 MB).
-LEAST_BITS, MOST_BITS = 1 << 24, 1 << 31
 
 #: The bits that hold a place within a piece.
 LOW = np.uint64((1 << 21) - 1)
@@ -98,9 +97,6 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def utf8(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    from .common import as_text
-    from .quality import bytes_of
-
     return bytes_of(as_text(batch.column("text")))
 
 
@@ -242,13 +238,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     counted = source.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     counted = table(counted.where("n > 1").select("anchor"), "anchors")
-    bits = min(max(LEAST_BITS, 1 << int(16 * counted.count()).bit_length()), MOST_BITS)
-    place = F.col("anchor").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = counted.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator()
-    few = np.zeros(bits // 8, np.uint8)
-    for r in parts:
-        few[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    sent = spark.sparkContext.broadcast(few)  # of at most MOST_BITS
+    few = bitmap(counted, "anchor", bits_for_keys(counted.count()))
+    sent = spark.sparkContext.broadcast(few)  # of bounded size
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -258,8 +249,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             data, offsets = utf8(batch)
             raw = data.tobytes()
             for doc, first, last, anchor in runs_of(data, offsets):
-                at = (anchor & np.uint64(bits - 1)).astype(np.int64)
-                hit = np.flatnonzero((known[at >> 3] >> (at & 7)) & 1)
+                hit = np.flatnonzero(in_bitmap(known, anchor))
                 doc, first, last = doc[hit], first[hit], last[hit]
                 parts = [raw[a : b + WIDTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 digests = [xxhash.xxh3_128_digest(p) for p in parts]
@@ -356,15 +346,12 @@ def cut(text: bytes, firsts: list[int], lasts: list[int]) -> tuple[bytes, list[t
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Of each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with_text: also kept bytes and the removed runs)."""
-    found = repeated_ranges(docs).groupBy("doc_id", "text_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "firsts", "lasts")
-    source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    both = source.join(found, source["doc_id"].eqNullSafe(found["_id"]) & (source["text_hash"] == found["_hash"]), "left").select("doc_id", "text", "firsts", "lasts")
+    both = with_spans(docs, repeated_ranges(docs), ["first", "last"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed")}
-            for text, firsts, lasts in zip(*(batch.column(c).to_pylist() for c in ("text", "firsts", "lasts")), strict=True):
+            for text, firsts, lasts in zip(*(batch.column(c).to_pylist() for c in ("text", "first", "last")), strict=True):
                 raw = (text or "").encode()
                 kept, removed = cut(raw, firsts or [], lasts or [])
                 for c, v in zip(out, (len(raw), len(raw) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in removed]), strict=True):
