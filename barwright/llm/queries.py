@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, warc
 from .bpe import encode_documents
 from .common import read
 from .decontaminate import leaks
@@ -30,6 +32,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' archive against a replica with damage set by rule: a byte changed, records lost, a record more."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    changed = F.when(F.pmod("page_id", F.lit(97)) == 5, F.concat(F.lit("!"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
+    replica = pages.where(F.coalesce(F.pmod("page_id", F.lit(211)) != 7, F.lit(True))).withColumn("html", changed)
+    extra = spark.range(1).select((F.col("id") - 1).alias("page_id"), F.lit("http://extra.example/").alias("url"), F.lit("<p>").alias("html"))
+    return warc.audit(warc.serialised(pages), warc.serialised(replica.unionByName(extra)))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -42,6 +53,13 @@ def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_units(read(spark, sf_dir, "documents"), "sentence")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(rows.unionByName(more).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read(spark, sf_dir, "documents"))
 
@@ -54,14 +72,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
+    "op4_fixity": op4_fixity,
     "op5_bpe": op5_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_unit_dedup": op7_unit_dedup,
+    "op8_chat": op8_chat,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_fixity": r"""
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+                          CASE WHEN page_id % 97 = 5 THEN '!' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS bad FROM pages WHERE page_id IS NOT NULL),
+        r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+                              || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, html, bad, chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM p),
+        s AS (SELECT page_id, head || strlen(html) || gap || html || gap AS a, head || strlen(bad) || gap || bad || gap AS b FROM r),
+        o AS (SELECT page_id, a, b, strlen(a) AS length, coalesce(sum(strlen(a)) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at FROM s),
+        x AS (SELECT 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:-1>' || chr(13) || chr(10) || 'WARC-Target-URI: http://extra.example/'
+                     || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: 3' || chr(13) || chr(10) || chr(13) || chr(10) || '<p>' || chr(13) || chr(10) || chr(13) || chr(10) AS b)
+        SELECT page_id AS record_id, CASE WHEN page_id % 211 = 7 THEN 'missing' ELSE 'corrupt' END AS status, CAST(start_at AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+               sha256(a) AS digest, CASE WHEN page_id % 211 = 7 THEN '' ELSE sha256(b) END AS replica_digest
+        FROM o WHERE page_id % 211 = 7 OR a <> b
+        UNION ALL SELECT -1, 'extra', -1, -1, '', sha256(b) FROM x
+    """,
+    "op8_chat": r"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS t, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS r FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT), 0) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(r) + length(t) + 15) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op9_line_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         u AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
