@@ -34,11 +34,11 @@ def average_rank(x: str, groups: list[str]) -> Column:
     return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*groups, x)) - 1) / 2
 
 
-def terciles(df: DataFrame, x: str, groups: list[str], name: str = "regime") -> DataFrame:
-    """low, mid, high by the group's own thirds."""
+def terciles(df: DataFrame, x: str, groups: list[str], name: str = "regime", digits: int = 9) -> DataFrame:
+    """low, mid, high by the group's own thirds; the cuts are rounded, so that a value that is a cut falls at or below it."""
     cuts = df.where(F.col(x).isNotNull()).groupBy(*groups).agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cuts"))
     out = df.where(F.col(x).isNotNull()).join(cuts, groups)
-    return out.withColumn(name, F.when(F.col(x) <= F.col("_cuts")[0], "low").when(F.col(x) <= F.col("_cuts")[1], "mid").otherwise("high")).drop("_cuts")
+    return out.withColumn(name, F.when(F.col(x) <= F.round(F.col("_cuts")[0], digits), "low").when(F.col(x) <= F.round(F.col("_cuts")[1], digits), "mid").otherwise("high")).drop("_cuts")
 
 
 def every_nth(df: DataFrame, n: int, groups: list[str], order: list[str]) -> DataFrame:
