@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import Series
+from .xsection import newest
 
 
 def ohlc_verdict(bars: DataFrame, series: Series = Series()) -> DataFrame:
@@ -32,7 +33,7 @@ def require_valid(bars: DataFrame, series: Series = Series()) -> DataFrame:
     return bars
 
 
-def panel_gate(panel: DataFrame, segments: list[tuple[str, str, str]], min_days: int = 252, min_names: int = 30, flow_slack: float = 1.001, stamped: str | None = "data_available_at") -> DataFrame:
+def panel_gate(panel: DataFrame, segments: list[tuple[str, str, str]], min_days: int | dict[str, int] = 252, min_names: int = 30, flow_slack: float = 1.001, stamped: str | None = "data_available_at") -> DataFrame:
     """One row: status PASS, FAIL or NOT_READY, reasons, and execution_lag.
 
     FAIL: null or repeated keys, null or negative numbers, listed rows without price, flows above turnover, stamps partly
@@ -52,7 +53,7 @@ def panel_gate(panel: DataFrame, segments: list[tuple[str, str, str]], min_days:
     c = F.col
     partly = (c("stamps") > 0) & (c("stamps") < c("n"))
     fails = F.array_compact(F.array(F.when(c("null_keys") > 0, "null keys"), F.when(c("repeated") > 0, "repeated keys"), F.when(c("negative") > 0, "negative numbers"), F.when(c("no_price") > 0, "tradable rows without price"), F.when(c("flow_above") > 0, "flow above turnover"), F.when(partly, "availability partly missing")))
-    waits = F.array_compact(F.array(F.when(c("n") == 0, "no rows"), *[F.when(c(f"days_{name}") < min_days, f"too few days in {name}") for name, _, _ in segments], F.when(c("least_names") < min_names, "too few names on a day")))
+    waits = F.array_compact(F.array(F.when(c("n") == 0, "no rows"), *[F.when(c(f"days_{name}") < (min_days[name] if isinstance(min_days, dict) else min_days), f"too few days in {name}") for name, _, _ in segments], F.when(c("least_names") < min_names, "too few names on a day")))
     out = facts.withColumn("fails", fails).withColumn("waits", waits)
     status = F.when(F.size("fails") > 0, "FAIL").when(F.size("waits") > 0, "NOT_READY").otherwise("PASS")
     return out.select("n", status.alias("status"), F.concat_ws("; ", F.concat("fails", "waits")).alias("reasons"), F.when(c("stamps") == 0, 2).otherwise(1).alias("execution_lag"), "least_names")
@@ -69,8 +70,6 @@ def closes_agree(a: DataFrame, b: DataFrame, limit: float = 0.02, tolerance: flo
     """Two sources' closes of each key: compared, mismatched, median gaps over all and the newest rows, and a verdict."""
     both = a.select(series.key, series.order, F.col("close").alias("_a")).join(b.select(series.key, series.order, F.col("close").alias("_b")), [series.key, series.order])
     both = both.withColumn("gap", F.try_divide(F.abs(F.col("_a") - F.col("_b")), F.nullif(F.abs("_a"), F.lit(0.0))))
-    from pyspark.sql import Window
-
     both = both.withColumn("_n", F.row_number().over(Window.partitionBy(series.key).orderBy(F.desc(series.order))))
     out = both.groupBy(series.key).agg(
         F.count(F.lit(1)).alias("compared"), F.count_if(F.col("gap") > tolerance).alias("mismatched"), F.median("gap").alias("median_gap"), F.median(F.when(F.col("_n") <= recent, F.col("gap"))).alias("recent_gap"),
@@ -81,8 +80,6 @@ def closes_agree(a: DataFrame, b: DataFrame, limit: float = 0.02, tolerance: flo
 
 def continuity(bars: DataFrame, as_of: str, tail: int = 200, old_days: int = 120, series: Series = Series()) -> DataFrame:
     """A note on each key's newest rows: volume missing, holes among the last `tail`, or history that ends too early."""
-    from .xsection import newest
-
     last = newest(bars, tail, [series.key], series.order).groupBy(series.key).agg(F.count_if(F.col("volume").isNull()).alias("holes"), F.max(series.order).alias("ends"), F.count("volume").alias("volumes"))
     note = F.when(F.col("volumes") == 0, "no volume").when(F.datediff(F.lit(as_of).cast("date"), "ends") > old_days, "history too old").when(F.col("holes") > 0, "holes in volume").otherwise("")
     return last.select(series.key, "holes", "ends", note.alias("note"))
