@@ -350,9 +350,9 @@ def built(spark, sf_dir, lag=2, horizon=2):
     return t.withColumn("executable", ok).withColumn("gross_return", F.when(ok, F.col("exit_close") / F.col("entry_open") - 1))
 
 
-@query(_TRADES + " SELECT signal_date, entry_date, exit_date, ticker, bucket, round(gross, 4) AS gross_return FROM tr", "signal_date entry_date exit_date")
+@query(_TRADES + " SELECT signal_date, entry_date, exit_date, ticker, bucket, round(gross, 9) AS gross_return FROM tr", "signal_date entry_date exit_date")
 def hypothesis_trades(spark, sf_dir):
-    return built(spark, sf_dir).where("executable").select("signal_date", "entry_date", "exit_date", "ticker", "bucket", F.round("gross_return", 4).alias("gross_return"))
+    return built(spark, sf_dir).where("executable").select("signal_date", "entry_date", "exit_date", "ticker", "bucket", F.round("gross_return", 9).alias("gross_return"))
 
 
 @query(_TRADES + " SELECT count(*) FILTER (WHERE bucket IN ('top', 'bottom') AND NOT ok) AS missing_selected, count(*) FILTER (WHERE ok) AS executable FROM al")

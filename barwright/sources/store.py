@@ -1,6 +1,6 @@
 """A keyed panel store over Parquet: upsert, read, delete, coverage.
 
-A dataset is a folder partitioned by ticker. An upsert replaces whole rows: the new rows of a key win over the old, and a
+A dataset is a folder partitioned by ticker (stored as t and the code, so that codes stay text). An upsert replaces whole rows: the new rows of a key win over the old, and a
 column that the new rows lack becomes null for them. Only the tickers of the new rows are rewritten, by way of a written
 copy, so that nothing is read and overwritten in one job.
 """
@@ -25,7 +25,7 @@ class PanelStore:
 
     def _whole(self, dataset: str) -> DataFrame | None:
         try:
-            return self.spark.read.option("mergeSchema", "true").parquet(self._path(dataset)).withColumn("ticker", F.col("ticker").cast("string"))
+            return self.spark.read.option("mergeSchema", "true").parquet(self._path(dataset)).withColumn("ticker", F.substr("_ticker", F.lit(2))).drop("_ticker")
         except AnalysisException as e:
             if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
@@ -34,7 +34,7 @@ class PanelStore:
     def _rewrite(self, dataset: str, rows: DataFrame) -> None:
         spare = f"{self.folder}/_{uuid.uuid4().hex}"
         rows.write.parquet(spare)
-        self.spark.read.parquet(spare).repartition("ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(self._path(dataset))
+        self.spark.read.parquet(spare).withColumn("_ticker", F.concat(F.lit("t"), "ticker")).drop("ticker").repartition("_ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_ticker").parquet(self._path(dataset))
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(spare)
         fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(fs, True)
 
@@ -58,7 +58,7 @@ class PanelStore:
         if out is None:
             return None
         if tickers is not None:
-            out = out.where(F.col("ticker").isin(*tickers))
+            out = out.where(F.col("ticker").isin(*tickers))  # the filter reaches the partitions through the substring
         if start:
             out = out.where(F.col("date") >= F.lit(start).cast("date"))
         if end:
@@ -75,7 +75,7 @@ class PanelStore:
         gone = own if tickers is None else own.where(F.col("ticker").isin(*tickers))
         n, names = gone.count(), [None] if tickers is None else tickers
         for t in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(dataset) + (f"/ticker={t}" if t else ""))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(dataset) + (f"/_ticker=t{t}" if t else ""))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return n
 
