@@ -35,9 +35,9 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly rows of suppliers: trading_value, foreign_net_value, volume, market_cap, open, close (null without), flags."""
     l = table(spark, sf_dir, "lineitem")
-    price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
-    units = F.round(price * 10000).cast("long")
-    part = lambda s: F.round(F.try_divide(F.sum(F.when(F.col("l_linestatus") == s, units)) / 10000.0, F.count(F.when(F.col("l_linestatus") == s, 1))), 4)
+    # The unit price in hundredths of a cent, by whole division: the same in any engine.
+    units = F.floor(F.try_divide(cents("l_extendedprice") * 100, F.col("l_quantity").cast("long"))).cast("long")
+    part = lambda s: F.try_divide(F.sum(F.when(F.col("l_linestatus") == s, units)) / 10000.0, F.count(F.when(F.col("l_linestatus") == s, 1)))
     sign = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", -1).otherwise(0)
     out = l.groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("ticker")).agg(
         F.sum(cents("l_extendedprice")).alias("trading_value"), F.sum(cents("l_extendedprice") * sign).alias("foreign_net_value"), F.count(F.lit(1)).alias("volume"),
@@ -74,8 +74,8 @@ BARS = """bars0 AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE)
 HOURLY = """hours AS (SELECT event_type AS ticker, date_trunc('hour', ts) AS date, min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"""
 PANEL = """pan0 AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(l_suppkey AS VARCHAR) AS ticker, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS trading_value,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS BIGINT) AS foreign_net_value, count(*) AS volume, sum(l_quantity) AS market_cap,
-  round(sum(CAST(round(l_extendedprice / l_quantity * 10000) AS BIGINT)) FILTER (WHERE l_linestatus = 'F') / 10000.0::DOUBLE / nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0), 4) AS open,
-  round(sum(CAST(round(l_extendedprice / l_quantity * 10000) AS BIGINT)) FILTER (WHERE l_linestatus = 'O') / 10000.0::DOUBLE / nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0), 4) AS close FROM lineitem GROUP BY 1, 2),
+  sum(CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT) * 100 / CAST(l_quantity AS BIGINT)) AS BIGINT)) FILTER (WHERE l_linestatus = 'F') / 10000.0::DOUBLE / nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS open,
+  sum(CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT) * 100 / CAST(l_quantity AS BIGINT)) AS BIGINT)) FILTER (WHERE l_linestatus = 'O') / 10000.0::DOUBLE / nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS close FROM lineitem GROUP BY 1, 2),
  pan AS (SELECT *, true AS is_listed, open IS NOT NULL AND close IS NOT NULL AS is_tradable FROM pan0)"""
 FLOWS = """flow AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS ticker, CAST(o_orderdate AS DATE) AS date,
   """ + ", ".join(f"CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT) * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) FILTER (WHERE o_orderpriority = '{p}'), 0) AS BIGINT) AS {c}" for c, p in PARTIES.items()) + """,
