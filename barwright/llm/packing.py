@@ -2,13 +2,14 @@
 
 A shard holds the ids of a run of documents, each id in the least bits that hold the vocabulary:
 
-    magic "FWBITS01"; width, ids of a block, ids, documents: four little-endian unsigned 64-bit integers;
+    magic "FWBITS01";
     the blocks: fields packed from the low bit up, each block of whole bytes;
     byte offset of each block, and one more for the end: unsigned 64-bit;
-    first id of each document, and one more for the end: unsigned 64-bit; the documents' ids: signed 64-bit.
+    first id of each document, and one more for the end: unsigned 64-bit; the documents' ids: signed 64-bit;
+    magic; width, ids of a block, ids, documents: four little-endian unsigned 64-bit integers.
 
 Every block but the last has the same size and its offset is stored, so that any range of ids is read and unpacked with
-numpy alone.
+numpy alone. A shard is written from front to back, a block in memory at a time.
 
 Documents are dealt by ranges of doc_id, one shard to each range, in ascending order; a shard is written under a name
 of its own and then renamed, so that a task that runs again replaces its shard whole. A null doc_id comes first; rows
@@ -18,7 +19,6 @@ read. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -59,13 +59,13 @@ def unpack(data: bytes | memoryview, width: int, count: int) -> np.ndarray:
 
 
 class Writer:
-    """Writes a shard to a file object, a block at a time."""
+    """Writes a shard to a file object from front to back; close() ends it."""
 
     def __init__(self, out, width: int, block: int = BLOCK_IDS):
         self.out, self.width, self.block = out, width, block
         self.starts, self.names, self.offsets = [0], [], []
-        self.rest, self.waiting, self.at = [], 0, HEAD.size
-        out.write(bytes(HEAD.size))
+        self.rest, self.waiting, self.at = [], 0, len(MAGIC)
+        out.write(MAGIC)
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         self.names.append(doc_id)
@@ -85,14 +85,13 @@ class Writer:
         self.out.write(data)
         self.at += len(data)
 
-    def tail(self) -> bytes:
-        """Ends the blocks and the tables; returns the header, for the start of the file."""
+    def close(self) -> None:
         if self.waiting:
             self._write(np.concatenate(self.rest))
         self.out.write(np.array([*self.offsets, self.at], "<u8").tobytes())
         self.out.write(np.array(self.starts, "<u8").tobytes())
         self.out.write(np.array(self.names, "<i8").tobytes())
-        return HEAD.pack(MAGIC, self.width, self.block, self.starts[-1], len(self.names))
+        self.out.write(HEAD.pack(MAGIC, self.width, self.block, self.starts[-1], len(self.names)))
 
 
 class Reader:
@@ -100,13 +99,14 @@ class Reader:
 
     def __init__(self, data: bytes):
         self.data = memoryview(data)
-        magic, self.width, self.block, self.n_ids, self.n_docs = HEAD.unpack_from(data)
+        magic, self.width, self.block, self.n_ids, self.n_docs = HEAD.unpack_from(data, len(data) - HEAD.size)
+        end = len(data) - HEAD.size
         if magic != MAGIC:
             raise ValueError("not a shard")
         n_blocks = -(-self.n_ids // self.block)
-        self.names = np.frombuffer(data, "<i8", self.n_docs, len(data) - 8 * self.n_docs)
-        self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, len(data) - 8 * (2 * self.n_docs + 1))
-        self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, len(data) - 8 * (2 * self.n_docs + n_blocks + 2))
+        self.names = np.frombuffer(data, "<i8", self.n_docs, end - 8 * self.n_docs)
+        self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, end - 8 * (2 * self.n_docs + 1))
+        self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, end - 8 * (2 * self.n_docs + n_blocks + 2))
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """The ids from position start to end: only the blocks that hold them are unpacked."""
@@ -139,19 +139,18 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
         shard, coder = context.partitionId(), loaded(path, LibraryBPE)
         spare, final = f"{where}/_{shard:06d}-{context.taskAttemptId()}", f"{where}/{shard:06d}.fwb"
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        writer, body = None, io.BytesIO()
+        writer = out = None
         for batch in slices(batches):
-            writer = writer or Writer(body, bits_for(coder.size))
+            if not writer:
+                store.create_dir(where)
+                out = store.open_output_stream(spare)
+                writer = Writer(out, bits_for(coder.size))
             names = [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
             for name, ids in zip(names, coder.encode_many(as_text(batch.column("text")).to_pylist()), strict=True):
                 writer.add(name, np.frombuffer(ids + end, "<u4"))
         if writer:
-            head = writer.tail()
-            body.seek(0)
-            body.write(head)
-            store.create_dir(where)
-            with store.open_output_stream(spare) as out:
-                out.write(body.getbuffer())
+            writer.close()
+            out.close()
             store.move(spare, final)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_ids": [writer.starts[-1]]}, pa.schema([("shard", pa.int32()), ("n_ids", pa.int64())]))
 

@@ -291,9 +291,7 @@ def test_packing_round_trip(width, values, block):
     cuts = sorted({0, len(ids) // 3, len(ids) // 2})
     for k, part in enumerate(np.split(ids, cuts)):
         writer.add(k, part)
-    head = writer.tail()
-    out.seek(0)
-    out.write(head)
+    writer.close()
     reader = packing.Reader(out.getvalue())
     assert reader.ids(0, len(ids)).tolist() == ids.tolist()
     for a in range(0, len(ids), 7):
