@@ -245,37 +245,84 @@ def walkforward_selection(spark, sf_dir):
     return out.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
 
 
+# Walk-forward weights: the gates chosen in training halve the weight in the fold's test rows.
+
+
+@query()
+def walkforward_weights(spark, sf_dir):
+    """Of each test row: gates chosen for its fold, how many are up, and the weight (two up, or the only one, halve it)."""
+    g = gates(spark, sf_dir)
+    folds = g.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).select("ticker", F.explode(resample.folds(F.col("n"), 250, 250, 84)).alias("f")).select("ticker", "f.*")
+    at = resample.positioned(g, "date", "ticker").drop("n")
+    test = at.join(folds, "ticker").where("pos >= test_start AND pos < test_end").unpivot(["ticker", "date", "fold", "ret"], GATES, "gate", "up")
+    chosen = walkforward_selection(spark, sf_dir).where("chosen").select("ticker", "fold", "gate", F.lit(1).alias("own"))
+    rows = test.join(chosen, ["ticker", "fold", "gate"], "left").groupBy("ticker", "date", "fold", "ret").agg(F.count("own").alias("n_chosen"), F.count_if(F.col("up") & F.col("own").isNotNull()).alias("n_up"))
+    risky = (F.col("n_chosen") > 0) & (F.col("n_up") >= F.least(F.lit(2), F.col("n_chosen")))
+    return rows.select("ticker", F.col("date").cast("string").alias("date"), "fold", "n_chosen", "n_up", F.when(risky, 0.5).otherwise(1.0).alias("weight"), "ret")
+
+
 # Hypotheses: detail by segment and cost, q-values and decisions.
 
+SEGMENTS = [("research", None, "1997-12-31"), ("validation", "1997-12-31", "1999-12-31"), ("holdout", "1999-12-31", None)]
+#: Name, holding periods, whether ranks are within sectors.
+HYPOTHESES = [("H1", 1, False), ("H2", 5, False), ("H3", 1, True)]
+COSTS = [1.0, 1.5, 2.0]
+
 
 @query()
-def hypothesis_detail(spark, sf_dir):
-    """Three hypotheses by three costs by three segments: days, mean spread, bootstrap, placebo-free risk figures."""
-    cuts = [("train", "1995-01-01", "1997-12-31"), ("validate", "1998-01-01", "1999-12-31"), ("holdout", "2000-01-01", "2001-12-31")]
+def hypothesis_detail(spark, sf_dir, bps=30.0, draws=100, block=10):
+    """Three hypotheses by three costs by three segments: means, bootstrap bounds, placebo, risk, and q-values of the holdout."""
     out = None
-    for name, horizon, column in (("H1", 1, "spread_net"), ("H2", 3, "spread_net"), ("H3", 1, "top_excess")):
-        trades = built(spark, sf_dir, horizon=horizon).where("executable")
-        for times in (1, 2, 3):
-            s = accounting.spreads(trades, horizon, 15.0 * times).select(F.col("entry_date").alias("date"), F.col(column).alias("r"))
-            part = s.select("*", F.lit(name).alias("hypothesis"), F.lit(times).alias("cost_times"))
-            out = part if out is None else out.unionByName(part)
+    for name, horizon, sectors in HYPOTHESES:
+        s = accounting.spreads(built(spark, sf_dir, horizon=horizon, sectors=sectors).where("executable"), horizon, 0.0)
+        part = s.withColumn("hypothesis", F.lit(name))
+        out = part if out is None else out.unionByName(part)
     segment = F.lit(None).cast("string")
-    for s, a, b in cuts:
-        segment = F.when(F.col("date").between(a, b), s).otherwise(segment)
-    out = out.withColumn("segment", segment).where("segment IS NOT NULL").withColumn("run", F.concat_ws("|", "hypothesis", F.col("cost_times").cast("string"), "segment"))
-    risk = accounting.risk(out, "r", Series("run"))
-    p = resample.positioned(out.select("run", "date", "r"), "date", "run").select("run", "pos", "n", "r")
-    starts = resample.hashed_starts(p.select("run", "n").distinct(), ["run"], 100, 10, 31)
-    draws = resample.drawn(starts, p, 10, ["run"]).groupBy("run", "draw").agg(F.avg("r").alias("m"))
-    facts = out.groupBy("run", "hypothesis", "cost_times", "segment").agg(F.count(F.lit(1)).alias("days"), F.avg("r").alias("mean"))
-    return facts.join(risk, "run").join(resample.interval(draws, "m", ["run"]).select("run", "ci_low", "ci_high", "p_one"), "run", "left").drop("run")
+    for name, after, until in SEGMENTS:
+        inside = (F.col("entry_date") > F.lit(after or "0001-01-01").cast("date")) & (F.col("entry_date") <= F.lit(until or "9999-12-31").cast("date"))
+        segment = F.when(inside, name).otherwise(segment)
+    each = out.withColumn("segment", segment).withColumn("cost", F.explode(F.array(*map(F.lit, COSTS)))).withColumn("leg", F.col("cost") * bps / 10_000)
+    each = each.select("hypothesis", "cost", "segment", F.concat_ws("|", "hypothesis", F.col("cost").cast("string"), "segment").alias("run"), F.col("entry_date").alias("date"), "leg", (F.col("top") - F.col("leg")).alias("top_net"), (F.col("top") - F.col("bottom")).alias("gross"), (F.col("top") - F.col("bottom") - 2 * F.col("leg")).alias("spread_net"), "top_excess")
+    facts = each.groupBy("run", "hypothesis", "cost", "segment").agg(F.count(F.lit(1)).alias("observations"), F.avg("spread_net").alias("spread_net_mean"), F.avg("top_net").alias("top_net_mean"), F.avg("top_excess").alias("top_excess"))
+    p = resample.positioned(each, "date", "run").select("run", "pos", "n", "top_net", "spread_net", "gross", "leg")
+    sizes = p.select("run", "n").distinct()
+    drawn = resample.drawn(resample.hashed_starts(sizes, ["run"], draws, block, 31), p, block, ["run"]).groupBy("run", "draw").agg(F.avg("top_net").alias("top"), F.avg("spread_net").alias("spread"))
+    for c in ("spread", "top"):
+        i = resample.interval(drawn, c, ["run"])
+        facts = facts.join(i.select("run", F.col("ci_low").alias(f"{c}_ci_low"), F.col("ci_high").alias(f"{c}_ci_high"), F.col("p_one").alias(f"{c}_p")), "run", "left")
+    signs = p.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("sign", F.when(F.pmod(F.xxhash64(F.lit(5), "run", "draw", F.floor(F.col("pos") / block)), F.lit(2)) == 0, -1.0).otherwise(1.0))
+    flipped = signs.groupBy("run", "draw").agg((F.avg(F.col("gross") * F.col("sign")) - 2 * F.max("leg")).alias("m")).groupBy("run").agg(F.percentile("m", F.lit(0.95)).alias("placebo_95"))
+    risk = accounting.risk(each.select("run", "date", "top_net"), "top_net", Series("run"))
+    facts = facts.join(flipped, "run", "left").join(risk, "run", "left").drop("run")
+    # q-values are over the holdout's hypotheses of one cost; other segments have none.
+    held = F.col("segment") == "holdout"
+    for c in ("spread", "top"):
+        facts = stats.false_discovery(facts.withColumn("_p", F.when(held, F.col(f"{c}_p"))), "_p", f"{c}_q", ["cost"]).drop("_p")
+    return facts
 
 
 @query()
-def hypothesis_decision(spark, sf_dir):
-    """A hypothesis passes if, at double cost, all segments gain and the holdout's q-value and interval hold."""
-    d = hypothesis_detail(spark, sf_dir)
-    q = stats.false_discovery(d.where("segment = 'holdout'"), "p_one", "q", ["cost_times"]).where("cost_times = 2").select("hypothesis", "q", "ci_low")
-    at2 = d.where("cost_times = 2").groupBy("hypothesis").agg(F.min("mean").alias("least_mean"), F.count(F.lit(1)).alias("segments"))
-    status = F.when(F.col("segments") < 3, "NOT_READY").when((F.col("least_mean") > 0) & (F.col("q") < 0.10) & (F.col("ci_low") > 0), "PASS").otherwise("FAIL")
-    return at2.join(q, "hypothesis", "left").withColumn("status", status)
+def hypothesis_decision(spark, sf_dir, least=12, most_drawdown=0.9):
+    """PASS, FAIL or NOT_READY of each hypothesis at double cost, with the checks that fail.
+
+    NOT_READY: too few observations in validation or holdout, or selected rows without a price on entry or exit.
+    """
+    d = hypothesis_detail(spark, sf_dir).where("cost = 2.0")
+    side = lambda s: d.where(F.col("segment") == s).select("hypothesis", F.struct(*[c for c in d.columns if c != "hypothesis"]).alias(s))
+    both = side("validation").join(side("holdout"), "hypothesis", "full")
+    gone = None
+    for name, horizon, sectors in HYPOTHESES:
+        m = built(spark, sf_dir, horizon=horizon, sectors=sectors).agg(F.count_if(F.col("bucket").isin("top", "bottom") & ~F.col("executable")).alias("missing")).withColumn("hypothesis", F.lit(name))
+        gone = m if gone is None else gone.unionByName(m)
+    both = both.join(gone, "hypothesis", "left")
+    v, h = F.col("validation"), F.col("holdout")
+    checks = {
+        "validation's return bound above 0": v["top_ci_low"] > 0, "holdout's return q below 0.05": h["top_q"] < 0.05, "returns above 0": (v["top_net_mean"] > 0) & (h["top_net_mean"] > 0),
+        "validation's spread bound above 0": v["spread_ci_low"] > 0, "holdout's spread q below 0.05": h["spread_q"] < 0.05, "holdout's spread above its placebo": h["spread_net_mean"] > h["placebo_95"],
+        "above the universe": (v["top_excess"] > 0) & (h["top_excess"] > 0), "drawdown within bounds": (v["mdd"] >= -most_drawdown) & (h["mdd"] >= -most_drawdown),
+    }
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]))
+    few = F.coalesce((v["observations"] < least) | (h["observations"] < least), F.lit(True))
+    waits = F.array_compact(F.array(F.when(few, "too few observations"), F.when(F.col("missing") > 0, F.concat(F.col("missing").cast("string"), F.lit(" selected rows without prices")))))
+    status = F.when(F.size(waits) > 0, "NOT_READY").when(F.size(failed) > 0, "FAIL").otherwise("PASS")
+    return both.select("hypothesis", status.alias("status"), F.concat_ws("; ", waits).alias("waits"), F.concat_ws("; ", failed).alias("failed"))
