@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from .common import as_text, slices
 
-#: Entries of one generation of a worker's memory of pieces.
-CACHE = 400_000
+#: Entries of one generation of a worker's memory of pieces, and of words: about 220 bytes each, four generations in all.
+CACHE = 100_000
 #: Letters after an apostrophe are pieces of their own in this pattern; the classes below are tested against the library.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[a-zA-Z]+| ?[0-9]+| ?[^ \na-zA-Z0-9]+|[ \n]+(?![^ \n])|[ \n]+")
@@ -43,7 +43,7 @@ def default_path() -> str:
 class Memory:
     """A dict of bounded size: two generations, the older of which is dropped when the younger is full."""
 
-    def __init__(self, most: int = CACHE):
+    def __init__(self, most: int):
         self.young: dict = {}
         self.old: dict = {}
         self.most = most
@@ -90,6 +90,8 @@ class Classes:
 class ByteBPE:
     """A byte-level BPE vocabulary from a tokenizers file."""
 
+    cache = CACHE
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -114,7 +116,7 @@ class ByteBPE:
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.classes = Classes(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str)
         self.unusual = self.classes.unusual
-        self.memory, self.words = Memory(), Memory()
+        self.memory, self.words = Memory(self.cache), Memory(self.cache)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. A queue's entry is one integer: rank, new symbol and position."""
@@ -225,6 +227,8 @@ LOOSE = re.compile(r" (?=\s|\Z)")
 class LibraryBPE(ByteBPE):
     """The same, with the ids of each new piece given by the tokenizers library's model."""
 
+    cache = 4 * CACHE
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
