@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from .common import as_text, slices
 
-#: Entries of one generation of a worker's memory of pieces, and of words: about 220 bytes each, four generations in all.
-CACHE = 100_000
+#: Entries of one generation of a worker's memory of pieces and of words, about 220 bytes each; a memory has two generations.
+PIECES, WORDS = 200_000, 50_000
 #: Letters after an apostrophe are pieces of their own in this pattern; the classes below are tested against the library.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[a-zA-Z]+| ?[0-9]+| ?[^ \na-zA-Z0-9]+|[ \n]+(?![^ \n])|[ \n]+")
@@ -55,8 +56,7 @@ class Memory:
     def add(self, new: dict) -> None:
         if len(self.young) + len(new) > self.most:
             self.old, self.young = self.young, {}
-        if len(new) <= self.most:
-            self.young |= new
+        self.young |= dict(islice(new.items(), self.most))
 
 
 class Classes:
@@ -90,7 +90,7 @@ class Classes:
 class ByteBPE:
     """A byte-level BPE vocabulary from a tokenizers file."""
 
-    cache = CACHE
+    most = PIECES, WORDS
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -116,7 +116,7 @@ class ByteBPE:
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.classes = Classes(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str)
         self.unusual = self.classes.unusual
-        self.memory, self.words = Memory(self.cache), Memory(self.cache)
+        self.memory, self.words = map(Memory, self.most)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. A queue's entry is one integer: rank, new symbol and position."""
@@ -227,7 +227,7 @@ LOOSE = re.compile(r" (?=\s|\Z)")
 class LibraryBPE(ByteBPE):
     """The same, with the ids of each new piece given by the tokenizers library's model."""
 
-    cache = 4 * CACHE
+    most = 400_000, 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
