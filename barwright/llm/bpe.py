@@ -227,7 +227,7 @@ LOOSE = re.compile(r" (?=\s|\Z)")
 class LibraryBPE(ByteBPE):
     """The same, with the ids of each new piece given by the tokenizers library's model."""
 
-    most = 400_000, 400_000
+    most = 400_000, WORDS
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
