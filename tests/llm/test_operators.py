@@ -142,6 +142,22 @@ def test_near_duplicates_are_found(spark):
     assert sorted(kept.doc_id) == sorted(found.class_id.unique())
 
 
+def test_near_duplicates_behind_a_passage(spark):
+    """Texts that share most of their words with all others, and texts that one long text holds, still meet their copies."""
+    rng = random.Random(11)
+    passage, held, texts = [f"p{i}" for i in range(140)], [], []
+    for g in range(60):
+        base = passage + [f"g{g}w{i}" for i in range(50)]
+        texts += [" ".join(base), " ".join(edited(base, 0.02, rng))]
+    for g in range(20):
+        part = [f"h{g}w{i}" for i in range(60)]
+        held += part
+        texts += [" ".join(edited(part, 0.04, rng)), " ".join(edited(part, 0.04, rng))]
+    docs = spark.createDataFrame([*enumerate(texts), (len(texts), " ".join(held))], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts) + 1)}
+
+
 def test_near_duplicates_odd(spark, odd, none):
     found = neardup.classes(odd).toPandas()
     assert len(found) == len(ODD)
