@@ -1,10 +1,10 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 3).
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 3).
 
-Words are lower-cased and lose punctuation at their ends. The n-grams (N words) of the test items are seeds; how many
-documents hold each seed is counted over the whole corpus, and an item keeps those that are rare among its own: at most
-RARE times its lower quartile, and SLACK more. (An item that thousands of documents copy so keeps its seeds.) Where a
-seed of an item meets a document, the passage around is aligned with the item, and the alignment's score as a share of
-the item's own decides: SCORE tells a copy, edited or partial, from a chance phrase.
+Words are lower-cased and lose punctuation at their ends. The n-grams (N words) of the test items are seeds, all of them:
+which are left out can't hang on how many documents hold them, or the number of copies would decide whether they are found.
+Where a seed of an item meets a document, the passage around is aligned with the item, and the alignment's score as a share
+of the item's own decides: SCORE tells a copy, edited or partial, from a chance phrase. Common seeds meet many passages;
+those that hold too few of the item's words for any alignment to reach SCORE aren't aligned, which loses none.
 
 The items are taken in blocks of bounded size (BLOCK_CHARS), and each block's seeds go to all tasks; a benchmark beyond
 one block takes a pass over the corpus for each block. Documents are never shuffled.
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import as_text, mixed, runs, slices
 
-N, RARE, SLACK, SCORE = 3, 4, 2, 0.6
+N, SCORE = 3, 0.6
 #: Characters of test items that go to the tasks at once.
 BLOCK_CHARS = 8_000_000
+#: Meetings of a seed with a place that are held at once, but for those of a single text.
+MEETINGS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»¿¡“”‘’…–—"
 _FACTORS = np.random.default_rng(7).integers(0, 2**63, N + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,22 +95,6 @@ class Items:
         own = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return cls(ids, own, seeds, np.append(first, len(order)), item[order], place[order])
 
-    def only(self, keep: np.ndarray) -> Items:
-        """The same with only the (seed, item, place) entries marked in keep."""
-        seed = runs(self.first)[keep]
-        seeds, first = np.unique(seed, return_index=True)
-        return Items(self.ids, self.words, self.seeds[seeds], np.append(first, len(seed)), self.item[keep], self.place[keep])
-
-    def rare(self, documents: np.ndarray) -> Items:
-        """With the seeds that are rare for their item; `documents`: how many documents hold each seed."""
-        n = documents[runs(self.first)]
-        keep = np.zeros(len(n), bool)
-        order = np.argsort(self.item, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
-            if len(part):
-                keep[part] = n[part] <= RARE * np.sort(n[part])[(len(part) - 1) // 4] + SLACK
-        return self.only(keep)
-
     def prefilter(self) -> np.ndarray:
         """A fixed table of bits that all seeds set, to pass over most n-grams of a document at once."""
         out = np.zeros(1 << 22, bool)
@@ -154,65 +140,59 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
     return best, end
 
 
+def reachable(item: np.ndarray, passage: np.ndarray) -> bool:
+    """Whether an alignment can reach SCORE: it matches no more words than those of the item that the passage holds."""
+    return np.isin(item, passage).sum() >= SCORE * len(item) - 1e-9
+
+
 def matches(items: Items, few: np.ndarray, texts: pa.Array) -> dict[str, np.ndarray]:
     """The (text, item) pairs whose best passage reaches SCORE: text, item, score, and the passage's words from start to end."""
     words, offsets = plain_words(texts)
-    hashes, doc, place = ngrams(words, offsets)
-    hit, seed = found_in(items, few, hashes)
-    counts = np.diff(items.first)[seed]
-    entry = np.repeat(items.first[seed], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    doc, item = np.repeat(doc[hit], counts), items.item[entry]
-    size = np.array([len(w) for w in items.words], np.int64)[item]
-    low = np.repeat(place[hit], counts) - items.place[entry]
-    length = np.diff(offsets)
-    spare = size // 4 + 2
-    low, high = np.maximum(low - spare, 0), np.minimum(low + size + spare, length[doc])
-    order = np.lexsort((low, item, doc))
-    doc, item, low, high = doc[order], item[order], low[order], high[order]
-    pairs, names, last = [], [], None
-    for d, i, a, b in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True):
-        if last and last[:2] == [d, i] and a <= last[3]:
-            last[3] = max(last[3], b)
-        else:
-            names.append(last := [d, i, a, b])
-    pairs = [(items.words[i], words[offsets[d] + a : offsets[d] + b]) for d, i, a, b in names]
-    score, end = smith_waterman(pairs)
+    hashes, docs, places = ngrams(words, offsets)
+    hits, seeds = found_in(items, few, hashes)
+    sizes, length = np.array([len(w) for w in items.words], np.int64), np.diff(offsets)
+    meetings = np.diff(items.first)[seeds]
+    first = np.flatnonzero(np.diff(docs[hits], prepend=-1))
+    turn = (np.cumsum(meetings) - meetings)[first] // MEETINGS
+    cuts = np.append(first[np.flatnonzero(np.diff(turn, prepend=-1))], len(hits))
     best: dict = {}
-    for (d, i, a, _), s, e in zip(names, score.tolist(), end.tolist(), strict=True):
-        share = s / (MATCH * len(items.words[i]))
-        if share >= SCORE and share > best.get((d, i), (0,))[0]:
-            best[d, i] = (share, max(a, a + e - len(items.words[i])), a + e)
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        hit, seed, counts = hits[x:y], seeds[x:y], meetings[x:y]
+        entry = np.repeat(items.first[seed], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        doc, item = np.repeat(docs[hit], counts), items.item[entry]
+        size, low = sizes[item], np.repeat(places[hit], counts) - items.place[entry]
+        spare = size // 4 + 2
+        low, high = np.maximum(low - spare, 0), np.minimum(low + size + spare, length[doc])
+        order = np.lexsort((low, item, doc))
+        doc, item, low, high = doc[order], item[order], low[order], high[order]
+        names, last = [], []
+        for d, i, a, b in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True):
+            if last and last[:2] == [d, i] and a <= last[3]:
+                last[3] = max(last[3], b)
+            else:
+                names.append(last := [d, i, a, b])
+        names = [n for n in names if reachable(items.words[n[1]], words[offsets[n[0]] + n[2] : offsets[n[0]] + n[3]])]
+        score, end = smith_waterman([(items.words[i], words[offsets[d] + a : offsets[d] + b]) for d, i, a, b in names])
+        for (d, i, a, _), s, e in zip(names, score.tolist(), end.tolist(), strict=True):
+            share = s / (MATCH * len(items.words[i]))
+            if share >= SCORE and share > best.get((d, i), (0,))[0]:
+                best[d, i] = (share, max(a, a + e - len(items.words[i])), a + e)
     return {
         "text": np.array([k[0] for k in best], np.int64), "item": np.array([k[1] for k in best], np.int64), "score": np.array([v[0] for v in best.values()], float),
         "start": np.array([v[1] for v in best.values()], np.int64), "end": np.array([v[2] for v in best.values()], np.int64),
     }
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """The blocks of items, each with its rare seeds: a pass over the documents counts them."""
+def blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The items with their seeds, in blocks of bounded size."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("text != ''")
     whole = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-whole // BLOCK_CHARS)
     for k in range(n):
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         block = Items.of([r.item_id for r in got], [r.text for r in got])
-        if not len(block.seeds):
-            continue
-
-        def held(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            few, total = block.prefilter(), np.zeros(len(block.seeds), np.int64)
-            for batch in slices(batches):
-                hashes, doc, _ = ngrams(*plain_words(as_text(batch.column("text"))))
-                at, seed = found_in(block, few, hashes)
-                one = np.unique(doc[at] * len(block.seeds) + seed)
-                total += np.bincount(one % len(block.seeds), minlength=len(block.seeds))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["seed", "n"])
-
-        documents = np.zeros(len(block.seeds), np.int64)
-        for r in docs.select("text").mapInArrow(held, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            documents[r.seed] = r.n
-        yield block.rare(documents)
+        if len(block.seeds):
+            yield block
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -220,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark, source = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
     kind = dict(benchmark.dtypes)["item_id"]
     out = None
-    for block in blocks(docs, benchmark):
+    for block in blocks(benchmark):
 
         def rows(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             few = block.prefilter()
@@ -243,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
     out, schema = docs, docs.schema
-    for block in blocks(docs, benchmark):
+    for block in blocks(benchmark):
 
         def rows(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             few = block.prefilter()

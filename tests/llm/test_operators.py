@@ -228,6 +228,15 @@ def test_leaks_against_all_alignments(spark):
     assert planted <= want and found == want
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 8])
+def test_leaks_dont_hang_on_the_number_of_copies(spark, copies):
+    """28 of an item's 40 words: its other seeds stand in no document, so that those of the copies are the common ones."""
+    item = [f"w{i}" for i in range(40)]
+    docs = [(k, " ".join([f"a{k}"] * 9 + item[:28] + [f"b{k}"] * 9)) for k in range(copies)]
+    found = rows(decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")))
+    assert {(r[0], r[1], round(r[2], 6)) for r in found} == {(k, 7, 0.7) for k in range(copies)}
+
+
 def test_leaks_odd(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "ein Wort"), (4, "tie tie tie tie")], "item_id long, text string")
     assert {(r[0], r[1]) for r in rows(decontaminate.leaks(odd, items))} == {(4, 3), (8, 4), (9, 4)}
