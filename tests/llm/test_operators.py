@@ -142,6 +142,37 @@ def test_near_duplicates_are_found(spark):
     assert sorted(kept.doc_id) == sorted(found.class_id.unique())
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.86: at most 1 % are missed."""
+    rng, texts = random.Random(17), []
+    for g in range(600):
+        base = [f"g{g}w{i}" for i in range(200)]
+        texts += [" ".join(base), " ".join(edited(base, (0.2, 0.18, 0.16, 0.14)[g % 4], rng))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert all(c in (i, i // 2 * 2) for i, c in got.items())
+    assert sum(got[2 * g + 1] != 2 * g for g in range(600)) <= 6
+
+
+def test_near_duplicates_of_few_words(spark):
+    """All pairs of short texts: a word changed, added or gone, and two of ten or more."""
+    rng, texts, linked = random.Random(19), [], 0
+    for n in range(4, 15):
+        for kind in ("change", "add", "drop"):
+            base = [f"t{len(texts)}w{i}" for i in range(n)]
+            other = list(base)
+            for at in rng.sample(range(n), max(1, n // 5)):
+                other[at] = {"change": f"x{at}", "add": f"{other[at]} x{at}", "drop": ""}[kind]
+            other = " ".join(" ".join(other).split())
+            longer = max(n, len(other.split()))
+            same = max(1, n // 5) <= 0.2 * longer + 1e-9
+            texts.append((" ".join(base), other, same))
+            linked += same
+    docs = spark.createDataFrame([(2 * i + k, t[k]) for i, t in enumerate(texts) for k in (0, 1)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert linked > 25 and [got[2 * i + 1] == 2 * i for i in range(len(texts))] == [t[2] for t in texts]
+
+
 def test_near_duplicates_behind_a_passage(spark):
     """Texts that share most of their words with all others, and texts that one long text holds, still meet their copies."""
     rng = random.Random(11)
