@@ -189,6 +189,15 @@ def test_near_duplicates_behind_a_passage(spark):
     assert got == {i: i // 2 * 2 for i in range(len(texts) + 1)}
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    """A class is its texts, whatever ids they have: unrelated texts of the same id stay, and near copies without ids go."""
+    rng = random.Random(23)
+    bases = [[f"g{g}w{i}" for i in range(60)] for g in range(12)]
+    docs = [(7 if g < 8 else None, " ".join(edited(b, share, rng))) for g, b in enumerate(bases) for share in (0, 0.03, 0.05)]
+    kept = neardup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(min(w.split("w")[0] for w in r.text.split()) for r in kept) == sorted(f"g{g}" for g in range(12))
+
+
 def test_near_duplicates_odd(spark, odd, none):
     found = neardup.classes(odd).toPandas()
     assert len(found) == len(ODD)
