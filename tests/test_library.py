@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barwright.functions import scalar
 from barwright.functions.rolling import Series
 from barwright.operators import gates, resample, state, stats, timejoin, xsection
+from barwright.plans.queries import QUERIES
 from barwright.sources import readers
 from barwright.sources.normalise import normalised, records
 from barwright.sources.registry import DATASETS
@@ -170,3 +171,12 @@ def test_streams(spark, tmp_path, sf_dir):
     q = incremental.tumbling_bars(ticks, "event_type", "ts", "value", "1 hour").writeStream.outputMode("complete").format("memory").queryName("hours").option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start()
     q.awaitTermination(300)
     assert spark.table("hours").agg(F.sum("volume")).first()[0] == events.count()
+
+
+@pytest.mark.parametrize("name, draws", [("walkforward_selection", 600), ("walkforward_weights", 600), ("bootstrap_hash_whole", 2000), ("bootstrap_tail", 2000), ("hypothesis_detail", 500), ("hypothesis_decision", 500)])
+def test_registered_draws(spark, sf_dir, monkeypatch, name, draws):
+    """The queries run with the survey's draws."""
+    seen, own = [], resample.hashed_starts
+    monkeypatch.setattr(resample, "hashed_starts", lambda lengths, keys, n, block, seed: seen.append(n) or own(lengths, keys, n, block, seed))
+    QUERIES[name](spark, sf_dir)
+    assert seen == [draws]
