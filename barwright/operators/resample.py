@@ -1,13 +1,14 @@
 """Block resampling as joins: draws of circular blocks, placebo permutations and sign flips.
 
 Which blocks a draw takes comes from a table of starts: from a seeded generator (the same draws as a plain loop with that
-generator; the table has draws x blocks rows and is made on the driver), or from a hash of (seed, draw, block), made by
+generator; for one series on the driver, for each series of a table on the executors), or from a hash of (seed, draw, block), made by
 Spark. What a draw computes is a join of the starts with the series by row position, and a grouped aggregation.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,30 @@ def seeded_starts(spark: SparkSession, n: int, draws: int, block: int, seed: int
     return spark.createDataFrame(rows, "draw long, blk long, start long")
 
 
+def _each(lengths: DataFrame, key: str, columns: str, make: Callable[[int], Iterator[dict]]) -> DataFrame:
+    """The rows that make(n) gives, part by part, for each series of a table (key, n); made on the executors."""
+    import pandas as pd
+
+    def rows(batches):
+        for pdf in batches:
+            for name, n in zip(pdf[key].tolist(), pdf["n"].tolist(), strict=True):
+                for part in make(int(n)):
+                    yield pd.DataFrame({key: name, "n": n, **part})
+
+    return lengths.select(key, "n").mapInPandas(rows, f"{key} {dict(lengths.dtypes)[key]}, n long, {columns}")
+
+
+def seeded_starts_of(lengths: DataFrame, key: str, draws: int, block: int, seed: int) -> DataFrame:
+    """seeded_starts of each series of a table (key, n), with its key and n; each series has the generator's draws from the seed."""
+
+    def make(n: int) -> Iterator[dict]:
+        rng, blocks = np.random.default_rng(seed), math.ceil(n / block)
+        for d in range(draws):
+            yield {"draw": d, "blk": np.arange(blocks), "start": rng.integers(0, n, blocks)}
+
+    return _each(lengths, key, "draw long, blk long, start long", make)
+
+
 def hashed_starts(lengths: DataFrame, keys: list[str], draws: int, block: int, seed: int) -> DataFrame:
     """The same columns for each series of a table (keys, n), from a hash: starts spread over 0..n-1."""
     each = lengths.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
@@ -89,6 +114,33 @@ def sign_flip_bound(series: DataFrame, x: str, bps: float, draws: int, block: in
     return means.agg(F.percentile("m", F.lit(0.95)).alias("placebo_95"))
 
 
+def sign_flip_bounds(series: DataFrame, key: str, x: str, bps: float, draws: int, block: int, seed: int) -> DataFrame:
+    """sign_flip_bound of each series of a table."""
+
+    def make(n: int) -> Iterator[dict]:
+        rng, size = np.random.default_rng(seed), max(1, min(block, n))
+        for d in range(draws):
+            yield {"draw": d, "blk": np.arange(math.ceil(n / size)), "sign": rng.choice([-1.0, 1.0], size=math.ceil(n / size))}
+
+    signs = _each(series.select(key, "n").distinct(), key, "draw long, blk long, sign double", make).drop("n")
+    blk = F.floor(F.col("pos") / F.greatest(F.lit(1), F.least(F.lit(block), F.col("n"))))
+    means = signs.join(series.withColumn("blk", blk), [key, "blk"]).groupBy(key, "draw").agg((F.avg(F.col(x) * F.col("sign")) - 2 * bps / 10_000).alias("m"))
+    return means.groupBy(key).agg(F.percentile("m", F.lit(0.95)).alias("placebo_95"))
+
+
+def permuted_each(series: DataFrame, key: str, column: str, block: int, seed: int, name: str) -> DataFrame:
+    """permuted, for each series of a table."""
+
+    def make(n: int) -> Iterator[dict]:
+        order = np.random.default_rng(seed).permutation(math.ceil(n / block))
+        lengths = np.minimum(block, n - order * block)
+        yield {"blk": order, "first": np.cumsum(lengths) - lengths}
+
+    moved = _each(series.select(key, "n").distinct(), key, "blk long, first long", make).drop("n")
+    new = series.select(key, F.floor(F.col("pos") / block).alias("blk"), (F.col("pos") % block).alias("off"), F.col(column).alias(name)).join(moved, [key, "blk"])
+    return series.join(new.select(key, (F.col("first") + F.col("off")).alias("pos"), name), [key, "pos"])
+
+
 def permuted(series: DataFrame, column: str, block: int, seed: int, name: str) -> DataFrame:
     """The column with its blocks in a random order (the last, shorter block moves too): the values keep their counts."""
     spark, n = series.sparkSession, series.agg(F.max("n")).first()[0] or 0

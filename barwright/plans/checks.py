@@ -95,8 +95,17 @@ def availability_stamp(spark, sf_dir):
 @query("""WITH w AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 50 = 0), s AS (SELECT o_orderkey, d, d + CAST(k AS INTEGER) AS b, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS n FROM w, range(1, 15) r(k) WHERE isodow(d + CAST(k AS INTEGER)) < 6)
  SELECT o_orderkey, b AS third FROM s WHERE n = 3""", "third")
 def business_days(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
-    return o.select("o_orderkey", scalar.business_day_after(F.col("d"), 3).alias("third"))
+    """The orders of its SQL twin; business_days_whole has all."""
+    return _business_days(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+
+
+@query(dates="third")
+def business_days_whole(spark, sf_dir):
+    return _business_days(table(spark, sf_dir, "orders"))
+
+
+def _business_days(orders):
+    return orders.select("o_orderkey", scalar.business_day_after(F.col("o_orderdate").cast("date"), 3).alias("third"))
 
 
 def _ingested(spark, sf_dir):

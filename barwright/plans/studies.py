@@ -123,20 +123,13 @@ def bootstrap_hash_whole(spark, sf_dir):
     return _hashed(spark, sf_dir, WHOLE)
 
 
-def _one(spark, sf_dir, ticker="1-URGENT"):
-    return resample.positioned(bars(spark, sf_dir).where(F.col("ticker") == ticker).select("date", (F.col("ret") * 100).alias("r"), (F.col("volume") > 1).alias("busy")), "date").select("date", "pos", "n", "r", "busy")
-
-
 @query()
 def bootstrap_pcg(spark, sf_dir):
     """The same with the seeded generator's draws; tests hold it against a plain loop with that generator."""
-    p = _one(spark, sf_dir)
-    n = p.agg(F.max("n")).first()[0] or 0
-    if not n:
-        return spark.createDataFrame([], "ci_low double, ci_high double, p_one double, p_two double, draws long")
-    starts = resample.seeded_starts(spark, n, WHOLE, _BLOCK, 11)
-    d = resample.conditional_excess(resample.drawn(starts, p, _BLOCK), "r", F.col("busy"), [])
-    return resample.interval(d, "excess", [])
+    p = _positions(spark, sf_dir)
+    starts = resample.seeded_starts_of(p.select("ticker", "n").distinct(), "ticker", WHOLE, _BLOCK, 11)
+    d = resample.conditional_excess(resample.drawn(starts, p, _BLOCK, ["ticker"]), "r", F.col("busy"), ["ticker"])
+    return resample.interval(d, "excess", ["ticker"])
 
 
 @query()
@@ -150,12 +143,13 @@ def bootstrap_tail(spark, sf_dir):
 @query()
 def block_permute(spark, sf_dir):
     """A signal with its blocks in random order, beside the signal; the counts agree."""
-    return resample.permuted(_one(spark, sf_dir), "busy", _BLOCK, 3, "placebo").select(F.col("date").cast("string").alias("date"), "busy", "placebo")
+    b = resample.positioned(bars(spark, sf_dir).select("ticker", "date", (F.col("volume") > 1).alias("busy")), "date", "ticker")
+    return resample.permuted_each(b, "ticker", "busy", _BLOCK, 3, "placebo").select("ticker", F.col("date").cast("string").alias("date"), "busy", "placebo")
 
 
 @query()
 def sign_flip_placebo(spark, sf_dir):
-    return resample.sign_flip_bound(_one(spark, sf_dir).withColumn("r", F.col("r") / 100), "r", 10, OF_HYPOTHESIS, 10, 5)
+    return resample.sign_flip_bounds(_positions(spark, sf_dir).withColumn("r", F.col("r") / 100), "ticker", "r", 10, OF_HYPOTHESIS, 10, 5)
 
 
 # Gates

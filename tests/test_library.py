@@ -180,3 +180,27 @@ def test_registered_draws(spark, sf_dir, monkeypatch, name, draws):
     monkeypatch.setattr(resample, "hashed_starts", lambda lengths, keys, n, block, seed: seen.append(n) or own(lengths, keys, n, block, seed))
     QUERIES[name](spark, sf_dir)
     assert seen == [draws]
+
+
+def test_all_tickers_are_resampled(spark, sf_dir):
+    """Each ticker has a result, the one that it has alone."""
+    for name in ("bootstrap_pcg", "block_permute", "sign_flip_placebo"):
+        assert "ticker" in QUERIES[name](spark, sf_dir).columns
+    data = [(k, i, i % 10 < 5, float(i * j % 7)) for j, k in enumerate("abc", 1) for i in range(20 + j)]
+    df = spark.createDataFrame(data, "ticker string, date int, f boolean, r double")
+    every = resample.positioned(df, "date", "ticker")
+    starts = resample.seeded_starts_of(every.select("ticker", "n").distinct(), "ticker", 40, 5, 9).toPandas()
+    moved = resample.permuted_each(every, "ticker", "f", 5, 1, "p").toPandas()
+    bounds = {r.ticker: r.placebo_95 for r in resample.sign_flip_bounds(every, "ticker", "r", 10, 50, 5, 2).collect()}
+    for k, n in (("a", 21), ("b", 22), ("c", 23)):
+        one = resample.positioned(df.where(F.col("ticker") == k), "date")
+        own = starts[starts.ticker == k].sort_values(["draw", "blk"])[["draw", "blk", "start"]].to_numpy()
+        assert (own == resample.seeded_starts(spark, n, 40, 5, 9).orderBy("draw", "blk").toPandas().to_numpy()).all()
+        assert moved[moved.ticker == k].sort_values("pos").p.tolist() == resample.permuted(one, "f", 5, 1, "p").orderBy("pos").toPandas().p.tolist()
+        assert np.isclose(bounds[k], resample.sign_flip_bound(one, "r", 10, 50, 5, 2).first()[0])
+
+
+def test_business_days_of_all_orders(spark, sf_dir):
+    got = {r.o_orderkey: r.third for r in QUERIES["business_days_whole"](spark, sf_dir).collect()}
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).collect()
+    assert got == {r.o_orderkey: str(np.busday_offset(r.d, 3, roll="backward")) for r in orders}
