@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,13 +38,45 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows written to the shared folder and read again: the lineage ends, and a lost executor costs nothing."""
-    path = new_folder(df.sparkSession, name)
+    path = path or new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one, by Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The tables of one operator in the shared folder. One goes as soon as all that was made of it is written itself."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.made = spark, name, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(self.spark, f"{self.name}-{name}")
+        self.made.append((table(df, name, path), path))
+        return self.made[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for _, path in (x for x in self.made if any(x[0] is t for t in tables)):
+            remove(self.spark, path)
+        self.made = [x for x in self.made if not any(x[0] is t for t in tables)]
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*(t for t, _ in self.made if not any(t is x for x in tables)))
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of the rows has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_bw{k}" for k in range(len(taken) + n)) if c not in taken][:n]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -104,7 +104,7 @@ def plain_distance(a, b):
 @given(st.lists(st.tuples(st.lists(st.integers(1, 4), max_size=30), st.lists(st.integers(1, 4), max_size=30), st.integers(0, 30)), min_size=1, max_size=8))
 def test_alignment(cases):
     pairs = [(np.array(a, np.uint32), np.array(b, np.uint32)) for a, b, _ in cases]
-    for (a, b, limit), d in zip(cases, neardup.distances(pairs, [c[2] for c in cases]), strict=True):
+    for (a, b, limit), d in zip(cases, (neardup.distance(*p, c[2]) for p, c in zip(pairs, cases, strict=True)), strict=True):
         true = plain_distance(a, b)
         assert d == (true if true <= limit else -1)
 
@@ -131,7 +131,7 @@ def test_near_duplicates_are_found(spark):
     found = neardup.classes(docs).toPandas().set_index("doc_id").sort_index()
     hashed = [np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:4] for w in t.split()), "<u4") for t in texts]
     pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
-    d = neardup.distances([(hashed[i], hashed[j]) for i, j in pairs], [int(0.2 * max(len(hashed[i]), len(hashed[j]))) for i, j in pairs])
+    d = [neardup.distance(hashed[i], hashed[j], int(0.2 * max(len(hashed[i]), len(hashed[j])))) for i, j in pairs]
     linked = [p for p, x in zip(pairs, d, strict=True) if x >= 0]
     assert all(group[i] == group[j] for i, j in linked)
     missed = [p for p in linked if found.class_id[p[0]] != found.class_id[p[1]]]

@@ -34,7 +34,7 @@ def test_stages(spark, sf_dir):
     words = {d: np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:4] for w in t.split()), "<u4") for d, t in want.items()}
     ids = sorted(words)
     pairs = [(a, b) for a in ids for b in ids if a < b]
-    far = neardup.distances([(words[a], words[b]) for a, b in pairs], [int(0.2 * max(len(words[a]), len(words[b])) + 1e-9) for a, b in pairs])
+    far = [neardup.distance(words[a], words[b], int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)) for a, b in pairs]
     root = {d: d for d in ids}
     for (a, b), x in zip(pairs, far, strict=True):
         if x >= 0:
