@@ -1,10 +1,11 @@
-"""Substring dedup by hashed units (operator 7).
+"""Substring dedup by hashed lines or paragraphs (operator 7).
 
-A text is cut into units: paragraphs (parted by blank lines), lines, or sentences (lines cut further after . ! or ?
-before white space). A unit is normalised (lower case, white space as one space, none at the ends) and hashed; units of
-fewer than LEAST_WORDS words aren't judged. Digests are grouped over the corpus with partial sums; the occurrence of
-least rank stays (by doc_id, then text hash, then place; a null doc_id comes last), and the others are removed from
-their texts. Removed spans are code points of the text as it was, from start to end.
+A text is cut into units: lines, paragraphs (parted by blank lines) or, where passages begin and end inside lines,
+sentences (lines cut further after . ! or ? before white space). A unit is normalised (lower case, its words parted by one
+space) and hashed; units of fewer than LEAST_WORDS words aren't judged, for a heading or a closing formula isn't a
+passage. Digests are grouped over the corpus with partial sums; the occurrence of least rank stays (by doc_id, then text
+hash, then place; a null doc_id comes last), and the others are removed from their texts. Removed spans are code points
+of the text as it was, from start to end. White space is the six ASCII characters.
 
 A null or empty text has no units. Rows that share doc_id and text count as one document and get the same result.
 Only digests met twice or more come back to the documents, through a bitmap of bounded size. Columns other than doc_id
@@ -24,27 +25,28 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, bits_for_keys, in_bitmap, slices, table, with_spans
 
-LEAST_WORDS = 5
+LEAST_WORDS = 12
 UNITS = {
-    "paragraph": re.compile(r"\S(?:(?!\n[ \t]*\n).)*", re.S),
-    "line": re.compile(r"[^\n]*\S[^\n]*"),
-    "sentence": re.compile(r"\S(?:(?![.!?]\s)[^\n])*[.!?]?"),
+    "paragraph": re.compile(r"[^ \t-\r](?:(?!\n[ \t]*\n).)*", re.S),
+    "line": re.compile(r"[^\n]*[^ \t-\r][^\n]*"),
+    "sentence": re.compile(r"[^ \t-\r](?:(?![.!?][ \t-\r])[^\n])*[.!?]?"),
 }
+WORD = re.compile(r"[^ \t-\r]+")
 
 
-def units_of(text: str, unit: str) -> list[tuple[int, int, bytes]]:
+def units_of(text: str, unit: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
     """Start, end and digest of the units that are judged."""
     import xxhash
 
     out = []
     for m in UNITS[unit].finditer(text):
-        words = m[0].lower().split()
-        if len(words) >= LEAST_WORDS:
+        words = WORD.findall(m[0].lower())
+        if len(words) >= least_words:
             out.append((m.start(), m.end(), xxhash.xxh3_128_digest(" ".join(words).encode())))
     return out
 
 
-def repeated_units(docs: DataFrame, unit: str) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """The units to remove: doc_id, text_hash, start, end."""
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
 
@@ -53,7 +55,7 @@ def repeated_units(docs: DataFrame, unit: str) -> DataFrame:
             for batch in slices(batches):
                 at, start, end, digests, times = [], [], [], [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
-                    own = units_of(text or "", unit)
+                    own = units_of(text or "", unit, least_words)
                     seen: dict = {}
                     for a, b, d in own:
                         seen[d] = seen.get(d, 0) + 1
@@ -89,12 +91,12 @@ def repeated_units(docs: DataFrame, unit: str) -> DataFrame:
     return joined.where((F.col("times") > 1) | ~own).select("doc_id", "text_hash", "start", "end")
 
 
-def remove_units(docs: DataFrame, unit: str = "line", with_text: bool = False) -> DataFrame:
+def remove_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, with_text: bool = False) -> DataFrame:
     """Of each row: doc_id, n_units, n_removed, removed_chars, spans, kept_sha256 (with_text: also kept_text).
 
     n_units counts all units, also those too short to judge.
     """
-    both = with_spans(docs, repeated_units(docs, unit), ["start", "end"])
+    both = with_spans(docs, repeated_units(docs, unit, least_words), ["start", "end"])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
