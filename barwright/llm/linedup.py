@@ -1,13 +1,14 @@
 """Line dedup by a sharded minimal perfect hash (operator 9).
 
 A line's key is the line without white space (the six ASCII characters) at its ends and with A-Z in lower case. The
-128-bit digests of all keys are counted, once a document, by a grouping with partial sums. The digests met in two or
-more documents are dealt into shards; each shard is indexed by a minimal perfect hash (levels of bit arrays: a key that
+128-bit digests of all keys are counted, once a document, by a grouping with partial sums. The digests met in as many
+documents as the limit says are dealt into shards (the others need no slot, and there are far more of them); each shard is indexed by a minimal perfect hash (levels of bit arrays: a key that
 is alone at its bit stays, the others go to the next level), which gives each key a slot of a fingerprint array and a
 count array. Documents then probe the arrays and drop the lines whose count reaches the limit; lines are not joined.
 
-A key of one document has no slot: a probe of it meets another key's slot, where the fingerprint (64 bits apart from
-the 64 that are hashed) doesn't agree, and it counts as 1.
+A key below the limit has no slot: a probe of it meets another key's slot, where the fingerprint (64 bits apart from
+the 64 that are hashed) doesn't agree, and it counts as 1. Where the index is larger than a worker keeps, texts are probed
+in large slices, so that a shard is read once for many texts.
 
 Null or empty text: one empty line, which has no key and stays. Repeated rows are documents of their own. An empty
 table gives an empty index. Columns that aren't needed pass through unread, whatever their names.
@@ -28,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_text, mixed, new_folder, runs, slices, table
+from .common import SLICE_BYTES, SPACES, Scratch, as_text, mixed, new_folder, runs, slices
 
 #: Keys of a shard, about; bits of a level for each of its keys; levels before what is left is listed.
 SHARD_KEYS, GAMMA, LEVELS = 500_000, 2, 40
 #: Bytes of shards that a worker keeps loaded.
 KEPT_BYTES = 96 << 20
+#: Bytes of a shard for each of its keys, about; bytes of text that are probed at once where the index isn't kept whole.
+KEY_BYTES, PROBED_BYTES = 13, 32 << 20
 
 
 class PerfectHash:
@@ -163,8 +166,8 @@ def keys_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarr
     return lines, offsets - offsets[0], length[code], digests[code, 0], digests[code, 1]
 
 
-def build_index(docs: DataFrame, least_chars: int = 1) -> tuple[str, int]:
-    """Counts the documents of each key and writes the index; returns its folder and number of shards."""
+def build_index(docs: DataFrame, least_docs: int = 2, least_chars: int = 1) -> tuple[str, int]:
+    """Counts the documents of each key and writes the index of those in `least_docs` or more; returns its folder and number of shards."""
     spark = docs.sparkSession
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +181,9 @@ def build_index(docs: DataFrame, least_chars: int = 1) -> tuple[str, int]:
             one = order[first]
             yield pa.RecordBatch.from_arrays([pa.array(a[one].view(np.int64)), pa.array(b[one].view(np.int64))], ["a", "b"])
 
-    counted = docs.select("text").mapInArrow(digests, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = table(counted, "line-counts")
+    counted = docs.select("text").mapInArrow(digests, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
+    scratch = Scratch(spark, "line")
+    counted = scratch.table(counted, "counts")
     keys = counted.count()
     folder, n = new_folder(spark, "line-index"), -(-keys // SHARD_KEYS)
 
@@ -204,9 +208,15 @@ def build_index(docs: DataFrame, least_chars: int = 1) -> tuple[str, int]:
         if written < n:  # a shard without keys has no file
             have = {r.shard for r in counted.select(shard.alias("shard")).distinct().collect()}
             raise RuntimeError(f"shards without keys: {sorted(set(range(n)) - have)[:5]}")
+    scratch.drop(counted)
     return folder, n
 
 
+def probed_bytes(n: int) -> int:
+    """Bytes of text that are probed at once against n shards."""
+    return SLICE_BYTES if n * SHARD_KEYS * KEY_BYTES <= KEPT_BYTES else PROBED_BYTES
+
+
 def _probed(folder: str, n: int, least_docs: int, least_chars: int):
     """A function from texts to the lines kept of each: (texts, lines each, lines dropped each)."""
     shards = Shards(folder, n)
@@ -224,11 +234,11 @@ def _probed(folder: str, n: int, least_docs: int, least_chars: int):
 
 def line_report(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, with_text: bool = False) -> DataFrame:
     """Of each row: doc_id, n_lines, n_dropped, kept_sha256 (with_text: also kept_text)."""
-    folder, n = build_index(docs, least_chars)
+    folder, n = build_index(docs, least_docs, least_chars)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = _probed(folder, n, least_docs, least_chars)
-        for batch in slices(batches):
+        for batch in slices(batches, probed_bytes(n)):
             kept, lines, dropped = probe(as_text(batch.column("text")))
             out = {"doc_id": batch.column("doc_id"), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in kept]}
             yield pa.RecordBatch.from_pydict(out | ({"kept_text": kept} if with_text else {}))
@@ -242,12 +252,12 @@ def drop_common_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
 
     A text that loses no line stays as it is, null included.
     """
-    folder, n = build_index(docs, least_chars)
+    folder, n = build_index(docs, least_docs, least_chars)
     names, schema = docs.columns, docs.schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = _probed(folder, n, least_docs, least_chars)
-        for batch in slices(batches):
+        for batch in slices(batches, probed_bytes(n)):
             kept, _, dropped = probe(as_text(batch.column("text")))
             text = pc.if_else(pa.array(dropped > 0), pa.array(kept, pa.string()), pc.cast(batch.column("text"), pa.string()))
             arrays = dict(zip(names, batch.columns, strict=True)) | {"text": text}
