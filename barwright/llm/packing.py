@@ -9,12 +9,13 @@ A shard holds the ids of a run of documents, each id in the least bits that hold
     magic; width, ids of a block, ids, documents: four little-endian unsigned 64-bit integers.
 
 Every block but the last has the same size and its offset is stored, so that any range of ids is read and unpacked with
-numpy alone. A shard is written from front to back, a block in memory at a time.
+numpy alone. A shard is written from front to back, a block in memory at a time, and read a block at a time.
 
-Documents are dealt by ranges of doc_id, one shard to each range, in ascending order; a shard is written under a name
-of its own and then renamed, so that a task that runs again replaces its shard whole. A null doc_id comes first; rows
-that share a doc_id are ordered by their texts; a null text is empty (its only id is the end id). Other columns are not
-read. An empty table gives no files and no rows.
+Documents are dealt by ranges of doc_id and text hash, in ascending order. A range is written to one shard or more: a
+shard that has SHARD_IDS ids is closed and the next begins, so that no file outgrows what a task can hold or read, however
+large the table. A shard is written under a name of its own and then renamed, so that a task that runs again replaces its
+shards whole. A null doc_id comes first; rows that share a doc_id are ordered by the hash of their texts; a null text is
+empty (its only id is the end id). Other columns are not read. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import LibraryBPE, default_path, loaded
-from .common import as_text, new_folder, partitions, slices
+from .common import as_text, new_folder, partitions, slices, table
 
-MAGIC, HEAD, BLOCK_IDS = b"FWBITS01", struct.Struct("<8sQQQQ"), 1 << 15
+MAGIC, HEAD, BLOCK_IDS, SHARD_IDS = b"FWBITS01", struct.Struct("<8sQQQQ"), 1 << 15, 1 << 26
 #: Stands for a null doc_id in a shard.
 NO_ID = -(1 << 63)
 
@@ -95,107 +96,122 @@ class Writer:
 
 
 class Reader:
-    """Random access to the ids of a shard's bytes."""
+    """Random access to the ids of a shard: a file of pyarrow's file systems, or its bytes."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        magic, self.width, self.block, self.n_ids, self.n_docs = HEAD.unpack_from(data, len(data) - HEAD.size)
-        end = len(data) - HEAD.size
+    def __init__(self, source):
+        self.file = pa.BufferReader(source) if isinstance(source, bytes) else source
+        size = self.file.size()
+        magic, self.width, self.block, self.n_ids, self.n_docs = HEAD.unpack(self.read(size - HEAD.size, size))
         if magic != MAGIC:
             raise ValueError("not a shard")
-        n_blocks = -(-self.n_ids // self.block)
-        self.names = np.frombuffer(data, "<i8", self.n_docs, end - 8 * self.n_docs)
-        self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, end - 8 * (2 * self.n_docs + 1))
-        self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, end - 8 * (2 * self.n_docs + n_blocks + 2))
+        end, n_blocks = size - HEAD.size, -(-self.n_ids // self.block)
+        first = end - 8 * (2 * self.n_docs + n_blocks + 2)
+        self.offsets, self.starts, self.names = np.split(np.frombuffer(self.read(first, end), "<u8"), [n_blocks + 1, n_blocks + self.n_docs + 2])
+        self.names = self.names.view("<i8")
+
+    def read(self, start: int, end: int) -> bytes:
+        self.file.seek(start)
+        return self.file.read(end - start)
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """The ids from position start to end: only the blocks that hold them are unpacked."""
         if end <= start:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
-        out = [
-            unpack(self.data[int(self.offsets[b]) : int(self.offsets[b + 1])], self.width, min(self.block, self.n_ids - b * self.block))
-            for b in range(first, last + 1)
-        ]
+        low = int(self.offsets[first])
+        data = memoryview(self.read(low, int(self.offsets[last + 1])))
+        out = [unpack(data[int(self.offsets[b]) - low : int(self.offsets[b + 1]) - low], self.width, min(self.block, self.n_ids - b * self.block)) for b in range(first, last + 1)]
         return np.concatenate(out)[start - first * self.block : end - first * self.block]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = 2, shards: int | None = None) -> DataFrame:
-    """Encodes the documents and writes the shards to a folder; returns shard, n_ids and start (ids of all shards before).
+def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = 2, shards: int | None = None, shard_ids: int = SHARD_IDS, width: int | None = None) -> DataFrame:
+    """Encodes the documents and writes the shards to a folder; returns part, piece, n_ids and start (ids of all shards before).
 
-    The write runs once, here; what it returns is a small table with a row for each shard.
+    An id takes `width` bits, by default the least that hold the vocabulary. The write runs once, here; what it returns is a small table with a row for each shard.
     """
     spark, path = docs.sparkSession, path or default_path()
-    dealt = docs.select("doc_id", "text").repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "text_hash")
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).repartitionByRange(shards or partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, where = fs.FileSystem.from_uri(folder)
-        context = TaskContext.get()
-        shard, coder = context.partitionId(), loaded(path, LibraryBPE)
-        spare, final = f"{where}/_{shard:06d}-{context.taskAttemptId()}", f"{where}/{shard:06d}.fwb"
+        context, coder = TaskContext.get(), loaded(path, LibraryBPE)
+        part, bits = context.partitionId(), width or bits_for(coder.size)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        writer = out = None
+        sizes, writer, out = [], None, None
+
+        def spare(piece: int) -> str:
+            return f"{where}/_{part:06d}-{piece:06d}-{context.taskAttemptId()}"
+
         for batch in slices(batches):
-            if not writer:
-                store.create_dir(where)
-                out = store.open_output_stream(spare)
-                writer = Writer(out, bits_for(coder.size))
             names = [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
             for name, ids in zip(names, coder.encode_many(as_text(batch.column("text")).to_pylist()), strict=True):
+                if not writer:
+                    store.create_dir(where)
+                    out = store.open_output_stream(spare(len(sizes)))
+                    writer = Writer(out, bits)
                 writer.add(name, np.frombuffer(ids + end, "<u4"))
+                if writer.starts[-1] >= shard_ids:
+                    sizes.append(writer.starts[-1])
+                    writer.close()
+                    out.close()
+                    writer = None
         if writer:
+            sizes.append(writer.starts[-1])
             writer.close()
             out.close()
-            store.move(spare, final)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_ids": [writer.starts[-1]]}, pa.schema([("shard", pa.int32()), ("n_ids", pa.int64())]))
+        for piece in range(len(sizes)):
+            store.move(spare(piece), shard_at(where, part, piece))
+        yield pa.RecordBatch.from_pydict({"part": [part] * len(sizes), "piece": range(len(sizes)), "n_ids": sizes}, pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("n_ids", pa.int64())]))
 
-    manifest = f"{folder}-manifest"
-    dealt.mapInArrow(rows, "shard int, n_ids long").write.parquet(manifest)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
-    made = spark.read.schema("shard int, n_ids long").parquet(manifest)
+    made = table(dealt.mapInArrow(rows, "part int, piece int, n_ids long"), "token-manifest")
+    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return made.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def shard_at(where: str, part: int, piece: int) -> str:
+    return f"{where}/{part:06d}-{piece:06d}.fwb"
+
+
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """The documents of a folder of shards: doc_id, start, n_tokens, ids_crc32 (with_ids: also ids)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, where = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, start, content in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist(), batch.column("content"), strict=True):
-                reader = Reader(content.as_buffer())
-                for k in range(0, reader.n_docs, 4096):
-                    some = range(k, min(k + 4096, reader.n_docs))
-                    first = int(reader.starts[k])
-                    every = reader.ids(first, int(reader.starts[some[-1] + 1])).astype("<u4", copy=False)
-                    starts = reader.starts[k : k + len(some) + 1].astype(np.int64)
-                    ids = [every[a - first : b - first] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                    names = reader.names[k : k + len(some)]
-                    out = {
-                        "doc_id": pa.array(names, pa.int64(), mask=names == NO_ID),
-                        "start": pa.array(starts[:-1] + start, pa.int64()),
-                        "n_tokens": pa.array(np.diff(starts), pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                    }
-                    if with_ids:
-                        out["ids"] = pa.array(ids, pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_pydict(out)
+            for part, piece, start in zip(*(batch.column(c).to_pylist() for c in ("part", "piece", "start")), strict=True):
+                with store.open_input_file(shard_at(where, part, piece)) as source:
+                    reader = Reader(source)
+                    for k in range(0, reader.n_docs, 1024):
+                        some = range(k, min(k + 1024, reader.n_docs))
+                        first = int(reader.starts[k])
+                        every = reader.ids(first, int(reader.starts[some[-1] + 1])).astype("<u4", copy=False)
+                        starts = reader.starts[k : k + len(some) + 1].astype(np.int64)
+                        ids = [every[a - first : b - first] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                        names = reader.names[k : k + len(some)]
+                        out = {
+                            "doc_id": pa.array(names, pa.int64(), mask=names == NO_ID),
+                            "start": pa.array(starts[:-1] + start, pa.int64()),
+                            "n_tokens": pa.array(np.diff(starts), pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                        }
+                        if with_ids:
+                            out["ids"] = pa.array(ids, pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    if manifest.isEmpty():
-        return spark.createDataFrame([], schema)
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.fwb").load(folder)
-        .select(F.regexp_extract("path", r"(\d+)\.fwb$", 1).cast("int").alias("shard"), "content")
-    )
-    return files.join(F.broadcast(manifest.select("shard", "start")), "shard").mapInArrow(rows, schema)
+    # A row a shard: one task for each few of them.
+    return manifest.repartition(partitions(spark), "part", "piece").mapInArrow(rows, schema)
 
 
-def token_files(docs: DataFrame, path: str | None = None, end_id: int | None = 2, with_ids: bool = False) -> DataFrame:
+def token_files(docs: DataFrame, path: str | None = None, end_id: int | None = 2, with_ids: bool = False, shard_ids: int = SHARD_IDS, width: int | None = None) -> DataFrame:
     """Writes the documents' ids to shards in the shared folder and reads them back."""
     folder = new_folder(docs.sparkSession, "token-ids")
-    return read_ids(docs.sparkSession, folder, write_ids(docs, folder, path, end_id), with_ids)
+    return read_ids(docs.sparkSession, folder, write_ids(docs, folder, path, end_id, shard_ids=shard_ids, width=width), with_ids)
