@@ -23,13 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import as_text, mixed, runs, slices
 
 N, SCORE = 3, 0.6
 #: Characters of test items that go to the tasks at once.
 BLOCK_CHARS = 8_000_000
-#: Meetings of a seed with a place that are held at once, but for those of a single text.
+#: Meetings of a seed with a place that are held at once; a text with more takes the items in parts.
 MEETINGS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»¿¡“”‘’…–—"
@@ -145,6 +146,19 @@ def reachable(item: np.ndarray, passage: np.ndarray) -> bool:
     return np.isin(item, passage).sum() >= SCORE * len(item) - 1e-9
 
 
+def met(items: Items, seed: np.ndarray, hit: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each meeting of a seed with a place, as entry of the items and hit; of the items of one part only, where there are more meetings than are held."""
+    entries, at = [], []
+    counts = np.diff(items.first)[seed]
+    for some in np.split(np.arange(len(seed)), np.flatnonzero(np.diff(np.cumsum(counts) // MEETINGS)) + 1):
+        n = counts[some]
+        entry = np.repeat(items.first[seed[some]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = items.item[entry] % parts == part
+        entries.append(entry[own])
+        at.append(np.repeat(hit[some], n)[own])
+    return np.concatenate(entries), np.concatenate(at)
+
+
 def matches(items: Items, few: np.ndarray, texts: pa.Array) -> dict[str, np.ndarray]:
     """The (text, item) pairs whose best passage reaches SCORE: text, item, score, and the passage's words from start to end."""
     words, offsets = plain_words(texts)
@@ -156,11 +170,11 @@ def matches(items: Items, few: np.ndarray, texts: pa.Array) -> dict[str, np.ndar
     turn = (np.cumsum(meetings) - meetings)[first] // MEETINGS
     cuts = np.append(first[np.flatnonzero(np.diff(turn, prepend=-1))], len(hits))
     best: dict = {}
-    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-        hit, seed, counts = hits[x:y], seeds[x:y], meetings[x:y]
-        entry = np.repeat(items.first[seed], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        doc, item = np.repeat(docs[hit], counts), items.item[entry]
-        size, low = sizes[item], np.repeat(places[hit], counts) - items.place[entry]
+    parts_of = [1 + int(meetings[x:y].sum()) // (2 * MEETINGS) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    for x, y, part, parts in [(cuts[k], cuts[k + 1], part, n) for k, n in enumerate(parts_of) for part in range(n)]:
+        entry, hit = met(items, seeds[x:y], hits[x:y], part, parts)
+        doc, item = docs[hit], items.item[entry]
+        size, low = sizes[item], places[hit] - items.place[entry]
         spare = size // 4 + 2
         low, high = np.maximum(low - spare, 0), np.minimum(low + size + spare, length[doc])
         order = np.lexsort((low, item, doc))
@@ -176,7 +190,11 @@ def matches(items: Items, few: np.ndarray, texts: pa.Array) -> dict[str, np.ndar
         for (d, i, a, _), s, e in zip(names, score.tolist(), end.tolist(), strict=True):
             share = s / (MATCH * len(items.words[i]))
             if share >= SCORE and share > best.get((d, i), (0,))[0]:
-                best[d, i] = (share, max(a, a + e - len(items.words[i])), a + e)
+                best[d, i] = (share, a, a + e)
+    # The start of the best alignment is the end of the best one backwards from its end.
+    back = [(items.words[i][::-1], words[offsets[d] + a : offsets[d] + e][::-1]) for (d, i), (_, a, e) in best.items()]
+    _, length_of = smith_waterman(back)
+    best = {k: (share, e - n, e) for (k, (share, _, e)), n in zip(best.items(), length_of.tolist(), strict=True)}
     return {
         "text": np.array([k[0] for k in best], np.int64), "item": np.array([k[1] for k in best], np.int64), "score": np.array([v[0] for v in best.values()], float),
         "start": np.array([v[1] for v in best.values()], np.int64), "end": np.array([v[2] for v in best.values()], np.int64),
@@ -214,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     pa.schema([("doc_id", pa.int64()), ("item_id", item_type), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())]),
                 )
 
-        item_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+        item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
         part = source.mapInArrow(rows, f"doc_id long, item_id {kind}, score double, start_word long, end_word long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], f"doc_id long, item_id {kind}, score double, start_word long, end_word long")
