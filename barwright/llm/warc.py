@@ -1,8 +1,8 @@
 """Merkle fixity audit of WARC replicas (operator 4).
 
-Records are serialised as WARC/1.0 and hashed. Records in order of id are dealt into leaves of LEAF ids; a leaf's digest
+Records are serialised as WARC/1.0 and hashed. Records in order of id are dealt into leaves of 64 ids; a leaf's digest
 covers its records' digests and lengths in order, that is their offsets within the leaf; a node above covers the digests
-and sizes of up to FANOUT nodes below, that is ordered offset ranges of the archive, up to one root. An audit compares
+and sizes of up to 16 nodes below, that is ordered offset ranges of the archive, up to one root. An audit compares
 the roots of two replicas and goes down only where digests differ, to the records of the leaves that differ. Offsets are
 summed on the way down, from the sizes of the nodes before, so no pass over all records puts them in one task.
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEAF, FANOUT = 64, 16
+#: Ids of a leaf and nodes below a node, as powers of two: shifts keep ids of 64 bits whole.
+LEAF_BITS, FANOUT_BITS = 6, 4
 
 
 def serialised(pages: DataFrame, record_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
@@ -47,11 +48,11 @@ def _node(df: DataFrame, place: Column, order: list[str], said: Column, size: Co
 def tree(records: DataFrame, first_leaf: int, levels: int) -> DataFrame:
     """All nodes of an archive's tree: level (0: leaves), place, digest, size. Each level is made of the one below."""
     said = F.concat_ws(" ", "record_id", "digest", "length", "copies")
-    level = _node(records, F.floor(F.col("record_id") / LEAF) - first_leaf, ["record_id", "digest"], said, F.col("length") * F.col("copies"))
+    level = _node(records, F.shiftright("record_id", LEAF_BITS) - first_leaf, ["record_id", "digest"], said, F.col("length") * F.col("copies"))
     level = table(level, "merkle")
     out = level.withColumn("level", F.lit(0))
     for k in range(1, levels + 1):
-        level = table(_node(level, F.floor(F.col("place") / FANOUT), ["place"], F.concat_ws(" ", "place", "digest", "size"), F.col("size")), "merkle")
+        level = table(_node(level, F.shiftright("place", FANOUT_BITS), ["place"], F.concat_ws(" ", "place", "digest", "size"), F.col("size")), "merkle")
         out = out.unionByName(level.withColumn("level", F.lit(k)))
     return out
 
@@ -64,17 +65,17 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     """
     spark = original.sparkSession
     a, b = table(hashed(original), "records"), table(hashed(replica), "records")
-    low, high = a.select("record_id").union(b.select("record_id")).agg(F.min(F.floor(F.col("record_id") / LEAF)), F.max(F.floor(F.col("record_id") / LEAF))).first()
+    low, high = a.select("record_id").union(b.select("record_id")).agg(F.min(F.shiftright("record_id", LEAF_BITS)), F.max(F.shiftright("record_id", LEAF_BITS))).first()
     if low is None:
         return spark.createDataFrame([], "record_id long, status string, offset long, length long, digest string, replica_digest string")
     levels, n = 0, high - low + 1
     while n > 1:
-        levels, n = levels + 1, -(-n // FANOUT)
+        levels, n = levels + 1, -(-n >> FANOUT_BITS)
     ta, tb = table(tree(a, low, levels), "trees"), table(tree(b, low, levels), "trees")
 
     # The root's place and offset are 0; each step holds the children of differing nodes against each other.
     open_ = spark.range(1).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("offset"))
-    parent = F.floor(F.col("place") / FANOUT)
+    parent = F.shiftright("place", FANOUT_BITS)
     for k in range(levels, -1, -1):
         nodes_a, nodes_b = (t.where(F.col("level") == k).select("place", "digest", "size") for t in (ta, tb))
         if k < levels:
@@ -88,7 +89,7 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
         open_ = table(both.where(~F.col("digest").eqNullSafe(F.col("other"))).select("place", "offset"), "differing")
         if open_.isEmpty():
             break
-    leaf = F.floor(F.col("record_id") / LEAF) - low
+    leaf = F.shiftright("record_id", LEAF_BITS) - low
     before = Window.partitionBy("place").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     mine = a.withColumn("place", leaf).join(open_, "place").withColumn("at", F.col("offset") + F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)))
     said = F.sort_array(F.collect_list(F.struct("digest", "copies"))).alias("said")
