@@ -14,7 +14,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, "doc_id long, text string").repartition(3)
-    return df.withColumns({c: F.lit(1) for c in ("text_hash", "node", "first", "last", "id", "n", "_bw_hash0", "lines", "key")})
+    return df.withColumns({c: F.lit(1) for c in ("text_hash", "node", "first", "last", "id", "n", "_bw_hash", "_bw0", "lines", "key", "root", "part", "place")})
 
 
 @pytest.fixture(scope="session")

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from barwright.llm import bpe, chat, decontaminate, linedup, neardup, packing, quality, suffixes, units, warc
 from barwright.llm.common import read, word_hashes
@@ -81,6 +82,34 @@ def test_quality_learns(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.05
 
 
+def test_quality_labels_lines(spark):
+    """Held-out lines: blocks of clean and of junk lines, as their own documents have them, in one text."""
+    docs, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
+    chain = quality.train(docs, labels, most=800)
+    assert quality.train(docs.repartition(7), labels.repartition(3), most=800).emit.tolist() == chain.emit.tolist()
+    used = {r.doc_id for r in labels.where("quality IS NOT NULL").groupBy("doc_id").count().selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").limit(800).collect()}
+    rng, kind, shared = random.Random(31), {0: [], 1: []}, collections.Counter()
+    for r in docs.join(labels.groupBy("doc_id").agg({"quality": "max"}), "doc_id").collect():
+        lines = {x for x in (r.text or "").split("\n") if len(x) > 20}
+        shared.update(lines)
+        if r.doc_id not in used:
+            kind[r["max(quality)"]] += sorted(lines)
+    odd_share = lambda x: max(sum(c in "#*$%&|<>!" for c in x) / len(x) * 10, sum(c.isupper() for c in x) / len(x))
+    source = {0: [x for x in kind[0] if odd_share(x) > 0.5], 1: [x for x in kind[1] if shared[x] < 5]}
+    right = n = mixed = 0
+    for k in range(200):
+        labels_, lines = [], []
+        for b in range(4):
+            m = rng.randint(1, 5)
+            labels_ += [(b + k) % 2] * m
+            lines += [rng.choice(source[(b + k) % 2]) for _ in range(m)]
+        found = quality.verdict(pa.array(["\n".join(lines)], pa.large_string()), chain, 0.5)["label"]
+        right += (found == np.array(labels_)).sum()
+        mixed += 0 < found.sum() < len(found)
+        n += len(lines)
+    assert right > 0.85 * n and mixed > 180
+
+
 def test_quality_empty(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.kept_documents(none, labels).count() == 0
@@ -211,6 +240,32 @@ def test_near_duplicates_odd(spark, odd, none):
     assert neardup.classes(none).count() == 0 and neardup.keep_one(none).count() == 0
 
 
+def test_keep_one_leaves_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6), (2, "a b c", 7, 8), (3, "d e f", 9, 9)], "doc_id long, text string, _bw_hash int, _BW0 int")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(rows(kept)) == [(1, "a b c", 5, 6), (3, "d e f", 9, 9)]
+
+
+@pytest.mark.parametrize(("low", "high"), [(12, 31), (32, 60), (60, 200), (200, 600)])
+def test_near_duplicates_recall(spark, low, high):
+    """Substitutions, insertions and deletions at random, 5 to 20 % of the words: 0.9 of the linked pairs at least, at every share."""
+    rng, texts, want = random.Random(low), [], {}
+    for g in range(160):
+        base = [f"g{g}w{i}" for i in range(rng.randint(low, high))]
+        share = (0.05, 0.1, 0.15, 0.2)[g % 4]
+        other = list(base)
+        for at in rng.sample(range(len(base)), int(share * len(base))):
+            other[at] = rng.choice([f"x{rng.random()}", f"{other[at]} x{rng.random()}", ""])
+        texts += [" ".join(base), " ".join(" ".join(other).split())]
+        words = [np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint32) for t in texts[-2:]]
+        if neardup.similarity(*words) >= 0:
+            want.setdefault(share, []).append(2 * g)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(c in (i, i // 2 * 2) for i, c in got.items())
+    for share, pairs in want.items():
+        assert sum(got[p + 1] == p for p in pairs) >= 0.9 * len(pairs), share
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(220)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
@@ -277,6 +332,24 @@ def test_leaks_dont_hang_on_the_number_of_copies(spark, copies):
     assert {(r[0], r[1], round(r[2], 6)) for r in found} == {(k, 7, 0.7) for k in range(copies)}
 
 
+def test_leaks_say_where_the_passage_begins(spark):
+    item = [f"w{i}" for i in range(10)]
+    docs = [(1, " ".join([f"a{i}" for i in range(6)] + item[:5] + ["x", "y"] + item[5:] + ["b"] * 4)), (2, " ".join(["c"] * 3 + item[1:9] + ["d"] * 30)), (3, " ".join(item))]
+    for kind in ("smallint", "int", "bigint", "string", "decimal(9,0)", "date"):
+        items = spark.createDataFrame([(" ".join(item),)], "text string").selectExpr("CAST(NULL AS DATE) item_id" if kind == "date" else f"CAST(7 AS {kind}) item_id", "text")
+        found = {(r.doc_id, r.start_word, r.end_word) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+        assert found == {(1, 6, 18), (2, 3, 11), (3, 0, 10)}
+
+
+def test_leaks_of_a_phrase_of_many_items(spark, monkeypatch):
+    """A text that meets more items than are held at once takes them in parts."""
+    monkeypatch.setattr(decontaminate, "MEETINGS", 40)
+    block = decontaminate.Items.of(list(range(30)), [" ".join(["one", "common", "phrase", "here", *(f"i{i}w{k}" for k in range(6))]) for i in range(30)])
+    text = " ".join(["one common phrase here"] * 5 + ["one", "common", "phrase", "here", *(f"i{9}w{k}" for k in range(6))])
+    found = decontaminate.matches(block, block.prefilter(), pa.array([text, "none", text], pa.large_string()))
+    assert list(zip(found["text"], found["item"], found["start"], found["end"], strict=True)) == [(0, 9, 20, 30), (2, 9, 20, 30)]
+
+
 def test_leaks_odd(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "ein Wort"), (4, "tie tie tie tie")], "item_id long, text string")
     assert {(r[0], r[1]) for r in rows(decontaminate.leaks(odd, items))} == {(4, 3), (8, 4), (9, 4)}
@@ -305,6 +378,17 @@ def test_audit(spark):
     assert warc.audit(same, same).count() == 0 and warc.audit(same.limit(0), same.limit(0)).count() == 0
 
 
+def test_audit_odd(spark):
+    """Ids of 64 bits, of both signs, null ids, null bodies, long records and columns of other names."""
+    ids = [-(1 << 63), -(1 << 62) - 1, 5, (1 << 62) + 1, (1 << 62) + 63, (1 << 62) + 64, None]
+    pages = spark.createDataFrame([(i, None if i == 5 else "u", "z" * 300_000 if i == 5 else None, 1, 2) for i in ids], "page_id long, url string, html string, place int, digest int")
+    good = warc.serialised(pages)
+    assert good.count() == 6 and warc.audit(good, good).count() == 0
+    bad = good.where("record_id != 5").withColumn("record", F.when(F.col("record_id") == (1 << 62) + 63, "changed").otherwise(F.col("record")))
+    assert {(r.record_id, r.status) for r in warc.audit(good, bad).collect()} == {(5, "missing"), ((1 << 62) + 63, "corrupt")}
+    assert {(r.record_id, r.status) for r in warc.audit(good.limit(0), good).collect()} == {(i, "extra") for i in ids if i is not None}
+
+
 # 5 and 10: tokens
 
 
@@ -364,17 +448,28 @@ def test_packing_round_trip(width, values, block):
     assert np.concatenate([reader.document(k) for k in range(len(cuts) + 1)]).tolist() == ids.tolist()
 
 
-def test_token_files(spark, odd, none, library):
-    got = sorted(rows(packing.token_files(odd)), key=lambda r: r[1])
+@pytest.mark.parametrize("shard_ids", [packing.SHARD_IDS, 50])
+def test_token_files(spark, odd, none, library, shard_ids):
+    """With a small limit the documents stand in many shards."""
+    got = sorted(rows(packing.token_files(odd, with_ids=True, shard_ids=shard_ids)), key=lambda r: r[1])
+    hashed = odd.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect()
     at, want = 0, []
-    for i, text in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, text, _ in hashed:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
-        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist()))
         at += len(ids)
     assert got == want
     assert packing.token_files(none).count() == 0
 
 
+def test_token_files_of_another_width(spark, sf_dir, library):
+    """Fields of 17 bits are cut across bytes, on disk and back."""
+    docs = read(spark, sf_dir, "documents")
+    want = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+    got = {r.doc_id: r.ids for r in packing.token_files(docs, end_id=None, with_ids=True, shard_ids=40_000, width=17).collect()}
+    assert got == want
+
+
 # 6: suffixes
 
 
@@ -428,24 +523,56 @@ def test_repeats_odd(spark, odd, none):
 # 7: units
 
 
+def plain_units(text, unit):
+    """Start and end of each unit, by characters alone."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        out.append((at, at + len(line)))
+        at += len(line) + 1
+    if unit == "paragraph":
+        blocks = []
+        for a, b in out:
+            if not text[a:b].strip(" \t"):
+                blocks.append(None)
+            elif blocks and blocks[-1]:
+                blocks[-1] = (blocks[-1][0], b)
+            else:
+                blocks.append((a, b))
+        out = [x for x in blocks if x]
+    if unit == "sentence":
+        cut = []
+        for a, b in out:
+            for k in range(a, b):
+                if text[k] in ".!?" and (k + 1 == b or text[k + 1] in " \t\v\f\r"):
+                    cut.append((a, k + 1))
+                    a = k + 1
+            cut.append((a, b))
+        out = cut
+    if unit != "line":
+        out = [(a + len(text[a:b]) - len(text[a:b].lstrip(" \t\n\v\f\r")), b) for a, b in out]
+    return [(a, b) for a, b in out if text[a:b].strip(" \t\n\v\f\r")]
+
+
 @pytest.mark.parametrize("unit", ["paragraph", "line", "sentence"])
 def test_units(spark, sf_dir, unit):
     docs = read(spark, sf_dir, "documents")
-    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in units.remove_units(docs, unit).collect()}
+    got = {r.doc_id: (r.n_units, r.n_removed, r.removed_chars, [tuple(x) for x in r.spans], r.kept_sha256) for r in units.remove_units(docs, unit).collect()}
     seen, want = set(), {}
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        parts, at, n = [], 0, 0
-        for a, b, d in units.units_of(r.text or "", unit):
-            if d in seen:
-                parts.append(r.text[at:a])
-                at, n = b, n + 1
-            seen.add(d)
-        want[r.doc_id] = (n, sha("".join([*parts, (r.text or "")[at:]])))
+        text, spans = r.text or "", []
+        for a, b in plain_units(text, unit):
+            key = " ".join(re.sub("[ \t\v\f\r\n]+", " ", text[a:b].lower()).strip(" ").split(" "))
+            if key.count(" ") >= units.LEAST_WORDS - 1:
+                if key in seen:
+                    spans.append((a, b))
+                seen.add(key)
+        kept = "".join(c for k, c in enumerate(text) if not any(a <= k < b for a, b in spans))
+        want[r.doc_id] = (len(plain_units(text, unit)), len(spans), sum(b - a for a, b in spans), spans, sha(kept))
     assert got == want
 
 
 def test_units_odd(spark, odd, none):
-    got = {(r.doc_id, r.n_removed) for r in units.remove_units(odd, "line").collect()}
+    got = {(r.doc_id, r.n_removed) for r in units.remove_units(odd, "line", least_words=5).collect()}
     assert (8, 0) in got and (9, 1) in got and (6, 0) in got and len(got) == len({i for i, _ in ODD})
     assert units.remove_units(none).count() == 0
 
@@ -498,9 +625,12 @@ def test_perfect_hash(keys):
     assert set(made.count(other, other * np.uint64(5) + np.uint64(1)).tolist()) <= {1}
 
 
-@pytest.mark.parametrize("shard", [40, 500_000])
-def test_lines(spark, shard, monkeypatch):
+@pytest.mark.parametrize(("shard", "kept"), [(12, 0), (40, 1 << 20), (500_000, 96 << 20)])
+def test_lines(spark, shard, kept, monkeypatch):
+    """One shard and many, kept in memory or none of them."""
     monkeypatch.setattr(linedup, "SHARD_KEYS", shard)
+    monkeypatch.setattr(linedup, "KEPT_BYTES", kept)
+    assert linedup.probed_bytes(9) == (linedup.PROBED_BYTES if not kept else linedup.SLICE_BYTES)
     rng = random.Random(8)
     pool = [f"  Line {i}\t" if i % 3 else f"line {i}" for i in range(700)] + ["", " ", "ÄB", "äb", "\x0b"]
     texts = [None, "", "\n\n"] + ["\n".join(rng.choice(pool[: 20 if rng.random() < 0.5 else 705]) for _ in range(rng.randint(0, 12))) for _ in range(300)]

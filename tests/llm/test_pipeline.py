@@ -58,6 +58,23 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf_dir).collect()} == coded
 
 
+def test_odd_rows(spark, odd, sf_dir):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names, stage by stage and one after the other."""
+    words = [f"Wort{i} und noch {i} andere Wörter." for i in range(60)]
+    good = [(20, " ".join(words)), (20, " ".join(words)), (21, " ".join(words[:-1])), (None, "\n".join(words[::-1])), (22, "\n".join(w + " kurz" for w in words))]
+    docs = odd.unionByName(odd.limit(0).unionByName(spark.createDataFrame(good, "doc_id long, text string"), allowMissingColumns=True))
+    count = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() <= count, name
+        assert {c: t for c, t in out.dtypes} == {c: t for c, t in docs.dtypes}
+    kept = table(corpus_pipeline.quality_rules(spark, docs, sf_dir), "odd")
+    assert {r.doc_id for r in kept.collect()} <= {6, 20, 21, 22, None} and kept.where("text IS NULL OR text = ''").count() == 0
+    one = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
+    assert sum(r.doc_id in (20, 21) for r in one) == 1 and sum(r.doc_id == 6 for r in one) == 1 and sum(r.doc_id is None for r in one) == 2
+    assert corpus_pipeline.bpe_encoding(spark, docs, sf_dir).count() == count
+
+
 def test_empty(spark, tmp_path):
     """Stages of an empty table give an empty table."""
     docs = read(spark, "/root/testdata/sf0.001", "documents").limit(0)
