@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage
 works on all that its predecessor kept. run() writes each stage's rows to the shared folder and reads them again, as the
-driver does between stages.
+driver does between stages; a stage's rows go when the next stage's are written.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns (whatever their names) go through
+every stage: a null or empty text fails the quality rules, so that later stages see none of them; a repeated row is judged
+like its first, counts as a document of its own in line dedup, and near-dedup keeps one of its copies; a row without
+doc_id stays in near-dedup where no row of its class has one. Extra columns leave each stage but the last as they came.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barwright.llm.bpe import encode_documents
-from barwright.llm.common import read, table
+from barwright.llm.common import Scratch, read
 from barwright.llm.decontaminate import clean_documents
 from barwright.llm.linedup import drop_common_lines
 from barwright.llm.neardup import keep_one
@@ -55,9 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "stage")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = table(docs, "stage-" + name.replace(" ", "-"))
+            docs = scratch.table(docs, name.replace(" ", "-"))
+            scratch.drop_all_but(docs)
     return docs
