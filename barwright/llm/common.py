@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\v\f\r"
 #: Bytes of text that one step inside a task holds at a time; a single longer text is a step of its own.
 SLICE_BYTES = 4 << 20
+#: Settings while a table is written: a query's shuffle files go when it ends (else they stay until the driver collects its
+#: garbage), and batches between the JVM and Python stay small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,8 +43,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows written to the shared folder and read again: the lineage ends, and a lost executor costs nothing."""
-    path = path or new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = path or new_folder(df.sparkSession, name), df.sparkSession.conf
+    before = {k: conf.get(k) for k in WRITING}
+    try:
+        for k, v in WRITING.items():
+            conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
