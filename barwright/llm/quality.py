@@ -3,14 +3,15 @@
 Each line has a few features; a conditional random field with two labels scores the lines of a text as a chain, Viterbi
 decoding finds the best labelling, and the share of a text's characters in content lines decides whether it is kept.
 
-The field is trained on lines of labelled documents. Only documents have labels, so those of lines are derived: a line
-that COMMON_DOCS or more of the training documents share is boilerplate; other lines begin with their document's label
-(quality 1: content). Then labels and weights take turns (expectation and maximisation under constraints): a line takes
-the label that the field finds likelier by its shape and its neighbours, but of a good document at least GOOD_SHARE of the
-characters stay content, of a bad one at most BAD_SHARE. So bad documents come to have content lines, and good ones
-boilerplate. The training rows are bounded: `TRAIN_DOCS` labelled documents, those of least hash, and `TRAIN_LINES` lines
-of each; decoding reads every line of every text. Without documents of both labels the weights of `PRIOR` are used. Of
-rows that share a doc_id that of the least text hash is trained on, so that the weights hang on the tables alone.
+The field is trained on lines of labelled documents. Only documents have labels, so those of lines are derived: they begin
+with their document's label (quality 1: content). To the documents as they are, whose labels would hardly ever change from
+line to line, come pairs of a good and a bad document cut at a random line and put together crosswise. Then labels and
+weights take turns (expectation and maximisation under constraints): a line takes the label that the field finds likelier
+by its shape and its neighbours, but of a good document at least GOOD_SHARE of the characters stay content, of a bad one
+at most BAD_SHARE. So bad documents come to have content lines, and good ones boilerplate. The training rows are bounded:
+`TRAIN_DOCS` labelled documents, those of least hash, and `TRAIN_LINES` lines of each; decoding reads every line of every
+text. Without documents of both labels the weights of `PRIOR` are used. Of rows that share a doc_id that of the least text
+hash is trained on, so that the weights hang on the tables alone.
 
 Null and empty texts have no words, fail the base rules and aren't kept. Rows stay one to one, repeated ones too.
 """
@@ -30,8 +31,8 @@ from .common import SPACES, as_text, runs, slices
 
 #: Labelled documents and lines of each that the field is trained on.
 TRAIN_DOCS, TRAIN_LINES = 2_000, 200
-#: Training documents that share a line which is boilerplate; shares of characters in content lines that a document's label allows; turns.
-COMMON_DOCS, GOOD_SHARE, BAD_SHARE, TURNS = 10, 0.6, 0.4, 3
+#: Shares of characters in content lines that a document's label allows in training, and turns of labels and weights.
+GOOD_SHARE, BAD_SHARE, TURNS = 0.8, 0.4, 2
 #: The least share of characters in content lines.
 CONTENT_SHARE = 0.5
 #: A text of fewer words, or with more words per hundred in repeated windows of three, fails.
@@ -197,8 +198,8 @@ def fit(x: np.ndarray, y: np.ndarray, doc: np.ndarray, rounds: int = 200, rate:
     return Chain(w[: x.shape[1]], w[x.shape[1] :].reshape(2, 2))
 
 
-def constrained(p: np.ndarray, chars: np.ndarray, doc: np.ndarray, good: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The likelier label of each line, within the shares of characters that its document's label allows; common lines are boilerplate."""
+def constrained(p: np.ndarray, chars: np.ndarray, doc: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """The likelier label of each line, within the shares of characters that its document's label allows."""
     order = np.lexsort((np.where(good, -p, p), doc))  # of a good document the surest content first, of a bad one the surest boilerplate
     before = np.cumsum(chars[order])
     first = np.searchsorted(doc[order], doc[order])
@@ -206,25 +207,36 @@ def constrained(p: np.ndarray, chars: np.ndarray, doc: np.ndarray, good: np.ndar
     whole = np.bincount(doc, weights=chars)[doc[order]]
     forced = np.zeros(len(p), bool)
     forced[order] = before < np.where(good[order], GOOD_SHARE, 1 - BAD_SHARE) * whole
-    return np.where(common, 0, np.where(forced, good, p > 0.5)).astype(np.int64)
-
-
-def fit_lines(x: np.ndarray, good: np.ndarray, doc: np.ndarray, chars: np.ndarray, key: np.ndarray) -> Chain:
-    """The chain fitted on lines whose documents alone are labelled. `good`, `chars`, `key`: of each line its document's label, size and digest."""
-    docs_of = np.unique(np.stack([key, doc], 1), axis=0)[:, 0]
-    keys, n = np.unique(docs_of, return_counts=True)
-    common = n[np.searchsorted(keys, key)] >= COMMON_DOCS
-    chain = fit(x, np.where(common, 0, good).astype(np.int64), doc)
+    return np.where(forced, good, p > 0.5).astype(np.int64)
+
+
+def spliced(doc: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines in order and the chain of each: the documents, and each good one with a bad one, cut and put together crosswise."""
+    rng = np.random.default_rng(11)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    end = np.append(first[1:], len(doc))
+    goods, bads = np.flatnonzero(good[first]), np.flatnonzero(~good[first])
+    order, chain = [np.arange(len(doc))], [doc]
+    for k, (a, b) in enumerate(zip(goods, np.resize(bads, len(goods)), strict=True)):
+        i, j = rng.integers(first[a], end[a] + 1), rng.integers(first[b], end[b] + 1)
+        for side, part in enumerate((np.r_[first[a] : i, j : end[b]], np.r_[first[b] : j, i : end[a]])):
+            order.append(part)
+            chain.append(np.full(len(part), len(first) + 2 * k + side))
+    return np.concatenate(order), np.concatenate(chain)
+
+
+def fit_lines(x: np.ndarray, good: np.ndarray, doc: np.ndarray, chars: np.ndarray) -> Chain:
+    """The chain fitted on lines whose documents alone are labelled: `good` has of each line its document's label."""
+    order, place = spliced(doc, good)
+    chain = fit(x[order], good[order].astype(np.int64), place, 150)
     for _ in range(TURNS):
         p, _ = expected(x @ chain.emit, doc, chain)
-        chain = fit(x, constrained(p, chars, doc, good > 0, common), doc, 80, begin=chain)
+        chain = fit(x[order], constrained(p, chars, doc, good)[order], place, 60, begin=chain)
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines_each: int = TRAIN_LINES) -> Chain:
     """Fits the chain on at most `most` labelled documents and `lines_each` lines of each (both bound what the driver gets)."""
-    import xxhash
-
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -238,19 +250,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines_each
             place = np.arange(len(lines["doc"])) - np.searchsorted(lines["doc"], lines["doc"])
             kept = np.flatnonzero((place < lines_each) & lines["worded"])
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            keys = [xxhash.xxh3_64_intdigest(v.strip(SPACES).encode()) >> 1 for v in lines["flat"].take(pa.array(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lines["doc"][kept]], pa.int64()), pa.array(place[kept], pa.int64()), pa.array(lines["chars"][kept], pa.int64()), pa.array(keys, pa.int64()), pa.array(list(lines["x"][kept]), pa.list_(pa.float64()))],
-                ["doc_id", "place", "chars", "key", "x"],
+                [pa.array(ids[lines["doc"][kept]], pa.int64()), pa.array(place[kept], pa.int64()), pa.array(lines["chars"][kept], pa.int64()), pa.array(list(lines["x"][kept]), pa.list_(pa.float64()))],
+                ["doc_id", "place", "chars", "x"],
             )
 
     wanted = docs.where(F.col("doc_id").isin(list(quality))).select(F.col("doc_id").cast("long"), "text")
     wanted = wanted.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = wanted.mapInArrow(rows, "doc_id long, place long, chars long, key long, x array<double>").toPandas().sort_values(["doc_id", "place"])
-    good = got.doc_id.map(quality).to_numpy(np.int64)
+    got = wanted.mapInArrow(rows, "doc_id long, place long, chars long, x array<double>").toPandas().sort_values(["doc_id", "place"])
+    good = got.doc_id.map(quality).to_numpy(np.int64) > 0
     if len(set(good)) < 2:
         return Chain()
-    return fit_lines(np.stack(got.x.to_list()), good, got.doc_id.factorize()[0], got.chars.to_numpy(), got.key.to_numpy())
+    return fit_lines(np.stack(got.x.to_list()), good, got.doc_id.factorize()[0], got.chars.to_numpy())
 
 
 def verdict(texts: pa.Array, chain: Chain, share: float) -> dict[str, np.ndarray]:

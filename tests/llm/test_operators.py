@@ -107,7 +107,7 @@ def test_quality_labels_lines(spark):
         right += (found == np.array(labels_)).sum()
         mixed += 0 < found.sum() < len(found)
         n += len(lines)
-    assert right > 0.85 * n and mixed > 180
+    assert right > 0.93 * n and mixed > 180
 
 
 def test_quality_empty(spark, none):
