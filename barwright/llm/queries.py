@@ -102,12 +102,12 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         u AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
         w AS (SELECT *, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words,
-                     coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM u),
+                     coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM u),
         k AS (SELECT *, CASE WHEN len(words) >= 12 THEN array_to_string(words, ' ') END AS key FROM w),
         r AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS LAST, i) > 1 AS gone FROM k)
         SELECT doc_id, count(*) FILTER (WHERE len(words) > 0) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
                CAST(coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS BIGINT) AS removed_chars,
-               coalesce(string_agg(CAST(at AS BIGINT) || '-' || CAST(at + length(line) AS BIGINT), ',' ORDER BY i) FILTER (WHERE gone), '') AS spans,
+               coalesce(string_agg(CAST(begins AS BIGINT) || '-' || CAST(begins + length(line) AS BIGINT), ',' ORDER BY i) FILTER (WHERE gone), '') AS spans,
                sha256(string_agg(CASE WHEN gone THEN '' ELSE line END, chr(10) ORDER BY i)) AS kept_sha256
         FROM r GROUP BY doc_id
     """,
