@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.params import at_least
 from ..functions.rolling import Series
 from .state import runs
 from .stats import profit_factor, tail_mean
@@ -12,6 +13,7 @@ from .stats import profit_factor, tail_mean
 
 def future_return(h: int, series: Series = Series()) -> Column:
     """From the next open to the close h rows ahead."""
+    at_least(h, 1, "horizon")
     return F.try_divide(F.lead("close", h).over(series.rows), F.nullif(F.lead("open", 1).over(series.rows), F.lit(0))) - 1
 
 
@@ -35,7 +37,7 @@ def net_of_turnover(weight: str, r: str, bps: float, series: Series = Series())
     return F.col(weight) * F.col(r) - turn * (bps / 2) / 100
 
 
-def net_of_switches(position: str, r: str, fee: float, series: Series = Series()) -> Column:
+def net_of_switches(position: str, r: str, fee: float | Column, series: Series = Series()) -> Column:
     """The return held, less a fee where the position changes; the first row pays none."""
     return F.col(position) * F.col(r) - F.when(F.abs(F.col(position) - F.lag(position).over(series.rows)) > 0, fee).otherwise(0.0)
 
@@ -78,7 +80,8 @@ def spreads(trades: DataFrame, horizon: int, bps: float) -> DataFrame:
 
     Dates without a top or a bottom go before the sampling. One leg's cost is charged to top_net, two to spread_net.
     """
-    leg = bps / 10_000
+    leg = at_least(bps, 0, "cost") / 10_000
+    at_least(horizon, 1, "horizon")
     mean = lambda b: F.avg(F.when(F.col("bucket") == b, F.col("gross_return")))
     out = trades.groupBy("entry_date").agg(mean("top").alias("top"), mean("bottom").alias("bottom"), F.avg("gross_return").alias("universe")).dropna(subset=["top", "bottom"])
     if horizon > 1:  # a row a date

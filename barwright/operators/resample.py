@@ -14,7 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.params import at_least
 from ..functions.scalar import unit_interval
+from .stats import slope
 
 
 def positioned(df: DataFrame, order: str, key: str | None = None) -> DataFrame:
@@ -88,6 +90,24 @@ def interval(per_draw: DataFrame, value: str, keys: list[str]) -> DataFrame:
     )
 
 
+def slope_draws(draws: DataFrame, y: str, x: str, keys: list[str]) -> DataFrame:
+    """Of each draw, the slope of y on x; null where x doesn't vary."""
+    return draws.groupBy(*keys, "draw").agg(slope(y, x).alias("slope"))
+
+
+def shuffled_blocks(series: DataFrame, column: str, block: int, trials: int, seed: int, keys: list[str], name: str) -> DataFrame:
+    """The series once for each trial, with the column's blocks in an order that hashes give (a shorter last block moves too)."""
+    at_least(block, 1, "block")
+    each = series.select(*keys, "n").distinct().withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("blk", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))))
+    u = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("blk").cast("string")), 256)
+    length = F.least(F.lit(block), F.col("n") - F.col("blk") * block)
+    w = Window.partitionBy(*keys, "trial").orderBy("_u", "blk").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_u", u).withColumn("first", F.coalesce(F.sum(length).over(w), F.lit(0))).select(*keys, "trial", "blk", "first")
+    moved = series.select(*keys, F.floor(F.col("pos") / block).cast("int").alias("blk"), (F.col("pos") % block).alias("_off"), F.col(column).alias(name)).join(each, [*keys, "blk"])
+    moved = moved.select(*keys, "trial", (F.col("first") + F.col("_off")).alias("pos"), name)
+    return series.join(moved, [*keys, "pos"])
+
+
 def conditional_excess(draws: DataFrame, x: str, flag: Column, keys: list[str]) -> DataFrame:
     """Of each draw, the mean of flagged rows less the mean of all."""
     return draws.groupBy(*keys, "draw").agg((F.avg(F.when(flag, F.col(x))) - F.avg(x)).alias("excess"))
