@@ -105,3 +105,24 @@ def business_day_after(date: Column, k: int) -> Column:
     """The k-th Monday-to-Friday day after a date."""
     ahead = F.sequence(F.date_add(date, 1), F.date_add(date, 7 * (k // 5 + 2)))
     return F.element_at(F.filter(ahead, lambda d: F.weekday(d) < 5), k)
+
+
+def html_escaped(text: Column) -> Column:
+    """The five characters that mark up HTML as entities, the ampersand first."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+#: Ranges of characters that take two columns of a terminal (East Asian wide and full-width ones).
+WIDE = "\\u1100-\\u115f\\u2e80-\\u303e\\u3041-\\u33ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\ua000-\\ua4cf\\uac00-\\ud7a3\\uf900-\\ufaff\\ufe30-\\ufe6f\\uff00-\\uff60\\uffe0-\\uffe6"
+
+
+def display_width(text: Column) -> Column:
+    """Columns of a terminal that a text takes."""
+    return F.length(text) + F.length(F.regexp_replace(text, f"[^{WIDE}]", ""))
+
+
+def display_padded(text: Column, width: int) -> Column:
+    """Spaces after a text up to a display width; a longer one stays whole."""
+    return F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - display_width(text))))

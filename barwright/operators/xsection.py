@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.params import share
+
 
 def first_rank_share(df: DataFrame, x: str, groups: list[str], ties: list[str], name: str = "rank") -> DataFrame:
     """The row's rank by x in its group as a share of the group, ties in the order of `ties`."""
@@ -13,6 +15,7 @@ def first_rank_share(df: DataFrame, x: str, groups: list[str], ties: list[str],
 
 
 def bucket(rank: Column, q: float) -> Column:
+    share(q)
     return F.when(rank <= q, "bottom").when(rank > 1 - F.lit(q), "top").otherwise("middle")
 
 
@@ -22,8 +25,8 @@ def large_groups(df: DataFrame, groups: list[str], least: int) -> DataFrame:
 
 def quantile_bins(df: DataFrame, x: str, groups: list[str], n: int, name: str = "bin") -> DataFrame:
     """Bins 1..n between linear quantiles, closed to the right, equal edges taken once; groups under n distinct values go."""
-    share = [k / n for k in range(n + 1)]
-    cuts = df.where(F.col(x).isNotNull()).groupBy(*groups).agg(F.percentile(x, F.array(*map(F.lit, share))).alias("_edges"), F.count_distinct(x).alias("_n"))
+    shares = [k / n for k in range(n + 1)]
+    cuts = df.where(F.col(x).isNotNull()).groupBy(*groups).agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("_edges"), F.count_distinct(x).alias("_n"))
     out = df.where(F.col(x).isNotNull()).join(cuts.where(F.col("_n") >= n), groups)
     edges = F.array_distinct("_edges")
     return out.withColumn(name, (F.greatest(F.size(F.filter(edges, lambda e: e < F.col(x))) - 1, F.lit(0)) + 1).cast("int")).drop("_edges", "_n")

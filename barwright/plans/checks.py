@@ -11,7 +11,9 @@ from ..operators import xsection
 from ..sources import readers
 from ..sources.derive import BARS, FLOWS, PANEL, bars, flows, panel, table
 from ..sources.normalise import normalised
+from ..session import new_folder
 from ..sources.registry import DATASETS
+from ..sources.store import PanelStore
 from .registry import query, r6
 from .signals import _CHANNEL, signals
 
@@ -99,7 +101,8 @@ def business_days(spark, sf_dir):
     return _business_days(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
 
 
-@query(dates="third")
+@query("""WITH s AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST(k AS INTEGER) AS b, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS n FROM orders, range(1, 8) r(k) WHERE isodow(CAST(o_orderdate AS DATE) + CAST(k AS INTEGER)) < 6)
+ SELECT o_orderkey, b AS third FROM s WHERE n = 3""", "third")
 def business_days_whole(spark, sf_dir):
     return _business_days(table(spark, sf_dir, "orders"))
 
@@ -118,23 +121,42 @@ def _ingested(spark, sf_dir):
 @query("""WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, CAST(round(o_totalprice) AS BIGINT) AS close, o_orderkey, row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) AS n FROM orders)
  SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS ticker, date, close, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(close AS DOUBLE) END AS open, true AS is_provisional FROM r WHERE n = 1""", "date")
 def panel_ingest(spark, sf_dir):
-    """Collected at 5 UTC of the day and out at 16 in Seoul, 7 UTC: provisional all."""
-    return _ingested(spark, sf_dir).select("ticker", "date", "close", F.col("open").cast("double").alias("open"), "is_provisional")
+    """Normalised, stamped, put into a store and read from it. Collected at 5 UTC of the day and out at 16 in Seoul, 7 UTC: provisional all."""
+    store = PanelStore(spark, new_folder(spark, "ingest"))
+    store.upsert("price_daily", _ingested(spark, sf_dir))
+    return store.read("price_daily", confirmed_only=False).select("ticker", "date", "close", F.col("open").cast("double").alias("open"), "is_provisional")
 
 
 @query("""WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price, 0 AS w FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 3 = 0),
  n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, date ORDER BY w DESC, price DESC) AS n FROM r) SELECT o_custkey AS ticker, date, price FROM n WHERE n = 1""", "date")
 def upsert_latest(spark, sf_dir):
-    """The upsert's choice of rows: newer ones replace older ones of the same key whole (PanelStore writes them)."""
+    """Two upserts into a store: the newer rows replace the older ones of the same key whole; the dearest of a key comes last."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("w"))
-    o = o.withColumn("price", F.col("price") + F.col("w"))
-    return xsection.last_of_key(o, ["ticker", "date"], ["w", "price"]).drop("w")
+    o = o.withColumn("price", F.col("price") + F.col("w")).orderBy("ticker", "date", "price")
+    store = PanelStore(spark, new_folder(spark, "upsert"))
+    for w in (0, 1):
+        store.upsert("prices", o.where(F.col("w") == w).drop("w"))
+    return store.read("prices").select(F.col("ticker").cast("long").alias("ticker"), "date", "price")
+
+
+@query(f"""WITH {BARS} SELECT 'bars' AS dataset, ticker, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM bars WHERE ticker <> '5-LOW' GROUP BY ticker""", "first_date last_date")
+def store_coverage(spark, sf_dir):
+    """What a store holds, by dataset and ticker, after one ticker's rows are deleted; a dataset that isn't there adds nothing."""
+    store = PanelStore(spark, new_folder(spark, "coverage"))
+    store.upsert("bars", bars(spark, sf_dir))
+    store.delete("bars", ["5-LOW"])
+    out = store.coverage("missing").withColumn("dataset", F.lit("missing"))
+    for name in store.tables():
+        out = out.unionByName(store.coverage(name).withColumn("dataset", F.lit(name)))
+    return out
 
 
 @query(f"""WITH {BARS} SELECT ticker, date, close FROM bars WHERE ticker IN ('1-URGENT', '5-LOW') AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND day(date) <> 20""", "date")
 def panel_read(spark, sf_dir):
-    b = bars(spark, sf_dir).withColumn("is_provisional", F.dayofmonth("date") == 20)
-    return b.where(F.col("ticker").isin("1-URGENT", "5-LOW") & F.col("date").between(F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date")) & ~F.col("is_provisional")).select("ticker", "date", "close")
+    """Some tickers and days of a store, without provisional rows."""
+    store = PanelStore(spark, new_folder(spark, "read"))
+    store.upsert("bars", bars(spark, sf_dir).withColumn("is_provisional", F.dayofmonth("date") == 20))
+    return store.read("bars", ["1-URGENT", "5-LOW"], "1996-01-01", "1999-12-31").select("ticker", "date", "close")
 
 
 def _u(name):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +21,13 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one (spark.checkpoint.dir); in local mode a temporary one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="barwright-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

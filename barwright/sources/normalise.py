@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators.xsection import last_of_key
-from .registry import Dataset
+from .registry import TYPES, Dataset, kind
 
 
 def parsed(text: Column, kind: str) -> Column:
@@ -26,12 +26,13 @@ def normalised(raw: DataFrame, dataset: Dataset, ticker: Column, collected_at: C
     stays. A row is provisional if it was collected before it could be known.
     """
     own = set(raw.columns)
-    fields = [(parsed(F.col(r), k) if r in own else F.lit(None).cast(dataset.schema[c].dataType)).alias(c) for r, c, k in dataset.fields]
-    out = raw.select(*fields, (scalar.padded(ticker) if dataset.pads else ticker).alias("ticker"), collected_at.cast("timestamp_ntz").alias("collected_at"), F.col(seq).alias("_seq"))
+    fields = [(parsed(F.col(r), kind(c)) if r in own else F.lit(None).cast(TYPES[kind(c)])).alias(c) for r, c in dataset.columns.items()]
+    out = raw.select(*fields, (scalar.padded(ticker, dataset.digits) if dataset.digits else ticker).alias("ticker"), collected_at.cast("timestamp_ntz").alias("collected_at"), F.col(seq).alias("_seq"))
     anchors = [c for c in ("close", "index_close") if c in out.columns]
     out = out.where(F.col("date").isNotNull() & F.coalesce(*anchors).isNotNull())
-    basis = scalar.availability_basis(F.col("date"), F.col(dataset.basis)) if dataset.basis else F.col("date")
-    out = out.withColumn("source", F.lit(source)).withColumn("data_available_at", scalar.available_at(basis, dataset.days, dataset.hour))
+    out_at = dataset.release
+    basis = scalar.availability_basis(F.col("date"), F.col(out_at.since)) if out_at.since else F.col("date")
+    out = out.withColumn("source", F.lit(source)).withColumn("data_available_at", scalar.available_at(basis, out_at.days, out_at.hour))
     out = out.withColumn("is_provisional", F.col("collected_at") < F.col("data_available_at"))
     return last_of_key(out, ["date", "ticker"], ["_seq"]).select(*dataset.schema.fieldNames())
 

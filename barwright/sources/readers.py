@@ -6,24 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.params import has_columns
 
 REQUIRED = ["date", "ticker", "open", "close", "volume", "trading_value", "foreign_net_value", "market_cap", "is_listed", "is_tradable"]
 
 
 def panel_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A panel from CSV text: codes padded, numbers with bad texts null, known booleans, UTC stamps (asof where there is none).
+    """A panel from CSV text, in order of date and ticker: codes padded, numbers with bad texts null (separators too), UTC stamps.
 
-    A missing required column raises; an unknown boolean text raises when the rows are read.
+    The stamps are of data_available_at, or of asof where there is no such column. A missing required column raises, and so
+    does a flag that is null or unknown; the error lists five of them.
     """
     raw = spark.read.option("header", True).csv(path)
-    if missing := sorted(set(REQUIRED) - set(raw.columns)):
-        raise ValueError(f"columns missing: {missing}")
-    known = lambda c: F.when(F.col(c).isNull() | scalar.truth(F.col(c)).isNotNull(), scalar.truth(F.col(c))).otherwise(F.raise_error(F.concat(F.lit(f"{c}: "), F.col(c))).cast("boolean"))
-    stamps = [F.try_to_timestamp(F.col(c)) for c in ("data_available_at", "asof") if c in raw.columns]
-    kinds = {"date": lambda c: scalar.day(F.col(c)), "ticker": lambda c: scalar.padded(F.trim(c)), "is_listed": known, "is_tradable": known}
-    number = {"open", "close", "volume", "trading_value", "foreign_net_value", "market_cap"}
-    columns = [(scalar.number(F.col(c)) if c in number else kinds[c](c) if c in kinds else F.col(c)).alias(c) for c in raw.columns if c not in ("data_available_at", "asof")]
-    return raw.select(*columns, *([F.coalesce(*stamps).alias("data_available_at")] if stamps else []))
+    has_columns(raw.columns, REQUIRED)
+    for c in ("is_listed", "is_tradable"):
+        odd = raw.where(scalar.truth(F.col(c)).isNull()).select(c).distinct().orderBy(c).limit(5).collect()
+        if odd:
+            raise ValueError(f"{c} has unknown values: {[r[0] for r in odd]}")
+    kinds = {"date": lambda c: scalar.day(F.col(c)), "ticker": lambda c: scalar.padded(F.trim(c)), "is_listed": lambda c: scalar.truth(F.col(c)), "is_tradable": lambda c: scalar.truth(F.col(c))}
+    kinds |= dict.fromkeys(("open", "close", "volume", "trading_value", "foreign_net_value", "market_cap"), lambda c: F.trim(c).try_cast("double"))
+    columns = [(kinds[c](c) if c in kinds else F.col(c)).alias(c) for c in raw.columns if c not in ("data_available_at", "asof")]
+    stamp = next((c for c in ("data_available_at", "asof") if c in raw.columns), None)
+    return raw.select(*columns, *([F.try_to_timestamp(F.col(stamp)).alias("data_available_at")] if stamp else [])).orderBy("date", "ticker")
 
 
 def html_rows(pages: DataFrame, html: str, least: int = 9, first: str = r"^\d{4}\.\d{2}\.\d{2}$") -> DataFrame:

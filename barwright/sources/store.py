@@ -1,19 +1,35 @@
 """A keyed panel store over Parquet: upsert, read, delete, coverage.
 
-A dataset is a folder partitioned by ticker (stored as t and the code, so that codes stay text). An upsert replaces whole rows: the new rows of a key win over the old, and a
-column that the new rows lack becomes null for them. Only the tickers of the new rows are rewritten, by way of a written
-copy, so that nothing is read and overwritten in one job.
+A dataset is a folder partitioned by a bucket of the ticker (its CRC-32 modulo BUCKETS), in order of ticker and date within
+a bucket: however many tickers there are, a read of some opens few files and skips row groups in them. An upsert replaces
+whole rows: the new rows of a key win over the old, of new rows with one key the last wins, and a column that the new rows
+lack becomes null for them. Only the buckets of the new rows are rewritten, by way of a written copy, so that nothing is
+read and overwritten in one job. A dataset that isn't there reads as an empty table.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.params import has_columns, period
 from ..operators.xsection import last_of_key
+from .registry import DATASETS
+
+
+BUCKETS = 64
+
+
+def bucket() -> Column:
+    return (F.crc32(F.col("ticker").cast("string").cast("binary")) % BUCKETS).cast("int")
+
+
+def bucket_of(ticker: str) -> int:
+    return zlib.crc32(ticker.encode()) % BUCKETS
 
 
 class PanelStore:
@@ -25,60 +41,85 @@ class PanelStore:
 
     def _whole(self, dataset: str) -> DataFrame | None:
         try:
-            return self.spark.read.option("mergeSchema", "true").parquet(self._path(dataset)).withColumn("ticker", F.substr("_ticker", F.lit(2))).drop("_ticker")
+            return self.spark.read.option("mergeSchema", "true").parquet(self._path(dataset))
         except AnalysisException as e:
             if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
-    def _rewrite(self, dataset: str, rows: DataFrame) -> None:
+    def _written(self, rows: DataFrame) -> tuple[DataFrame, str]:
         spare = f"{self.folder}/_{uuid.uuid4().hex}"
         rows.write.parquet(spare)
-        self.spark.read.parquet(spare).withColumn("_ticker", F.concat(F.lit("t"), "ticker")).drop("ticker").repartition("_ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_ticker").parquet(self._path(dataset))
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(spare)
-        fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(fs, True)
+        return self.spark.read.schema(rows.schema).parquet(spare), spare
+
+    def _drop(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _put(self, dataset: str, rows: DataFrame) -> None:
+        """Replaces the buckets that the rows are in."""
+        whole, spare = self._written(rows)
+        dealt = whole.withColumn("_bucket", bucket()).repartition("_bucket").sortWithinPartitions("_bucket", "ticker", "date")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self._path(dataset))
+        self._drop(spare)
 
     def upsert(self, dataset: str, rows: DataFrame) -> int:
-        """Puts the rows in by (date, ticker); of new rows with one key any one stays. Returns how many keys were put."""
-        new = rows.dropDuplicates(["date", "ticker"]).withColumn("_new", F.lit(1))
-        old = self._whole(dataset)
-        if old is not None:
-            touched = old.join(new.select("ticker").distinct(), "ticker", "left_semi").withColumn("_new", F.lit(0))
-            both = last_of_key(touched.unionByName(new, allowMissingColumns=True), ["date", "ticker"], ["_new"])
-        else:
-            both = new
-        n = new.count()
+        """Puts the rows in by (date, ticker); of new rows with one key the last of the frame stays. Returns how many keys were put."""
+        has_columns(rows.columns, ["date", "ticker"])
+        new = last_of_key(rows.withColumn("_row", F.monotonically_increasing_id()), ["date", "ticker"], ["_row"]).drop("_row")
+        new, spare = self._written(new.withColumn("_new", F.lit(1)))
+        n, old = new.count(), self._whole(dataset)
         if n:
-            self._rewrite(dataset, both.drop("_new"))
+            both = new
+            if old is not None:
+                touched = [r[0] for r in new.select(bucket()).distinct().collect()]  # BUCKETS at most
+                both = old.where(F.col("_bucket").isin(touched)).drop("_bucket").withColumn("_new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+                both = last_of_key(both, ["date", "ticker"], ["_new"])
+            self._put(dataset, both.drop("_new"))
+        self._drop(spare)
         return n
 
-    def read(self, dataset: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None, confirmed_only: bool = True) -> DataFrame | None:
-        """The rows by ticker (partition pruning) and date (pushed down), without provisional ones; None without a dataset."""
+    def tables(self) -> list[str]:
+        """The datasets of the store, by name."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if not x.getPath().getName().startswith("_")) if fs.exists(at) else []
+
+    def read(self, dataset: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None, confirmed_only: bool = True) -> DataFrame:
+        """The rows by ticker (buckets pruned, tickers and dates pushed down), without provisional ones; an empty table without the dataset."""
+        if start and end:
+            period(start, end)
         out = self._whole(dataset)
         if out is None:
-            return None
+            kinds = DATASETS[dataset].schema if dataset in DATASETS else "date date, ticker string"
+            return self.spark.createDataFrame([], kinds)
         if tickers is not None:
-            out = out.where(F.col("ticker").isin(*tickers))  # the filter reaches the partitions through the substring
+            out = out.where(F.col("_bucket").isin([bucket_of(t) for t in tickers]) & F.col("ticker").isin(*tickers))
         if start:
             out = out.where(F.col("date") >= F.lit(start).cast("date"))
         if end:
             out = out.where(F.col("date") <= F.lit(end).cast("date"))
         if confirmed_only and "is_provisional" in out.columns:
             out = out.where(~F.coalesce("is_provisional", F.lit(False)))
-        return out
+        return out.drop("_bucket")
 
     def delete(self, dataset: str, tickers: list[str] | None = None) -> int:
         """Drops all rows, or the partitions of some tickers; an empty list deletes nothing. Returns the rows dropped."""
         own = self._whole(dataset)
         if own is None or tickers == []:
             return 0
-        gone = own if tickers is None else own.where(F.col("ticker").isin(*tickers))
-        n, names = gone.count(), [None] if tickers is None else tickers
-        for t in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(dataset) + (f"/_ticker=t{t}" if t else ""))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if tickers is None:
+            n = own.count()
+            self._drop(self._path(dataset))
+            return n
+        gone = own.where(F.col("_bucket").isin([bucket_of(t) for t in tickers]))
+        n = gone.where(F.col("ticker").isin(*tickers)).count()
+        rest, spare = self._written(gone.where(~F.col("ticker").isin(*tickers)).drop("_bucket"))
+        for k in {bucket_of(t) for t in tickers}:
+            self._drop(f"{self._path(dataset)}/_bucket={k}")
+        self._put(dataset, rest)
+        self._drop(spare)
         return n
 
-    def coverage(self, dataset: str) -> DataFrame | None:
-        own = self._whole(dataset)
-        return own and own.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    def coverage(self, dataset: str) -> DataFrame:
+        return self.read(dataset, confirmed_only=False).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))

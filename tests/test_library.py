@@ -11,7 +11,7 @@ from barwright.functions import scalar
 from barwright.functions.rolling import Series
 from barwright.operators import gates, resample, state, stats, timejoin, xsection
 from barwright.plans.queries import QUERIES
-from barwright.sources import readers
+from barwright.sources import history, readers
 from barwright.sources.normalise import normalised, records
 from barwright.sources.registry import DATASETS
 from barwright.sources.store import PanelStore
@@ -114,14 +114,17 @@ def test_normalise(spark):
     assert normalised(raw.limit(0), d, F.lit("x"), F.lit("2026-01-06"), "seq", "t").schema.fieldNames() == d.schema.fieldNames()
     body = spark.createDataFrame([('{"output": [{"deal_date": "20260102", "stck_prpr": "7"}]}',), ('{"output": {"deal_date": "20260103", "stck_prpr": "8"}}',), ("broken",)], "body string")
     assert {r.deal_date for r in records(body, "body", "output", d).collect()} == {"20260102", "20260103"}
-    assert len(DATASETS) == 9 and len(DATASETS["investor_flow_daily"].fields) == 41 and len(DATASETS["market_investor_flow_daily"].fields) == 38
+    assert len(DATASETS) == 9 and len(DATASETS["investor_flow_daily"].columns) == 41 and len(DATASETS["market_investor_flow_daily"].columns) == 38
 
 
 def test_store(spark, tmp_path):
     store = PanelStore(spark, f"file://{tmp_path}")
     d = lambda k: dt.date(2024, 1, k)
     first = spark.createDataFrame([("005930", d(1), 1.0, 5, True), ("005930", d(2), 2.0, 6, False), ("7", d(1), 3.0, 7, False)], "ticker string, date date, close double, volume int, is_provisional boolean")
-    assert store.read("p") is None and store.coverage("p") is None and store.delete("p") == 0
+    assert store.read("p").count() == 0 and store.coverage("p").count() == 0 and store.delete("p") == 0 and store.tables() == []
+    assert store.read("price_daily").columns == DATASETS["price_daily"].schema.fieldNames()
+    with pytest.raises(ValueError, match="start"):
+        store.read("p", start="2024-01-02", end="2024-01-01")
     assert store.upsert("p", first) == 3 and store.upsert("p", first) == 3
     assert {(r.ticker, r.date) for r in store.read("p").collect()} == {("005930", d(2)), ("7", d(1))}
     newer = spark.createDataFrame([("005930", d(1), 9.0, False, "x")], "ticker string, date date, close double, is_provisional boolean, note string")
@@ -130,7 +133,10 @@ def test_store(spark, tmp_path):
     assert len(rows) == 3 and rows["005930", d(1)].volume is None and rows["005930", d(1)].note == "x" and rows["7", d(1)].close == 3.0
     assert store.read("p", tickers=["7"]).count() == 1 and store.read("p", start="2024-01-02").count() == 1
     assert {(r.ticker, r.n) for r in store.coverage("p").collect()} == {("005930", 2), ("7", 1)}
-    assert store.delete("p", []) == 0 and store.delete("p", ["7"]) == 1 and store.read("p").count() == 2
+    assert store.delete("p", []) == 0 and store.delete("p", ["7"]) == 1 and store.read("p").count() == 2 and store.tables() == ["p"]
+    twice = spark.createDataFrame([("7", d(1), 1.0), ("7", d(1), 2.0)], "ticker string, date date, close double").coalesce(1)
+    assert store.upsert("p", twice) == 1 and [r.close for r in store.read("p", ["7"]).collect()] == [2.0]
+    assert store.delete("p") == 3 and store.tables() == []
 
 
 def test_readers(spark, tmp_path):
@@ -138,6 +144,10 @@ def test_readers(spark, tmp_path):
     (tmp_path / "p.csv").write_text(head + "\n2024-01-02,5930,1,2,3,bad,5,6,Y,0,2024-01-02T09:00:00\n")
     r = readers.panel_csv(spark, f"file://{tmp_path}/p.csv").first()
     assert r.ticker == "005930" and r.trading_value is None and r.is_listed and not r.is_tradable and r.data_available_at is not None
+    for flags in (",0", "maybe,0", "Y,"):
+        (tmp_path / "f.csv").write_text(head + f"\n2024-01-02,5930,1,2,3,4,5,6,{flags},2024-01-02T09:00:00\n")
+        with pytest.raises(ValueError, match="unknown values"):
+            readers.panel_csv(spark, f"file://{tmp_path}/f.csv")
     (tmp_path / "q.csv").write_text("date\n2024-01-02\n")
     with pytest.raises(ValueError, match="ticker"):
         readers.panel_csv(spark, f"file://{tmp_path}/q.csv")
@@ -146,6 +156,56 @@ def test_readers(spark, tmp_path):
     assert [r.date for r in readers.closed_candles(live, told).collect()] == [1]
 
 
+def test_histories(spark, tmp_path):
+    d = lambda k: dt.date(2024, 1, k)
+    kinds = ", ".join(f"{c} {k}" for c, k in history.COLUMNS.items())
+    rows = spark.createDataFrame([("a", d(2), 1.0, 3.0, 1.0, 2.0, 5), ("a", d(1), 1.004, 3.0, 1.0, 2.0, 5), ("a", d(2), 2.0, 3.0, 1.0, 2.5, 6)], kinds).coalesce(1)
+    path = f"file://{tmp_path}/h"
+    history.write_history(rows, path)
+    text = next((tmp_path / "h").glob("part-*.csv")).read_bytes()
+    assert text == "\ufeffticker,date,open,high,low,close,volume\na,2024-01-01,1.00,3.00,1.00,2.00,5\na,2024-01-02,2.00,3.00,1.00,2.50,6\n".encode()
+    assert [(r.date, r.close) for r in history.read_history(spark, path).orderBy("date").collect()] == [(d(1), 2.0), (d(2), 2.5)]
+    none = history.read_history(spark, f"file://{tmp_path}/none")
+    assert none.columns == list(history.COLUMNS) and none.count() == 0
+    (tmp_path / "odd.csv").write_text("Symbol,Day,Open,High,Low,Adj Close,Vol\nb,2024-01-01,1,2,1,2,3\n")
+    assert history.read_history(spark, f"file://{tmp_path}/odd.csv").first().close == 2.0
+    (tmp_path / "bad.csv").write_text("Symbol,Day,Open,High,Low,Adj Close,Vol\nb,2024-01-01,1,1,1,2,3\n")
+    with pytest.raises(ValueError, match="invalid"):
+        history.read_history(spark, f"file://{tmp_path}/bad.csv")
+    many = spark.range(70).select(F.lit("a").alias("ticker"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    assert history.mergeable(many, many) == (70, 70)
+    for old, new, what in ((many, many.limit(59), "verified"), (many.limit(59), many, "overlapping")):
+        with pytest.raises(ValueError, match=what):
+            history.mergeable(old, new)
+
+
+def test_parameters(spark, sf_dir):
+    from barwright.functions import params
+    from barwright.operators import accounting
+    from barwright.sources.derive import bars
+
+    for bad in (0, 0.5, -1, 0.7):
+        with pytest.raises(ValueError, match="quantile"):
+            params.share(bad)
+    assert params.share(0.1) == 0.1 and params.period("2024-01-01", "2024-01-01")
+    with pytest.raises(ValueError, match="horizon"):
+        accounting.future_return(0)
+    with pytest.raises(ValueError, match="cost"):
+        accounting.spreads(bars(spark, sf_dir), 1, -1)
+    with pytest.raises(ValueError, match="low"):
+        history.buffered(bars(spark, sf_dir).drop("low"), "1996-01-01")
+
+
+def test_r_squared(spark):
+    rng = np.random.default_rng(3)
+    rows = [("g", *map(float, r)) for r in rng.normal(size=(40, 3))] + [("flat", 1.0, 2.0, float(v)) for v in rng.normal(size=5)]
+    found = {r.g: r.r2 for r in stats.r_squared(spark.createDataFrame(rows, "g string, y double, a double, b double"), "y", ["a", "b"], ["g"]).collect()}
+    x = np.array([r[1:] for r in rows[:40]])
+    design = np.column_stack((np.ones(40), x[:, 1:]))
+    rest = x[:, 0] - design @ np.linalg.lstsq(design, x[:, 0], rcond=None)[0]
+    assert found["flat"] is None and np.isclose(found["g"], 1 - rest.var() / x[:, 0].var())
+
+
 def test_streams(spark, tmp_path, sf_dir):
     from barwright.sources.derive import bars
     from barwright.streaming import incremental
