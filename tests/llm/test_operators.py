@@ -266,6 +266,29 @@ def test_near_duplicates_recall(spark, low, high):
         assert sum(got[p + 1] == p for p in pairs) >= 0.9 * len(pairs), share
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    """The classes of a whole table are those of all linked pairs, found by aligning every pair that a bound on the distance leaves."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in (r.text or "").split()], np.uint32) for r in docs.collect()}
+    ids = sorted(texts, key=lambda d: (len(texts[d]), d))
+    bags = np.stack([np.bincount(texts[d] % 128, minlength=128) for d in ids])
+    root = {d: d for d in ids}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(ids):
+        apart = bags[i + 1 :] - bags[i]
+        far = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1))
+        for j in np.flatnonzero(far <= 0.2 * np.array([len(texts[d]) for d in ids[i + 1 :]]) + 1e-9):
+            if neardup.similarity(texts[a], texts[ids[i + 1 + j]]) >= 0:
+                x, y = sorted((top(a), top(ids[i + 1 + j])))
+                root[y] = x
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {d: top(d) for d in ids}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(220)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
