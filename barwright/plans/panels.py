@@ -318,7 +318,7 @@ def risk_stats(spark, sf_dir):
 
 @query(f"""WITH {BARS}, s AS (SELECT *, close > open AS up, volume > 1 AS busy FROM bars), t AS (SELECT ticker, date, open, close, lag(up, 1, false) OVER w AS h1, lag(busy, 1, false) OVER w AS h2 FROM s WINDOW w AS (PARTITION BY ticker ORDER BY date)),
  m AS (SELECT ticker, date, name, c, CASE WHEN (CASE name WHEN 'up' THEN h1 WHEN 'busy' THEN h2 ELSE true END) THEN 0.02::DOUBLE * (close - open) / (close + open) - 0.001::DOUBLE * c ELSE 0 END AS r, (CASE name WHEN 'up' THEN h1 WHEN 'busy' THEN h2 ELSE true END) AS held FROM t, (SELECT unnest(['up', 'busy', 'hold']) AS name), (SELECT unnest([0, 1, 2]) AS c)),
- a AS (SELECT ticker, date, name, c, r, held FROM m UNION ALL SELECT 'portfolio', date, name, c, sum(r) / 5, bool_or(held) FROM m GROUP BY date, name, c)
+ a AS (SELECT ticker, date, name, c, r, held FROM m UNION ALL SELECT 'portfolio', date, name, c, sum(r) / (SELECT count(DISTINCT ticker) FROM bars), bool_or(held) FROM m GROUP BY date, name, c)
  SELECT ticker, name, c AS cost_times, count(*) AS n, CAST(count(*) FILTER (WHERE held) AS BIGINT) AS active, round(exp(sum(ln(1 + r))) - 1, 6) AS total FROM a GROUP BY ticker, name, c""")
 def strategy_matrix(spark, sf_dir):
     """Strategies by tickers by cost multiples, and the equal-weighted portfolio (a missing ticker earns 0)."""
@@ -327,7 +327,8 @@ def strategy_matrix(spark, sf_dir):
     t = t.select("ticker", "date", "ret", F.array(*[F.struct(F.lit(k).alias("name"), v.alias("held")) for k, v in rules.items()]).alias("rules"))
     t = t.select("ticker", "date", "ret", F.explode("rules").alias("s")).select("ticker", "date", "ret", "s.*")
     m = t.withColumn("cost_times", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("r", F.when(F.col("held"), F.col("ret") - 0.001 * F.col("cost_times")).otherwise(0.0))
-    whole = m.groupBy("date", "name", "cost_times").agg((F.sum("r") / 5).alias("r"), F.bool_or("held").alias("held")).withColumn("ticker", F.lit("portfolio"))
+    n = t.agg(F.count_distinct("ticker").alias("_n"))  # one row
+    whole = m.groupBy("date", "name", "cost_times").agg(F.sum("r").alias("r"), F.bool_or("held").alias("held")).crossJoin(n).withColumn("r", F.col("r") / F.col("_n")).drop("_n").withColumn("ticker", F.lit("portfolio"))
     every = m.select("ticker", "date", "name", "cost_times", "r", "held").unionByName(whole)
     return every.groupBy("ticker", "name", "cost_times").agg(F.count(F.lit(1)).alias("n"), F.count_if("held").alias("active"), r6(F.product(1 + F.col("r")) - 1).alias("total"))
 

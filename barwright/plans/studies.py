@@ -98,11 +98,17 @@ def _positions(spark, sf_dir):
     return resample.positioned(b, "date", "ticker").select("ticker", "pos", "n", "r", "busy")
 
 
-_HASHED = f"""WITH {BARS}, po AS (SELECT ticker, ret * 100 AS r, volume > 1 AS busy, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars),
- ln AS (SELECT DISTINCT ticker, n FROM po), bl AS (SELECT ticker, n, draw, unnest(range(CAST(ceil(n / {_BLOCK}) AS BIGINT))) AS blk FROM ln, range({_DRAWS}) t(draw)),
- sta AS (SELECT *, least(CAST(floor(('0x' || substr(sha256('11|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE * n) AS BIGINT), n - 1) AS start FROM bl),
- ix AS (SELECT ticker, draw, blk * {_BLOCK} + off AS place, (start + off) % n AS pos, n FROM sta, range({_BLOCK}) o(off)), dr AS (SELECT i.ticker, draw, r, busy FROM ix i JOIN po USING (ticker, pos) WHERE place < i.n),
- ex AS (SELECT ticker, draw, avg(r) FILTER (WHERE busy) - avg(r) AS excess FROM dr GROUP BY ticker, draw)"""
+def _hashed_sql(draws, seed):
+    """The draws of every ticker as the table dr."""
+    return f"""WITH {BARS}, po AS (SELECT ticker, ret * 100 AS r, volume > 1 AS busy, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars),
+ ln AS (SELECT DISTINCT ticker, n FROM po), bl AS (SELECT ticker, n, draw, unnest(range(CAST(ceil(n / {_BLOCK}) AS BIGINT))) AS blk FROM ln, range({draws}) t(draw)),
+ sta AS (SELECT *, least(CAST(floor(('0x' || substr(sha256('{seed}|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE * n) AS BIGINT), n - 1) AS start FROM bl),
+ ix AS (SELECT ticker, draw, blk * {_BLOCK} + off AS place, (start + off) % n AS pos, n FROM sta, range({_BLOCK}) o(off)), dr AS (SELECT i.ticker, draw, r, busy FROM ix i JOIN po USING (ticker, pos) WHERE place < i.n)"""
+
+
+_EXCESS = """, ex AS (SELECT ticker, draw, avg(r) FILTER (WHERE busy) - avg(r) AS excess FROM dr GROUP BY ticker, draw)
+ SELECT ticker, round(quantile_cont(excess, 0.025), 6) AS ci_low, round(quantile_cont(excess, 0.975), 6) AS ci_high, round((count(*) FILTER (WHERE excess <= 0) + 1) / (count(excess) + 1), 6) AS p_one
+ FROM ex WHERE excess IS NOT NULL GROUP BY ticker"""
 
 
 def _hashed(spark, sf_dir, draws):
@@ -112,13 +118,13 @@ def _hashed(spark, sf_dir, draws):
     return resample.interval(d, "excess", ["ticker"]).select("ticker", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), r6("p_one").alias("p_one"))
 
 
-@query(_HASHED + """ SELECT ticker, round(quantile_cont(excess, 0.025), 6) AS ci_low, round(quantile_cont(excess, 0.975), 6) AS ci_high, round((count(*) FILTER (WHERE excess <= 0) + 1) / (count(excess) + 1), 6) AS p_one FROM ex WHERE excess IS NOT NULL GROUP BY ticker""")
+@query(_hashed_sql(_DRAWS, 11) + _EXCESS)
 def bootstrap_hash(spark, sf_dir):
     """By the few draws of its SQL twin; bootstrap_hash_whole has all."""
     return _hashed(spark, sf_dir, _DRAWS)
 
 
-@query()
+@query(_hashed_sql(WHOLE, 11) + _EXCESS)
 def bootstrap_hash_whole(spark, sf_dir):
     return _hashed(spark, sf_dir, WHOLE)
 
@@ -132,12 +138,17 @@ def bootstrap_pcg(spark, sf_dir):
     return resample.interval(d, "excess", ["ticker"])
 
 
-@query()
+@query(_hashed_sql(WHOLE, 12) + """, cu AS (SELECT ticker, draw, busy, quantile_cont(r, 0.05) AS q, count(r) AS n FROM dr GROUP BY ticker, draw, busy),
+ tl AS (SELECT ticker, draw, busy, CASE WHEN max(n) >= 5 THEN avg(r) FILTER (WHERE r <= q) END AS tail FROM dr JOIN cu USING (ticker, draw, busy) GROUP BY ticker, draw, busy),
+ df AS (SELECT ticker, draw, max(tail) FILTER (WHERE busy) - max(tail) FILTER (WHERE NOT busy) AS d FROM tl GROUP BY ticker, draw)
+ SELECT ticker, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high, round((count(*) FILTER (WHERE d <= 0) + 1) / (count(d) + 1), 6) AS p_one,
+  round(least(1.0, 2 * least((count(*) FILTER (WHERE d <= 0) + 1) / (count(d) + 1), (count(*) FILTER (WHERE d >= 0) + 1) / (count(d) + 1))), 6) AS p_two, count(d) AS draws FROM df WHERE d IS NOT NULL GROUP BY ticker""")
 def bootstrap_tail(spark, sf_dir):
     """Block draws of the difference of tail means between busy and calm rows."""
     p = _positions(spark, sf_dir)
     starts = resample.hashed_starts(p.select("ticker", "n").distinct(), ["ticker"], WHOLE, _BLOCK, 12)
-    return resample.interval(resample.tail_difference(resample.drawn(starts, p, _BLOCK, ["ticker"]), "r", "busy", ["ticker"]), "difference", ["ticker"])
+    found = resample.interval(resample.tail_difference(resample.drawn(starts, p, _BLOCK, ["ticker"]), "r", "busy", ["ticker"]), "difference", ["ticker"])
+    return found.withColumns({c: r6(c) for c in ("ci_low", "ci_high", "p_one", "p_two")})
 
 
 @query()
