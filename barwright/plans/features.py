@@ -50,9 +50,9 @@ def built_features(spark, sf_dir):
 _SHOWN = [*FEATURES, *(f"future_return_{h}d" for h in HORIZONS), "close_mismatch_pct", "volume_mismatch_pct"]
 
 
-@query(_FEATURES + " SELECT ticker, date, fx, position, foreign_signal, foreign_fx_signal, combined_signal, " + ", ".join(f"round({c}, 6) AS {c}" if c != "foreign_positive_days_5d" else c for c in _SHOWN) + " FROM ft", "date")
+@query(_FEATURES + " SELECT ticker, date, fx, position, foreign_signal, foreign_fx_signal, combined_signal, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _SHOWN) + " FROM ft", "date")
 def feature_build(spark, sf_dir):
-    shown = [r6(c).alias(c) if c != "foreign_positive_days_5d" else F.col(c) for c in _SHOWN]
+    shown = [r6(F.col(c).cast("double")).alias(c) for c in _SHOWN]
     return built_features(spark, sf_dir).select("ticker", "date", "fx", "position", "foreign_signal", "foreign_fx_signal", "combined_signal", *shown)
 
 

@@ -34,7 +34,7 @@ def history_refresh(spark, sf_dir):
     return history.read_history(spark, f"{path}/new")
 
 
-@query(_CHANNEL + " SELECT ticker, date, dc_high, dc_low FROM sig WHERE date BETWEEN DATE '1996-06-03' AND DATE '1997-06-30'", "date")
+@query(_CHANNEL.replace("FROM bars\n", "FROM bars WHERE date >= DATE '1996-06-03' - 60\n") + " SELECT ticker, date, dc_high, dc_low FROM sig WHERE date BETWEEN DATE '1996-06-03' AND DATE '1997-06-30'", "date")
 def buffered_start(spark, sf_dir):
     """Channels from the first day asked for, since the scan begins 60 days before it."""
     rows = state.channel_signals(history.buffered(bars(spark, sf_dir), "1996-06-03"), 20, 10, S)

@@ -139,12 +139,12 @@ def bootstrap_pcg(spark, sf_dir):
 
 
 @query(_hashed_sql(WHOLE, 12) + """, cu AS (SELECT ticker, draw, busy, quantile_cont(r, 0.05) AS q, count(r) AS n FROM dr GROUP BY ticker, draw, busy),
- tl AS (SELECT ticker, draw, busy, CASE WHEN max(n) >= 5 THEN avg(r) FILTER (WHERE r <= q) END AS tail FROM dr JOIN cu USING (ticker, draw, busy) GROUP BY ticker, draw, busy),
+ tl AS (SELECT ticker, draw, busy, CASE WHEN max(n) >= 5 THEN avg(r) FILTER (WHERE r <= q + 1e-12) END AS tail FROM dr JOIN cu USING (ticker, draw, busy) GROUP BY ticker, draw, busy),
  df AS (SELECT ticker, draw, max(tail) FILTER (WHERE busy) - max(tail) FILTER (WHERE NOT busy) AS d FROM tl GROUP BY ticker, draw)
  SELECT ticker, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high, round((count(*) FILTER (WHERE d <= 0) + 1) / (count(d) + 1), 6) AS p_one,
   round(least(1.0, 2 * least((count(*) FILTER (WHERE d <= 0) + 1) / (count(d) + 1), (count(*) FILTER (WHERE d >= 0) + 1) / (count(d) + 1))), 6) AS p_two, count(d) AS draws FROM df WHERE d IS NOT NULL GROUP BY ticker""")
 def bootstrap_tail(spark, sf_dir):
-    """Block draws of the difference of tail means between busy and calm rows."""
+    """Block draws of the difference of tail means between busy and calm rows. The twin's quantile of equal values may fall short of them by a rounding."""
     p = _positions(spark, sf_dir)
     starts = resample.hashed_starts(p.select("ticker", "n").distinct(), ["ticker"], WHOLE, _BLOCK, 12)
     found = resample.interval(resample.tail_difference(resample.drawn(starts, p, _BLOCK, ["ticker"]), "r", "busy", ["ticker"]), "difference", ["ticker"])
