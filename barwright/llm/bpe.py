@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import as_text, slices
@@ -111,6 +112,7 @@ class ByteBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s.encode() for s, i in self.special.items()}
         self.size = max(self.strings) + 1
+        self.vocabulary = pa.array([self.strings.get(i, b"") for i in range(self.size)], pa.large_binary())
         # From a pair of symbols to the merge's rank (from 1) and its new symbol.
         self.merges = {vocab[a] * self.size + vocab[b]: ((rank + 1) << 24) + vocab[a + b] for rank, (a, b) in enumerate(merges)}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
@@ -159,45 +161,53 @@ class ByteBPE:
             self.memory.add(new)
         return out
 
-    def of_words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each distinct word with a space before it. A word holds no space."""
-        words = list(dict.fromkeys(words))
-        out = dict(zip(words, self.words.all(words), strict=True))
-        missing = [w for w, x in out.items() if x is None]
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words with a space before it. A word holds no space."""
+        out = self.words.all(words)
+        missing = [w for w, x in zip(words, out, strict=True) if x is None]
         if missing:
             # One pass of the pattern over all of them: a piece that begins with a space begins the next word.
             pieces = FAST.findall(" " + " ".join(missing))
             ids, parts, new = self.of_pieces(pieces), [], []
             for piece, x in zip(pieces, ids, strict=True):
                 if piece[0] == " " and parts:
-                    new.append(b"".join(parts))
+                    new.append(parts[0] if len(parts) == 1 else b"".join(parts))
                     parts = []
                 parts.append(x)
-            new = dict(zip(missing, [*new, b"".join(parts)], strict=True))
-            out |= new
-            self.words.add(new)
+            new.append(b"".join(parts))
+            self.words.add(dict(zip(missing, new, strict=True)))
+            found = iter(new)
+            out = [next(found) if x is None else x for x in out]
         return out
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
+    def encode_many(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
         A piece holds no space but at its start or in a run of white space, so that a space before anything but white
-        space starts a piece: texts without other spaces are cut there, and their words encoded once each.
+        space starts a piece: texts without other spaces are cut there. Arrow numbers their distinct words, each of which
+        is encoded once, and puts the words' ids together again.
         """
-        split: list = []
-        for text in texts:
-            if self.cut.search(text) or self.unusual.search(text) or LOOSE.search(text):
-                split.append(None)
-            else:
-                split.append(text.split(" "))
-        known = self.of_words([w for x in split if x for w in x[1:]])
-        out = []
-        for text, x in zip(texts, split, strict=True):
-            if x is None:
-                out.append(self.of_any(text))
-            else:
-                head = self.of_pieces(FAST.findall(x[0])) if x[0] else []
-                out.append(b"".join([*head, *[known[w] for w in x[1:]]]))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        out: list = []
+        for text in texts.to_pylist():
+            plain = not (self.cut.search(text) or self.unusual.search(text) or LOOSE.search(text))
+            out.append(None if plain else self.of_any(text))
+        at = [i for i, x in enumerate(out) if x is None]
+        if at:
+            lists = pc.split_pattern(texts.take(pa.array(at)), " ")
+            ends, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+            heads = words.take(pa.array(ends[:-1])).to_pylist()  # a text's first word has no space before it
+            coded = words.dictionary_encode()
+            codes = coded.indices.to_numpy().astype(np.int64)
+            codes[ends[:-1]] = np.arange(len(heads)) + len(coded.dictionary)
+            known = self.of_words(coded.dictionary.to_pylist())
+            every = [*known, *(b"".join(self.of_pieces(FAST.findall(x))) for x in heads)]
+            joined = pa.array(every, pa.large_binary()).take(pa.array(codes))
+            _, offsets, data = joined.buffers()
+            bounds = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1][ends].tolist()
+            data = memoryview(data) if data else b""
+            for i, start, end in zip(at, bounds[:-1], bounds[1:], strict=True):
+                out[i] = bytes(data[start:end])
         return out
 
     def of_any(self, text: str) -> bytes:
@@ -215,9 +225,17 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_many([text])[0], "<u4").tolist()
 
+    def decode_many(self, packed: list[bytes]) -> list[str]:
+        """The texts of lists of packed ids: the vocabulary's strings, put together in order."""
+        joined = self.vocabulary.take(pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int64)))
+        _, offsets, data = joined.buffers()
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed], dtype=np.int64)))
+        bounds = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1][ends].tolist()
+        data = memoryview(data) if data else b""
+        return [str(data[a:b], "utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
     def decode(self, ids: list[int]) -> str:
-        strings = self.strings
-        return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
+        return self.decode_many([self.pack(ids)])[0]
 
 
 #: A space before white space or at the end.
@@ -227,7 +245,7 @@ LOOSE = re.compile(r" (?=\s|\Z)")
 class LibraryBPE(ByteBPE):
     """The same, with the ids of each new piece given by the tokenizers library's model."""
 
-    most = 400_000, WORDS
+    most = PIECES, 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -237,7 +255,9 @@ class LibraryBPE(ByteBPE):
 
     def new_pieces(self, pieces: list[str]) -> list[bytes]:
         shown, tokenize = self.shown, self.library.model.tokenize
-        return [self.pack([t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))]) for p in pieces]
+        # Of plain characters only the space has a stand-in of its own.
+        like = [p.replace(" ", shown[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(shown) for p in pieces]
+        return [self.pack([t.id for t in tokenize(p)]) for p in like]
 
 
 _loaded: dict = {}
@@ -265,14 +285,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         coder = loaded(path)
         for batch in slices(batches):
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for packed in coder.encode_many(as_text(batch.column("text")).to_pylist()):
-                ids = np.frombuffer(packed, "<u4").tolist()
-                back = coder.decode(ids)
-                n.append(len(ids))
+            every = coder.encode_many(as_text(batch.column("text")))
+            for packed, back in zip(every, coder.decode_many(every), strict=True):
+                n.append(len(packed) // 4)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 if keep_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.frombuffer(packed, "<u4"))
                     texts.append(back)
             columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -150,7 +150,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
 
         for batch in slices(batches):
             names = [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
-            for name, ids in zip(names, coder.encode_many(as_text(batch.column("text")).to_pylist()), strict=True):
+            for name, ids in zip(names, coder.encode_many(as_text(batch.column("text"))), strict=True):
                 if not writer:
                     store.create_dir(where)
                     out = store.open_output_stream(spare(len(sizes)))
