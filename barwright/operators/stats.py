@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +41,21 @@ def row_shares(df: DataFrame, row: str, column: str, values: list[str]) -> DataF
     return counts.select(row, *[(F.try_divide(F.col(v) * 100.0, total)).alias(v) for v in values])
 
 
-def time_interaction(df: DataFrame, y: str, x: str, groups: list[str], order: str) -> DataFrame:
-    """The coefficient of x*tau in y ~ 1 + x + x*tau, tau from 0 to 1 over the rows; by the normal equations' determinants."""
+def with_time(df: DataFrame, y: str, x: str, groups: list[str], order: str) -> DataFrame:
+    """The rows with both values as y, a = x and b = x*tau, tau from 0 to 1 over the rows of a group in order."""
     w = Window.partitionBy(*groups)
     own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    own = own.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_t", F.try_divide(F.row_number().over(w.orderBy(order)) - 1.0, F.col("_n") - 1.0))
-    own = own.select(*groups, F.col(x).alias("a"), (F.col(x) * F.col("_t")).alias("b"), F.col(y).alias("y"))
-    s = {k: F.sum(v) for k, v in {"n": F.lit(1.0), "a": F.col("a"), "b": F.col("b"), "y": F.col("y"), "aa": F.col("a") * F.col("a"), "ab": F.col("a") * F.col("b"), "bb": F.col("b") * F.col("b"), "ay": F.col("a") * F.col("y"), "by": F.col("b") * F.col("y")}.items()}
-    g = own.groupBy(*groups).agg(*[v.alias(f"_{k}") for k, v in s.items()])
-    c = {k: F.col(f"_{k}") for k in s}
+    own = own.withColumn("_n", F.count(F.lit(1)).over(w))
+    own = own.withColumn("_t", F.try_divide(F.row_number().over(w.orderBy(order)) - 1.0, F.col("_n") - 1.0))
+    return own.select(*groups, order, F.col(x).alias("a"), (F.col(x) * F.col("_t")).alias("b"), F.col(y).alias("y"))
+
+
+def interaction(timed: DataFrame, groups: list[str]) -> DataFrame:
+    """The coefficient of b in y ~ 1 + a + b of each group, by the normal equations' determinants; null where they have no solution."""
+    pairs = {"a": ("a",), "b": ("b",), "y": ("y",), "aa": ("a", "a"), "ab": ("a", "b"), "bb": ("b", "b"), "ay": ("a", "y"), "by": ("b", "y")}
+    sums = [F.sum(reduce(lambda p, q: p * q, map(F.col, cs))).alias(f"_{k}") for k, cs in pairs.items()]
+    g = timed.groupBy(*groups).agg(F.count(F.lit(1)).cast("double").alias("_n"), *sums)
+    c = {k: F.col(f"_{k}") for k in ("n", *pairs)}
 
     def det(p, q, r):
         return p[0] * (q[1] * r[2] - q[2] * r[1]) - p[1] * (q[0] * r[2] - q[2] * r[0]) + p[2] * (q[0] * r[1] - q[1] * r[0])
@@ -57,6 +65,24 @@ def time_interaction(df: DataFrame, y: str, x: str, groups: list[str], order: st
     return g.select(*groups, F.try_divide(above, F.nullif(below, F.lit(0.0))).alias("interaction"))
 
 
+def time_interaction(df: DataFrame, y: str, x: str, groups: list[str], order: str) -> DataFrame:
+    """The coefficient of x*tau in y ~ 1 + x + x*tau, tau from 0 to 1 over the rows."""
+    return interaction(with_time(df, y, x, groups, order), groups)
+
+
+def added_r2(y: str, x: str, extra: str) -> tuple[Column, Column]:
+    """R2 of y on x, and what a second regressor adds to it; over rows with all three values, from their correlations."""
+    all_three = F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(extra).isNotNull()
+    a, b, c = (F.when(all_three, F.col(v)) for v in (y, x, extra))
+
+    def r(p: Column, q: Column) -> Column:
+        return F.try_divide(F.covar_pop(p, q), F.nullif(F.stddev_pop(p) * F.stddev_pop(q), F.lit(0.0)))
+
+    one, other, between = r(a, b), r(a, c), r(b, c)
+    both = F.try_divide(one * one + other * other - 2 * one * other * between, F.nullif(1 - between * between, F.lit(0.0)))
+    return one * one, both - one * one
+
+
 def false_discovery(df: DataFrame, p: str, name: str = "q", families: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg: q of each row of its family; null p stays null and isn't counted.
 
