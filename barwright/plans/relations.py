@@ -141,17 +141,20 @@ def _gate_long(rows: str, keys: str) -> str:
 def gate_effects_whole(spark, sf_dir):
     """Of each gate, on the days held: mean, tail and share of losses while it is up or not, the differences with intervals and p of block draws, and q over the gates.
 
-    A tail difference wants five rows on each side. The rows themselves go along as draw -1, so that one grouping serves both.
+    A tail difference wants five rows on each side. The rows themselves go along as draw -1, so that one grouping serves both;
+    gates stand side by side, so that a draw's rows aren't repeated for each.
     """
     g = gates(spark, sf_dir).withColumn("active", F.coalesce(F.lag("ret").over(S.rows) > 0, F.lit(False))).where("active")
     p = resample.positioned(g, "date", "ticker").select("ticker", "pos", "n", "ret", *GATES)
     drawn = _draws(p, 53).select("ticker", "draw", "ret", *GATES).unionByName(p.select("ticker", F.lit(-1).cast("long").alias("draw"), "ret", *GATES))
-    keys, lg = ["ticker", "draw", "gate"], drawn.unpivot(["ticker", "draw", "ret"], GATES, "gate", "up")
-    cut = lg.groupBy(*keys, "up").agg(F.percentile("ret", F.lit(0.05)).alias("_q"), F.count("ret").alias("n"))
-    tail = F.avg(F.when(F.col("ret") <= F.col("_q") + 1e-12, F.col("ret"))).alias("tail")
-    sides = lg.join(cut, [*keys, "up"]).groupBy(*keys, "up").agg(F.max("n").alias("n"), F.avg("ret").alias("mean"), F.avg((F.col("ret") < 0).cast("double")).alias("losing"), tail)
-    each = {f"{s}_{c}": F.max(F.when(F.col("up") == up, F.col(c))) for c in ("n", "mean", "losing", "tail") for s, up in (("risky", True), ("clear", False))}
-    wide = sides.groupBy(*keys).agg(*[v.alias(k) for k, v in each.items()])
+    on = {(gate, side): F.when(F.col(gate) == (side == "risky"), F.col("ret")) for gate in GATES for side in ("risky", "clear")}
+    cut = drawn.groupBy("ticker", "draw").agg(*[F.percentile(x, F.lit(0.05)).alias(f"_q_{g}_{s}") for (g, s), x in on.items()])
+    facts = {
+        "n": lambda x, q: F.nullif(F.count(x), F.lit(0)), "mean": lambda x, q: F.avg(x), "losing": lambda x, q: F.avg(F.when(x.isNotNull(), (x < 0).cast("double"))),
+        "tail": lambda x, q: F.avg(F.when(x <= q + 1e-12, x)),
+    }
+    made = [F.struct(F.lit(g).alias("gate"), *[f(on[g, s], F.col(f"_q_{g}_{s}")).alias(f"{s}_{k}") for k, f in facts.items() for s in ("risky", "clear")]) for g in GATES]
+    wide = drawn.join(cut, ["ticker", "draw"]).groupBy("ticker", "draw").agg(F.array(*made).alias("f")).select("ticker", "draw", F.explode("f").alias("f")).select("ticker", "draw", "f.*")
     enough = (F.col("risky_n") >= 5) & (F.col("clear_n") >= 5)
     wide = wide.withColumn("mean_difference", F.col("risky_mean") - F.col("clear_mean")).withColumn("tail_difference", F.when(enough, F.col("risky_tail") - F.col("clear_tail")))
     out = wide.where("draw = -1").drop("draw")
