@@ -16,7 +16,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -162,19 +162,21 @@ class ByteBPE:
         return out
 
     def of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some distinct words with a space before it. A word holds no space."""
+        """The ids of each of some distinct words with a space before it. A word is not empty, holds no space and begins with no white space."""
         out = self.words.all(words)
         missing = [w for w, x in zip(words, out, strict=True) if x is None]
         if missing:
-            # One pass of the pattern over all of them: a piece that begins with a space begins the next word.
+            # One pass of the pattern over all of them; a word ends with the piece that ends where the next one's space is.
             pieces = FAST.findall(" " + " ".join(missing))
             ids, parts, new = self.of_pieces(pieces), [], []
+            ends, at = accumulate(len(w) + 1 for w in missing), 0
+            end = next(ends)
             for piece, x in zip(pieces, ids, strict=True):
-                if piece[0] == " " and parts:
-                    new.append(parts[0] if len(parts) == 1 else b"".join(parts))
-                    parts = []
                 parts.append(x)
-            new.append(b"".join(parts))
+                at += len(piece)
+                if at >= end:
+                    new.append(parts[0] if len(parts) == 1 else b"".join(parts))
+                    parts, end = [], next(ends, 0)
             self.words.add(dict(zip(missing, new, strict=True)))
             found = iter(new)
             out = [next(found) if x is None else x for x in out]
@@ -196,10 +198,13 @@ class ByteBPE:
         if at:
             lists = pc.split_pattern(texts.take(pa.array(at)), " ")
             ends, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
-            heads = words.take(pa.array(ends[:-1])).to_pylist()  # a text's first word has no space before it
-            coded = words.dictionary_encode()
-            codes = coded.indices.to_numpy().astype(np.int64)
-            codes[ends[:-1]] = np.arange(len(heads)) + len(coded.dictionary)
+            # A text's first word has no space before it, may be empty and may begin with white space: it is encoded by itself.
+            inner = np.ones(len(words), bool)
+            inner[ends[:-1]] = False
+            heads, coded = words.filter(pa.array(~inner)).to_pylist(), words.filter(pa.array(inner)).dictionary_encode()
+            codes = np.empty(len(words), np.int64)
+            codes[inner] = coded.indices.to_numpy()
+            codes[~inner] = np.arange(len(heads)) + len(coded.dictionary)
             known = self.of_words(coded.dictionary.to_pylist())
             every = [*known, *(b"".join(self.of_pieces(FAST.findall(x))) for x in heads)]
             joined = pa.array(every, pa.large_binary()).take(pa.array(codes))
