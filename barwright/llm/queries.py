@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, warc
+from . import chat, scanbpe, warc
 from .bpe import encode_documents
 from .common import read
 from .decontaminate import leaks
 from .linedup import line_report
 from .neardup import classes
+from .negatives import hard_negatives
 from .packing import token_files
 from .quality import judge, train
 from .suffixes import remove_repeats
 from .units import remove_units
+from .variants import variants
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh id moved on by one, components in 256ths rounded down, anchors every hundredth id."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    vector = F.when(F.forall("embedding", finite), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"), vector.alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hard_negatives(rows)
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read(spark, sf_dir, "documents"))
+
+
+def op13_scan_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanbpe.encode_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_duplicates": op2_near_duplicates,
@@ -81,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_variants": op12_variants,
+    "op13_scan_bpe": op13_scan_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -132,4 +154,42 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN c ON k.key = c.key GROUP BY r, doc_id
     """,
+    "op11_hard_negatives": r"""
+        WITH e AS (
+          SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+              FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT a, b AS pos, score AS p FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+        SELECT p.a AS anchor_id, pos AS positive_id, CAST(row_number() OVER w AS INTEGER) AS "rank", s.b AS negative_id, p AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p <= 100 * s.score AND 100 * s.score <= 100 * p
+        WINDOW w AS (PARTITION BY p.a, pos ORDER BY s.score DESC, s.b)
+        QUALIFY row_number() OVER w <= 5
+    """,
+    "op12_variants": r"""
+        WITH RECURSIVE bits AS (SELECT unnest(range(256)) AS i),
+        crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY i) AS t FROM bits),
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+        low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM runs GROUP BY ALL),
+        bytes AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                     lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b FROM low),
+        sums AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))),
+                     lambda acc, x: xor(t[CAST(xor(acc, x) % 256 AS INTEGER) + 1], acc // 256)), 4294967295) AS h FROM bytes, crc),
+        cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, times FROM sums),
+        words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+        less AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM less),
+        near AS (
+          SELECT a.word, b.word AS other, b.n AS m FROM gone a JOIN gone b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM gone a JOIN words b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM gone a JOIN words b ON a.rest = b.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+        formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS root, form AS next FROM formed
+                 UNION ALL SELECT w.word, w.next, f.form FROM walk w JOIN formed f ON f.word = w.next)
+        SELECT f.word, n, n_near, form, form_n, w.root FROM formed f JOIN walk w ON w.word = f.word AND w.next IS NULL
+    """,
 }
