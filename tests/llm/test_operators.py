@@ -436,6 +436,28 @@ def test_bpe_equals_the_library(library, parts):
     assert coder.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.just(""), st.lists(st.sampled_from(["a", "foo bar", "x", " ", "  ", "\n", "\t", "'s", "9", "!", "é", "<|endoftext|>"]), max_size=6).map("".join)), max_size=6))
+def test_bpe_of_texts_side_by_side(library, texts):
+    """Texts of one slice, in any order: ends in white space before empty, null and indented ones."""
+    from barwright.llm.common import as_text
+
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (bpe.ByteBPE, bpe.LibraryBPE):
+        coder = bpe.loaded(bpe.default_path(), kind)
+        packed = coder.encode_many(as_text(pa.array(texts, pa.string())))
+        assert [np.frombuffer(x, "<u4").tolist() for x in packed] == want
+        assert coder.decode_many(packed) == [library.decode(i, skip_special_tokens=False) for i in want]
+
+
+@pytest.mark.parametrize("texts", [["foo bar\n", None], ["foo bar\n", " baz"], ["x a\n", "\nb c"], ["hello there\n", "\tz y"]])
+def test_bpe_rows_that_end_in_white_space(spark, library, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r.n_tokens for r in bpe.encode_documents(docs).orderBy("doc_id").collect()] == want
+    assert [r.n_tokens - 1 for r in packing.token_files(docs).orderBy("doc_id").collect()] == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 50256), max_size=20))
 def test_decode_equals_the_library(library, ids):
