@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Series:
-    key: str = "ticker"
+    key: str | list[str] = "ticker"  # one column, or several
     order: str = "date"
 
     @property

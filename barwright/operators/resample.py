@@ -1,14 +1,20 @@
 """Block resampling as joins: draws of circular blocks, placebo permutations and sign flips.
 
 Which blocks a draw takes comes from a table of starts: from a seeded generator (the same draws as a plain loop with that
-generator; for one series on the driver, for each series of a table on the executors), or from a hash of (seed, draw, block), made by
-Spark. What a draw computes is a join of the starts with the series by row position, and a grouped aggregation.
+generator; for one series on the driver, for each series of a table on the executors), or from a hash of (seed, keys, draw,
+block), made by Spark, so that each series has draws of its own.
+
+What a draw computes isn't made from its rows. A Statistic is a value of sums; the sums of the block that begins at each row
+are made once, and a draw adds up those of its blocks (draw_values): n / block rows a draw, joined with a table of n rows
+and summed before they are shuffled. For quantiles the values themselves are needed: draw_lists joins the starts with the list of
+each block's rows, n / block rows a draw again, and gathers a draw's values in one array. drawn() writes out the rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..functions.params import at_least
 from ..functions.scalar import unit_interval
-from .stats import slope
 
 
 def positioned(df: DataFrame, order: str, key: str | None = None) -> DataFrame:
@@ -58,10 +63,14 @@ def seeded_starts_of(lengths: DataFrame, key: str, draws: int, block: int, seed:
 
 
 def hashed_starts(lengths: DataFrame, keys: list[str], draws: int, block: int, seed: int) -> DataFrame:
-    """The same columns for each series of a table (keys, n), from a hash: starts spread over 0..n-1."""
+    """The same columns for each series of a table (keys, n), from a hash of seed, keys, draw and block: starts spread over 0..n-1.
+
+    Draws are dealt out before their blocks are made, so that a table of a few long series keeps all tasks busy.
+    """
     each = lengths.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    each = each.repartition(int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "draw")
     each = each.select(*keys, "n", F.col("draw").cast("long").alias("draw"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("blk"))
-    u = unit_interval(F.lit(str(seed)), F.col("draw").cast("string"), F.col("blk").cast("string"))
+    u = unit_interval(F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("draw").cast("string"), F.col("blk").cast("string"))
     return each.select(*keys, "n", "draw", F.col("blk").cast("long").alias("blk"), F.least(F.floor(u * F.col("n")), F.col("n") - 1).cast("long").alias("start"))
 
 
@@ -76,6 +85,147 @@ def drawn(starts: DataFrame, series: DataFrame, block: int, keys: list[str] | No
     return each.join(series.drop("n"), [*keys, "pos"])
 
 
+@dataclass(frozen=True)
+class Statistic:
+    """A statistic of sums: what is summed of a row, and the value from the sums by the same names.
+
+    Any such pair can be given to draw_values and row_values; mean, excess, slope and interaction are some.
+    """
+
+    parts: dict[str, Column]
+    value: Callable[[dict[str, Column]], Column]
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.try_divide(a, F.nullif(b, F.lit(0.0)))
+
+
+def _moments(**columns: Column) -> dict[str, Column]:
+    """Columns where none of them is null, with their count n."""
+    all_ = None
+    for c in columns.values():
+        all_ = c.isNotNull() if all_ is None else all_ & c.isNotNull()
+    return {"n": F.when(all_, 1.0)} | {k: F.when(all_, c.cast("double")) for k, c in columns.items()}
+
+
+def mean(x: Column) -> Statistic:
+    return Statistic(_moments(x=x), lambda s: _ratio(s["x"], s["n"]))
+
+
+def excess(x: Column, flag: Column) -> Statistic:
+    """The mean of flagged rows less the mean of all."""
+    own = F.when(flag, x)
+    return Statistic({**_moments(x=x), **{f"f{k}": c for k, c in _moments(x=own).items()}}, lambda s: _ratio(s["fx"], s["fn"]) - _ratio(s["x"], s["n"]))
+
+
+def slope_of(y: Column, x: Column, least: int = 3) -> Statistic:
+    """cov/var over rows with both values; null under `least` of them or where x doesn't vary."""
+    m = _moments(x=x, y=y)
+    parts = {"n": m["n"], "x": m["x"], "y": m["y"], "xx": m["x"] * m["x"], "xy": m["x"] * m["y"]}
+    # The determinant of equal values is rounding; what is under a share of its terms counts as none.
+    spread = lambda s: s["n"] * s["xx"] - s["x"] * s["x"]
+    varies = lambda s: F.when(spread(s) > 1e-12 * s["n"] * s["xx"], spread(s))
+    return Statistic(parts, lambda s: F.when(s["n"] >= least, F.try_divide(s["n"] * s["xy"] - s["x"] * s["y"], varies(s))))
+
+
+def interaction_of(a: Column, b: Column, y: Column) -> Statistic:
+    """The coefficient of b in y ~ 1 + a + b, by the normal equations' determinants; null where they have no solution."""
+    m = _moments(a=a, b=b, y=y)
+    parts = {**m, **{p + q: m[p] * m[q] for p, q in ("aa", "ab", "bb", "ay", "by")}}
+
+    def det(p, q, r):
+        return p[0] * (q[1] * r[2] - q[2] * r[1]) - p[1] * (q[0] * r[2] - q[2] * r[0]) + p[2] * (q[0] * r[1] - q[1] * r[0])
+
+    def value(c):
+        below = det((c["n"], c["a"], c["b"]), (c["a"], c["aa"], c["ab"]), (c["b"], c["ab"], c["bb"]))
+        return _ratio(det((c["n"], c["a"], c["y"]), (c["a"], c["aa"], c["ay"]), (c["b"], c["ab"], c["by"])), below)
+
+    return Statistic(parts, value)
+
+
+def _named(statistics: dict[str, Statistic]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The distinct parts of some statistics by column name, and their values from those columns."""
+    names: dict[str, str] = {}
+    parts, values = {}, {}
+    for k, s in statistics.items():
+        own = {}
+        for p, c in s.parts.items():
+            name = names.setdefault(str(c), f"_m{len(names)}")
+            parts[name], own[p] = c, F.col(name)
+        values[k] = s.value(own)
+    return parts, values
+
+
+def row_values(df: DataFrame, statistics: dict[str, Statistic], keys: list[str]) -> DataFrame:
+    """The statistics over the rows of each group, by name."""
+    parts, values = _named(statistics)
+    sums = df.select(*keys, *[c.alias(k) for k, c in parts.items()]).groupBy(*keys).agg(*[F.sum(k).alias(k) for k in parts])
+    return sums.select(*keys, *[v.alias(k) for k, v in values.items()])
+
+
+def _blocks(n: Column, block: int) -> Column:
+    return F.ceil(n / block)
+
+
+def _of_blocks(series: DataFrame, block: int, keys: list[str], columns: list[Column]) -> DataFrame:
+    """Each row once for each block it is in: keys, start, off (its place in the block), last (whether it is also in a last, shorter block from there)."""
+    offs = series.select(*keys, "n", "pos", *columns, F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("off"))
+    short = F.col("n") - (_blocks(F.col("n"), block) - 1) * block
+    return offs.withColumn("start", F.pmod(F.col("pos") - F.col("off"), F.col("n"))).withColumn("last", F.col("off") < short)
+
+
+def draw_values(starts: DataFrame, series: DataFrame, block: int, statistics: dict[str, Statistic], keys: list[str]) -> DataFrame:
+    """The statistics of each draw, by name: keys, draw. series: keys, pos, n and what the statistics read; starts: as hashed_starts makes them."""
+    at_least(block, 1, "block")
+    parts, values = _named(statistics)
+    each = _of_blocks(series, block, keys, [c.alias(k) for k, c in parts.items()])
+    full, short = (lambda k: F.sum(k).alias(k)), (lambda k: F.sum(F.when(F.col("last"), F.col(k))).alias(k))
+    sums = each.groupBy(*keys, "start").agg(F.struct(*map(full, parts)).alias("_full"), F.struct(*map(short, parts)).alias("_short"))
+    at_end = F.col("blk") == _blocks(F.col("n"), block) - 1
+    met = starts.join(sums, [*keys, "start"]).select(*keys, "draw", F.when(at_end, F.col("_short")).otherwise(F.col("_full")).alias("_b"))
+    sums = met.groupBy(*keys, "draw").agg(*[F.sum(f"_b.{k}").alias(k) for k in parts])
+    return sums.select(*keys, "draw", *[v.alias(k) for k, v in values.items()])
+
+
+def draw_lists(starts: DataFrame, series: DataFrame, block: int, values: dict[str, Column], keys: list[str]) -> DataFrame:
+    """The values of each draw's rows as arrays of doubles by name, without nulls and in no order: keys, draw. An array has as many values as its series, at most."""
+    each = _of_blocks(series, block, keys, [v.cast("double").alias(k) for k, v in values.items()])
+    lists = lambda on: F.struct(*[F.collect_list(F.when(on, F.col(k)) if on is not None else F.col(k)).alias(k) for k in values])
+    made = each.groupBy(*keys, "start").agg(lists(None).alias("_full"), lists(F.col("last")).alias("_short"))
+    at_end = F.col("blk") == _blocks(F.col("n"), block) - 1
+    met = starts.join(made, [*keys, "start"]).select(*keys, "draw", F.when(at_end, F.col("_short")).otherwise(F.col("_full")).alias("_b"))
+    return met.groupBy(*keys, "draw").agg(*[F.flatten(F.collect_list(f"_b.{k}")).alias(k) for k in values])
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def list_quantile(ordered: Column, q: float) -> Column:
+    """The linear quantile of a sorted array without nulls; null of an empty one."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
+def list_mean(values: Column) -> Column:
+    return _let(values, lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(v), F.lit(0)))
+
+
+def list_tail(values: Column, q: float = 0.05, least: int = 1) -> Column:
+    """The mean of an array's values at or below their q-quantile; null under `least` values."""
+    tail = lambda o: _let(list_quantile(o, q), lambda cut: list_mean(F.filter(o, lambda v: v <= cut + 1e-12)))
+    return _let(F.sort_array(values), lambda o: F.when(F.size(o) >= least, tail(o)))
+
+
+def tail_draws(starts: DataFrame, series: DataFrame, block: int, x: str, flag: str, keys: list[str], q: float = 0.05, least: int = 5) -> DataFrame:
+    """Of each draw, the tail mean of flagged rows less that of the others (difference); null where a side has under `least` rows."""
+    sides = {"up": F.when(F.col(flag), F.col(x)), "down": F.when(~F.col(flag), F.col(x))}
+    lists = draw_lists(starts, series, block, sides, keys)
+    return lists.select(*keys, "draw", (list_tail(F.col("up"), q, least) - list_tail(F.col("down"), q, least)).alias("difference"))
+
+
 def interval(per_draw: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Bounds of 95 % and p-values of the draws of a statistic; null draws are left out.
 
@@ -90,11 +240,6 @@ def interval(per_draw: DataFrame, value: str, keys: list[str]) -> DataFrame:
     )
 
 
-def slope_draws(draws: DataFrame, y: str, x: str, keys: list[str]) -> DataFrame:
-    """Of each draw, the slope of y on x; null where x doesn't vary."""
-    return draws.groupBy(*keys, "draw").agg(slope(y, x).alias("slope"))
-
-
 def shuffled_blocks(series: DataFrame, column: str, block: int, trials: int, seed: int, keys: list[str], name: str) -> DataFrame:
     """The series once for each trial, with the column's blocks in an order that hashes give (a shorter last block moves too)."""
     at_least(block, 1, "block")
@@ -113,14 +258,6 @@ def conditional_excess(draws: DataFrame, x: str, flag: Column, keys: list[str])
     return draws.groupBy(*keys, "draw").agg((F.avg(F.when(flag, F.col(x))) - F.avg(x)).alias("excess"))
 
 
-def tail_difference(draws: DataFrame, x: str, flag: str, keys: list[str], q: float = 0.05, least: int = 5) -> DataFrame:
-    """Of each draw, the tail mean of flagged rows less that of the others; null where a side has under `least` rows."""
-    cuts = draws.groupBy(*keys, "draw", flag).agg(F.percentile(x, F.lit(q)).alias("_q"), F.count(x).alias("_n"))
-    tails = draws.join(cuts, [*keys, "draw", flag]).groupBy(*keys, "draw", flag).agg(F.when(F.max("_n") >= least, F.avg(F.when(F.col(x) <= F.col("_q"), F.col(x)))).alias("tail"))
-    side = lambda b: F.max(F.when(F.col(flag) == b, F.col("tail")))
-    return tails.groupBy(*keys, "draw").agg((side(True) - side(False)).alias("difference"))
-
-
 def sign_flip_bound(series: DataFrame, x: str, bps: float, draws: int, block: int, seed: int) -> DataFrame:
     """The 95th percentile of the mean with block signs drawn at random, less two legs' cost."""
     spark, n = series.sparkSession, series.agg(F.max("n")).first()[0] or 0

@@ -39,7 +39,8 @@ def edges(df: DataFrame, series: Series = Series()) -> DataFrame:
 def rally(df: DataFrame, correction: Column, low: str = "low", series: Series = Series()) -> DataFrame:
     """Days since the lowest low of a correction: rally_day (1 on each new or equal low, 0 outside) and rally_low."""
     out = df.withColumn("_in", F.coalesce(correction, F.lit(False))).withColumn("_island", F.sum((~F.col("_in")).cast("int")).over(series.so_far))
-    w = Window.partitionBy(series.key, "_island", "_in").orderBy(series.order)
+    keys = [series.key] if isinstance(series.key, str) else series.key
+    w = Window.partitionBy(*keys, "_island", "_in").orderBy(series.order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_low", F.min(low).over(so_far)).withColumn("_n", F.row_number().over(w))
     reset = F.coalesce(F.max(F.when(F.col(low) == F.col("_low"), F.col("_n"))).over(so_far), F.lit(1))

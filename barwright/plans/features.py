@@ -72,7 +72,7 @@ def _long(value):
 
 @query(_FEATURES + f""", cf AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n, {_AHEAD}, {_HELD} FROM ft),
  bl AS (SELECT ticker, n, draw, unnest(range(CAST(ceil(n / {BLOCK}) AS BIGINT))) AS blk FROM (SELECT DISTINCT ticker, n FROM cf), range({DRAWS}) t(draw)),
- sta AS (SELECT *, least(CAST(floor(('0x' || substr(sha256('41|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE * n) AS BIGINT), n - 1) AS start FROM bl),
+ sta AS (SELECT *, least(CAST(floor(('0x' || substr(sha256('41|' || ticker || '|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE * n) AS BIGINT), n - 1) AS start FROM bl),
  ix AS (SELECT ticker, draw, blk * {BLOCK} + off AS place, (start + off) % n AS pos, n FROM sta, range({BLOCK}) o(off)),
  dr AS (SELECT i.ticker, draw, {", ".join(f"avg(r{h}) FILTER (WHERE c_{c}) - avg(r{h}) AS e_{c}_{h}" for c, h in _CASES)} FROM ix i JOIN cf USING (ticker, pos) WHERE place < i.n GROUP BY i.ticker, draw),
  dl AS ({" UNION ALL ".join(f"SELECT ticker, e_{c}_{h} AS e, '{c}' AS condition, {h} AS horizon FROM dr" for c, h in _CASES)}),
@@ -90,9 +90,8 @@ def condition_study_whole(spark, sf_dir):
     """
     f = built_features(spark, sf_dir).select("ticker", "date", *[_clip(f"future_return_{h}d").alias(f"r{h}") for h in HORIZONS], *[F.coalesce(F.expr(c.format(foreign="foreign")), F.lit(False)).alias(f"c_{k}") for k, c in CONDITIONS.items()])
     f = resample.positioned(f, "date", "ticker")
-    held = lambda c, h: F.when(F.col(f"c_{c}"), F.col(f"r{h}"))
     starts = resample.hashed_starts(f.select("ticker", "n").distinct(), ["ticker"], DRAWS, BLOCK, 41)
-    draws = resample.drawn(starts, f, BLOCK, ["ticker"]).groupBy("ticker", "draw").agg(*[(F.avg(held(c, h)) - F.avg(f"r{h}")).alias(f"e_{c}_{h}") for c, h in _CASES])
+    draws = resample.draw_values(starts, f, BLOCK, {f"e_{c}_{h}": resample.excess(F.col(f"r{h}"), F.col(f"c_{c}")) for c, h in _CASES}, ["ticker"])
     cases = lambda value: F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(h).alias("horizon"), *value(c, h)) for c, h in _CASES])).alias("s")
     keys = ["ticker", "condition", "horizon"]
     p = resample.interval(draws.select("ticker", cases(lambda c, h: [F.col(f"e_{c}_{h}").alias("e")])).select("ticker", "s.*"), "e", keys).select(*keys, "ci_low", "ci_high", F.round("p_one", 9).alias("p"))

@@ -91,10 +91,10 @@ _RANK = f"""WITH {PANEL}, e AS (SELECT *, foreign_net_value / CAST(trading_value
  bk AS (SELECT *, CASE WHEN rank <= 0.1 THEN 'bottom' WHEN rank > 1 - 0.1::DOUBLE THEN 'top' ELSE 'middle' END AS bucket FROM r)"""
 
 
-def ranked(spark, sf_dir, sectors=False):
-    """Ranks by flow within a date, or within a date's sector (the parity of the supplier)."""
+def ranked(spark, sf_dir, sectors=False, p=None):
+    """Ranks by flow within a date, or within a date's sector (the parity of the supplier); of the panel p where it is given."""
     by = ["date", "sector"] if sectors else ["date"]
-    e = panel(spark, sf_dir).where("is_listed AND is_tradable AND trading_value >= 1000000 AND open > 0 AND close > 0").withColumn("x", F.col("foreign_net_value") / F.col("trading_value"))
+    e = (panel(spark, sf_dir) if p is None else p).where("is_listed AND is_tradable AND trading_value >= 1000000 AND open > 0 AND close > 0").withColumn("x", F.col("foreign_net_value") / F.col("trading_value"))
     e = e.withColumn("sector", F.col("ticker").cast("long") % 2)
     return xsection.first_rank_share(xsection.large_groups(e, by, 10), "x", by, ["ticker"]).withColumn("bucket", xsection.bucket(F.col("rank"), 0.1))
 
@@ -341,10 +341,11 @@ _TRADES = _RANK + """, cal AS (SELECT date, row_number() OVER (ORDER BY date) AS
  tr AS (SELECT *, exit_close / entry_open - 1 AS gross FROM al WHERE ok)"""
 
 
-def built(spark, sf_dir, lag=2, horizon=2, sectors=False):
-    p = panel(spark, sf_dir)
+def built(spark, sf_dir, lag=2, horizon=2, sectors=False, p=None):
+    """The trades of the ranks: entry `lag` dates after the signal, exit on the horizon's last date."""
+    p = panel(spark, sf_dir) if p is None else p
     days = timejoin.calendar(p)
-    s = ranked(spark, sf_dir, sectors).select(F.col("date").alias("signal_date"), "ticker", "bucket")
+    s = ranked(spark, sf_dir, sectors, p).select(F.col("date").alias("signal_date"), "ticker", "bucket")
     s = timejoin.shifted(s, days, "signal_date", lag, "entry_date")
     s = timejoin.shifted(s, days, "entry_date", horizon - 1, "exit_date").dropna(subset=["entry_date", "exit_date"])
     entry = p.select(F.col("date").alias("entry_date"), "ticker", F.col("open").alias("entry_open"), (F.col("is_listed") & F.col("is_tradable")).alias("entry_ok"))

@@ -8,7 +8,7 @@ from ..functions.rolling import Series
 from ..operators import resample, stats
 from ..sources.derive import BARS, FLOWS, bars, flows
 from .registry import query, r6
-from .studies import _GATES, GATES, WHOLE, gates
+from .studies import _GATES, GATES, WHOLE, gate_sides, gates
 
 S = Series()
 BLOCK, ROLLING, HORIZONS = 5, 250, (20, 60, 120, 250)
@@ -20,7 +20,7 @@ def _index_sql(rows: str, seed: int) -> str:
     """The table ix: of every draw of every ticker of `rows`, the position that stands at each place."""
     return f""", ln AS (SELECT DISTINCT ticker, n FROM {rows}),
  bl AS (SELECT ticker, n, draw, unnest(range(CAST(ceil(n / {BLOCK}) AS BIGINT))) AS blk FROM ln, range({WHOLE}) t(draw)),
- un AS (SELECT *, ('0x' || substr(sha256('{seed}|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE AS u FROM bl),
+ un AS (SELECT *, ('0x' || substr(sha256('{seed}|' || ticker || '|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE AS u FROM bl),
  sta AS (SELECT *, least(CAST(floor(u * n) AS BIGINT), n - 1) AS start FROM un),
  ix AS (SELECT ticker, draw, blk * {BLOCK} + off AS place, (start + off) % n AS pos, n FROM sta, range({BLOCK}) o(off))"""
 
@@ -37,9 +37,8 @@ def _q_sql(p: str, family: str) -> tuple[str, str]:
     return raw, f"CASE WHEN {p} IS NOT NULL THEN round(least(1.0, min(raw_{p}) OVER ({frame})), 6) END"
 
 
-def _draws(series, seed):
-    starts = resample.hashed_starts(series.select("ticker", "n").distinct(), ["ticker"], WHOLE, BLOCK, seed)
-    return resample.drawn(starts, series, BLOCK, ["ticker"])
+def _starts(series, seed):
+    return resample.hashed_starts(series.select("ticker", "n").distinct(), ["ticker"], WHOLE, BLOCK, seed)
 
 
 # Flows of parties and the next day's move.
@@ -90,10 +89,10 @@ def party_slopes(spark, sf_dir):
     A draw serves all parties of a ticker.
     """
     p = resample.positioned(_next(spark, sf_dir), "date", "ticker")
-    slopes = [stats.slope("next_open", f"x_{c}").alias(c) for c in PARTIES]
-    per_draw = _draws(p, 51).groupBy("ticker", "draw").agg(*slopes).unpivot(["ticker", "draw"], PARTIES, "party", "slope")
+    slopes = {c: resample.slope_of(F.col("next_open"), F.col(f"x_{c}")) for c in PARTIES}
+    per_draw = resample.draw_values(_starts(p, 51), p, BLOCK, slopes, ["ticker"]).unpivot(["ticker", "draw"], PARTIES, "party", "slope")
     found = resample.interval(per_draw, "slope", ["ticker", "party"]).withColumn("p_two", F.round("p_two", 9))
-    own = p.groupBy("ticker").agg(*slopes).unpivot(["ticker"], PARTIES, "party", "slope")
+    own = resample.row_values(p, slopes, ["ticker"]).unpivot(["ticker"], PARTIES, "party", "slope")
     out = stats.false_discovery(own.join(found, ["ticker", "party"]), "p_two", "q", ["ticker"])
     return out.select("ticker", "party", *[F.round(c, 4).alias(c) for c in ("slope", "ci_low", "ci_high")], r6("p_two").alias("p_two"), r6("q").alias("q"))
 
@@ -113,8 +112,9 @@ def _interaction_sql(rows: str, keys: str) -> str:
 def interaction_study(spark, sf_dir):
     """Whether a party's flow says more of the next day's move as time goes on: the coefficient, its interval and p of block draws of whole rows."""
     p = resample.positioned(stats.with_time(_next(spark, sf_dir), "next_open", "x_p1", ["ticker"], "date"), "date", "ticker")
-    found = resample.interval(stats.interaction(_draws(p, 52), ["ticker", "draw"]), "interaction", ["ticker"])
-    out = stats.interaction(p, ["ticker"]).join(found, "ticker").join(p.select("ticker", "n").distinct(), "ticker")
+    own = {"interaction": resample.interaction_of(F.col("a"), F.col("b"), F.col("y"))}
+    found = resample.interval(resample.draw_values(_starts(p, 52), p, BLOCK, own, ["ticker"]), "interaction", ["ticker"])
+    out = resample.row_values(p, own, ["ticker"]).join(found, "ticker").join(p.select("ticker", "n").distinct(), "ticker")
     return out.select("ticker", "n", *[F.round(c, 4).alias(c) for c in ("interaction", "ci_low", "ci_high")], r6("p_two").alias("p_two"))
 
 
@@ -146,15 +146,14 @@ def gate_effects_whole(spark, sf_dir):
     """
     g = gates(spark, sf_dir).withColumn("active", F.coalesce(F.lag("ret").over(S.rows) > 0, F.lit(False))).where("active")
     p = resample.positioned(g, "date", "ticker").select("ticker", "pos", "n", "ret", *GATES)
-    drawn = _draws(p, 53).select("ticker", "draw", "ret", *GATES).unionByName(p.select("ticker", F.lit(-1).cast("long").alias("draw"), "ret", *GATES))
-    on = {(gate, side): F.when(F.col(gate) == (side == "risky"), F.col("ret")) for gate in GATES for side in ("risky", "clear")}
-    cut = drawn.groupBy("ticker", "draw").agg(*[F.percentile(x, F.lit(0.05)).alias(f"_q_{g}_{s}") for (g, s), x in on.items()])
+    sides = gate_sides()
+    drawn = resample.draw_lists(_starts(p, 53), p, BLOCK, sides, ["ticker"])
+    whole = p.groupBy("ticker").agg(F.lit(-1).cast("long").alias("draw"), *[F.collect_list(v).alias(k) for k, v in sides.items()])
     facts = {
-        "n": lambda x, q: F.nullif(F.count(x), F.lit(0)), "mean": lambda x, q: F.avg(x), "losing": lambda x, q: F.avg(F.when(x.isNotNull(), (x < 0).cast("double"))),
-        "tail": lambda x, q: F.avg(F.when(x <= q + 1e-12, x)),
+        "n": lambda v: F.nullif(F.size(v), F.lit(0)), "mean": resample.list_mean, "losing": lambda v: F.size(F.filter(v, lambda x: x < 0)) / F.nullif(F.size(v), F.lit(0)), "tail": resample.list_tail,
     }
-    made = [F.struct(F.lit(g).alias("gate"), *[f(on[g, s], F.col(f"_q_{g}_{s}")).alias(f"{s}_{k}") for k, f in facts.items() for s in ("risky", "clear")]) for g in GATES]
-    wide = drawn.join(cut, ["ticker", "draw"]).groupBy("ticker", "draw").agg(F.array(*made).alias("f")).select("ticker", "draw", F.explode("f").alias("f")).select("ticker", "draw", "f.*")
+    made = [F.struct(F.lit(g).alias("gate"), *[f(F.col(f"{'up' if s == 'risky' else 'no'}_{g}")).alias(f"{s}_{k}") for k, f in facts.items() for s in ("risky", "clear")]) for g in GATES]
+    wide = drawn.unionByName(whole).select("ticker", "draw", F.explode(F.array(*made)).alias("f")).select("ticker", "draw", "f.*")
     enough = (F.col("risky_n") >= 5) & (F.col("clear_n") >= 5)
     wide = wide.withColumn("mean_difference", F.col("risky_mean") - F.col("clear_mean")).withColumn("tail_difference", F.when(enough, F.col("risky_tail") - F.col("clear_tail")))
     out = wide.where("draw = -1").drop("draw")

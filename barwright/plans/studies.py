@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import Series
 from ..operators import accounting, resample, stats, xsection
+from ..session import kept
 from ..sources.derive import BARS, FLOWS, bars, flows
-from .panels import _PARTY, _parties, built
+from .panels import _PARTY, _parties
 from .registry import query, r6
 
 S = Series()
@@ -102,7 +103,7 @@ def _hashed_sql(draws, seed):
     """The draws of every ticker as the table dr."""
     return f"""WITH {BARS}, po AS (SELECT ticker, ret * 100 AS r, volume > 1 AS busy, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars),
  ln AS (SELECT DISTINCT ticker, n FROM po), bl AS (SELECT ticker, n, draw, unnest(range(CAST(ceil(n / {_BLOCK}) AS BIGINT))) AS blk FROM ln, range({draws}) t(draw)),
- sta AS (SELECT *, least(CAST(floor(('0x' || substr(sha256('{seed}|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE * n) AS BIGINT), n - 1) AS start FROM bl),
+ sta AS (SELECT *, least(CAST(floor(('0x' || substr(sha256('{seed}|' || ticker || '|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE * n) AS BIGINT), n - 1) AS start FROM bl),
  ix AS (SELECT ticker, draw, blk * {_BLOCK} + off AS place, (start + off) % n AS pos, n FROM sta, range({_BLOCK}) o(off)), dr AS (SELECT i.ticker, draw, r, busy FROM ix i JOIN po USING (ticker, pos) WHERE place < i.n)"""
 
 
@@ -114,7 +115,7 @@ _EXCESS = """, ex AS (SELECT ticker, draw, avg(r) FILTER (WHERE busy) - avg(r) A
 def _hashed(spark, sf_dir, draws):
     p = _positions(spark, sf_dir)
     starts = resample.hashed_starts(p.select("ticker", "n").distinct(), ["ticker"], draws, _BLOCK, 11)
-    d = resample.conditional_excess(resample.drawn(starts, p, _BLOCK, ["ticker"]), "r", F.col("busy"), ["ticker"])
+    d = resample.draw_values(starts, p, _BLOCK, {"excess": resample.excess(F.col("r"), F.col("busy"))}, ["ticker"])
     return resample.interval(d, "excess", ["ticker"]).select("ticker", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), r6("p_one").alias("p_one"))
 
 
@@ -147,7 +148,7 @@ def bootstrap_tail(spark, sf_dir):
     """Block draws of the difference of tail means between busy and calm rows. The twin's quantile of equal values may fall short of them by a rounding."""
     p = _positions(spark, sf_dir)
     starts = resample.hashed_starts(p.select("ticker", "n").distinct(), ["ticker"], WHOLE, _BLOCK, 12)
-    found = resample.interval(resample.tail_difference(resample.drawn(starts, p, _BLOCK, ["ticker"]), "r", "busy", ["ticker"]), "difference", ["ticker"])
+    found = resample.interval(resample.tail_draws(starts, p, _BLOCK, "r", "busy", ["ticker"]), "difference", ["ticker"])
     return found.withColumns({c: r6(c) for c in ("ci_low", "ci_high", "p_one", "p_two")})
 
 
@@ -165,14 +166,17 @@ def sign_flip_placebo(spark, sf_dir):
 
 # Gates
 
+#: Rows among which a gate ranks a value.
+RANK_ROWS = 250
+
 _GATES = f"""WITH {FLOWS}, rr AS (SELECT ticker, date, 2.0::DOUBLE * (close - open) / (close + open) AS ret, p1 / 100.0::DOUBLE AS p1, p2 / 100.0::DOUBLE AS p2, value_cents / 100.0::DOUBLE AS bal FROM flow),
  v AS (SELECT *, CASE WHEN count(ret) OVER w = 20 THEN round(stddev_samp(ret) OVER w, 9) END AS vol, CASE WHEN count(p1) OVER f = 5 THEN sum(p1) OVER f END AS s1, CASE WHEN count(p2) OVER f = 5 THEN round(sum(p2) OVER f, 4) END AS s2, round(bal / lag(bal, 20) OVER o - 1, 9) AS gr FROM rr
   WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), o AS (PARTITION BY ticker ORDER BY date)),
- lk AS (SELECT *, list(vol) OVER w AS hv, list(s2) OVER w AS h2, list(gr) OVER w AS hg FROM v WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+ lk AS (SELECT *, list(vol) OVER w AS hv, list(s2) OVER w AS h2, list(gr) OVER w AS hg FROM v WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {RANK_ROWS - 1} PRECEDING AND CURRENT ROW)),
  fl AS (SELECT ticker, date, list_filter(hv, lambda x: x IS NOT NULL) AS hv, list_filter(h2, lambda x: x IS NOT NULL) AS h2, list_filter(hg, lambda x: x IS NOT NULL) AS hg, vol, s1, s2, gr, ret FROM lk),
- gt AS (SELECT ticker, date, ret, coalesce(CASE WHEN len(hv) = 100 THEN (len(list_filter(hv, lambda x: x < vol)) + (len(list_filter(hv, lambda x: x = vol)) + 1) / 2) / 100 >= 0.8 END, false) AS hot_vol, coalesce(s1 < 0, false) AS outflow,
-  coalesce(CASE WHEN len(h2) = 100 THEN (len(list_filter(h2, lambda x: x < s2)) + (len(list_filter(h2, lambda x: x = s2)) + 1) / 2) / 100 >= 0.8 END, false) AS hot_buyers,
-  coalesce(CASE WHEN len(hg) = 100 AND gr IS NOT NULL THEN (len(list_filter(hg, lambda x: x < gr)) + (len(list_filter(hg, lambda x: x = gr)) + 1) / 2) / 100 >= 0.8 END, false) AS surge0 FROM fl),
+ gt AS (SELECT ticker, date, ret, coalesce(CASE WHEN len(hv) = {RANK_ROWS} THEN (len(list_filter(hv, lambda x: x < vol)) + (len(list_filter(hv, lambda x: x = vol)) + 1) / 2) / {RANK_ROWS} >= 0.8 END, false) AS hot_vol, coalesce(s1 < 0, false) AS outflow,
+  coalesce(CASE WHEN len(h2) = {RANK_ROWS} THEN (len(list_filter(h2, lambda x: x < s2)) + (len(list_filter(h2, lambda x: x = s2)) + 1) / 2) / {RANK_ROWS} >= 0.8 END, false) AS hot_buyers,
+  coalesce(CASE WHEN len(hg) = {RANK_ROWS} AND gr IS NOT NULL THEN (len(list_filter(hg, lambda x: x < gr)) + (len(list_filter(hg, lambda x: x = gr)) + 1) / 2) / {RANK_ROWS} >= 0.8 END, false) AS surge0 FROM fl),
  gts AS (SELECT ticker, date, ret, hot_vol, outflow, hot_buyers, coalesce(lag(surge0) OVER (PARTITION BY ticker ORDER BY date), false) AS surge FROM gt)"""
 GATES = ["hot_vol", "outflow", "hot_buyers", "surge"]
 
@@ -180,7 +184,7 @@ GATES = ["hot_vol", "outflow", "hot_buyers", "surge"]
 def gates(spark, sf_dir):
     f = flows(spark, sf_dir).select("ticker", "date", (2.0 * (F.col("close") - F.col("open")) / (F.col("close") + F.col("open"))).alias("ret"), (F.col("p1") / 100.0).alias("p1"), (F.col("p2") / 100.0).alias("p2"), (F.col("value_cents") / 100.0).alias("bal"))
     f = f.withColumn("vol", F.round(S.over(F.stddev_samp, "ret", -19, 0), 9)).withColumn("s1", S.over(F.sum, "p1", -4, 0)).withColumn("s2", F.round(S.over(F.sum, "p2", -4, 0), 4)).withColumn("gr", F.round(S.change("bal", 20), 9))
-    high = lambda c: F.coalesce(S.trailing_rank(c, 100) >= 0.8, F.lit(False))
+    high = lambda c: F.coalesce(S.trailing_rank(c, RANK_ROWS) >= 0.8, F.lit(False))
     f = f.select("ticker", "date", "ret", high("vol").alias("hot_vol"), F.coalesce(F.col("s1") < 0, F.lit(False)).alias("outflow"), high("s2").alias("hot_buyers"), high("gr").alias("surge0"))
     return f.withColumn("surge", F.lag("surge0", 1, False).over(S.rows)).drop("surge0")
 
@@ -241,105 +245,97 @@ def fold_join(spark, sf_dir):
     return j.groupBy("ticker", "fold").agg(F.count_if(train).alias("train_rows"), F.count_if(test).alias("test_rows"), r6(F.avg(F.when(train, F.col("ret")))).alias("train_mean"), r6(F.avg(F.when(test, F.col("ret")))).alias("test_mean"))
 
 
-@query()
-def walkforward_selection(spark, sf_dir):
-    """Of each fold and gate: the training rows' tail difference with its block bootstrap, and whether the gate is chosen."""
-    g = gates(spark, sf_dir).unpivot(["ticker", "date", "ret"], GATES, "gate", "up")
-    n = gates(spark, sf_dir).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    folds = n.select("ticker", F.explode(resample.folds(F.col("n"), 250, 250, 84)).alias("f")).select("ticker", "f.*")
-    from pyspark.sql import Window
-
-    g = g.withColumn("at", F.row_number().over(Window.partitionBy("ticker", "gate").orderBy("date")) - 1)
-    train = g.join(folds, "ticker").where("at >= train_start AND at < test_start")
-    keys = ["ticker", "gate", "fold"]
-    train = train.withColumn("pos", (F.col("at") - F.col("train_start")).cast("long")).withColumn("n", (F.col("test_start") - F.col("train_start")).cast("long")).select(*keys, "pos", "n", "ret", "up")
-    facts = train.groupBy(*keys).agg(F.count_if("up").alias("flagged"), F.count_if(~F.col("up")).alias("clear"))
-    whole = resample.tail_difference(train.withColumn("draw", F.lit(0)), "ret", "up", keys).select(*keys, F.col("difference").alias("observed"))
+_TRAIN = _GATES + """, ps AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY ticker) AS n FROM gts),
+ k AS (SELECT DISTINCT ticker, n, unnest(range(0, 1000)) AS k FROM ps),
+ fo AS (SELECT ticker, CAST(k + 1 AS INTEGER) AS fold, 250 AS train_start, 500 + k * 84 AS test_start, least(500 + (k + 1) * 84, n) AS test_end
+  FROM k WHERE 500 + k * 84 < n AND least(500 + (k + 1) * 84, n) - (500 + k * 84) >= 42),
+ tr AS (SELECT ps.ticker, fold, idx - train_start AS pos, test_start - train_start AS n, ret, hot_vol, outflow, hot_buyers, surge
+  FROM ps JOIN fo ON ps.ticker = fo.ticker AND idx >= train_start AND idx < test_start)"""
+
+
+def _sides(form: str) -> str:
+    return ", ".join(form.format(g=g, s=s, on=on) for g in GATES for s, on in (("up", g), ("no", f"NOT {g}")))
+
+
+def _tails(rows: str, keys: str) -> str:
+    """Of each draw the tail of each gate's two sides, of five values at least."""
+    cuts = _sides("quantile_cont(ret, 0.05) FILTER (WHERE {on}) AS q_{s}_{g}, count(ret) FILTER (WHERE {on}) AS n_{s}_{g}")
+    tails = _sides("CASE WHEN max(n_{s}_{g}) >= 5 THEN avg(ret) FILTER (WHERE {on} AND ret <= q_{s}_{g} + 1e-12) END AS t_{s}_{g}")
+    return f"""SELECT {keys}, {', '.join(f't_up_{g} - t_no_{g} AS {g}' for g in GATES)}
+  FROM (SELECT {keys}, {tails} FROM {rows} JOIN (SELECT {keys}, {cuts} FROM {rows} GROUP BY {keys}) USING ({keys}) GROUP BY {keys})"""
+
+
+_SELECTION = _TRAIN + f""", ln AS (SELECT DISTINCT ticker, fold, n FROM tr),
+ bl AS (SELECT ticker, fold, n, draw, unnest(range(CAST(ceil(n / 5) AS BIGINT))) AS blk FROM ln, range({OF_GATE}) t(draw)),
+ un AS (SELECT *, ('0x' || substr(sha256('21|' || ticker || '|' || fold || '|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE AS u FROM bl),
+ sta AS (SELECT *, least(CAST(floor(u * n) AS BIGINT), n - 1) AS start FROM un),
+ ix AS (SELECT ticker, fold, draw, blk * 5 + off AS place, (start + off) % n AS pos, n FROM sta, range(5) o(off)),
+ dr AS (SELECT i.ticker, i.fold, draw, ret, hot_vol, outflow, hot_buyers, surge FROM ix i JOIN tr ON i.ticker = tr.ticker AND i.fold = tr.fold AND i.pos = tr.pos WHERE place < i.n),
+ dd AS (UNPIVOT ({_tails("dr", "ticker, fold, draw")}) ON hot_vol, outflow, hot_buyers, surge INTO NAME gate VALUE d),
+ pv AS (SELECT ticker, fold, gate, round(least(1.0, 2 * least((count(*) FILTER (WHERE d <= 0) + 1) / (count(d) + 1), (count(*) FILTER (WHERE d >= 0) + 1) / (count(d) + 1))), 9) AS p_two
+  FROM dd WHERE d IS NOT NULL GROUP BY ALL),
+ ob AS (UNPIVOT ({_tails("tr", "ticker, fold")}) ON hot_vol, outflow, hot_buyers, surge INTO NAME gate VALUE observed),
+ lg AS (UNPIVOT (SELECT ticker, fold, hot_vol, outflow, hot_buyers, surge FROM tr) ON hot_vol, outflow, hot_buyers, surge INTO NAME gate VALUE up),
+ ct AS (SELECT ticker, gate, fold, count(*) FILTER (WHERE up) AS flagged, count(*) FILTER (WHERE NOT up) AS clear FROM lg GROUP BY ALL),
+ sel AS (SELECT ct.*, observed, p_two, coalesce(flagged >= 10 AND clear >= 10 AND observed < 0 AND p_two < 0.10, false) AS chosen
+  FROM ct LEFT JOIN ob USING (ticker, gate, fold) LEFT JOIN pv USING (ticker, gate, fold))"""
+
+
+def gate_sides():
+    """The returns while each gate is up and while it isn't, by name."""
+    return {f"{s}_{g}": F.when(F.col(g) == (s == "up"), F.col("ret")) for g in GATES for s in ("up", "no")}
+
+
+def _training(g):
+    """The training rows of each fold with their place among them, and the folds."""
+    at = resample.positioned(g, "date", "ticker")
+    folds = at.select("ticker", "n").distinct().select("ticker", F.explode(resample.folds(F.col("n"), 250, 250, 84)).alias("f")).select("ticker", "f.*")
+    train = at.drop("n").join(folds, "ticker").where("pos >= train_start AND pos < test_start")
+    place, n = (F.col("pos") - F.col("train_start")).cast("long"), (F.col("test_start") - F.col("train_start")).cast("long")
+    return train.select("ticker", "fold", place.alias("pos"), n.alias("n"), "ret", *GATES), folds
+
+
+def selected_gates(g):
+    """Of each fold and gate: the training rows' tail difference with its block bootstrap, and whether the gate is chosen. A draw serves all gates of a fold."""
+    train, _ = _training(g)
+    keys = ["ticker", "fold"]
+    counts = [F.struct(F.lit(x).alias("gate"), F.count_if(x).alias("flagged"), F.count_if(~F.col(x)).alias("clear")) for x in GATES]
+    facts = train.groupBy(*keys).agg(F.array(*counts).alias("g")).select(*keys, F.explode("g").alias("g")).select(*keys, "g.*")
+    sides = gate_sides()
+    tails = [F.struct(F.lit(x).alias("gate"), (resample.list_tail(F.col(f"up_{x}"), least=5) - resample.list_tail(F.col(f"no_{x}"), least=5)).alias("difference")) for x in GATES]
+    each = lambda df, more: df.select(*keys, *more, F.explode(F.array(*tails)).alias("t")).select(*keys, *more, "t.*")
+    whole = each(train.groupBy(*keys).agg(*[F.collect_list(v).alias(k) for k, v in sides.items()]), []).withColumnRenamed("difference", "observed")
     starts = resample.hashed_starts(train.select(*keys, "n").distinct(), keys, OF_GATE, 5, 21)
-    p = resample.interval(resample.tail_difference(resample.drawn(starts, train, 5, keys), "ret", "up", keys), "difference", keys)
-    out = facts.join(whole, keys, "left").join(p.select(*keys, "p_two"), keys, "left")
+    draws = each(resample.draw_lists(starts, train, 5, sides, keys), ["draw"])
+    p = resample.interval(draws, "difference", [*keys, "gate"]).select(*keys, "gate", F.round("p_two", 9).alias("p_two"))
+    out = facts.join(whole, [*keys, "gate"], "left").join(p, [*keys, "gate"], "left")
     chosen = (F.col("flagged") >= 10) & (F.col("clear") >= 10) & (F.col("observed") < 0) & (F.col("p_two") < 0.10)
     return out.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
 
 
+@query(_SELECTION + " SELECT ticker, gate, fold, flagged, clear, round(observed, 6) AS observed, round(p_two, 6) AS p_two, chosen FROM sel")
+def walkforward_selection(spark, sf_dir):
+    out = selected_gates(kept(gates(spark, sf_dir), "gates"))
+    return out.select("ticker", "gate", "fold", "flagged", "clear", r6("observed").alias("observed"), r6("p_two").alias("p_two"), "chosen")
+
+
 # Walk-forward weights: the gates chosen in training halve the weight in the fold's test rows.
 
 
-@query()
+@query(_SELECTION + """, te AS (SELECT ps.ticker, date, fold, ret, hot_vol, outflow, hot_buyers, surge FROM ps JOIN fo ON ps.ticker = fo.ticker AND idx >= test_start AND idx < test_end),
+ tl AS (UNPIVOT te ON hot_vol, outflow, hot_buyers, surge INTO NAME gate VALUE up),
+ n AS (SELECT t.ticker, t.date, t.fold, any_value(ret) AS ret, count(*) FILTER (WHERE chosen) AS n_chosen, count(*) FILTER (WHERE chosen AND up) AS n_up
+  FROM tl t JOIN sel s ON t.ticker = s.ticker AND t.fold = s.fold AND t.gate = s.gate GROUP BY t.ticker, t.date, t.fold)
+ SELECT ticker, date, fold, n_chosen, n_up, CASE WHEN n_chosen > 0 AND n_up >= least(2, n_chosen) THEN 0.5 ELSE 1.0 END::DOUBLE AS weight, ret FROM n""", "date")
 def walkforward_weights(spark, sf_dir):
     """Of each test row: gates chosen for its fold, how many are up, and the weight (two up, or the only one, halve it)."""
-    g = gates(spark, sf_dir)
-    folds = g.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).select("ticker", F.explode(resample.folds(F.col("n"), 250, 250, 84)).alias("f")).select("ticker", "f.*")
+    g = kept(gates(spark, sf_dir), "gates")
     at = resample.positioned(g, "date", "ticker").drop("n")
-    test = at.join(folds, "ticker").where("pos >= test_start AND pos < test_end").unpivot(["ticker", "date", "fold", "ret"], GATES, "gate", "up")
-    chosen = walkforward_selection(spark, sf_dir).where("chosen").select("ticker", "fold", "gate", F.lit(1).alias("own"))
-    rows = test.join(chosen, ["ticker", "fold", "gate"], "left").groupBy("ticker", "date", "fold", "ret").agg(F.count("own").alias("n_chosen"), F.count_if(F.col("up") & F.col("own").isNotNull()).alias("n_up"))
+    _, folds = _training(g)
+    test = at.join(folds, "ticker").where("pos >= test_start AND pos < test_end")
+    chosen = selected_gates(g).where("chosen").groupBy("ticker", "fold").agg(F.collect_set("gate").alias("own"))
+    rows = test.join(chosen, ["ticker", "fold"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    up = sum((F.when(F.col(x) & F.array_contains("own", x), 1).otherwise(0) for x in GATES), F.lit(0)).cast("long")
+    rows = rows.withColumn("n_chosen", F.size("own").cast("long")).withColumn("n_up", up)
     risky = (F.col("n_chosen") > 0) & (F.col("n_up") >= F.least(F.lit(2), F.col("n_chosen")))
-    return rows.select("ticker", F.col("date").cast("string").alias("date"), "fold", "n_chosen", "n_up", F.when(risky, 0.5).otherwise(1.0).alias("weight"), "ret")
-
-
-# Hypotheses: detail by segment and cost, q-values and decisions.
-
-SEGMENTS = [("research", None, "1997-12-31"), ("validation", "1997-12-31", "1999-12-31"), ("holdout", "1999-12-31", None)]
-#: Name, holding periods, whether ranks are within sectors.
-HYPOTHESES = [("H1", 1, False), ("H2", 5, False), ("H3", 1, True)]
-COSTS = [1.0, 1.5, 2.0]
-
-
-@query()
-def hypothesis_detail(spark, sf_dir, bps=30.0, draws=OF_HYPOTHESIS, block=10):
-    """Three hypotheses by three costs by three segments: means, bootstrap bounds, placebo, risk, and q-values of the holdout."""
-    out = None
-    for name, horizon, sectors in HYPOTHESES:
-        s = accounting.spreads(built(spark, sf_dir, horizon=horizon, sectors=sectors).where("executable"), horizon, 0.0)
-        part = s.withColumn("hypothesis", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    segment = F.lit(None).cast("string")
-    for name, after, until in SEGMENTS:
-        inside = (F.col("entry_date") > F.lit(after or "0001-01-01").cast("date")) & (F.col("entry_date") <= F.lit(until or "9999-12-31").cast("date"))
-        segment = F.when(inside, name).otherwise(segment)
-    each = out.withColumn("segment", segment).withColumn("cost", F.explode(F.array(*map(F.lit, COSTS)))).withColumn("leg", F.col("cost") * bps / 10_000)
-    each = each.select("hypothesis", "cost", "segment", F.concat_ws("|", "hypothesis", F.col("cost").cast("string"), "segment").alias("run"), F.col("entry_date").alias("date"), "leg", (F.col("top") - F.col("leg")).alias("top_net"), (F.col("top") - F.col("bottom")).alias("gross"), (F.col("top") - F.col("bottom") - 2 * F.col("leg")).alias("spread_net"), "top_excess")
-    facts = each.groupBy("run", "hypothesis", "cost", "segment").agg(F.count(F.lit(1)).alias("observations"), F.avg("spread_net").alias("spread_net_mean"), F.avg("top_net").alias("top_net_mean"), F.avg("top_excess").alias("top_excess"))
-    p = resample.positioned(each, "date", "run").select("run", "pos", "n", "top_net", "spread_net", "gross", "leg")
-    sizes = p.select("run", "n").distinct()
-    drawn = resample.drawn(resample.hashed_starts(sizes, ["run"], draws, block, 31), p, block, ["run"]).groupBy("run", "draw").agg(F.avg("top_net").alias("top"), F.avg("spread_net").alias("spread"))
-    for c in ("spread", "top"):
-        i = resample.interval(drawn, c, ["run"])
-        facts = facts.join(i.select("run", F.col("ci_low").alias(f"{c}_ci_low"), F.col("ci_high").alias(f"{c}_ci_high"), F.col("p_one").alias(f"{c}_p")), "run", "left")
-    signs = p.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("sign", F.when(F.pmod(F.xxhash64(F.lit(5), "run", "draw", F.floor(F.col("pos") / block)), F.lit(2)) == 0, -1.0).otherwise(1.0))
-    flipped = signs.groupBy("run", "draw").agg((F.avg(F.col("gross") * F.col("sign")) - 2 * F.max("leg")).alias("m")).groupBy("run").agg(F.percentile("m", F.lit(0.95)).alias("placebo_95"))
-    risk = accounting.risk(each.select("run", "date", "top_net"), "top_net", Series("run"))
-    facts = facts.join(flipped, "run", "left").join(risk, "run", "left").drop("run")
-    # q-values are over the holdout's hypotheses of one cost; other segments have none.
-    held = F.col("segment") == "holdout"
-    for c in ("spread", "top"):
-        facts = stats.false_discovery(facts.withColumn("_p", F.when(held, F.col(f"{c}_p"))), "_p", f"{c}_q", ["cost"]).drop("_p")
-    return facts
-
-
-@query()
-def hypothesis_decision(spark, sf_dir, least=12, most_drawdown=0.9):
-    """PASS, FAIL or NOT_READY of each hypothesis at double cost, with the checks that fail.
-
-    NOT_READY: too few observations in validation or holdout, or selected rows without a price on entry or exit.
-    """
-    d = hypothesis_detail(spark, sf_dir).where("cost = 2.0")
-    side = lambda s: d.where(F.col("segment") == s).select("hypothesis", F.struct(*[c for c in d.columns if c != "hypothesis"]).alias(s))
-    both = side("validation").join(side("holdout"), "hypothesis", "full")
-    gone = None
-    for name, horizon, sectors in HYPOTHESES:
-        m = built(spark, sf_dir, horizon=horizon, sectors=sectors).agg(F.count_if(F.col("bucket").isin("top", "bottom") & ~F.col("executable")).alias("missing")).withColumn("hypothesis", F.lit(name))
-        gone = m if gone is None else gone.unionByName(m)
-    both = both.join(gone, "hypothesis", "left")
-    v, h = F.col("validation"), F.col("holdout")
-    checks = {
-        "validation's return bound above 0": v["top_ci_low"] > 0, "holdout's return q below 0.05": h["top_q"] < 0.05, "returns above 0": (v["top_net_mean"] > 0) & (h["top_net_mean"] > 0),
-        "validation's spread bound above 0": v["spread_ci_low"] > 0, "holdout's spread q below 0.05": h["spread_q"] < 0.05, "holdout's spread above its placebo": h["spread_net_mean"] > h["placebo_95"],
-        "above the universe": (v["top_excess"] > 0) & (h["top_excess"] > 0), "drawdown within bounds": (v["mdd"] >= -most_drawdown) & (h["mdd"] >= -most_drawdown),
-    }
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]))
-    few = F.coalesce((v["observations"] < least) | (h["observations"] < least), F.lit(True))
-    waits = F.array_compact(F.array(F.when(few, "too few observations"), F.when(F.col("missing") > 0, F.concat(F.col("missing").cast("string"), F.lit(" selected rows without prices")))))
-    status = F.when(F.size(waits) > 0, "NOT_READY").when(F.size(failed) > 0, "FAIL").otherwise("PASS")
-    return both.select("hypothesis", status.alias("status"), F.concat_ws("; ", waits).alias("waits"), F.concat_ws("; ", failed).alias("failed"))
+    return rows.select("ticker", "date", "fold", "n_chosen", "n_up", F.when(risky, 0.5).otherwise(1.0).alias("weight"), "ret")

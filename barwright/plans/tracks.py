@@ -200,7 +200,7 @@ def _xy(spark, sf_dir):
 
 
 @query(_XY + f""", ln AS (SELECT DISTINCT ticker, n FROM xy WHERE n >= {4 * BLOCK}), bl AS (SELECT ticker, n, draw, unnest(range(CAST(ceil(n / {BLOCK}) AS BIGINT))) AS blk FROM ln, range({DRAWS}) t(draw)),
- sta AS (SELECT *, least(CAST(floor(('0x' || substr(sha256('21|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE * n) AS BIGINT), n - 1) AS start FROM bl),
+ sta AS (SELECT *, least(CAST(floor(('0x' || substr(sha256('21|' || ticker || '|' || draw || '|' || blk), 1, 8))::BIGINT / 4294967295.0::DOUBLE * n) AS BIGINT), n - 1) AS start FROM bl),
  ix AS (SELECT ticker, draw, blk * {BLOCK} + off AS place, (start + off) % n AS pos, n FROM sta, range({BLOCK}) o(off)),
  dr AS (SELECT i.ticker, draw, regr_slope(y, x) AS slope FROM ix i JOIN xy USING (ticker, pos) WHERE place < i.n GROUP BY i.ticker, draw),
  ob AS (SELECT ticker, regr_slope(y, x) AS slope FROM xy GROUP BY ticker)
@@ -211,7 +211,7 @@ def bootstrap_slope(spark, sf_dir):
     """The slope of a day's move on a party's flow, with the interval and p of circular blocks; four blocks of rows at least."""
     p = _xy(spark, sf_dir)
     starts = resample.hashed_starts(p.where(F.col("n") >= 4 * BLOCK).select("ticker", "n").distinct(), ["ticker"], DRAWS, BLOCK, 21)
-    found = resample.interval(resample.slope_draws(resample.drawn(starts, p.select("ticker", "pos", "n", "x", "y"), BLOCK, ["ticker"]), "y", "x", ["ticker"]), "slope", ["ticker"])
+    found = resample.interval(resample.draw_values(starts, p, BLOCK, {"slope": resample.slope_of(F.col("y"), F.col("x"))}, ["ticker"]), "slope", ["ticker"])
     out = p.groupBy("ticker").agg(stats.slope("y", "x").alias("slope")).join(found, "ticker")
     return _r(out.withColumn("p_two", r6("p_two")), "slope", "ci_low", "ci_high", digits=4).drop("p_one")
 
