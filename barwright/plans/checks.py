@@ -94,21 +94,19 @@ def availability_stamp(spark, sf_dir):
     return o.select("o_orderkey", F.date_format(scalar.available_at(basis, 1, 9), "yyyy-MM-dd HH:mm:ss").alias("available"))
 
 
-@query("""WITH w AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 50 = 0), s AS (SELECT o_orderkey, d, d + CAST(k AS INTEGER) AS b, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS n FROM w, range(1, 15) r(k) WHERE isodow(d + CAST(k AS INTEGER)) < 6)
- SELECT o_orderkey, b AS third FROM s WHERE n = 3""", "third")
-def business_days(spark, sf_dir):
-    """The orders of its SQL twin; business_days_whole has all."""
-    return _business_days(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+_THIRD = """WITH s AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST(k AS INTEGER) AS b, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS n FROM orders, range(1, 8) r(k) WHERE isodow(CAST(o_orderdate AS DATE) + CAST(k AS INTEGER)) < 6)
+ SELECT o_orderkey, b AS third FROM s WHERE n = 3"""
 
 
-@query("""WITH s AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST(k AS INTEGER) AS b, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS n FROM orders, range(1, 8) r(k) WHERE isodow(CAST(o_orderdate AS DATE) + CAST(k AS INTEGER)) < 6)
- SELECT o_orderkey, b AS third FROM s WHERE n = 3""", "third")
-def business_days_whole(spark, sf_dir):
-    return _business_days(table(spark, sf_dir, "orders"))
+@query(_THIRD, "third")
+def business_days(spark, sf_dir):
+    """The third business day after each order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.business_day_after(F.col("o_orderdate").cast("date"), 3).alias("third"))
 
 
-def _business_days(orders):
-    return orders.select("o_orderkey", scalar.business_day_after(F.col("o_orderdate").cast("date"), 3).alias("third"))
+@query(_THIRD, "third")
+def business_days_whole(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.business_day_after(F.col("o_orderdate").cast("date"), 3).alias("third"))
 
 
 def _ingested(spark, sf_dir):
@@ -127,15 +125,34 @@ def panel_ingest(spark, sf_dir):
     return store.read("price_daily", confirmed_only=False).select("ticker", "date", "close", F.col("open").cast("double").alias("open"), "is_provisional")
 
 
-@query("""WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price, 0 AS w FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 3 = 0),
- n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, date ORDER BY w DESC, price DESC) AS n FROM r) SELECT o_custkey AS ticker, date, price FROM n WHERE n = 1""", "date")
+_LATEST = """WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price, 0 AS w FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 3 = 0),
+ n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, date ORDER BY w DESC, price DESC) AS n FROM r)
+ SELECT o_custkey AS ticker, date, price FROM n WHERE n = 1"""
+
+
+def _two_batches(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("w"))
+    o = o.withColumn("price", F.col("price") + F.col("w"))
+    return [o.where(F.col("w") == w).drop("w") for w in (0, 1)]
+
+
+@query(_LATEST, "date")
 def upsert_latest(spark, sf_dir):
     """Two upserts into a store: the newer rows replace the older ones of the same key whole; the dearest of a key comes last."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("w"))
-    o = o.withColumn("price", F.col("price") + F.col("w")).orderBy("ticker", "date", "price")
     store = PanelStore(spark, new_folder(spark, "upsert"))
-    for w in (0, 1):
-        store.upsert("prices", o.where(F.col("w") == w).drop("w"))
+    for rows in _two_batches(spark, sf_dir):
+        store.upsert("prices", rows, ["price"])
+    return store.read("prices").select(F.col("ticker").cast("long").alias("ticker"), "date", "price")
+
+
+@query(_LATEST, "date")
+def upsert_replayed(spark, sf_dir):
+    """The same as batches of a stream that starts again from its first: what the store has is passed over. Parts are small, so that buckets split."""
+    store = PanelStore(spark, new_folder(spark, "replayed"), part_rows=200)
+    one, two = _two_batches(spark, sf_dir)
+    for number, rows in ((0, one), (1, two), (0, one), (1, two)):
+        store.upsert("prices", rows, ["price"], ("orders", number))
     return store.read("prices").select(F.col("ticker").cast("long").alias("ticker"), "date", "price")
 
 

@@ -24,9 +24,9 @@ def tumbling_bars(ticks: DataFrame, key: str, time: str, value: str, width: str
     return out.select("ticker", F.col("w.start").alias("date"), "open", "high", "low", "close", "volume")
 
 
-def upserting(store: PanelStore, dataset: str):
-    """A foreachBatch sink: a batch that comes again leaves the store as it is; later rows replace provisional ones."""
-    return lambda rows, batch: store.upsert(dataset, rows) and None
+def upserting(store: PanelStore, dataset: str, stream: str = "stream", order: list[str] | None = None):
+    """A foreachBatch sink that writes each batch once: the store keeps the number of the last batch of a stream with its rows. Later rows replace provisional ones."""
+    return lambda rows, batch: store.upsert(dataset, rows, order, (stream, batch)) and None
 
 
 def streamed_positions(bars: DataFrame, n_entry: int = 20, n_exit: int = 10) -> DataFrame:

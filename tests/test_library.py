@@ -139,6 +139,58 @@ def test_store(spark, tmp_path):
     assert store.delete("p") == 3 and store.tables() == []
 
 
+def _prices(spark, rows):
+    return spark.createDataFrame(rows, "ticker string, date date, close double")
+
+
+def test_store_keeps_its_rows_when_a_write_is_lost(spark, tmp_path, monkeypatch):
+    """A failure before the manifest is renamed: nothing is lost or doubled, and the same write then goes through."""
+    d = lambda k: dt.date(2020 + k % 3, 1, k + 1)
+    store = PanelStore(spark, f"file://{tmp_path}")
+    store.upsert("p", _prices(spark, [(str(t), d(k), 1.0) for t in range(5) for k in range(4)]))
+    before = sorted(map(tuple, store.read("p").collect()))
+    newer = _prices(spark, [("1", d(0), 2.0), ("9", d(1), 3.0)])
+
+    def lost(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(PanelStore, "_commit", lost)
+        for write in (lambda: store.upsert("p", newer, batch=("s", 0)), lambda: store.delete("p", ["1", "2"]), lambda: store.delete("p")):
+            with pytest.raises(OSError):
+                write()
+            assert sorted(map(tuple, store.read("p").collect())) == before
+    assert store.upsert("p", newer, batch=("s", 0)) == 2
+    after = sorted(map(tuple, store.read("p").collect()))
+    assert len(after) == 21 and ("1", d(0), 2.0) in after
+    assert store.upsert("p", newer.withColumn("close", F.lit(7.0)), batch=("s", 0)) == 0 and sorted(map(tuple, store.read("p").collect())) == after
+    assert store.delete("p", ["1", "2"]) == 8 and store.read("p").count() == 13
+    assert store.upsert("p", newer, batch=("s", 0)) == 0 and store.upsert("p", newer, batch=("s", 1)) == 2
+    assert len(store._names("p", "manifests")) == 2  # the newest and the one before
+
+
+def test_store_refuses_a_second_writer(spark, tmp_path):
+    store = PanelStore(spark, f"file://{tmp_path}")
+    store.upsert("p", _prices(spark, [("1", dt.date(2020, 1, 1), 1.0)]))
+    seen = store._manifest("p")
+    store.upsert("p", _prices(spark, [("1", dt.date(2020, 1, 1), 2.0)]))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._next("p", seen, store.read("p").schema, 1, {})
+    assert [r.close for r in store.read("p").collect()] == [2.0]
+
+
+def test_store_parts_stay_small(spark, tmp_path):
+    """Buckets double with the rows; rows without a date or ticker, and a ticker with most of the rows, have parts too."""
+    store = PanelStore(spark, f"file://{tmp_path}", part_rows=40)
+    rows = [(str(t), dt.date(2020, 1, 1) + dt.timedelta(days=k), float(k)) for t in range(40) for k in range(5)] + [("hot", dt.date(2018, 1, 1) + dt.timedelta(days=k), 1.0) for k in range(700)] + [(None, None, 1.0), ("1", None, 2.0)]
+    for some in (rows[:100], rows[100:500], rows[500:]):
+        store.upsert("p", _prices(spark, some))
+    m = store._manifest("p")
+    assert m["buckets"] >= 4 and max(p["rows"] for p in m["parts"].values()) <= 366 + 3 * 40 and sum(p["rows"] for p in m["parts"].values()) == len(rows)
+    assert sorted(map(str, store.read("p").collect())) == sorted(map(str, _prices(spark, rows).collect()))
+    assert store.read("p", ["hot"], "2018-06-01", "2018-06-10").count() == 10
+
+
 def test_readers(spark, tmp_path):
     head = ",".join(readers.REQUIRED) + ",asof"
     (tmp_path / "p.csv").write_text(head + "\n2024-01-02,5930,1,2,3,bad,5,6,Y,0,2024-01-02T09:00:00\n")
