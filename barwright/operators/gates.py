@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import Series
@@ -33,37 +33,82 @@ def require_valid(bars: DataFrame, series: Series = Series()) -> DataFrame:
     return bars
 
 
-def panel_gate(panel: DataFrame, segments: list[tuple[str, str, str]], min_days: int | dict[str, int] = 252, min_names: int = 30, flow_slack: float = 1.001, stamped: str | None = "data_available_at") -> DataFrame:
-    """One row: status PASS, FAIL or NOT_READY, reasons, and execution_lag.
+#: Of a panel's rows: numbers that must be there, that can't be negative, and that a row in trade needs above 0.
+NUMBERS = ["open", "close", "volume", "trading_value", "foreign_net_value", "market_cap"]
+COUNTED, TRADED = ["volume", "trading_value", "market_cap"], ["open", "close", "trading_value", "market_cap"]
 
-    FAIL: null or repeated keys, null or negative numbers, listed rows without price, flows above turnover, stamps partly
-    missing. NOT_READY: no rows, too few days in a segment or names on a day. Without any stamps the lag is 2 days, else 1.
+
+def _any(conditions) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def panel_gate(panel: DataFrame, segments: list[tuple[str, str, str]], min_days: int | dict[str, int] = 252, min_names: int = 30, flow_slack: float = 1.001, stamped: str | None = "data_available_at", lag: int = 1) -> DataFrame:
+    """One row: status PASS, FAIL or NOT_READY, reasons, warnings, execution_lag, and least_names.
+
+    FAIL: null, blank or repeated keys, null or negative numbers, rows in trade (listed and tradable) with a price, turnover
+    or size not above 0, flows above turnover, stamps partly missing, a lag under one day, segments out of order. NOT_READY: no rows, too few
+    days in a segment, or names on a day: those in trade with a turnover, over the days that have any. Without any stamps
+    the lag is two days at least, with a warning. A column that isn't there fails at once.
     """
-    numbers = ["open", "close", "volume", "trading_value", "market_cap"]
+    missing = sorted({"date", "ticker", "is_listed", "is_tradable", *NUMBERS} - set(panel.columns))
+    if missing:
+        kinds = "n long, status string, reasons string, warnings string, execution_lag int, least_names long"
+        return panel.sparkSession.createDataFrame([(None, "FAIL", "missing columns: " + ", ".join(missing), "", lag, None)], kinds)
+    c = F.col
+    traded = F.coalesce(c("is_listed") & c("is_tradable"), F.lit(False))
     stamps = F.count(stamped) if stamped and stamped in panel.columns else F.lit(0)
+    bad = {
+        "null_keys": c("date").isNull() | c("ticker").isNull() | (F.trim(c("ticker").cast("string")) == ""), "null_numbers": _any(c(x).isNull() for x in NUMBERS), "negative": _any(c(x) < 0 for x in COUNTED),
+        "no_price": traded & _any(c(x).isNull() | (c(x) <= 0) for x in TRADED), "flow_above": F.abs("foreign_net_value") > c("trading_value") * flow_slack,
+    }
     facts = panel.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("date").isNull() | F.col("ticker").isNull()).alias("null_keys"), (F.count(F.lit(1)) - F.count_distinct(F.struct("date", "ticker"))).alias("repeated"),
-        F.count_if(reduce(lambda a, b: a | b, [F.col(c) < 0 for c in numbers])).alias("negative"),
-        F.count_if(F.col("is_tradable") & ((F.col("open") <= 0) | (F.col("close") <= 0) | F.col("open").isNull() | F.col("close").isNull())).alias("no_price"),
-        F.count_if(F.abs("foreign_net_value") > F.col("trading_value") * flow_slack).alias("flow_above"), stamps.alias("stamps"),
-        *[F.count_distinct(F.when(F.col("date").between(a, b), F.col("date"))).alias(f"days_{name}") for name, a, b in segments],
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct(F.struct("date", "ticker"))).alias("repeated"), *[F.count_if(rule).alias(k) for k, rule in bad.items()], stamps.alias("stamps"),
+        *[F.count_distinct(F.when(c("date").between(a, b), c("date"))).alias(f"days_{name}") for name, a, b in segments],
     )
-    names = panel.groupBy("date").agg(F.count_distinct("ticker").alias("names")).agg(F.min("names").alias("least_names"))
+    names = panel.where(traded & (c("trading_value") > 0) & c("date").isNotNull()).groupBy("date").agg(F.count_distinct("ticker").alias("names")).agg(F.coalesce(F.min("names"), F.lit(0)).alias("least_names"))
     facts = facts.crossJoin(F.broadcast(names))  # both of one row
-    c = F.col
+    ordered = all(a <= b for _, a, b in segments) and all(p[2] < q[1] for p, q in zip(segments, segments[1:], strict=False))
+    said = {
+        "null_keys": "null keys", "repeated": "repeated keys", "null_numbers": "null numbers", "negative": "negative numbers", "no_price": "rows in trade without price", "flow_above": "flow above turnover",
+    }
     partly = (c("stamps") > 0) & (c("stamps") < c("n"))
-    fails = F.array_compact(F.array(F.when(c("null_keys") > 0, "null keys"), F.when(c("repeated") > 0, "repeated keys"), F.when(c("negative") > 0, "negative numbers"), F.when(c("no_price") > 0, "tradable rows without price"), F.when(c("flow_above") > 0, "flow above turnover"), F.when(partly, "availability partly missing")))
-    waits = F.array_compact(F.array(F.when(c("n") == 0, "no rows"), *[F.when(c(f"days_{name}") < (min_days[name] if isinstance(min_days, dict) else min_days), f"too few days in {name}") for name, _, _ in segments], F.when(c("least_names") < min_names, "too few names on a day")))
-    out = facts.withColumn("fails", fails).withColumn("waits", waits)
+    fails = [*[F.when(c(k) > 0, text) for k, text in said.items()], F.when(partly, "availability partly missing"), F.when(F.lit(lag < 1), "lag under one day"), F.when(F.lit(not ordered), "segments out of order")]
+    few = [F.when(c(f"days_{name}") < (min_days[name] if isinstance(min_days, dict) else min_days), f"too few days in {name}") for name, _, _ in segments]
+    waits = [F.when(c("n") == 0, "no rows"), *few, F.when(c("least_names") < min_names, "too few names on a day")]
+    out = facts.withColumn("fails", F.array_compact(F.array(*fails))).withColumn("waits", F.array_compact(F.array(*waits)))
     status = F.when(F.size("fails") > 0, "FAIL").when(F.size("waits") > 0, "NOT_READY").otherwise("PASS")
-    return out.select("n", status.alias("status"), F.concat_ws("; ", F.concat("fails", "waits")).alias("reasons"), F.when(c("stamps") == 0, 2).otherwise(1).alias("execution_lag"), "least_names")
+    unstamped = c("stamps") == 0
+    warnings = F.when(unstamped, "no availability: entry two days after the signal").otherwise("")
+    own = max(1, lag)
+    return out.select("n", status.alias("status"), F.concat_ws("; ", F.concat("fails", "waits")).alias("reasons"), warnings.alias("warnings"), F.when(unstamped, max(2, own)).otherwise(own).alias("execution_lag"), "least_names")
+
+
+#: Parties whose net flows close to zero.
+CLOSED = ["foreign_net_qty", "individual_net_qty", "institution_net_qty", "etc_corp_net_qty"]
+
+
+def consistency_rules(columns: list[str], flow_slack: float = 1.001) -> dict[str, Column]:
+    """What rows can contradict, for the rules whose columns are there: net flows that don't sum to zero, flows above turnover, shorts above volume, crossed bars, provisional rows."""
+    c = F.col
+    net = reduce(lambda a, b: a + b, [F.coalesce(c(x), F.lit(0)) for x in CLOSED])
+    rules = {
+        "net_sum": (CLOSED, lambda: F.abs(net) > 1), "flow_above": (["trading_value", "foreign_net_value"], lambda: F.abs("foreign_net_value") > c("trading_value") * flow_slack),
+        "short_above": (["short_qty", "volume"], lambda: c("short_qty") > c("volume")), "crossed": (["high", "low"], lambda: c("high") < c("low")), "provisional": (["is_provisional"], lambda: c("is_provisional")),
+    }
+    return {k: F.coalesce(rule(), F.lit(False)) for k, (needs, rule) in rules.items() if set(needs) <= set(columns)}
+
+
+def rule_facts(rules: dict[str, Column], date: str = "date") -> list[Column]:
+    """Aggregates of rules: how many rows meet each, and the first date of one."""
+    return [x for k, rule in rules.items() for x in (F.count_if(rule).alias(k), F.min(F.when(rule, F.col(date))).alias(f"{k}_first"))]
 
 
 def consistency(panel: DataFrame, parties: list[str], total: str, key: str = "ticker") -> DataFrame:
-    """Warnings of each key: net flows that don't sum to zero, flows above turnover, crossed bars; with their first dates."""
+    """Of each key, with first dates: net flows of some parties that don't sum to zero, flows above the total; and what consistency_rules finds for the panel's other columns."""
     net = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in parties])
-    rules = {"net_sum": F.abs(net) > 1, "flow_above": reduce(lambda a, b: a | b, [F.abs(F.coalesce(c, F.lit(0))) > F.col(total) * 1.001 for c in parties])}
-    return panel.groupBy(key).agg(*[x for name, rule in rules.items() for x in (F.count_if(rule).alias(name), F.min(F.when(rule, F.col("date"))).alias(f"{name}_first"))])
+    rules = {"net_sum": F.abs(net) > 1, "flow_above": _any(F.abs(F.coalesce(c, F.lit(0))) > F.col(total) * 1.001 for c in parties)}
+    own = {k: r for k, r in consistency_rules(panel.columns).items() if k not in rules}
+    return panel.groupBy(key).agg(*rule_facts({**rules, **own}))
 
 
 def closes_agree(a: DataFrame, b: DataFrame, limit: float = 0.02, tolerance: float = 0.005, recent: int = 60, series: Series = Series()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import share
+from ..session import kept
 
 
 def first_rank_share(df: DataFrame, x: str, groups: list[str], ties: list[str], name: str = "rank") -> DataFrame:
@@ -57,3 +58,16 @@ def last_of_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
 def newest(df: DataFrame, n: int, groups: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*groups).orderBy(F.desc(order))
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def distinct_in_order(df: DataFrame, column: str, order: str, name: str = "place") -> DataFrame:
+    """The distinct values of a column in the order in which they first come, with their places from 1.
+
+    Places are made from sorted parts, each numbered by itself, and the parts' counts, so that no task holds all values.
+    """
+    first = df.groupBy(column).agg(F.min(order).alias("_first")).repartitionByRange("_first", column).withColumn("_part", F.spark_partition_id())
+    first = kept(first, "distinct")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    counts = first.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_first", column))
+    return first.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before", "_first")

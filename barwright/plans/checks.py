@@ -8,7 +8,7 @@ from ..functions import scalar
 from ..functions.rolling import Series
 from ..operators import gates as g
 from ..operators import xsection
-from ..sources import readers
+from ..sources import ingest, readers
 from ..sources.derive import BARS, FLOWS, PANEL, bars, flows, panel, table
 from ..sources.normalise import normalised
 from ..session import new_folder
@@ -28,14 +28,63 @@ def ohlc_validity(spark, sf_dir):
     return g.ohlc_verdict(b, S)
 
 
-@query(f"""WITH {PANEL}, f AS (SELECT count(*) AS n, count(*) FILTER (WHERE is_tradable AND (coalesce(open, 0) <= 0 OR coalesce(close, 0) <= 0)) AS np, count(*) FILTER (WHERE abs(foreign_net_value) > trading_value * 1.001::DOUBLE) AS fa,
-  count(DISTINCT CASE WHEN date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' THEN date END) AS d1, count(DISTINCT CASE WHEN date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31' THEN date END) AS d2 FROM pan), m AS (SELECT min(c) AS least_names FROM (SELECT count(DISTINCT ticker) AS c FROM pan GROUP BY date))
- SELECT n, CASE WHEN np > 0 OR fa > 0 THEN 'FAIL' WHEN d1 < 24 OR d2 < 60 OR least_names < 5 THEN 'NOT_READY' ELSE 'PASS' END AS status,
-  concat_ws('; ', CASE WHEN np > 0 THEN 'tradable rows without price' END, CASE WHEN fa > 0 THEN 'flow above turnover' END, CASE WHEN d1 < 24 THEN 'too few days in train' END, CASE WHEN d2 < 60 THEN 'too few days in holdout' END, CASE WHEN least_names < 5 THEN 'too few names on a day' END) AS reasons,
-  CAST(2 AS INTEGER) AS execution_lag, least_names FROM f, m""")
+def _gate_sql(rows: str) -> str:
+    """The gate over a table of rows; its segments are of the years 1995 to 1998 and 1999 to 2001."""
+    says = [
+        ("nk > 0", "null keys"), ("rp > 0", "repeated keys"), ("nn > 0", "null numbers"), ("ng > 0", "negative numbers"), ("np > 0", "rows in trade without price"), ("fa > 0", "flow above turnover"),
+    ]
+    waits = [("d1 < 24", "too few days in train"), ("d2 < 60", "too few days in holdout"), ("least_names < 5", "too few names on a day")]
+    said = ", ".join(f"CASE WHEN {c} THEN '{text}' END" for c, text in (*says, *waits))
+    return f"""f AS (SELECT count(*) AS n, count(*) FILTER (WHERE date IS NULL OR ticker IS NULL OR trim(ticker) = '') AS nk, count(*) - (SELECT count(*) FROM (SELECT DISTINCT date, ticker FROM {rows})) AS rp,
+   count(*) FILTER (WHERE open IS NULL OR close IS NULL OR volume IS NULL OR trading_value IS NULL OR foreign_net_value IS NULL OR market_cap IS NULL) AS nn, count(*) FILTER (WHERE volume < 0 OR trading_value < 0 OR market_cap < 0) AS ng,
+   count(*) FILTER (WHERE is_listed AND is_tradable AND (coalesce(open, 0) <= 0 OR coalesce(close, 0) <= 0 OR coalesce(trading_value, 0) <= 0 OR coalesce(market_cap, 0) <= 0)) AS np,
+   count(*) FILTER (WHERE abs(foreign_net_value) > trading_value * 1.001::DOUBLE) AS fa,
+   count(DISTINCT CASE WHEN date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' THEN date END) AS d1, count(DISTINCT CASE WHEN date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31' THEN date END) AS d2 FROM {rows}),
+  m AS (SELECT coalesce(min(c), 0) AS least_names FROM (SELECT count(DISTINCT ticker) AS c FROM {rows} WHERE is_listed AND is_tradable AND trading_value > 0 GROUP BY date))
+  SELECT n, CASE WHEN {" OR ".join(c for c, _ in says)} THEN 'FAIL' WHEN {" OR ".join(c for c, _ in waits)} THEN 'NOT_READY' ELSE 'PASS' END AS status, concat_ws('; ', {said}) AS reasons,
+   'no availability: entry two days after the signal' AS warnings, CAST(2 AS INTEGER) AS execution_lag, least_names FROM f, m"""
+
+
+_CUTS = [("train", "1995-01-01", "1998-12-31"), ("holdout", "1999-01-01", "2001-12-31")]
+
+
+@query(f"WITH {PANEL}, " + _gate_sql("pan"))
 def panel_gate(spark, sf_dir):
-    segments = [("train", "1995-01-01", "1998-12-31"), ("holdout", "1999-01-01", "2001-12-31")]
-    return g.panel_gate(panel(spark, sf_dir), segments, min_days={"train": 24, "holdout": 60}, min_names=5)
+    """Rows out of trade have no price, so that the gate fails by its null numbers."""
+    return g.panel_gate(panel(spark, sf_dir), _CUTS, min_days={"train": 24, "holdout": 60}, min_names=5)
+
+
+@query(f"""WITH {PANEL}, ok AS (SELECT * FROM pan WHERE is_tradable), """ + _gate_sql("ok"))
+def panel_gate_clean(spark, sf_dir):
+    """The rows in trade alone: only days and names can keep them waiting."""
+    return g.panel_gate(panel(spark, sf_dir).where("is_tradable"), _CUTS, min_days={"train": 24, "holdout": 60}, min_names=5)
+
+
+@query(f"""WITH {PANEL}, bad AS (SELECT date, CASE WHEN CAST(ticker AS BIGINT) % 7 = 3 THEN ' ' ELSE ticker END AS ticker, open, CASE WHEN CAST(ticker AS BIGINT) % 5 = 1 THEN 0 ELSE close END AS close, volume - 3 AS volume, trading_value,
+   foreign_net_value * 3 AS foreign_net_value, market_cap, CAST(ticker AS BIGINT) % 2 = 0 AS is_listed, is_tradable FROM pan), """ + _gate_sql("bad"))
+def panel_gate_faults(spark, sf_dir):
+    """Faults planted by rule: blank tickers, prices of 0, negative volumes, flows above turnover, rows not listed."""
+    n = F.col("ticker").cast("long")
+    p = panel(spark, sf_dir).withColumns({"close": F.when(n % 5 == 1, 0.0).otherwise(F.col("close")), "volume": F.col("volume") - 3, "foreign_net_value": F.col("foreign_net_value") * 3, "is_listed": n % 2 == 0})
+    return g.panel_gate(p.withColumn("ticker", F.when(n % 7 == 3, " ").otherwise(F.col("ticker"))), _CUTS, min_days={"train": 24, "holdout": 60}, min_names=5)
+
+
+_FAULTY = f"""WITH {FLOWS}, x AS (SELECT ticker, date, p1 AS foreign_net_qty, p2 AS individual_net_qty, p3 AS institution_net_qty, CASE WHEN day(date) = 13 THEN 5 ELSE 0 END - p1 - p2 - p3 AS etc_corp_net_qty, value_cents AS trading_value,
+  CASE WHEN day(date) = 7 THEN 2 * value_cents ELSE p1 END AS foreign_net_value, CASE WHEN day(date) = 5 THEN value_cents + 1 ELSE 0 END AS short_qty, value_cents AS volume, greatest(open, close) AS low0, day(date) = 28 AS is_provisional FROM flow)"""
+_RULES = {"net_sum": "abs(foreign_net_qty + individual_net_qty + institution_net_qty + etc_corp_net_qty) > 1", "flow_above": "abs(foreign_net_value) > trading_value * 1.001::DOUBLE", "short_above": "short_qty > volume", "crossed": "day(date) = 19", "provisional": "is_provisional"}
+
+
+@query(_FAULTY + " UNION ALL ".join(f" SELECT 'flows' AS dataset, '{k}' AS rule, count(*) AS n, min(date) AS first_date FROM x WHERE {rule} HAVING count(*) > 0" for k, rule in _RULES.items()), "first_date")
+def gated_ingest(spark, sf_dir):
+    """Rows with planted faults put into a store: the warnings that come with the write, one for each of the five rules."""
+    d, c = F.dayofmonth("date"), F.col
+    top = F.greatest("open", "close")
+    rows = flows(spark, sf_dir).select(
+        "ticker", "date", c("p1").alias("foreign_net_qty"), c("p2").alias("individual_net_qty"), c("p3").alias("institution_net_qty"), (F.when(d == 13, 5).otherwise(0) - c("p1") - c("p2") - c("p3")).alias("etc_corp_net_qty"),
+        c("value_cents").alias("trading_value"), F.when(d == 7, 2 * c("value_cents")).otherwise(c("p1")).alias("foreign_net_value"), F.when(d == 5, c("value_cents") + 1).otherwise(0).alias("short_qty"), c("value_cents").alias("volume"),
+        F.when(d == 19, top - 1).otherwise(top).alias("high"), top.alias("low"), (d == 28).alias("is_provisional"),
+    )
+    return ingest.checked_upsert(PanelStore(spark, new_folder(spark, "gated")), "flows", rows, ["trading_value"])[1]
 
 
 @query(f"""WITH {FLOWS}, r AS (SELECT ticker, date, abs(p1 + p2 + p3 + p4 + p5) > 1 AS net, abs(p1) > value_cents * 1.001::DOUBLE OR abs(p2) > value_cents * 1.001::DOUBLE OR abs(p3) > value_cents * 1.001::DOUBLE AS above FROM flow)

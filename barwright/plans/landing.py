@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.rolling import Series
-from ..operators import state
+from ..operators import state, xsection
 from ..session import new_folder
 from ..sources import history, readers
-from ..sources.derive import BARS, bars, table
+from ..sources.derive import BARS, RATES, bars, rates, table
 from .registry import query
 from .signals import _CHANNEL
 
@@ -30,7 +30,8 @@ def history_refresh(spark, sf_dir):
     history.write_history(b.where("date < DATE '1997-01-01'"), f"{path}/old")
     old = history.read_history(spark, f"{path}/old").unionByName(history.read_history(spark, f"{path}/missing"))
     fetched = b.withColumns({c: F.col(c) + 1 for c in ("open", "high", "low", "close")}).withColumn("is_provisional", F.dayofmonth("date") == 20)
-    history.write_history(history.refreshed(old, fetched), f"{path}/new")
+    # Of the verified rows and their overlap with the old ones as many must be there as a merge wants.
+    history.write_history(history.refreshed(old, fetched, verified=b), f"{path}/new")
     return history.read_history(spark, f"{path}/new")
 
 
@@ -102,3 +103,17 @@ def display_labels(spark, sf_dir):
 @query("""SELECT n_name AS label, CAST(list_sum(list_transform(string_split(n_name, ''), lambda c: unicode(c))) AS INTEGER) AS seed FROM nation""")
 def label_seeds(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("label"), scalar.label_seed(F.col("n_name")).alias("seed"))
+
+
+@query(f"""WITH {RATES}, f AS (SELECT ticker, date, last_value(rate IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS rate FROM rates WHERE date >= DATE '1996-06-03' - 15)
+ SELECT ticker, date, round(rate, 6) AS rate FROM f WHERE date >= DATE '1996-06-03'""", "date")
+def rate_scan(spark, sf_dir):
+    """A series of one value column from 15 days before the first day asked for, carried forward."""
+    r = history.buffered(rates(spark, sf_dir), "1996-06-03", 15, ("rate",))
+    return history.clip(r.withColumn("rate", S.last_known("rate")), "1996-06-03").select("ticker", "date", F.round("rate", 6).alias("rate"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS name, min(o_orderkey) AS first FROM orders GROUP BY o_custkey) SELECT name, row_number() OVER (ORDER BY first) AS place FROM f""")
+def distinct_in_order(spark, sf_dir):
+    """The distinct customers in the order of their first order, numbered."""
+    return xsection.distinct_in_order(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), "o_orderkey"), "name", "o_orderkey", "place").select("name", "place")

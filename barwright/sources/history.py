@@ -59,17 +59,22 @@ def resume_dates(history: DataFrame, days: int = 5) -> DataFrame:
     return history.groupBy("ticker").agg(F.date_sub(F.max("date"), days).alias("resume"))
 
 
-def refreshed(history: DataFrame, fetched: DataFrame, days: int = 5) -> DataFrame:
-    """The history with the fetched rows from the resume date on, without provisional ones; a fetched row replaces an old one."""
+def refreshed(history: DataFrame, fetched: DataFrame, days: int = 5, verified: DataFrame | None = None, least: int = LEAST_ROWS) -> DataFrame:
+    """The history with the fetched rows from the resume date on, without provisional ones; a fetched row replaces an old one.
+
+    With a verified history of the same bars, the two are merged only if it and its overlap with the old one have enough rows (mergeable).
+    """
+    if verified is not None:
+        mergeable(history, verified, least)
     known = fetched.join(resume_dates(history, days), "ticker", "left").where(F.col("resume").isNull() | (F.col("date") >= F.col("resume")))
     known = known.where(~F.coalesce(F.col("is_provisional"), F.lit(False)))
     both = history.select(*COLUMNS).withColumn("_new", F.lit(0)).union(known.select(*COLUMNS).withColumn("_new", F.lit(1)))
     return last_of_key(both, ["ticker", "date"], ["_new"]).drop("_new")
 
 
-def buffered(bars: DataFrame, start: str, days: int = 60) -> DataFrame:
-    """The rows from some days before the start on, so that windows are full when it comes; clip() takes them off again."""
-    has_columns(bars.columns, ["ticker", "date", "open", "high", "low", "close"])
+def buffered(bars: DataFrame, start: str, days: int = 60, columns: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
+    """The rows from some days before the start on, so that windows are full when it comes; clip() takes them off again. Rates have one column of values."""
+    has_columns(bars.columns, ["ticker", "date", *columns])
     return bars.where(F.col("date") >= F.date_sub(F.lit(start).cast("date"), days))
 
 

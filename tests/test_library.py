@@ -88,6 +88,26 @@ def test_panel_gate(spark):
     assert "availability partly missing" in of(stamped).reasons
     assert of(stamped.fillna("x").withColumn("data_available_at", F.current_timestamp())).execution_lag == 1
     assert of(df.limit(0)).status == "NOT_READY"
+    null = lambda c: df.withColumn(c, F.when(F.col("ticker") != "000003", F.col(c)))
+    for c in gates.NUMBERS:
+        assert "null numbers" in of(null(c)).reasons and of(null(c)).status == "FAIL"
+    assert "null keys" in of(df.withColumn("ticker", F.lit(" "))).reasons and "negative numbers" in of(df.withColumn("volume", F.lit(-1))).reasons
+    assert "rows in trade without price" in of(df.withColumn("close", F.lit(0.0))).reasons
+    assert of(df.withColumn("is_listed", F.col("ticker") < "000005")).least_names == 5 and of(df.withColumn("is_listed", F.lit(None).cast("boolean"))).least_names == 0
+    assert "lag under one day" in of(df, lag=0).reasons and of(df, lag=3).execution_lag == 3 and "missing columns: volume" in of(df.drop("volume")).reasons
+    turned = gates.panel_gate(df, [("b", "2024-02-01", "2024-12-31"), ("a", "2024-01-01", "2024-01-31")], min_days=1, min_names=1).first()
+    assert "segments out of order" in turned.reasons and of(df).warnings and not of(stamped.fillna("x").withColumn("data_available_at", F.current_timestamp())).warnings
+
+
+def test_checked_upsert(spark, tmp_path):
+    from barwright.sources.ingest import checked_upsert
+
+    store = PanelStore(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([("1", dt.date(2024, 1, k), 2.0 - k, 1.0, k == 2) for k in (1, 2, 3)], "ticker string, date date, high double, low double, is_provisional boolean")
+    put, warned = checked_upsert(store, "p", rows, batch=("s", 0))
+    assert put == 3 and {tuple(r) for r in warned.collect()} == {("p", "crossed", 2, dt.date(2024, 1, 2)), ("p", "provisional", 1, dt.date(2024, 1, 2))}
+    put, warned = checked_upsert(store, "p", rows, batch=("s", 0))
+    assert put == 0 and warned.count() == 0 and store.read("p", confirmed_only=False).count() == 3
 
 
 def test_scalars(spark):
@@ -139,6 +159,17 @@ def test_store(spark, tmp_path):
     assert store.delete("p") == 3 and store.tables() == []
 
 
+def test_merge_wants_enough_verified_rows(spark):
+    bar = lambda k: ("a", dt.date(2024, 1, 1) + dt.timedelta(days=k), 1.0, 1.0, 1.0, 1.0, 5, False)
+    kinds = "ticker string, date date, open double, high double, low double, close double, volume long, is_provisional boolean"
+    old, new = (spark.createDataFrame([bar(k) for k in r], kinds) for r in (range(70), range(60, 80)))
+    assert history.refreshed(old, new, verified=old).count() == 80
+    with pytest.raises(ValueError, match="verified"):
+        history.refreshed(old, new, verified=new)
+    with pytest.raises(ValueError, match="overlapping"):
+        history.refreshed(old, new, verified=spark.createDataFrame([bar(k) for k in range(65, 140)], kinds))
+
+
 def _prices(spark, rows):
     return spark.createDataFrame(rows, "ticker string, date date, close double")
 
