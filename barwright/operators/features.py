@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.params import has_columns
 from ..functions.rolling import Series
+from ..functions.scalar import label_seed
 from .accounting import future_return
+from .resample import positioned, shuffled_blocks
 from .state import channel_signals
 from .timejoin import as_of
 
@@ -45,3 +47,9 @@ def feature_table(prices: DataFrame, flows: DataFrame, fx: DataFrame, series: Se
             "close_mismatch_pct": F.try_divide(F.col("reported_close"), F.col("close")) - 1, "volume_mismatch_pct": F.try_divide(F.col("reported_volume"), F.col("_v")) - 1,
         }
     ).drop("_v", "_mean")
+
+
+def with_placebo(df: DataFrame, flag: str, name: str, block: int = 5, series: Series = Series()) -> DataFrame:
+    """A signal's placebo: its blocks in another order, so that counts and runs stay and times don't. Each series has the order of its label's seed."""
+    rows = positioned(df, series.order, series.key)
+    return shuffled_blocks(rows, flag, block, 1, label_seed(F.col(series.key)), [series.key], name).drop("pos", "n", "trial")

@@ -106,3 +106,20 @@ def sign_stability(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """In how many folds a value is negative: negative, folds, and as text k/n."""
     g = df.groupBy(*keys).agg(F.count(F.when(F.col(value) < 0, 1)).alias("negative"), F.count(value).alias("folds"))
     return g.withColumn("stability", F.concat_ws("/", "negative", "folds"))
+
+
+def strategy_matrix(df: DataFrame, strategies: dict[str, Column], r: Column, bps: float, multiples: list[float], series: Series = Series()) -> DataFrame:
+    """The active performance of each strategy, given as a name and a signal, for each key and cost multiple, and of the portfolio of all keys.
+
+    A row earns r, less the cost, where the row before has the signal. In the portfolio a key without a row on a date earns 0.
+    """
+    at_least(bps, 0, "cost")
+    cases = [F.struct(F.lit(k).alias("strategy"), F.lag(F.coalesce(v, F.lit(False)), 1, False).over(series.rows).alias("held")) for k, v in strategies.items()]
+    each = df.select(series.key, series.order, r.alias("_r0"), F.array(*cases).alias("_s")).select(series.key, series.order, "_r0", F.explode("_s").alias("_s"))
+    each = each.select(F.col(series.key).cast("string").alias("ticker"), series.order, "_r0", "_s.*").withColumn("cost_multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multiples])))
+    each = each.withColumn("r", F.when(F.col("held"), F.col("_r0") - F.col("cost_multiplier") * bps / 10_000).otherwise(0.0)).drop("_r0")
+    n = df.agg(F.count_distinct(series.key).alias("_n"))  # one row
+    whole = each.groupBy(series.order, "strategy", "cost_multiplier").agg(F.sum("r").alias("r"), F.bool_or("held").alias("held")).crossJoin(F.broadcast(n))
+    whole = whole.withColumn("r", F.col("r") / F.col("_n")).drop("_n").withColumn("ticker", F.lit("portfolio"))
+    every = each.unionByName(whole).withColumn("run", F.struct("ticker", "strategy", "cost_multiplier"))
+    return active_performance(every, "r", "held", Series("run", series.order)).select("run.*", "*").drop("run")

@@ -240,11 +240,11 @@ def interval(per_draw: DataFrame, value: str, keys: list[str]) -> DataFrame:
     )
 
 
-def shuffled_blocks(series: DataFrame, column: str, block: int, trials: int, seed: int, keys: list[str], name: str) -> DataFrame:
-    """The series once for each trial, with the column's blocks in an order that hashes give (a shorter last block moves too)."""
+def shuffled_blocks(series: DataFrame, column: str, block: int, trials: int, seed: int | Column, keys: list[str], name: str) -> DataFrame:
+    """The series once for each trial, with the column's blocks in an order that hashes give (a shorter last block moves too). A seed may be a column of the keys."""
     at_least(block, 1, "block")
     each = series.select(*keys, "n").distinct().withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("blk", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))))
-    u = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("blk").cast("string")), 256)
+    u = F.sha2(F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), F.col("trial").cast("string"), F.col("blk").cast("string")), 256)
     length = F.least(F.lit(block), F.col("n") - F.col("blk") * block)
     w = Window.partitionBy(*keys, "trial").orderBy("_u", "blk").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("_u", u).withColumn("first", F.coalesce(F.sum(length).over(w), F.lit(0))).select(*keys, "trial", "blk", "first")

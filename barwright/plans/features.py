@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rolling import Series
-from ..operators import features, resample, stats, xsection
+from ..operators import features, performance, resample, stats, xsection
 from ..operators.features import FEATURES, HORIZONS
 from ..sources.derive import FLOWS, flows, table
 from .registry import query, r6
@@ -13,6 +13,8 @@ from .registry import query, r6
 S = Series()
 BLOCK, DRAWS = 5, 500
 
+#: Rows of a block that the placebo moves together.
+PLACEBO_BLOCK = 5
 _FEATURES = f"""WITH {FLOWS},
  fx0 AS (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS fx FROM lineitem GROUP BY 1), fx AS (SELECT date, fx FROM fx0 WHERE dayofyear(date) % 3 = 0 AND dayofyear(date) % 2 = 0),
  d0 AS (SELECT f.ticker, f.date, open, close, greatest(open, close) AS high, least(open, close) AS low, value_cents AS volume, p1 AS foreign_, p2 AS institution, p4 * 100.0::DOUBLE / nullif(value_cents, 0) AS holding_pct,
@@ -29,7 +31,11 @@ _FEATURES = f"""WITH {FLOWS},
  d3 AS (SELECT *, CASE WHEN live AND long_entry AND NOT long_exit THEN 1 WHEN live AND long_exit AND NOT long_entry THEN 0 END AS st, sum(CASE WHEN live AND long_entry AND long_exit THEN 1 ELSE 0 END) OVER o AS tn FROM d2 WINDOW o AS (PARTITION BY ticker ORDER BY date)),
  d4 AS (SELECT *, CAST(CASE WHEN live THEN (coalesce(last_value(st IGNORE NULLS) OVER o, 0) + tn - coalesce(last_value(CASE WHEN st IS NOT NULL THEN tn END IGNORE NULLS) OVER o, 0)) % 2 ELSE 0 END AS INTEGER) AS position,
    coalesce(foreign_flow_5d > 0 AND foreign_positive_days_5d >= 3, false) AS foreign_signal FROM d3 WINDOW o AS (PARTITION BY ticker ORDER BY date)),
- ft AS (SELECT *, foreign_signal AND coalesce(fx_return_5d < 0, false) AS foreign_fx_signal, foreign_signal AND position = 1 AS combined_signal, reported_close / close - 1 AS close_mismatch_pct, reported_volume / CAST(v AS DOUBLE) - 1 AS volume_mismatch_pct FROM d4)"""
+ pb AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS place, count(*) OVER (PARTITION BY ticker) AS rows_ FROM d4),
+ bk AS (SELECT ticker, rows_, list_sum(list_transform(string_split(ticker, ''), lambda c: ascii(c))) AS seed, unnest(range(CAST(ceil(rows_ / {PLACEBO_BLOCK}) AS BIGINT))) AS blk FROM (SELECT DISTINCT ticker, rows_ FROM pb)),
+ mb AS (SELECT *, coalesce(sum(least({PLACEBO_BLOCK}, rows_ - blk * {PLACEBO_BLOCK})) OVER (PARTITION BY ticker ORDER BY sha256(seed || '|1|' || blk), blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM bk),
+ ml AS (SELECT p.ticker, first + place % {PLACEBO_BLOCK} AS place, foreign_signal AS placebo_signal FROM pb p JOIN mb m ON p.ticker = m.ticker AND p.place // {PLACEBO_BLOCK} = m.blk),
+ ft AS (SELECT pb.* EXCLUDE (place, rows_), placebo_signal, foreign_signal AND coalesce(fx_return_5d < 0, false) AS foreign_fx_signal, foreign_signal AND position = 1 AS combined_signal, reported_close / close - 1 AS close_mismatch_pct, reported_volume / CAST(v AS DOUBLE) - 1 AS volume_mismatch_pct FROM pb JOIN ml USING (ticker, place))"""
 
 #: Conditions as SQL that both engines read; all: the baseline.
 CONDITIONS = {
@@ -44,16 +50,16 @@ def built_features(spark, sf_dir):
     own = f.select("ticker", "date", F.col("p1").alias("foreign"), F.col("p2").alias("institution"), F.try_divide(F.col("p4") * 100.0, F.col("value_cents")).alias("holding_pct"), F.col("open").alias("reported_close"), F.col("p5").alias("reported_volume"))
     fx = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(F.max("l_extendedprice").alias("fx"))
     fx = fx.where(F.dayofyear("date") % 3 == 0).withColumn("fx", F.when(F.dayofyear("date") % 2 == 0, F.col("fx"))).withColumn("ticker", F.explode(F.array(F.lit("even"), F.lit("odd"))))
-    return features.feature_table(prices, own, fx, S)
+    return features.with_placebo(features.feature_table(prices, own, fx, S), "foreign_signal", "placebo_signal", PLACEBO_BLOCK, S)
 
 
 _SHOWN = [*FEATURES, *(f"future_return_{h}d" for h in HORIZONS), "close_mismatch_pct", "volume_mismatch_pct"]
 
 
-@query(_FEATURES + " SELECT ticker, date, fx, position, foreign_signal, foreign_fx_signal, combined_signal, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _SHOWN) + " FROM ft", "date")
+@query(_FEATURES + " SELECT ticker, date, fx, position, foreign_signal, foreign_fx_signal, placebo_signal, combined_signal, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _SHOWN) + " FROM ft", "date")
 def feature_build(spark, sf_dir):
     shown = [r6(F.col(c).cast("double")).alias(c) for c in _SHOWN]
-    return built_features(spark, sf_dir).select("ticker", "date", "fx", "position", "foreign_signal", "foreign_fx_signal", "combined_signal", *shown)
+    return built_features(spark, sf_dir).select("ticker", "date", "fx", "position", "foreign_signal", "foreign_fx_signal", "placebo_signal", "combined_signal", *shown)
 
 
 def _clip(c):
@@ -124,3 +130,34 @@ def correlation_study_whole(spark, sf_dir):
     rk = lg.select("*", xsection.average_rank("x", keys).alias("rx"), xsection.average_rank("r", keys).alias("ry"))
     out = rk.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(stats.correlation("x", "r"), 5).alias("pearson"), F.round(stats.correlation("rx", "ry"), 5).alias("spearman"))
     return out.orderBy(F.desc("spearman"), *keys)
+
+
+#: The strategies of the matrix as SQL that both engines read.
+STRATEGIES = {
+    "every_day": "true", "bought_today": "{foreign} > 0", "bought_5d": "foreign_flow_5d > 0", "bought_3_of_5": "foreign_signal", "bought_fx_down": "foreign_fx_signal", "placebo": "placebo_signal",
+    "in_channel": "position = 1", "channel_and_bought": "combined_signal",
+}
+MULTIPLES, BPS = (1.0, 1.5, 2.0), 30.0
+_PERFORMANCE = ["total_return", "cagr", "mdd", "sharpe", "win_rate", "avg_active_return", "cvar_95"]
+_SIGNALS = ", ".join(f"coalesce({c.format(foreign='foreign_')}, false) AS s_{k}" for k, c in STRATEGIES.items())
+_MATRIX = " UNION ALL ".join(f"SELECT ticker, date, ret, '{k}' AS strategy, lag(s_{k}, 1, false) OVER (PARTITION BY ticker ORDER BY date) AS held FROM sg" for k in STRATEGIES)
+
+
+@query(_FEATURES + f""", sg AS (SELECT ticker, date, 0.02::DOUBLE * (close - open) / (close + open) AS ret, {_SIGNALS} FROM ft), lg AS ({_MATRIX}),
+ ea AS (SELECT ticker, date, strategy, cost_multiplier, held, CASE WHEN held THEN ret - cost_multiplier * {BPS}::DOUBLE / 10000 ELSE 0 END AS r FROM lg, (SELECT unnest({list(MULTIPLES)}::DOUBLE[]) AS cost_multiplier)),
+ ev AS (SELECT ticker, date, strategy, cost_multiplier, held, r FROM ea
+  UNION ALL SELECT 'portfolio', date, strategy, cost_multiplier, bool_or(held), sum(r) / (SELECT count(DISTINCT ticker) FROM ft) FROM ea GROUP BY date, strategy, cost_multiplier),
+ eq AS (SELECT *, CASE WHEN held THEN r END AS a, exp(sum(ln(1 + r)) OVER (PARTITION BY ticker, strategy, cost_multiplier ORDER BY date)) AS e FROM ev),
+ dd AS (SELECT *, e / max(e) OVER (PARTITION BY ticker, strategy, cost_multiplier ORDER BY date) - 1 AS d, quantile_cont(a, 0.05) OVER (PARTITION BY ticker, strategy, cost_multiplier) AS q FROM eq),
+ pf AS (SELECT ticker, strategy, cost_multiplier, max_by(e, date) - 1 AS total_return, pow(max_by(e, date), 1 / greatest(datediff('day', min(date), max(date)) / 365.25::DOUBLE, 1 / 252.0::DOUBLE)) - 1 AS cagr, min(d) AS mdd,
+   avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0::DOUBLE) AS sharpe, count(a) AS active_days, avg(CASE WHEN a > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE a IS NOT NULL) AS win_rate, avg(a) AS avg_active_return,
+   avg(a) FILTER (WHERE a <= q + 1e-12) AS cvar_95 FROM dd GROUP BY ALL),
+ il AS (SELECT ticker, strategy, cost_multiplier, a, sum(CASE WHEN a < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY ticker, strategy, cost_multiplier ORDER BY date) AS isl FROM eq WHERE held),
+ sk AS (SELECT ticker, strategy, cost_multiplier, max(c) AS streak FROM (SELECT ticker, strategy, cost_multiplier, isl, count(*) FILTER (WHERE a < 0) AS c FROM il GROUP BY ALL) GROUP BY ALL)
+ SELECT ticker, strategy, cost_multiplier, active_days, coalesce(streak, 0) AS max_losing_streak, {", ".join(f"round({c}, 6) AS {c}" for c in _PERFORMANCE)} FROM pf LEFT JOIN sk USING (ticker, strategy, cost_multiplier)""")
+def strategy_matrix_whole(spark, sf_dir):
+    """Eight strategies by tickers and the portfolio by three cost multiples; the returns are tame ones, as the derived prices jump."""
+    f = built_features(spark, sf_dir)
+    tame = 0.02 * (F.col("close") - F.col("open")) / (F.col("close") + F.col("open"))
+    out = performance.strategy_matrix(f, {k: F.expr(c.format(foreign="foreign")) for k, c in STRATEGIES.items()}, tame, BPS, list(MULTIPLES), S)
+    return out.select("ticker", "strategy", "cost_multiplier", "active_days", "max_losing_streak", *[r6(c).alias(c) for c in _PERFORMANCE])

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import Series
 from ..operators import scan
+from ..session import new_folder
 from ..sources.derive import bars
+from ..sources.store import PanelStore
+from ..streaming import signals as stream
 from .registry import query, r6
 from .signals import _CHANNEL, _EQUITY, _RALLY, ENTRY, EXIT
 
@@ -35,3 +38,16 @@ def rally_counter_scan(spark, sf_dir):
 def equity_drawdown_scan(spark, sf_dir):
     out = scan.scanned_equity(scan.cut(bars(spark, sf_dir), ROWS, S), "ret", S)
     return out.select("ticker", "date", r6("equity").alias("equity"), r6("drawdown").alias("drawdown"))
+
+
+@query(f"""SELECT ticker, date, close, position, in_correction, rally_day, rally_low
+ FROM ({_CHANNEL} SELECT ticker, date, close, position FROM sig) JOIN ({_RALLY} SELECT ticker, date, cor AS in_correction, rally_day, rally_low FROM d) USING (ticker, date)""", "date")
+def streamed_signals(spark, sf_dir):
+    """Positions and rallies of bars that land in three parts, by a stream that is started again from its checkpoint for each."""
+    folder, b = new_folder(spark, "stream"), bars(spark, sf_dir).select("ticker", "date", "high", "low", "close")
+    store = PanelStore(spark, f"{folder}/store")
+    for k, (first, last) in enumerate((("1900-01-01", "1994-12-31"), ("1995-01-01", "1996-12-31"), ("1997-01-01", "2999-12-31"))):
+        b.where(F.col("date").between(first, last)).write.parquet(f"{folder}/in/part={k}")
+        landed = spark.readStream.schema(b.schema).parquet(f"{folder}/in/part=*")
+        stream.run_into(store, "signals", stream.streamed_signals(landed), f"{folder}/checkpoint")
+    return store.read("signals").select("ticker", "date", "close", "position", "in_correction", "rally_day", "rally_low")
