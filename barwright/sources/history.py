@@ -38,10 +38,13 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_history(bars: DataFrame, path: str, marked: bool = True) -> None:
-    """One CSV file of a row a key, the last given: prices to two places, in order, lines ended by LF, after a byte order mark."""
+    """CSV of a row a key, the last given: prices to two places, in order, lines ended by LF, after a byte order mark.
+
+    Files are ranges of ticker and date, in order by name: one where the rows are few, more as they outgrow a partition.
+    """
     rows = last_of_key(bars.withColumn("_row", F.monotonically_increasing_id()), ["ticker", "date"], ["_row"])
     price = {"open", "high", "low", "close"}
-    out = rows.select(*[(F.col(c).cast("decimal(18,2)") if c in price else F.col(c)).alias(c) for c in COLUMNS]).coalesce(1).sortWithinPartitions("ticker", "date")
+    out = rows.select(*[(F.col(c).cast("decimal(18,2)") if c in price else F.col(c)).alias(c) for c in COLUMNS]).repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date")
     out.withColumnRenamed("ticker", MARK + "ticker" if marked else "ticker").write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
