@@ -28,7 +28,7 @@ def next_day_intraday(signal: Column, cost: float, series: Series = Series()) ->
     return F.when(held, F.col("close") / F.col("open") - 1 - cost).otherwise(F.lit(0.0))
 
 
-def net_of_turnover(weight: str, r: str, bps: float, series: Series = Series()) -> Column:
+def net_of_turnover(weight: str, r: str, bps: float | Column, series: Series = Series()) -> Column:
     """Percent return of a weight less half the round-trip cost of each change; the first row pays for its weight.
 
     A null return nullifies its row, the cost included.

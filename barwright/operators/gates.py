@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,15 +13,15 @@ from ..functions.rolling import Series
 from .xsection import newest
 
 
-def ohlc_verdict(bars: DataFrame, series: Series = Series()) -> DataFrame:
-    """Of each series: rows, duplicate dates, nulls, prices not above 0, highs and lows out of order, and whether all hold."""
+def ohlc_verdict(bars: DataFrame, series: Series = Series(), *more: Column) -> DataFrame:
+    """Of each series: rows, duplicate dates, nulls, prices not above 0, highs and lows out of order, and whether all hold; and more aggregates."""
     prices = ["open", "high", "low", "close"]
     null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in prices])
     bad = reduce(lambda a, b: a | b, [F.col(c) <= 0 for c in prices])
     top, bottom = F.col("high") < F.greatest("open", "close"), F.col("low") > F.least("open", "close")
     out = bars.groupBy(series.key).agg(
         F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct(series.order)).alias("duplicate_dates"),
-        F.count_if(null).alias("null_rows"), F.count_if(bad).alias("not_positive"), F.count_if(top).alias("high_below"), F.count_if(bottom).alias("low_above"), F.count_if(F.col("high") < F.col("low")).alias("crossed"),
+        F.count_if(null).alias("null_rows"), F.count_if(bad).alias("not_positive"), F.count_if(top).alias("high_below"), F.count_if(bottom).alias("low_above"), F.count_if(F.col("high") < F.col("low")).alias("crossed"), *more,
     )
     faults = ["duplicate_dates", "null_rows", "not_positive", "high_below", "low_above", "crossed"]
     return out.withColumn("valid", (F.col("n") > 0) & reduce(lambda a, b: a & b, [F.col(c) == 0 for c in faults]))
@@ -33,6 +35,31 @@ def require_valid(bars: DataFrame, series: Series = Series()) -> DataFrame:
     return bars
 
 
+@dataclass(frozen=True)
+class Registration:
+    """What must be said before a study computes any number: its data, that they are real, its boundaries, the drawdown that it allows."""
+
+    data: str | None
+    kind: str
+    research_end: str | None
+    validation_end: str | None
+    most_drawdown: float | None
+
+    def lacks(self) -> str:
+        """The first thing that isn't said, or empty."""
+        if not self.data:
+            return "no panel is given"
+        if self.kind != "real":
+            return "the data aren't known to be real"
+        if not self.research_end or not self.validation_end:
+            return "the ends of research and validation aren't set"
+        if date.fromisoformat(self.research_end) >= date.fromisoformat(self.validation_end):
+            return "research must end before validation"
+        if self.most_drawdown is None or not 0 < self.most_drawdown < 1:
+            return "the drawdown allowed must lie between 0 and 1"
+        return ""
+
+
 #: Of a panel's rows: numbers that must be there, that can't be negative, and that a row in trade needs above 0.
 NUMBERS = ["open", "close", "volume", "trading_value", "foreign_net_value", "market_cap"]
 COUNTED, TRADED = ["volume", "trading_value", "market_cap"], ["open", "close", "trading_value", "market_cap"]

@@ -174,6 +174,17 @@ def panel_ingest(spark, sf_dir):
     return store.read("price_daily", confirmed_only=False).select("ticker", "date", "close", F.col("open").cast("double").alias("open"), "is_provisional")
 
 
+@query(f"""WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, CAST(round(o_totalprice) AS BIGINT) AS close, row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) AS n FROM orders)
+ SELECT CAST(o_custkey AS VARCHAR) AS ticker, date, close, CAST(NULL AS BIGINT) AS high, CAST({len(DATASETS["price_daily"].schema)} AS INTEGER) AS n_columns FROM r WHERE n = 1""", "date")
+def store_columns(spark, sf_dir):
+    """Rows of a registered dataset with a column that it doesn't have and without most that it has: the table has the dataset's columns."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"), F.round("o_totalprice").alias("close"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("note"))
+    store = PanelStore(spark, new_folder(spark, "columns"))
+    store.upsert("price_daily", rows, ["seq"])
+    out = store.read("price_daily")
+    return out.select("ticker", "date", "close", "high", F.lit(len(out.columns)).alias("n_columns"))
+
+
 _LATEST = """WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price, 0 AS w FROM orders WHERE o_orderkey % 3 <> 0
   UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 3 = 0),
  n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, date ORDER BY w DESC, price DESC) AS n FROM r)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rolling import Series
 from ..functions.scalar import unit_interval
 from ..operators import accounting, resample, stats
+from ..operators.gates import Registration
 from ..session import kept
 from ..sources.derive import PANEL, panel
 from .panels import built
@@ -162,6 +163,14 @@ def hypothesis_decision(spark, sf_dir):
 
     NOT_READY: too few observations in validation or holdout, or selected rows without a price on entry or exit.
     """
+    return decision(spark, sf_dir, Registration(sf_dir, "real", SEGMENTS[0][2], SEGMENTS[1][2], MOST_DRAWDOWN))
+
+
+def decision(spark, sf_dir, plan):
+    """The same under a registration; where that lacks anything, every hypothesis waits for it and no row is read."""
+    if lack := plan.lacks():
+        return spark.createDataFrame([(name, "NOT_READY", lack, "") for name, _, _ in HYPOTHESES], "hypothesis string, status string, waits string, failed string")
+    most = plan.most_drawdown
     t = trades(spark, sf_dir)
     d = detail(t).where("cost = 2.0")
     side = lambda s: d.where(F.col("segment") == s).select("hypothesis", F.struct(*[c for c in d.columns if c != "hypothesis"]).alias(s))
@@ -172,7 +181,7 @@ def hypothesis_decision(spark, sf_dir):
     checks = {
         "validation's return bound above 0": v["top_ci_low"] > 0, "holdout's return q below 0.05": h["top_q"] < 0.05, "returns above 0": (v["top_net_mean"] > 0) & (h["top_net_mean"] > 0),
         "validation's spread bound above 0": v["spread_ci_low"] > 0, "holdout's spread q below 0.05": h["spread_q"] < 0.05, "holdout's spread above its placebo": h["spread_net_mean"] > h["placebo_95"],
-        "above the universe": (v["top_excess"] > 0) & (h["top_excess"] > 0), "drawdown within bounds": (v["mdd"] >= -MOST_DRAWDOWN) & (h["mdd"] >= -MOST_DRAWDOWN),
+        "above the universe": (v["top_excess"] > 0) & (h["top_excess"] > 0), "drawdown within bounds": (v["mdd"] >= -most) & (h["mdd"] >= -most),
     }
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]))
     few = F.coalesce((v["observations"] < LEAST) | (h["observations"] < LEAST), F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, features, hypotheses, landing, panels, relations, scans, signals, studies, tracks  # noqa: F401
+from . import checks, features, hypotheses, landing, pages, panels, relations, replication, scans, signals, studies, tracks  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

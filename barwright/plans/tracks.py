@@ -75,10 +75,10 @@ def lag_fee_sweep(spark, sf_dir):
 # Strategies that differ in their entries, summarised and held against one of them.
 
 
-def _summary(source: str, keys: str) -> str:
-    """DuckDB's SQL for the summary of `source` ({keys}, date, r in percent, weight), as the tables nt .. sm."""
+def _summary(source: str, keys: str, half: str | float = COST / 2) -> str:
+    """DuckDB's SQL for the summary of `source` ({keys}, date, r in percent, weight), as the tables nt .. su; `half` of the cost of a change."""
     w = f"PARTITION BY {keys} ORDER BY date"
-    return f"""nt AS (SELECT *, coalesce(weight * r - abs(weight - coalesce(lag(weight) OVER ({w}), 0)) * {COST / 2} / 100, 0) / 100 AS net, CAST(weight - lag(weight) OVER ({w}) = 1 AS INTEGER) AS entered FROM {source}),
+    return f"""nt AS (SELECT *, coalesce(weight * r - abs(weight - coalesce(lag(weight) OVER ({w}), 0)) * {half} / 100, 0) / 100 AS net, CAST(weight - lag(weight) OVER ({w}) = 1 AS INTEGER) AS entered FROM {source}),
  eq AS (SELECT *, product(1 + net) OVER ({w}) AS eq FROM nt), dd AS (SELECT *, eq / max(eq) OVER ({w}) - 1 AS dd FROM eq),
  cu AS (SELECT {keys}, quantile_cont(net * 100, 0.05) AS cut FROM nt GROUP BY {keys}), tl AS (SELECT {keys}, avg(net * 100) AS cvar5 FROM nt JOIN cu USING ({keys}) WHERE net * 100 <= cut GROUP BY {keys}),
  il AS (SELECT {keys}, dd < -1e-12 AS under, row_number() OVER ({w}) - row_number() OVER (PARTITION BY {keys}, dd < -1e-12 ORDER BY date) AS island FROM dd),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.params import has_columns
+from ..functions.rolling import Series
+from ..operators.gates import ohlc_verdict
 
 REQUIRED = ["date", "ticker", "open", "close", "volume", "trading_value", "foreign_net_value", "market_cap", "is_listed", "is_tradable"]
 
@@ -48,6 +50,26 @@ def json_list(bodies: DataFrame, body: str, path: str, fields: dict[str, str], k
     return out.select(*[c for c in out.columns if c != "_r"], *[parsed(F.col("_r")[f], k).alias(f) for f, k in fields.items()]).where(F.col(key).isNotNull())
 
 
+#: The provider's names of a candle's fields.
+CANDLE = {"localDate": ("date", "date"), "openPrice": ("open", "double"), "highPrice": ("high", "double"), "lowPrice": ("low", "double"), "closePrice": ("close", "double"), "accumulatedTradingVolume": ("volume", "double")}
+
+
+def candles(bodies: DataFrame, body: str, key: str = "ticker") -> DataFrame:
+    """Daily candles of JSON answers, checked; without the column of volumes where no candle of any answer has one.
+
+    No candle at all, or candles that aren't valid bars of their key, raise.
+    """
+    out = json_list(bodies, body, "$.priceInfos", {f: kind for f, (_, kind) in CANDLE.items()}, "localDate")
+    out = out.withColumnsRenamed({f: c for f, (c, _) in CANDLE.items()})
+    found = ohlc_verdict(out, Series(key), F.count("volume").alias("volumes"))
+    seen = found.agg(F.count_if(~F.col("valid")).alias("invalid"), F.sum("volumes").alias("volumes"), F.min_by(key, "valid").alias("first")).first()  # one row
+    if seen.volumes is None:
+        raise ValueError("no candles")
+    if seen.invalid:
+        raise ValueError(f"{seen.invalid} series of candles are invalid, {seen.first} among them")
+    return out if seen.volumes else out.drop("volume")
+
+
 def synthetic(spark: SparkSession, tickers: list[str], start: str, end: str) -> DataFrame:
     """Bars on Monday-to-Friday days made of hashes: the same for the same ticker and day wherever they are made."""
     days = spark.createDataFrame([(t,) for t in tickers], "ticker string").select("ticker", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date")).where(F.weekday("date") < 5)

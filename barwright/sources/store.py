@@ -127,15 +127,26 @@ class PanelStore:
         out = StructType.fromJson(old["schema"]) if old else StructType()
         return StructType([*out.fields, *[f for f in new.fields if f.name not in out.fieldNames()]])
 
+    def _known(self, dataset: str, old: dict | None, rows: DataFrame) -> DataFrame:
+        """Of a registered dataset's rows the columns that it or the table has, typed: others go, and those that the rows lack are null."""
+        if dataset not in DATASETS:
+            return rows
+        own, have = DATASETS[dataset].schema, set(rows.columns)
+        kept = [f for f in (StructType.fromJson(old["schema"]).fields if old else []) if f.name not in own.fieldNames()]
+        return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in [*own.fields, *kept]])
+
     def upsert(self, dataset: str, rows: DataFrame, order: list[str] | None = None, batch: tuple[str, int] | None = None) -> int:
-        """Puts the rows in by (date, ticker). Returns how many keys were put; 0 for a batch that is in already."""
+        """Puts the rows in by (date, ticker). Returns how many keys were put; 0 for a batch that is in already.
+
+        New columns are added to the table, but to a registered dataset's only its own; of its rows other columns are left out.
+        """
         has_columns(rows.columns, ["date", "ticker"])
         old = self._manifest(dataset)
         if old and batch and old["batches"].get(batch[0], -1) >= batch[1]:
             return 0
         if order is None:
             rows, order = rows.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
-        new = last_of_key(rows, ["date", "ticker"], order).drop("_row")
+        new = self._known(dataset, old, last_of_key(rows, ["date", "ticker"], order).drop("_row"))
         schema, n = self._merged(old, new.schema), old["buckets"] if old else 1
         spare = f"{self.folder}/{dataset}/spare-{uuid.uuid4().hex}"
         new.write.parquet(spare)
