@@ -1,16 +1,19 @@
 """Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 3).
 
-Words are lower-cased and lose punctuation at their ends. The n-grams (N words) of the test items are seeds, all of them:
-which are left out can't hang on how many documents hold them, or the number of copies would decide whether they are found.
-Where a seed of an item meets a document, the passage around is aligned with the item, and the alignment's score as a share
-of the item's own decides: SCORE tells a copy, edited or partial, from a chance phrase. Common seeds meet many passages;
-those that hold too few of the item's words for any alignment to reach SCORE aren't aligned, which loses none.
+Words are lower-cased and lose punctuation at their ends. The n-grams (N words) of the test items are seeds. Where a seed of
+an item meets a document, the passage around is aligned with the item, and the alignment's score as a share of the item's
+own decides: SCORE tells a copy, edited or partial, from a chance phrase. A first pass counts the documents that hold each
+seed. Of an item's passages in a document the one with the rarest seed is aligned first; one that commoner seeds lead to is
+aligned only where it holds enough of the item's words to reach SCORE and what is found already. So rarity decides the order and spares
+alignments, but no seed is left out for being common, or the number of copies would decide whether they are found.
 
 The items are taken in blocks of bounded size (BLOCK_CHARS), and each block's seeds go to all tasks; a benchmark beyond
 one block takes a pass over the corpus for each block. Documents are never shuffled.
 
 Null and empty texts and items have no words and match nothing; an item of fewer than N words has one seed, all of it.
-Rows stay one to one with their matches; repeated rows repeat them. Ties of score go to the earlier passage.
+Rows stay one to one with their matches; repeated rows repeat them. Ties of score go to the earlier passage. A very long
+text is read whole, its meetings with seeds in parts. Without documents or items there are no matches, and no document
+goes. Columns other than doc_id, item_id and text aren't read; clean_documents passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,9 +144,9 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
     return best, end
 
 
-def reachable(item: np.ndarray, passage: np.ndarray) -> bool:
-    """Whether an alignment can reach SCORE: it matches no more words than those of the item that the passage holds."""
-    return np.isin(item, passage).sum() >= SCORE * len(item) - 1e-9
+def reach(item: np.ndarray, passage: np.ndarray) -> float:
+    """The share that no alignment passes: it matches no more words than those of the item that the passage holds."""
+    return np.isin(item, passage).sum() / len(item)
 
 
 def met(items: Items, seed: np.ndarray, hit: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +162,37 @@ def met(items: Items, seed: np.ndarray, hit: np.ndarray, part: int, parts: int)
     return np.concatenate(entries), np.concatenate(at)
 
 
-def matches(items: Items, few: np.ndarray, texts: pa.Array) -> dict[str, np.ndarray]:
-    """The (text, item) pairs whose best passage reaches SCORE: text, item, score, and the passage's words from start to end."""
+def held_seeds(items: Items, few: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """How many of the texts hold each seed."""
+    hashes, docs, _ = ngrams(*plain_words(texts))
+    hit, seed = found_in(items, few, hashes)
+    once = np.unique(docs[hit].astype(np.int64) * len(items.seeds) + seed)
+    return np.bincount(once % max(1, len(items.seeds)), minlength=len(items.seeds))
+
+
+def counted(docs: DataFrame, items: Items) -> np.ndarray:
+    """How many documents of the corpus hold each seed: a number for each seed of the block, added up in tasks first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few, n = items.prefilter(), np.zeros(len(items.seeds), np.int64)
+        for batch in slices(batches):
+            n += held_seeds(items, few, as_text(batch.column("text")))
+        seen = np.flatnonzero(n)
+        for k in range(0, len(seen), 100_000):
+            part = seen[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["seed", "n"])
+
+    out = np.zeros(len(items.seeds), np.int64)
+    got = docs.select("text").mapInArrow(rows, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # a row a seed of the block
+    out[got.column("seed").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def matches(items: Items, few: np.ndarray, texts: pa.Array, held: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The (text, item) pairs whose best passage reaches SCORE: text, item, score, and the passage's words from start to end.
+
+    With `held` (documents that hold each seed) the passage of the rarest seed comes first, and others only if they may be better.
+    """
     words, offsets = plain_words(texts)
     hashes, docs, places = ngrams(words, offsets)
     hits, seeds = found_in(items, few, hashes)
@@ -178,19 +210,29 @@ def matches(items: Items, few: np.ndarray, texts: pa.Array) -> dict[str, np.ndar
         spare = size // 4 + 2
         low, high = np.maximum(low - spare, 0), np.minimum(low + size + spare, length[doc])
         order = np.lexsort((low, item, doc))
+        rare = np.zeros(len(doc), np.int64) if held is None else held[np.searchsorted(items.first, entry, "right") - 1][order]
         doc, item, low, high = doc[order], item[order], low[order], high[order]
         names, last = [], []
-        for d, i, a, b in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True):
+        for d, i, a, b, r in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist(), rare.tolist(), strict=True):
             if last and last[:2] == [d, i] and a <= last[3]:
-                last[3] = max(last[3], b)
+                last[3], last[4] = max(last[3], b), min(last[4], r)
             else:
-                names.append(last := [d, i, a, b])
-        names = [n for n in names if reachable(items.words[n[1]], words[offsets[n[0]] + n[2] : offsets[n[0]] + n[3]])]
-        score, end = smith_waterman([(items.words[i], words[offsets[d] + a : offsets[d] + b]) for d, i, a, b in names])
-        for (d, i, a, _), s, e in zip(names, score.tolist(), end.tolist(), strict=True):
-            share = s / (MATCH * len(items.words[i]))
-            if share >= SCORE and share > best.get((d, i), (0,))[0]:
-                best[d, i] = (share, a, a + e)
+                names.append(last := [d, i, a, b, r])
+        passage = lambda n: words[offsets[n[0]] + n[2] : offsets[n[0]] + n[3]]
+        names = [(*n, most) for n in names if (most := reach(items.words[n[1]], passage(n))) >= SCORE - 1e-9]
+        firsts, others = names, []
+        if held is not None:
+            names.sort(key=lambda n: (n[0], n[1], n[4], n[2]))
+            new = [k == 0 or names[k][:2] != names[k - 1][:2] for k in range(len(names))]
+            firsts, others = [n for n, x in zip(names, new, strict=True) if x], [n for n, x in zip(names, new, strict=True) if not x]
+        for turn in (firsts, others):
+            some = [n for n in turn if n[5] >= best.get(n[:2], (0,))[0] - 1e-9]
+            score, end = smith_waterman([(items.words[n[1]], passage(n)) for n in some])
+            for (d, i, a, *_), s, e in zip(some, score.tolist(), end.tolist(), strict=True):
+                share = s / (MATCH * len(items.words[i]))
+                before = best.get((d, i), (0, 0))
+                if share >= SCORE and (share, -a) > (before[0], -before[1]):
+                    best[d, i] = (share, a, a + e)
     # The start of the best alignment is the end of the best one backwards from its end.
     back = [(items.words[i][::-1], words[offsets[d] + a : offsets[d] + e][::-1]) for (d, i), (_, a, e) in best.items()]
     _, length_of = smith_waterman(back)
@@ -219,11 +261,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = dict(benchmark.dtypes)["item_id"]
     out = None
     for block in blocks(benchmark):
+        held = counted(source, block)
 
-        def rows(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
+        def rows(batches: Iterator[pa.RecordBatch], block: Items = block, held: np.ndarray = held) -> Iterator[pa.RecordBatch]:
             few = block.prefilter()
             for batch in slices(batches):
-                m = matches(block, few, as_text(batch.column("text")))
+                m = matches(block, few, as_text(batch.column("text")), held)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").take(pa.array(m["text"])), "item_id": [block.ids[i] for i in m["item"]], "score": m["score"],
@@ -239,7 +282,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
+    """The rows of docs, all columns, that hold no item. Any passage that reaches SCORE decides, so none comes first and seeds aren't counted."""
     out, schema = docs, docs.schema
     for block in blocks(benchmark):
 

@@ -373,6 +373,30 @@ def test_leaks_of_a_phrase_of_many_items(spark, monkeypatch):
     assert list(zip(found["text"], found["item"], found["start"], found["end"], strict=True)) == [(0, 9, 20, 30), (2, 9, 20, 30)]
 
 
+def test_leaks_by_rarity_are_those_of_all_seeds(spark, sf_dir):
+    """Passages of one text by the rarest seed first: the same matches and places as all in their order; and over a table, those of all alignments."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"v{rng.randrange(60)}" for _ in range(rng.randint(8, 25)))) for i in range(15)]
+    texts = [" ".join(" ".join(edited(items[rng.randrange(15)][1].split(), rng.choice([0, 0.1, 0.3]), rng)) + f" x{k} y{k} " * rng.randint(0, 9) for k in range(6)) for _ in range(40)]
+    texts.append((items[3][1] + " gap" * 60 + " ") * 3)
+    block = decontaminate.Items.of([i for i, _ in items], [t for _, t in items])
+    few, array = block.prefilter(), pa.array(texts, pa.large_string())
+    held = decontaminate.held_seeds(block, few, array)
+    assert held.max() > 1 and (decontaminate.counted(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), block) == held).all()
+    said = [decontaminate.matches(block, few, array, h) for h in (None, held, -held)]
+    of = lambda m: sorted(zip(*(m[c].tolist() for c in ("text", "item", "score", "start", "end")), strict=True))
+    assert len(of(said[0])) > 40 and of(said[0]) == of(said[1]) == of(said[2])
+    assert [x[3:] for x in of(said[1]) if x[:2] == (40, 3)] == [(0, len(items[3][1].split()))]
+
+    docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()}
+    split = lambda t: decontaminate.plain_words(pa.array([t], pa.large_string()))[0]
+    own, tests = {r.doc_id: split(r.text or "") for r in docs.collect()}, {r.item_id: split(r.text) for r in benchmark.collect()}
+    pairs = [(d, i) for d, w in own.items() for i, x in tests.items() if decontaminate.reach(x, w) >= decontaminate.SCORE]
+    score, _ = decontaminate.smith_waterman([(tests[i], own[d]) for d, i in pairs])
+    assert found == {p for p, s in zip(pairs, score.tolist(), strict=True) if s >= decontaminate.SCORE * 2 * len(tests[p[1]])} and found
+
+
 def test_leaks_odd(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "ein Wort"), (4, "tie tie tie tie")], "item_id long, text string")
     assert {(r[0], r[1]) for r in rows(decontaminate.leaks(odd, items))} == {(4, 3), (8, 4), (9, 4)}
