@@ -6,6 +6,8 @@ they were pushed are skipped. Decoding concatenates the vocabulary's strings.
 
 Pieces repeat, so each worker keeps the ids of pieces it has met in two generations of bounded size. A null text is
 empty; an empty text has no ids. A special token's string in a text is that token, as in the tokenizers library.
+A very long text is encoded whole. Rows stay one to one, repeated ones too; an empty table gives no rows. Columns other
+than doc_id and text aren't read.
 """
 
 from __future__ import annotations

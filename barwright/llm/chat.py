@@ -12,7 +12,8 @@ A turn is <turn:ROLE>, its flattened parts, and </turn> with a line feed. In tex
 
 The loss mask has, for each turn, the place and length within the turn's piece of what is under the loss: the content of
 assistant turns. Turns are ordered by turn, then role, then text. Null roles and texts are empty, a null turn comes first, rows without conv_id form one conversation,
-repeated rows are turns of their own. An empty table gives no rows.
+repeated rows are turns of their own. Very long texts are formatted whole. Columns other than conv_id, turn, role
+and parts aren't read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ at most BAD_SHARE. So bad documents come to have content lines, and good ones bo
 text. Without documents of both labels the weights of `PRIOR` are used. Of rows that share a doc_id that of the least text
 hash is trained on, so that the weights hang on the tables alone.
 
-Null and empty texts have no words, fail the base rules and aren't kept. Rows stay one to one, repeated ones too.
+Null and empty texts have no words, fail the base rules and aren't kept. Rows stay one to one, repeated ones too. Of a
+very long text every line is labelled. An empty table gives no rows. Other columns have no say, whatever their names.
 """
 
 from __future__ import annotations

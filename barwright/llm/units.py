@@ -7,7 +7,7 @@ passage. Digests are grouped over the corpus with partial sums; the occurrence o
 hash, then place; a null doc_id comes last), and the others are removed from their texts. Removed spans are code points
 of the text as it was, from start to end. White space is the six ASCII characters.
 
-A null or empty text has no units. Rows that share doc_id and text count as one document and get the same result.
+A null or empty text has no units; all units of a very long one are judged; an empty table gives no rows. Rows that share doc_id and text count as one document and get the same result.
 Only digests met twice or more come back to the documents, through a bitmap of bounded size. Columns other than doc_id
 and text aren't read.
 """

@@ -678,6 +678,21 @@ def test_chat_reads_back(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
 
 
+def test_chat_odd(spark):
+    """Ties, repeated rows, null turns and roles, a very long text, an empty table, columns with names used inside."""
+    said = [(1, 1, "user", "same"), (1, 1, "user", "same"), (1, 1, "assistant", "same"), (2, None, None, LONG), (2, 3, "assistant", LONG), (None, 1, "assistant", None)]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(3)
+    extra = {c: F.lit("x") for c in ("p", "t", "number", "first", "opened", "files", "plain", "pieces", "body", "loss", "formatted", "turns", "n_turns")}
+    got = {r.conv_id: r for r in chat.digests(df.withColumns({"parts": chat.text_parts(df["text"]), **extra})).collect()}
+    want = {1: [("assistant", "same"), ("user", "same"), ("user", "same")], 2: [("", LONG), ("assistant", LONG)], None: [("assistant", "")]}
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+    assert chat.digests(df.limit(0).withColumn("parts", chat.text_parts(F.col("text")))).count() == 0
+
+
 # 9: lines
 
 
