@@ -13,7 +13,11 @@ Work is dealt in blocks: a cell's rows by hash to blocks of some BLOCK rows, the
 as many, and a pair of blocks is one product of matrices, so that no task holds a cell or all anchors. A round visits four
 times the rows of the round before; anchors that are certified leave. Rounds are written to the shared folder.
 
-Null ids, labels and vectors and vectors with a null or non-finite component, or one of LARGEST or more, take no part; short
+Scores are exact whole numbers however large the components are: products that a double can't hold are made in 64-bit
+arithmetic, and one by one where even sums of that might wrap. A positive's score that no long holds is an error, as a
+component beyond LARGEST is.
+
+Null ids, labels and vectors and vectors with a null or non-finite component take no part; short
 vectors are filled up with zeros; rows that share an id count once, as that of least label, then least vector. Ties in
 score go to the smaller id. An empty table gives no rows. Columns beyond those named aren't read.
 """
@@ -30,11 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rows that train the codebooks; most codewords of a half; rows of a block; a component's bound, which keeps scores exact.
-SAMPLE, MOST_WORDS, BLOCK, LARGEST = 4096, 64, 2048, 1 << 20
+#: Rows that train the codebooks; most codewords of a half; rows of a block; a component's bound, so that bounds of scores are finite.
+SAMPLE, MOST_WORDS, BLOCK, LARGEST = 4096, 64, 2048, 1e100
 #: Rows that an anchor's first round visits at least, and the share of all rows; how much more each later round visits.
 FIRST_ROWS, FIRST_SHARE, MORE = 4096, 64, 4
-NONE = -(1 << 62)
+NONE = -(1 << 63) + 1
+#: A score of this size stands for all from there on; those below are exact.
+WIDEST = (1 << 63) - 2
 
 
 def trained(half: np.ndarray, words: int, rounds: int = 8) -> np.ndarray:
@@ -81,7 +87,10 @@ class MultiIndex:
         halves = [vector[: self.cut], vector[self.cut :]]
         inner = [b @ h for b, h in zip(self.books, halves, strict=True)]
         length = [float(np.sqrt((h * h).sum())) for h in halves]
-        bound = [x + n * r for x, n, r in zip(inner, length, self.radii, strict=True)]
+        # Room for what floating-point sums lose, in proportion to what is summed.
+        norms = [np.sqrt((b * b).sum(1)) for b in self.books]
+        room = [1e-9 * n * (c + r) for n, c, r in zip(length, norms, self.radii, strict=True)]
+        bound = [x + n * r + e for x, n, r, e in zip(inner, length, self.radii, room, strict=True)]
         order = [np.argsort(-b, kind="stable") for b in bound]
         a, b = (x[o].tolist() for x, o in zip(bound, order, strict=True))
         queue, pushed = [(-(a[0] + b[0]), 0, 0)], {(0, 0)}
@@ -93,15 +102,37 @@ class MultiIndex:
                     heappush(queue, (-(a[at[0]] + b[at[1]]), *at))
             u, v = int(order[0][i]), int(order[1][j])
             if self.rows[u, v]:
-                middle, spread = inner[0][u] + inner[1][v], length[0] * self.cell_radii[0, u, v] + length[1] * self.cell_radii[1, u, v]
+                middle, spread = inner[0][u] + inner[1][v], length[0] * self.cell_radii[0, u, v] + length[1] * self.cell_radii[1, u, v] + 1e-9 * (length[0] * (norms[0][u] + self.cell_radii[0, u, v]) + length[1] * (norms[1][v] + self.cell_radii[1, u, v]))
                 yield raised(-total), u * self.words + v, raised(middle + spread), -raised(spread - middle)
 
 
 def raised(bound: float) -> float:
-    """A bound with room for what floating-point sums lose."""
+    """A bound with room for the rounding of the last sum."""
     return bound + 1e-9 * abs(bound) + 1e-3
 
 
+def wrapped(vectors: np.ndarray) -> np.ndarray:
+    """Whole numbers modulo 2 ** 64."""
+    low = np.fmod(np.abs(vectors), 2.0**64).astype(np.uint64)
+    return np.where(vectors < 0, ~low + np.uint64(1), low)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of rows of whole numbers, exact below WIDEST; greater ones are WIDEST, with their sign."""
+    near = a @ b.T
+    size = np.abs(a).max(1, initial=0)[:, None] * np.abs(b).max(1, initial=0)[None, :] * max(1, a.shape[1])
+    if size.max(initial=0) < 2.0**53:
+        return near.astype(np.int64)
+    out = (wrapped(a) @ wrapped(b).T).view(np.int64)
+    lost = size * a.shape[1] * 2.0**-50  # of the sum in floating point
+    beyond = np.abs(near) - lost >= WIDEST
+    out[beyond] = np.where(near[beyond] < 0, -WIDEST, WIDEST)
+    for i, j in np.argwhere(~beyond & (np.abs(near) + lost >= WIDEST)):
+        exact = sum(int(x) * int(y) for x, y in zip(a[i], b[j], strict=True))
+        out[i, j] = max(-WIDEST, min(WIDEST, exact))
+    return out
+
+
 def vectors_of(column: pa.Array) -> np.ndarray:
     """A list column, all of one length, as a matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,10 +142,11 @@ def vectors_of(column: pa.Array) -> np.ndarray:
 
 def ready(rows: DataFrame) -> DataFrame:
     """The rows that take part, one an id, vectors of one length: id, label, anchor, vector (array<int>)."""
-    fit = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
+    fit = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, x.cast("long").cast("double")).when(F.abs(x) < LARGEST, x).otherwise(F.raise_error(F.lit("a component is too large: no score with it fits a long")))
     rows = rows.select(F.col("id").cast("long"), F.col("label").cast("long"), "anchor", F.col("vector").cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & fit)
-    rows = rows.select("id", "label", "anchor", F.col("vector").cast("array<int>").alias("vector"))
+    rows = rows.select("id", "label", "anchor", F.transform("vector", whole).alias("vector"))
     return rows.groupBy("id").agg(F.min(F.struct("label", "vector", "anchor")).alias("x")).select("id", "x.label", "x.anchor", "x.vector")
 
 
@@ -156,7 +188,7 @@ def search(index: MultiIndex, placed: DataFrame, anchors: DataFrame, same_label:
     state = anchors.select("anchor_id", "label", "vector", "lows", "highs", F.lit(0).alias("seen"))
     best = anchors.sparkSession.createDataFrame([], "anchor_id long, window int, id long, score long")
     rows_now = max(FIRST_ROWS, n_rows // FIRST_SHARE)
-    kinds = "anchor_id long, label long, vector array<int>, lows array<long>, highs array<long>, seen int, cell int, bound double"
+    kinds = f"anchor_id long, label long, vector {dict(anchors.dtypes)['vector']}, lows array<long>, highs array<long>, seen int, cell int, bound double"
 
     def visits(most: int):
         """For each anchor a row for each cell to visit, and one with cell -1: how many cells have been seen, and the bound of the rest (null: none is left)."""
@@ -199,20 +231,22 @@ def search(index: MultiIndex, placed: DataFrame, anchors: DataFrame, same_label:
         if asked.num_rows and rows.num_rows:
             rows = rows.sort_by("id")
             ids, names = rows.column("id").to_numpy(), asked.column("anchor_id").to_numpy()
-            scores = (vectors_of(asked.column("vector")) @ vectors_of(rows.column("vector")).T).astype(np.int64)
+            scores = products(vectors_of(asked.column("vector")), vectors_of(rows.column("vector")))
             fit = asked.column("label").to_numpy()[:, None] == rows.column("label").to_numpy()[None, :]
             fit = fit & (names[:, None] != ids[None, :]) if same_label else ~fit
             lows, highs = (np.array(asked.column(c).to_pylist(), np.int64) for c in ("lows", "highs"))
             # One number orders rows by score and then by place, which is by id.
-            ordered, few = scores * len(ids) + np.arange(len(ids))[::-1], min(first, len(ids))
+            small = np.abs(scores).max() < WIDEST // len(ids)
+            places = scores if small else np.unique(scores, return_inverse=True)[1].reshape(scores.shape)
+            ordered, few = places * len(ids) + np.arange(len(ids))[::-1], min(first, len(ids))
             for w in range(lows.shape[1]):
                 inside = fit & (scores >= lows[:, w, None]) & (scores <= highs[:, w, None])
                 some = np.flatnonzero(inside.any(1))
                 if len(some):
                     top = np.partition(np.where(inside[some], ordered[some], NONE), len(ids) - few, axis=1)[:, len(ids) - few :]
                     i, j = np.nonzero(top != NONE)
-                    score, back = np.divmod(top[i, j], len(ids))
-                    for c, v in zip(out, (names[some[i]], np.full(len(i), w), ids[len(ids) - 1 - back], score), strict=True):
+                    at = len(ids) - 1 - top[i, j] % len(ids)
+                    for c, v in zip(out, (names[some[i]], np.full(len(i), w), ids[at], scores[some[i], at]), strict=True):
                         out[c].append(v)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
         return pa.table({c: pa.array(np.concatenate(v) if v else [], t) for (c, v), t in zip(out.items(), kinds, strict=True)})
@@ -255,20 +289,23 @@ def hard_negatives(rows: DataFrame, positives: int = 5, negatives: int = 5, low:
     scratch = Scratch(rows.sparkSession, "negatives")
     part = ready(rows)
     every = scratch.table(part, "rows")
-    most = every.agg(F.max(F.size("vector"))).head()[0]
+    most, largest = every.agg(F.max(F.size("vector")), F.max(F.array_max(F.transform("vector", F.abs)))).head()
     if most is None:
         return rows.sparkSession.createDataFrame([], RESULT)
-    zeros = F.array_repeat(F.lit(0), F.lit(most) - F.size("vector"))
-    index, placed = build(every.withColumn("vector", F.concat("vector", zeros)), scratch, words)
+    zeros = F.array_repeat(F.lit(0.0), F.lit(most) - F.size("vector"))
+    kind = "array<int>" if (largest or 0) < 1 << 31 else "array<double>"
+    index, placed = build(every.withColumn("vector", F.concat("vector", zeros).cast(kind)), scratch, words)
     anchors = placed.where("anchor").select(F.col("id").alias("anchor_id"), "label", "vector")
     wide = F.array(F.lit(NONE))
     near = search(index, placed, anchors.select("*", wide.alias("lows"), F.array(F.lit(-NONE - 1)).alias("highs")), True, positives, scratch)
-    near = scratch.table(near.select("anchor_id", F.col("rank").alias("place"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
-    # A window for each positive, in order; low * p <= 100 * n <= high * p in whole numbers.
+    held = F.when(F.abs("score") < WIDEST, F.col("score")).otherwise(F.raise_error(F.lit("a positive's score doesn't fit a long")).cast("long"))
+    near = scratch.table(near.select("anchor_id", F.col("rank").alias("place"), F.col("id").alias("positive_id"), held.alias("positive_score")), "positives")
+    # A window for each positive, in order; low * p <= 100 * n <= high * p in whole numbers, hundreds and rest apart.
     windows = near.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("place", "positive_score"))).alias("p"))
     p = lambda f: F.transform("p", lambda x: f(x["positive_score"]))
-    hundredths = lambda x: ((x - F.pmod(x, F.lit(100))) / 100).cast("long")  # noqa: E731  rounded down
-    up, down = (lambda x: -hundredths(-low * x)), (lambda x: hundredths(high * x))
+    hundreds = lambda x: F.call_function("div", x - F.pmod(x, F.lit(100)), F.lit(100))  # noqa: E731  rounded down
+    hundredths = lambda k, x: k * hundreds(x) + hundreds(k * F.pmod(x, F.lit(100)))  # noqa: E731  of k * x
+    up, down = (lambda x: -hundredths(low, -x)), (lambda x: hundredths(high, x))
     windows = windows.select("anchor_id", p(up).alias("lows"), p(down).alias("highs"))
     lengthened = lambda c, fill: F.concat(c, F.array_repeat(F.lit(fill), F.lit(positives) - F.size(c)))
     windows = windows.select("anchor_id", lengthened("lows", -NONE).alias("lows"), lengthened("highs", NONE).alias("highs"))

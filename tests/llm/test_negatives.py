@@ -122,3 +122,40 @@ def test_query_equals_its_twin(spark, sf_dir):
     want = con.execute(ORACLES["op11_hard_negatives"])
     at = [[d[0] for d in want.description].index(c) for c in names]
     assert sorted(tuple(r) for r in got.select(names).collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("big", [3e6, 2.0**28])
+def test_large_components_take_part(spark, monkeypatch, big):
+    """Components of any size take part; scores beyond what a double holds are exact, and windows too."""
+    monkeypatch.setattr(negatives, "BLOCK", 40)
+    monkeypatch.setattr(negatives, "FIRST_ROWS", 30)
+    rows = clustered(200, 4, 3, 10)
+    rng = np.random.default_rng(2)
+    for k in (3, 20, 77, 140):
+        i, label, v, anchor = rows[k]
+        rows[k] = (i, label, [*rng.integers(-big // 2, big // 2, 3).astype(float).tolist(), big + k], anchor)
+    got = [tuple(r) for r in negatives.hard_negatives(frame(spark, rows), words=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain(rows)
+    assert {3, 77} & {r[1] for r in got} and max(r[4] for r in got) > 2**43
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-(1 << 30), 1 << 30, (7, 5)).astype(float), rng.integers(-(1 << 29), 1 << 29, (9, 5)).astype(float)
+    a[0], b[0] = [2.0**90, 3, -(2.0**90), 1, 2], [1, 2.0**40 + 1, 1, 5, 7]  # the huge terms go
+    want = [[sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for v in b] for u in a]
+    got = negatives.products(a, b)
+    for i, row in enumerate(want):
+        assert got[i].tolist() == [max(-negatives.WIDEST, min(negatives.WIDEST, x)) for x in row]
+    assert got[0, 0] == 3 * (2**40 + 1) + 19
+
+
+def test_query_takes_large_components(spark, sf_dir, tmp_path):
+    """The query against its contract, where some components are of 4,096 and more."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(150).toPandas()
+    rows["embedding"] = [[float(x) * (1e6 if i % 3 == 1 else 1) for x in v] for i, v in zip(rows.vec_id, rows.embedding, strict=True)]
+    spark.createDataFrame([(int(i), int(y), v) for i, y, v in zip(rows.vec_id, rows.label, rows.embedding, strict=True)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op11_hard_negatives"](spark, str(tmp_path))
+    moved = [(int(i), int((y + 1) % 10 if i % 7 == 0 else y), [math.floor(256 * float(np.float32(x))) for x in v], i % 100 == 0) for i, y, v in zip(rows.vec_id, rows.label, rows.embedding, strict=True)]
+    assert {tuple(r) for r in got.collect()} == plain(moved) != set()
+    assert any(abs(x) >= 1 << 20 for _, _, v, _ in moved for x in v)
