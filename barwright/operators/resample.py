@@ -8,6 +8,9 @@ What a draw computes isn't made from its rows. A Statistic is a value of sums; t
 are made once, and a draw adds up those of its blocks (draw_values): n / block rows a draw, joined with a table of n rows
 and summed before they are shuffled. For quantiles the values themselves are needed: draw_lists joins the starts with the list of
 each block's rows, n / block rows a draw again, and gathers a draw's values in one array. drawn() writes out the rows.
+
+Tables of draws are many times what they are made of, which the planner's estimates of size don't show: their joins are merges,
+or a table of draws would be taken for a small one and sent through the driver.
 """
 
 from __future__ import annotations
@@ -82,7 +85,7 @@ def drawn(starts: DataFrame, series: DataFrame, block: int, keys: list[str] | No
     each = starts.select(*keys, "n", "draw", (F.col("blk") * block).alias("first"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("off"))
     each = each.withColumn("place", F.col("first") + F.col("off")).where("place < n")
     each = each.select(*keys, "draw", "place", F.pmod(F.col("start") + F.col("off"), F.col("n")).alias("pos"))
-    return each.join(series.drop("n"), [*keys, "pos"])
+    return each.hint("merge").join(series.drop("n"), [*keys, "pos"])
 
 
 @dataclass(frozen=True)
@@ -182,7 +185,7 @@ def draw_values(starts: DataFrame, series: DataFrame, block: int, statistics: di
     full, short = (lambda k: F.sum(k).alias(k)), (lambda k: F.sum(F.when(F.col("last"), F.col(k))).alias(k))
     sums = each.groupBy(*keys, "start").agg(F.struct(*map(full, parts)).alias("_full"), F.struct(*map(short, parts)).alias("_short"))
     at_end = F.col("blk") == _blocks(F.col("n"), block) - 1
-    met = starts.join(sums, [*keys, "start"]).select(*keys, "draw", F.when(at_end, F.col("_short")).otherwise(F.col("_full")).alias("_b"))
+    met = starts.hint("merge").join(sums, [*keys, "start"]).select(*keys, "draw", F.when(at_end, F.col("_short")).otherwise(F.col("_full")).alias("_b"))
     sums = met.groupBy(*keys, "draw").agg(*[F.sum(f"_b.{k}").alias(k) for k in parts])
     return sums.select(*keys, "draw", *[v.alias(k) for k, v in values.items()])
 
@@ -193,7 +196,7 @@ def draw_lists(starts: DataFrame, series: DataFrame, block: int, values: dict[st
     lists = lambda on: F.struct(*[F.collect_list(F.when(on, F.col(k)) if on is not None else F.col(k)).alias(k) for k in values])
     made = each.groupBy(*keys, "start").agg(lists(None).alias("_full"), lists(F.col("last")).alias("_short"))
     at_end = F.col("blk") == _blocks(F.col("n"), block) - 1
-    met = starts.join(made, [*keys, "start"]).select(*keys, "draw", F.when(at_end, F.col("_short")).otherwise(F.col("_full")).alias("_b"))
+    met = starts.hint("merge").join(made, [*keys, "start"]).select(*keys, "draw", F.when(at_end, F.col("_short")).otherwise(F.col("_full")).alias("_b"))
     return met.groupBy(*keys, "draw").agg(*[F.flatten(F.collect_list(f"_b.{k}")).alias(k) for k in values])
 
 
@@ -248,9 +251,9 @@ def shuffled_blocks(series: DataFrame, column: str, block: int, trials: int, see
     length = F.least(F.lit(block), F.col("n") - F.col("blk") * block)
     w = Window.partitionBy(*keys, "trial").orderBy("_u", "blk").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("_u", u).withColumn("first", F.coalesce(F.sum(length).over(w), F.lit(0))).select(*keys, "trial", "blk", "first")
-    moved = series.select(*keys, F.floor(F.col("pos") / block).cast("int").alias("blk"), (F.col("pos") % block).alias("_off"), F.col(column).alias(name)).join(each, [*keys, "blk"])
+    moved = series.select(*keys, F.floor(F.col("pos") / block).cast("int").alias("blk"), (F.col("pos") % block).alias("_off"), F.col(column).alias(name)).join(each.hint("merge"), [*keys, "blk"])
     moved = moved.select(*keys, "trial", (F.col("first") + F.col("_off")).alias("pos"), name)
-    return series.join(moved, [*keys, "pos"])
+    return series.join(moved.hint("merge"), [*keys, "pos"])
 
 
 def conditional_excess(draws: DataFrame, x: str, flag: Column, keys: list[str]) -> DataFrame:
@@ -281,7 +284,7 @@ def sign_flip_bounds(series: DataFrame, key: str, x: str, bps: float, draws: int
 
     signs = _each(series.select(key, "n").distinct(), key, "draw long, blk long, sign double", make).drop("n")
     blk = F.floor(F.col("pos") / F.greatest(F.lit(1), F.least(F.lit(block), F.col("n"))))
-    means = signs.join(series.withColumn("blk", blk), [key, "blk"]).groupBy(key, "draw").agg((F.avg(F.col(x) * F.col("sign")) - 2 * bps / 10_000).alias("m"))
+    means = signs.hint("merge").join(series.withColumn("blk", blk), [key, "blk"]).groupBy(key, "draw").agg((F.avg(F.col(x) * F.col("sign")) - 2 * bps / 10_000).alias("m"))
     return means.groupBy(key).agg(F.percentile("m", F.lit(0.95)).alias("placebo_95"))
 
 
@@ -294,8 +297,8 @@ def permuted_each(series: DataFrame, key: str, column: str, block: int, seed: in
         yield {"blk": order, "first": np.cumsum(lengths) - lengths}
 
     moved = _each(series.select(key, "n").distinct(), key, "blk long, first long", make).drop("n")
-    new = series.select(key, F.floor(F.col("pos") / block).alias("blk"), (F.col("pos") % block).alias("off"), F.col(column).alias(name)).join(moved, [key, "blk"])
-    return series.join(new.select(key, (F.col("first") + F.col("off")).alias("pos"), name), [key, "pos"])
+    new = series.select(key, F.floor(F.col("pos") / block).alias("blk"), (F.col("pos") % block).alias("off"), F.col(column).alias(name)).join(moved.hint("merge"), [key, "blk"])
+    return series.join(new.select(key, (F.col("first") + F.col("off")).alias("pos"), name).hint("merge"), [key, "pos"])
 
 
 def permuted(series: DataFrame, column: str, block: int, seed: int, name: str) -> DataFrame:

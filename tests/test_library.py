@@ -343,6 +343,22 @@ def test_all_tickers_are_resampled(spark, sf_dir):
         assert np.isclose(bounds[k], resample.sign_flip_bound(one, "r", 10, 50, 5, 2).first()[0])
 
 
+def test_draws_are_not_broadcast(spark):
+    """A few series become many draws: their table is merged with the rows, however small the planner takes it to be."""
+    df = spark.createDataFrame([(k, i, i % 10 < 5, float(i * j % 7)) for j, k in enumerate("abc", 1) for i in range(40)], "ticker string, date int, f boolean, r double")
+    series = resample.positioned(df, "date", "ticker")
+    lengths, keys = series.select("ticker", "n").distinct(), ["ticker"]
+    excess = {"e": resample.excess(F.col("r"), F.col("f"))}
+    for starts in (resample.seeded_starts_of(lengths, "ticker", 30, 5, 9), resample.hashed_starts(lengths, keys, 30, 5, 9)):
+        made = [resample.drawn(starts, series, 5, keys), resample.draw_values(starts, series, 5, excess, keys), resample.draw_lists(starts, series, 5, {"r": F.col("r")}, keys)]
+        made += [resample.shuffled_blocks(series, "r", 5, 4, 1, keys, "p"), resample.permuted_each(series, "ticker", "f", 5, 1, "p"), resample.sign_flip_bounds(series, "ticker", "r", 10, 50, 5, 2)]
+        for each in made:
+            assert each.collect()
+            assert "BroadcastExchange" not in each._jdf.queryExecution().executedPlan().toString()
+    values, rows = made[1].toPandas().set_index(["ticker", "draw"]).e, resample.conditional_excess(made[0], "r", F.col("f"), keys).toPandas().set_index(["ticker", "draw"]).excess
+    assert len(values) == 90 and np.allclose(values.sort_index(), rows.sort_index(), equal_nan=True)
+
+
 def test_business_days_of_all_orders(spark, sf_dir):
     got = {r.o_orderkey: r.third for r in QUERIES["business_days_whole"](spark, sf_dir).collect()}
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).collect()
