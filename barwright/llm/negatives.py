@@ -254,9 +254,9 @@ def search(index: MultiIndex, placed: DataFrame, anchors: DataFrame, same_label:
     in_order = Window.partitionBy("anchor_id", "window").orderBy(F.desc("score"), "id")
     while True:
         made = scratch.table(state.mapInArrow(visits(rows_now), kinds), "visits")
-        blocks = blocks_of(index)
-        asked = made.where("cell >= 0").select("anchor_id", "label", "vector", "lows", "highs", "cell", F.pmod(F.xxhash64("anchor_id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-        dealt = placed.select("id", "label", "vector", "cell", F.pmod(F.xxhash64("id"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        blocks = blocks_of(index)  # keys of both sides have the same types, or equal ones would be dealt to different tasks
+        asked = made.where("cell >= 0").select("anchor_id", "label", "vector", "lows", "highs", "cell", F.pmod(F.xxhash64("anchor_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        dealt = placed.select("id", "label", "vector", "cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
         key = ("cell", "block", "part")
         found = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(scored, "anchor_id long, window int, id long, score long")
         best = scratch.table(best.unionByName(found).withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= first).drop("rank"), "best")

@@ -159,3 +159,16 @@ def test_query_takes_large_components(spark, sf_dir, tmp_path):
     moved = [(int(i), int((y + 1) % 10 if i % 7 == 0 else y), [math.floor(256 * float(np.float32(x))) for x in v], i % 100 == 0) for i, y, v in zip(rows.vec_id, rows.label, rows.embedding, strict=True)]
     assert {tuple(r) for r in got.collect()} == plain(moved) != set()
     assert any(abs(x) >= 1 << 20 for _, _, v, _ in moved for x in v)
+
+
+def test_blocks_meet_in_any_number_of_partitions(spark, monkeypatch):
+    """A block of anchors and its block of rows are dealt to the same task, also where partitions aren't put together."""
+    monkeypatch.setattr(negatives, "BLOCK", 15)
+    monkeypatch.setattr(negatives, "FIRST_ROWS", 150)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = clustered(400, 6, 11, 20)
+        assert {tuple(r) for r in negatives.hard_negatives(frame(spark, rows), words=3).collect()} == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
