@@ -9,7 +9,7 @@ has a pivot in the other's prefix. One edit can't stand on both sides of that gr
 from the words' beginning and what stands before it is equal, or the same place from the end and what follows is equal.
 So pivots meet prefixes by gram and the equal side (a place limit of zero, and less to compare); pairs are then verified by
 edit distance. A word's form is its near word of largest count, if that is `ratio` times its own; roots follow the forms,
-two steps at a time, written to the shared folder between the steps.
+two steps at a time, written to the shared folder between the steps. No join sends a side through the driver.
 
 A null text has no words and a null doc_id reads as an empty string in the deletion rule; an empty table gives no rows;
 texts and words of any length are taken whole. Repeated rows count each time. Columns but doc_id and text aren't read,
@@ -206,7 +206,8 @@ def near_words(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     keyed = words.mapInArrow(rows, "key long, pivot boolean, last int, letters long, word string, n long")
-    a, b = keyed.where("pivot").alias("a"), keyed.where("NOT pivot").alias("b")
+    # Merged, whatever size the planner takes them to be: the words' compressed files say little of it, and keys are several times as many.
+    a, b = keyed.where("pivot").alias("a").hint("merge"), keyed.where("NOT pivot").alias("b")
     close = (F.col("a.last") <= F.col("b.last")) & (F.abs(F.char_length("a.word") - F.char_length("b.word")) <= 1) & (F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters"))) <= 2)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.word") != F.col("b.word")) & close & (F.levenshtein("a.word", "b.word", 1) == 1))
     both = F.array(*[F.struct(F.col(f"{x}.word").alias("word"), F.col(f"{y}.word").alias("other"), F.col(f"{y}.n").alias("other_n")) for x, y in ("ab", "ba")])
@@ -222,15 +223,15 @@ def variants(docs: DataFrame, divisor: int = 31, least_chars: int = 7, least_n:
     best = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     best = best.select("word", "n_near", F.col("best.other").alias("other"), (-F.col("best.less")).alias("other_n"))
     formed = F.col("other_n") >= ratio * F.col("n")
-    found = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("other")).alias("form"), F.when(formed, F.col("other_n")).alias("form_n"))
+    found = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("other")).alias("form"), F.when(formed, F.col("other_n")).alias("form_n"))
     found = scratch.table(found, "forms")
     # A form has `ratio` times the count of what it stands for, so that chains are short and end; a step doubles what is followed.
     links = found.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:
         links = scratch.table(links, "roots")
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = links.join(onward, "root", "left")
+        stepped = links.join(onward.hint("merge"), "root", "left")
         if stepped.where("next IS NOT NULL").isEmpty():
             break
         links = stepped.select("word", F.coalesce("next", "root").alias("root"))
-    return found.join(links, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return found.join(links.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -98,3 +98,11 @@ def test_odd_rows(spark, odd, none):
     assert variants.variants(odd.withColumn("word", F.lit("x")).withColumn("other_n", F.lit(1))).count() == len(plain(rows))
     with pytest.raises(ValueError):
         variants.variants(odd, least_chars=3)
+
+
+def test_no_side_goes_through_the_driver(spark):
+    """Keys are several times the words, whose files are small: they are merged."""
+    words = spark.createDataFrame([(w, 2) for w in ("standard", "standart", "garments", "garment", "tomorrow", "tomorow")], "word string, n long")
+    found = variants.near_words(words)
+    assert {(r.word, r.other) for r in found.collect()} >= {("standard", "standart"), ("garment", "garments"), ("tomorow", "tomorrow")}
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
