@@ -7,7 +7,8 @@ whole or not at all: one that is lost before the rename leaves the store as it w
 one before names are deleted after a write.
 
 The number of buckets follows the size: where the parts of a year would hold more than `part_rows` rows on average, the next
-write doubles the buckets and deals all rows anew. A key is one date and one ticker, so that a ticker has 366 rows a
+write doubles the buckets and deals all rows anew. A store of FEW_PARTS parts doubles them only where parts hold more than
+PART_ROWS rows: a part is a file and a line of the manifest, and with small parts their number would follow the rows. A key is one date and one ticker, so that a ticker has 366 rows a
 part at most, however often its rows come.
 
 An upsert replaces whole rows: the new rows of a key win over the old, of new rows with one key the last wins (by the columns in
@@ -32,7 +33,8 @@ from ..functions.params import has_columns, period
 from ..operators.xsection import last_of_key
 from .registry import DATASETS
 
-PART_ROWS = 2_000_000
+#: Rows of a part; parts up to which a smaller number of rows is kept to.
+PART_ROWS, FEW_PARTS = 2_000_000, 2_048
 
 
 def bucket(n: int) -> Column:
@@ -154,7 +156,8 @@ class PanelStore:
         try:
             put = new.count()
             parts, years = dict(old["parts"]) if old else {}, max(1, new.select(part()).distinct().count())
-            while (sum(p["rows"] for p in parts.values()) + put) / (n * max(years, len({k.split("/")[0] for k in parts}))) > self.part_rows:
+            years, rows = max(years, len({k.split("/")[0] for k in parts})), sum(p["rows"] for p in parts.values()) + put
+            while rows / (n * years) > (self.part_rows if 2 * n * years <= FEW_PARTS else max(self.part_rows, PART_ROWS)):
                 n *= 2
             touched = None  # all parts, where rows are dealt anew
             if old and n == old["buckets"]:

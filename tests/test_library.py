@@ -363,3 +363,20 @@ def test_business_days_of_all_orders(spark, sf_dir):
     got = {r.o_orderkey: r.third for r in QUERIES["business_days_whole"](spark, sf_dir).collect()}
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).collect()
     assert got == {r.o_orderkey: str(np.busday_offset(r.d, 3, roll="backward")) for r in orders}
+
+
+def test_small_parts_stay_few(spark, tmp_path, monkeypatch):
+    """Parts double while they are few; beyond that they grow, so that files and the manifest don't follow the rows. What is read is the same."""
+    from barwright.sources import store as module
+
+    monkeypatch.setattr(module, "FEW_PARTS", 8)
+    store = PanelStore(spark, f"file://{tmp_path}", part_rows=5)
+    rows = spark.range(400).select(F.col("id").cast("string").alias("ticker"), F.expr("date_add(DATE '2020-01-01', CAST(id % 700 AS INT))").alias("date"), F.col("id").alias("x"))
+    store.upsert("p", rows.where("id < 10 OR id >= 390"))
+    few = len(store._manifest("p")["parts"])
+    store.upsert("p", rows)
+    assert few < len(store._manifest("p")["parts"]) <= 8
+    assert sorted(r.x for r in store.read("p").collect()) == list(range(400))
+    monkeypatch.setattr(module, "PART_ROWS", 20)  # parts of full size double again
+    store.upsert("p", rows)
+    assert 8 < len(store._manifest("p")["parts"]) <= 64
