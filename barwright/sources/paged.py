@@ -5,7 +5,8 @@ the folder `chain=<name>` of the landing, pages in order by file name and line.
 `tr_cont` is M or F; what lies behind the first other one is left from an earlier request and isn't read. An answer that
 isn't a success (status 200 and `rt_cd` 0) fails the read, as a page that is missing or out of order does.
 
-A partition is a chain: a task holds a page at a time, however long the chain. Filters on `chain` and `output` are pushed down:
+A partition is some chains of together TASK_BYTES, or one longer chain: tasks follow the bytes, not the number of chains, and a
+task holds a page at a time, however long the chain. Filters on `chain` and `output` are pushed down:
 only those chains' folders are opened, and only those outputs are taken out of the bodies.
 """
 
@@ -27,6 +28,8 @@ GOES_ON, SUCCESS = ("M", "F"), "0"
 HEADER, CODE, MESSAGE_CODE, MESSAGE = "tr_cont", "rt_cd", "msg_cd", "msg1"
 #: The characters that Spark writes as % and two digits in the name of a partition's folder.
 ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+#: Bytes of the chains that one task reads.
+TASK_BYTES = 4 << 20
 SCHEMA = "chain string, page int, output string, n int, record string"
 
 
@@ -48,9 +51,14 @@ def folder_of(chain: str) -> str:
     return "chain=" + ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", chain)
 
 
-class Chain(InputPartition):
-    def __init__(self, name: str, folder: str):
-        self.name, self.folder = name, folder
+class Chain:
+    def __init__(self, name: str, files: list[str]):
+        self.name, self.files = name, files
+
+
+class Chains(InputPartition):
+    def __init__(self, chains: list[Chain]):
+        self.chains = chains
 
 
 def _fs(path: str):
@@ -75,34 +83,45 @@ class PagedReader(DataSourceReader):
             own = f"{name}s"
             setattr(self, own, values if getattr(self, own) is None else getattr(self, own) & values)
 
-    def partitions(self) -> list[Chain]:
+    def partitions(self) -> list[Chains]:
         from pyarrow import fs
 
         at, root = _fs(self.path)
         if self.chains is None:
-            found = at.get_file_info(fs.FileSelector(root))
-            folders = [(unquote(i.base_name[len("chain=") :]), i.path) for i in found if i.type == fs.FileType.Directory and i.base_name.startswith("chain=")]
+            found = at.get_file_info(fs.FileSelector(root, recursive=True))
+            folders = {i.path: unquote(i.base_name[len("chain=") :]) for i in found if i.type == fs.FileType.Directory and i.base_name.startswith("chain=") and i.path.rpartition("/")[0] == root.rstrip("/")}
         else:
-            named = [(c, f"{root}/{folder_of(c)}") for c in self.chains if c is not None]
-            folders = [n for n, i in zip(named, at.get_file_info([p for _, p in named])) if i.type == fs.FileType.Directory]
-        return [Chain(*f) for f in sorted(folders)]
+            named = {f"{root.rstrip('/')}/{folder_of(c)}": c for c in self.chains if c is not None}
+            folders = {i.path: named[i.path] for i in at.get_file_info(list(named)) if i.type == fs.FileType.Directory}
+            found = [i for f in folders for i in at.get_file_info(fs.FileSelector(f))]
+        files: dict[str, list] = {f: [] for f in folders}
+        for i in found:
+            if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")) and (folder := i.path.rpartition("/")[0]) in files:
+                files[folder].append((i.path, i.size or 0))
+        out, room = [], 0
+        for folder, name in sorted(folders.items(), key=lambda x: x[1]):
+            size = sum(s for _, s in files[folder])
+            if size > room or not out:
+                out.append([])
+                room = TASK_BYTES
+            out[-1].append(Chain(name, sorted(f for f, _ in files[folder])))
+            room = max(0, room - size)
+        return [Chains(c) for c in out]
 
     def _answers(self, chain: Chain) -> Iterator[dict]:
         import io
 
-        from pyarrow import fs
-
         at, _ = _fs(self.path)
-        files = sorted(i.path for i in at.get_file_info(fs.FileSelector(chain.folder)) if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")))
-        for f in files:
+        for f in chain.files:
             with at.open_input_stream(f) as raw:
                 yield from (json.loads(line) for line in io.TextIOWrapper(raw, "utf-8") if line.strip())
 
-    def read(self, partition: Chain | None) -> Iterator:
-        import pyarrow as pa
+    def read(self, partition: Chains | None) -> Iterator:
+        for chain in partition.chains if partition else []:  # none: no chain is asked for
+            yield from self._records(chain)
 
-        if partition is None:  # no chain is asked for
-            return
+    def _records(self, partition: Chain) -> Iterator:
+        import pyarrow as pa
 
         kinds = pa.schema([("chain", pa.string()), ("page", pa.int32()), ("output", pa.string()), ("n", pa.int32()), ("record", pa.string())])
         want, on = 0, True

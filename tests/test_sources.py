@@ -139,3 +139,15 @@ def test_replication_equals_a_loop(spark):
     assert (c.value, c.paid_in, c.deepest_loss) == pytest.approx((value, paid, worst * 100))
     y = replication.by_year(df, run, 6).first()
     assert (y.year, y.days, y.total) == (2020, 6, pytest.approx((total - 1) * 100)) and not replication.by_year(df, run, 7).count()
+
+
+def test_short_chains_share_a_task(spark, tmp_path):
+    """Tasks follow the bytes of the chains, not their number; each chain is read as by itself."""
+    for k in range(300):
+        folder = tmp_path / f"chain=c{k}"
+        folder.mkdir()
+        folder.joinpath("part-0.txt").write_text("".join(json.dumps({"page": p, "headers": {"tr_cont": "M" if p < 2 else "D"}, "body": {"rt_cd": "0", "output": [{"x": k}, {"x": p}]}}) + "\n" for p in range(4)))
+    every = paged.landed_pages(spark, f"file://{tmp_path}")
+    assert every.rdd.getNumPartitions() < 10
+    assert sorted(tuple(r) for r in every.groupBy("chain").count().collect()) == sorted((f"c{k}", 6) for k in range(300))
+    assert {(r.chain, r.page) for r in every.where("chain IN ('c7', 'c250', 'none')").collect()} == {(c, p) for c in ("c7", "c250") for p in range(3)}
