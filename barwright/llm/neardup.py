@@ -31,14 +31,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_text, mixed, slices, unused, word_hashes
+from .common import Scratch, as_text, mixed, partitions, slices, unused, word_hashes
 
 K, BANDS, PICKED, SIMILARITY = 3, 48, 2, 0.8
 #: Texts of fewer words have keys for all that is left without up to 20 % of them: 106 keys at most.
 SHORT = 15
+#: A key that more texts have is not held against itself: its texts meet by their rarest words.
+COMMON = 256
+#: Texts whose k-mers and words give the order of rarity, about; how many of these are known as common; keys of a group.
+SAMPLED, KNOWN, GROUP = 4096, 1 << 17, 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,6 +127,30 @@ def later_keys(found: np.ndarray, alive: np.ndarray, n_words: int, number: int)
     return np.concatenate([by_length(mixed(p + ROLL[j]), n_words) for j, p in enumerate(parts)])
 
 
+def shared_least(n: int, k: int) -> int:
+    """How many labelled k-mers a text of n words has in common at least with any linked text that isn't shorter."""
+    up = -(-n // 5) * 5  # the share of words that may differ is highest at whole fifths
+    return min(m - k + 1 - k * (m // 5) for m in (n, up))
+
+
+def shared_rare(n: int, k: int) -> int:
+    """How many of them are among the rarest of both."""
+    return min(8 + n // 32, shared_least(n, k))
+
+
+def rarest(found: np.ndarray, n: int, k: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest labelled k-mers of a text of n words: so many that two linked texts have shared_rare of them in common.
+
+    known: hashes in order, and counts. Any order would do that all texts keep to; by rarity, few others meet.
+    """
+    hashes, counts = known
+    rank = np.zeros(len(found), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        rank = np.where(hashes[at] == found, counts[at], 0)
+    return found[np.lexsort((found, rank))[: len(found) - shared_least(n, k) + shared_rare(n, k)]]
+
+
 def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both without their common start and end."""
     n = min(len(a), len(b))
@@ -277,27 +305,147 @@ def _pairs(active: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs
 
 
-def _links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """The rows (doc_id, text_hash, id, first), and tables of links (id, leader, similarity) between firsts."""
+def _aligned(pairs: DataFrame, active: DataFrame, scratch: Scratch, number: int) -> DataFrame:
+    """Pairs (id, leader, open) of texts (id, words, alive), checked."""
+    # Both sides are the same exchange of the texts by id, so that words are dealt out once; merged at every size.
+    texts = active.select("id", "words", "alive").hint("merge")
+    met = pairs.join(texts.alias("b"), F.col("leader") == F.col("b.id")).select(pairs["id"], "leader", "open", F.col("b.words").alias("wb"), F.col("b.alive").alias("alive_b"))
+    met = met.alias("p").join(texts.alias("a"), F.col("p.id") == F.col("a.id")).select("p.*", F.col("a.words").alias("wa"), F.col("a.alive").alias("alive")).sortWithinPartitions("id")
+    return scratch.table(met.mapInArrow(_checked(number), "id long, leader long, similarity double, keys array<long>, words binary, alive binary"), "checked")
+
+
+def _links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The rows (doc_id, text_hash, id, first), the firsts (id, words, alive), and tables of links (id, leader, similarity) between firsts."""
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("id"))
     made = scratch.table(source.mapInArrow(_first, "doc_id long, text_hash long, id long, first long, words binary, keys array<long>"), "first")
-    active, links, number = made.where("keys IS NOT NULL").select("id", "words", "keys", F.lit(None).cast("binary").alias("alive")), [], 0
+    firsts = made.where("keys IS NOT NULL").select("id", "words", "keys", F.lit(None).cast("binary").alias("alive"))
+    active, links, number = firsts, [], 0
     while number == 0 or not active.isEmpty():
         number += 1
         pairs = _pairs(active, scratch)
-        # Both sides are the same exchange of the texts by id, so that words are dealt out once; merged at every size.
-        texts = active.select("id", "words", "alive").hint("merge")
-        met = pairs.join(texts.alias("b"), F.col("leader") == F.col("b.id")).select(pairs["id"], "leader", "open", F.col("b.words").alias("wb"), F.col("b.alive").alias("alive_b"))
-        met = met.alias("p").join(texts.alias("a"), F.col("p.id") == F.col("a.id")).select("p.*", F.col("a.words").alias("wa"), F.col("a.alive").alias("alive")).sortWithinPartitions("id")
-        checked = scratch.table(met.mapInArrow(_checked(number), "id long, leader long, similarity double, keys array<long>, words binary, alive binary"), "checked")
+        checked = _aligned(pairs, active, scratch, number)
         links.append(scratch.table(checked.where("similarity IS NOT NULL").select("id", "leader", "similarity"), "links"))
         going = scratch.table(checked.where("keys IS NOT NULL").select("id", "words", "keys", "alive").dropDuplicates(["id"]), "going")
-        if number == 1:
-            rows = scratch.table(made.select("doc_id", "text_hash", "id", "first"), "rows")
-        scratch.drop(pairs, checked, made if number == 1 else active)
+        scratch.drop(pairs, checked, active)
         active = going
     scratch.drop(active)
-    return rows, links
+    return made.select("doc_id", "text_hash", "id", "first"), firsts.select("id", "words", "alive"), links
+
+
+def _order(texts: DataFrame, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest labelled k-mers and words of a sample of the texts, and how many of them have each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                own = np.frombuffer(words, "<u4").astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((kmers(own), kmers(own, 1))).view(np.int64))], ["key"])
+
+    sample = texts.where(F.pmod(F.xxhash64("words"), F.lit(every)) == 0).select("words")
+    counted = sample.mapInArrow(rows, "key long").groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(KNOWN).toPandas()
+    hashes = counted["key"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(hashes)
+    return hashes[by], counted["count"].to_numpy(np.int64)[by]
+
+
+def _dealt(known, k: int, parts: int):
+    """Texts to their rarest k-mers (and the keys of short texts), dealt into parts: of each batch and part the keys' low halves and ids less base."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, of = [], []
+            for id_, words in zip(batch.column("id").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                own = np.frombuffer(words, "<u4").astype(np.uint64)
+                n, short = len(own), np.zeros(0, np.uint64)
+                if k > 1 and n < SHORT:
+                    short = shortened(own)
+                rare = rarest(kmers(own, k), n, k, known.value) if n >= 4 * SHORT // 5 else short[:0]
+                for found, first in ((rare, 0), (short, parts)):
+                    part = (found >> np.uint64(40)) % np.uint64(parts) + np.uint64(first)
+                    keys.append(part << np.uint64(32) | found & np.uint64(2**32 - 1))
+                of.append(np.full(len(rare) + len(short), id_, np.int64))
+            if not keys:
+                continue
+            keys, of = np.concatenate(keys), np.concatenate(of)
+            part = (keys >> np.uint64(32)).astype(np.int64)
+            by = np.lexsort((part, of >> 33))
+            keys, of, part = keys[by], of[by], part[by]
+            starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (of[1:] >> 33 != of[:-1] >> 33)))) if len(keys) else np.zeros(0, np.int64)
+            ends, base = np.append(starts[1:], len(keys)), of[starts] >> 33 << 33
+            low, less = keys.astype("<u4"), (of & (2**33 - 1)).astype("<u4")
+            arrays = [pa.array(part[starts]), pa.array(base), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (low, less))]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "base", "low", "less"])
+
+    return rows
+
+
+def _repeated(most: int):
+    """The keys of a part that two texts or more have, with their texts. Of keys that more than `most` have, the texts alone, once."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        lows = [np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()]
+        ids = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + b for x, b in zip(table.column("less").to_pylist(), table.column("base").to_pylist(), strict=True)])
+        low, part = np.concatenate(lows), table.column("part")[0].as_py()
+        by = np.argsort(low, kind="stable")
+        low, ids = low[by], ids[by]
+        starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        size = np.repeat(np.diff(np.append(starts, len(low))), np.diff(np.append(starts, len(low))))
+        kept, many = (size > 1) & (size <= most), np.unique(ids[size > most])
+        keys = pa.array((low[kept].astype(np.int64) | part << 32), pa.int64())
+        keys = pa.concat_arrays([keys, pa.nulls(len(many), pa.int64())])
+        return pa.table({"key": keys, "id": pa.array(np.concatenate((ids[kept], many)), pa.int64())})
+
+    return rows
+
+
+def _unmet(texts: DataFrame, roots: DataFrame, k: int, known, parts: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (id, leader) of texts of different classes that may be linked, and the ids of texts with keys that more than `most` have.
+
+    roots: of each text that is asked for id, n (its words) and root (its class).
+    """
+    dealt = texts.select("id", "words").mapInArrow(_dealt(known, k, parts), "part long, base long, low binary, less binary")
+    found = scratch.table(dealt.groupBy("part").applyInArrow(_repeated(most), "key long, id long"), "repeated")
+    same = Window.partitionBy("key")
+    met = found.where("key IS NOT NULL").join(roots, "id").withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same)}).where("low < high")
+    met = met.withColumns({"main": F.mode("root").over(same), "cuts": F.ceil(F.count(F.lit(1)).over(same) / COMMON).cast("int")})
+    met = scratch.table(met.select("key", "id", "n", "root", "main", "cuts"), "met")
+    # Of two classes one at least isn't the key's largest: its texts are held against all. A large key is cut into as many tasks.
+    a = met.where("root != main").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).alias("a")
+    b = met.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).alias("b")
+    apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
+    near = 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")
+    both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cut") == F.col("b.cut")) & apart & near)
+    n, up = F.least("a.n", "b.n"), F.ceil(F.least("a.n", "b.n") / 5) * 5
+    need = F.least(8 + F.floor(n / 32), *(m - k + 1 - k * F.floor(m / 5) for m in (n, up)))
+    need = F.when(F.col("a.key") >= parts << 32, 1).otherwise(need)
+    pairs = both.select(F.least("a.id", "b.id").alias("leader"), F.greatest("a.id", "b.id").alias("id"), need.cast("int").alias("need"))
+    pairs = pairs.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need")
+    pairs = scratch.table(pairs.select("id", "leader"), "unmet")
+    many = scratch.table(found.where("key IS NULL").select("id").distinct(), "many")
+    scratch.drop(found, met)
+    return pairs, many
+
+
+def _rest(texts: DataFrame, member: DataFrame, scratch: Scratch) -> DataFrame:
+    """All links between different classes: pairs (a, b) of their roots.
+
+    Two linked texts have so many k-mers in common that some are among the rarest of both; where such a k-mer is common,
+    so many words that some are among the rarest words. Short texts have the keys of all that is left of them.
+    """
+    spark = texts.sparkSession
+    roots = texts.select("id", F.floor(F.length("words") / 4).cast("int").alias("n"), F.xxhash64("words").alias("hash")).join(member.withColumnRenamed("node", "id"), "id", "left")
+    roots = roots.withColumn("root", F.coalesce("root", "id")).groupBy("root", "hash").agg(F.min("id").alias("id"), F.min("n").alias("n"))  # copies once
+    roots = scratch.table(roots.select("id", "n", "root"), "roots")
+    texts = texts.where("length(words) > 0")
+    count, words = roots.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    known = spark.sparkContext.broadcast(_order(texts, max(1, count // SAMPLED)))  # of bounded size
+    parts = max(4 * partitions(spark), words // GROUP)
+    pairs, many = _unmet(texts, roots, K, known, parts, COMMON, scratch)
+    alike, _ = _unmet(texts.join(many, "id", "left_semi"), roots, 1, known, parts, 2**62, scratch)
+    pairs = scratch.table(pairs.union(alike).distinct().withColumn("open", F.lit(False)), "pairs")
+    found = _aligned(pairs, texts, scratch, 1).where("similarity IS NOT NULL")
+    a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(r)) for c, r in (("id", "a"), ("leader", "b")))
+    return scratch.table(found.join(a, "id").join(b, "leader").select("a", "b"), "rest")
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -334,12 +482,15 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 def _rooted(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Of each row doc_id, text_hash and root: the id that its class alone has."""
-    rows, links = _links(docs, scratch)
+    rows, texts, links = _links(docs, scratch)
     edges = rows.where("first != id").select(F.col("first").alias("a"), F.col("id").alias("b"))
     for part in links:
         edges = edges.union(part.select(F.least("id", "leader"), F.greatest("id", "leader")))
     member = components(edges, scratch)
-    out = scratch.table(rows.join(member.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked")), "rooted")
+    joined = components(_rest(texts, member, scratch), scratch).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    found = rows.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "id"))
+    found = found.join(joined, "root", "left").select("doc_id", "text_hash", F.coalesce("least", "root").alias("root"), (F.col("linked") | F.col("least").isNotNull()).alias("linked"))
+    out = scratch.table(found, "rooted")
     scratch.drop_all_but(out)
     return out
 

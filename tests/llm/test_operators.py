@@ -266,6 +266,77 @@ def test_near_duplicates_recall(spark, low, high):
         assert sum(got[p + 1] == p for p in pairs) >= 0.9 * len(pairs), share
 
 
+def test_near_duplicates_of_a_dense_group(spark):
+    """Pairs among many texts that are a little too far from each other, and so share all keys with texts that they fail against."""
+    rng, texts = random.Random(31), []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(50):
+            one = edited(base, 0.15, rng)
+            texts += [" ".join(one), " ".join(edited(one, 0.2, rng))]
+    hashed = [np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in t.split()], np.uint32) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i // 100 * 100, i):
+            if neardup.similarity(hashed[i], hashed[j]) >= 0:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: top(i) for i in range(len(texts))}
+
+
+def test_short_near_duplicates_of_a_dense_group(spark):
+    """Texts of 10 words that share 8 with many others, of which each is near one alone."""
+    kept, texts = [f"k{i}" for i in range(8)], []
+    for g in range(20):
+        places = random.Random(g).sample(range(9), 2)
+        one = list(kept)
+        for at in sorted(places, reverse=True):
+            one.insert(at, f"g{g}x{at}")
+        texts += [" ".join(one), " ".join(f"{w}y" if w == f"g{g}x{places[0]}" else w for w in one)]
+    hashed = [np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in t.split()], np.uint32) for t in texts]
+    near = {i: [j for j in range(len(texts)) if neardup.similarity(hashed[i], hashed[j]) >= 0] for i in range(len(texts))}
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == got[j] for i in near for j in near[i])
+
+
+def test_common_keys_meet_by_words(spark, monkeypatch):
+    """Where a key is too common to be held against itself, classes are the same."""
+    rng, texts = random.Random(37), []
+    for g in range(60):
+        base = [f"p{i}" for i in range(60)] + [f"g{g}w{i}" for i in range(40)]
+        texts += [" ".join(base), " ".join(edited(base, 0.2, rng))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "COMMON", 8)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(12, 90), st.integers(0, 10**6), st.sampled_from([1, 3]))
+def test_linked_texts_share_rare_kmers(n, seed, k):
+    """Whatever up to 20 % of the longer text's words do, so many of the rarest k-mers of both agree as pairs are asked for."""
+    rng = random.Random(seed)
+    a = [rng.randrange(30) for _ in range(n)]
+    b = list(a)
+    for _ in range(n // 5):
+        at = rng.randrange(len(b))
+        b[at : at + 1] = rng.choice([[], [rng.randrange(30)], [b[at], rng.randrange(30)]])
+    pair = [np.array(x, np.uint32) for x in (a, b)]
+    if neardup.similarity(*pair) < 0 or min(len(a), len(b)) < 12:
+        return
+    found = [neardup.kmers(x.astype(np.uint64), k) for x in pair]
+    hashes = np.unique(np.concatenate(found))[::2]
+    known = hashes, np.random.default_rng(seed).integers(1, 9, len(hashes))
+    rare = [neardup.rarest(f, len(x), k, known) for f, x in zip(found, pair, strict=True)]
+    assert len(np.intersect1d(*rare)) >= neardup.shared_rare(min(len(a), len(b)), k) >= min(4, n - 8)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     """The classes of a whole table are those of all linked pairs, found by aligning every pair that a bound on the distance leaves."""
     docs = read(spark, "/root/testdata/sf0.01", "documents")
