@@ -14,9 +14,15 @@ texts share, is gone), and sketches of all its k-mers with twice as many picks a
 in proportion to the texts in it, whatever the sizes of groups; it ends when nothing fails in keys of four or more, and
 there is no cap on members or passes.
 
+What keys and leaders leave out is found exactly, between different classes alone: two linked texts have so many labelled
+k-mers in common that several are among the rarest of both (by the number of texts that have them). Pairs that share so
+many of their rarest are aligned. Where such a k-mer is in more than COMMON texts of several classes, its texts meet by
+their rarest words instead, in the same way; short texts by the keys of all that is left of them. No link between
+different texts of 12 words or more depends on chance, and shorter ones share a key as above.
+
 Two texts of shingle similarity J share a band with a chance of about J*J. Where 20 % of the words are substituted at
 random, J is about 0.34, and all bands part 0.2 % of such pairs; at fewer substitutions, fewer. Where every fifth word is
-substituted, the worst case, J is 0.25, and 5 % are parted. README has the recall measured.
+substituted, the worst case, J is 0.25, and 5 % are parted. README has the share measured; the step before finds these pairs too.
 
 Null and empty texts have no words: they are copies of each other. Repeated rows are copies. Very long texts are aligned
 whole. An empty table gives no rows. doc_id may be null or
@@ -41,8 +47,8 @@ K, BANDS, PICKED, SIMILARITY = 3, 48, 2, 0.8
 SHORT = 15
 #: A key that more texts have is not held against itself: its texts meet by their rarest words.
 COMMON = 256
-#: Texts whose k-mers and words give the order of rarity, about; how many of these are known as common; keys of a group.
-SAMPLED, KNOWN, GROUP = 4096, 1 << 17, 1 << 20
+#: Keys of a part, about.
+GROUP = 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,19 +144,6 @@ def shared_rare(n: int, k: int) -> int:
     return min(8 + n // 32, shared_least(n, k))
 
 
-def rarest(found: np.ndarray, n: int, k: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rarest labelled k-mers of a text of n words: so many that two linked texts have shared_rare of them in common.
-
-    known: hashes in order, and counts. Any order would do that all texts keep to; by rarity, few others meet.
-    """
-    hashes, counts = known
-    rank = np.zeros(len(found), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-        rank = np.where(hashes[at] == found, counts[at], 0)
-    return found[np.lexsort((found, rank))[: len(found) - shared_least(n, k) + shared_rare(n, k)]]
-
-
 def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both without their common start and end."""
     n = min(len(a), len(b))
@@ -332,40 +325,19 @@ def _links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, lis
     return made.select("doc_id", "text_hash", "id", "first"), firsts.select("id", "words", "alive"), links
 
 
-def _order(texts: DataFrame, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest labelled k-mers and words of a sample of the texts, and how many of them have each."""
+def _dealt(k: int, parts: int):
+    """Texts to their k-mers (and the keys of short texts), dealt into parts: of each batch and part the keys' low halves and ids less base."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in batch.column("words").to_pylist():
-                own = np.frombuffer(words, "<u4").astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((kmers(own), kmers(own, 1))).view(np.int64))], ["key"])
-
-    sample = texts.where(F.pmod(F.xxhash64("words"), F.lit(every)) == 0).select("words")
-    counted = sample.mapInArrow(rows, "key long").groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(KNOWN).toPandas()
-    hashes = counted["key"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(hashes)
-    return hashes[by], counted["count"].to_numpy(np.int64)[by]
-
-
-def _dealt(known, k: int, parts: int):
-    """Texts to their rarest k-mers (and the keys of short texts), dealt into parts: of each batch and part the keys' low halves and ids less base."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, of = [], []
+            keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for id_, words in zip(batch.column("id").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 own = np.frombuffer(words, "<u4").astype(np.uint64)
-                n, short = len(own), np.zeros(0, np.uint64)
-                if k > 1 and n < SHORT:
-                    short = shortened(own)
-                rare = rarest(kmers(own, k), n, k, known.value) if n >= 4 * SHORT // 5 else short[:0]
-                for found, first in ((rare, 0), (short, parts)):
+                short = shortened(own) if k > 1 else own[:0]
+                for found, first in ((kmers(own, k) if len(own) >= 4 * SHORT // 5 else own[:0], 0), (short, parts)):
                     part = (found >> np.uint64(40)) % np.uint64(parts) + np.uint64(first)
                     keys.append(part << np.uint64(32) | found & np.uint64(2**32 - 1))
-                of.append(np.full(len(rare) + len(short), id_, np.int64))
-            if not keys:
-                continue
+                    of.append(np.full(len(found), id_, np.int64))
             keys, of = np.concatenate(keys), np.concatenate(of)
             part = (keys >> np.uint64(32)).astype(np.int64)
             by = np.lexsort((part, of >> 33))
@@ -373,57 +345,59 @@ def _dealt(known, k: int, parts: int):
             starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (of[1:] >> 33 != of[:-1] >> 33)))) if len(keys) else np.zeros(0, np.int64)
             ends, base = np.append(starts[1:], len(keys)), of[starts] >> 33 << 33
             low, less = keys.astype("<u4"), (of & (2**33 - 1)).astype("<u4")
-            arrays = [pa.array(part[starts]), pa.array(base), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (low, less))]
+            arrays = [pa.array(part[starts]), pa.array(base), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=False)], pa.binary()) for x in (low, less))]
             yield pa.RecordBatch.from_arrays(arrays, ["part", "base", "low", "less"])
 
     return rows
 
 
-def _repeated(most: int):
-    """The keys of a part that two texts or more have, with their texts. Of keys that more than `most` have, the texts alone, once."""
+def _repeated(table: pa.Table) -> pa.Table:
+    """The keys of a part that two texts or more have, with their texts and how many these are."""
+    ids = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + b for x, b in zip(table.column("less").to_pylist(), table.column("base").to_pylist(), strict=True)])
+    low = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()])
+    by = np.argsort(low, kind="stable")
+    low, ids = low[by], ids[by]
+    size = np.diff(np.append(np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))), len(low)))
+    size = np.repeat(size, size)
+    kept = size > 1
+    return pa.table({"key": low[kept].astype(np.int64) | table.column("part")[0].as_py() << 32, "id": ids[kept], "size": size[kept].astype(np.int64)})
 
-    def rows(table: pa.Table) -> pa.Table:
-        lows = [np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()]
-        ids = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + b for x, b in zip(table.column("less").to_pylist(), table.column("base").to_pylist(), strict=True)])
-        low, part = np.concatenate(lows), table.column("part")[0].as_py()
-        by = np.argsort(low, kind="stable")
-        low, ids = low[by], ids[by]
-        starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        size = np.repeat(np.diff(np.append(starts, len(low))), np.diff(np.append(starts, len(low))))
-        kept, many = (size > 1) & (size <= most), np.unique(ids[size > most])
-        keys = pa.array((low[kept].astype(np.int64) | part << 32), pa.int64())
-        keys = pa.concat_arrays([keys, pa.nulls(len(many), pa.int64())])
-        return pa.table({"key": keys, "id": pa.array(np.concatenate((ids[kept], many)), pa.int64())})
 
-    return rows
+def _shared(n: F.Column, k: int) -> tuple[F.Column, F.Column]:
+    """shared_least and shared_rare of a column."""
+    least = F.least(*(m - k + 1 - k * F.floor(m / 5) for m in (n, F.ceil(n / 5) * 5)))
+    return least, F.least(8 + F.floor(n / 32), least)
 
 
-def _unmet(texts: DataFrame, roots: DataFrame, k: int, known, parts: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs (id, leader) of texts of different classes that may be linked, and the ids of texts with keys that more than `most` have.
+def _unmet(texts: DataFrame, roots: DataFrame, k: int, parts: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (id, leader) of texts of different classes that may be linked, and the ids of texts that share a rare key with more than `most`.
 
-    roots: of each text that is asked for id, n (its words) and root (its class).
+    roots: of each text that is asked for id, n (its words) and root (its class). A text's keys that no other text has are
+    its rarest: where these are too many, it has no link. Of the others as many stay as the rarest ones may still be.
     """
-    dealt = texts.select("id", "words").mapInArrow(_dealt(known, k, parts), "part long, base long, low binary, less binary")
-    found = scratch.table(dealt.groupBy("part").applyInArrow(_repeated(most), "key long, id long"), "repeated")
-    same = Window.partitionBy("key")
-    met = found.where("key IS NOT NULL").join(roots, "id").withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same)}).where("low < high")
-    met = met.withColumns({"main": F.mode("root").over(same), "cuts": F.ceil(F.count(F.lit(1)).over(same) / COMMON).cast("int")})
-    met = scratch.table(met.select("key", "id", "n", "root", "main", "cuts"), "met")
+    dealt = texts.select("id", "words").mapInArrow(_dealt(k, parts), "part long, base long, low binary, less binary")
+    found = scratch.table(dealt.groupBy("part").applyInArrow(_repeated, "key long, id long, size long"), "repeated")
+    short, own, same = F.col("key") >= parts << 32, Window.partitionBy("id", "short"), Window.partitionBy("key")
+    least, rare = _shared(F.col("n"), k)
+    ranked = found.join(roots, "id").withColumn("short", short).withColumns({"place": F.row_number().over(own.orderBy("size", "key")), "repeated": F.count(F.lit(1)).over(own)})
+    met = ranked.where(F.col("short") | (F.col("place") <= F.col("repeated") + rare - least))
+    met = met.withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same)}).where("low < high")
+    met = met.withColumns({"main": F.mode("root").over(same), "met": F.count(F.lit(1)).over(same)})
+    met = scratch.table(met.select("key", "id", "n", "root", "main", "met", "short", F.ceil(F.col("met") / COMMON).cast("int").alias("cuts")), "met")
+    many = ~F.col("short") & (F.col("met") > most)
     # Of two classes one at least isn't the key's largest: its texts are held against all. A large key is cut into as many tasks.
-    a = met.where("root != main").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).alias("a")
-    b = met.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).alias("b")
+    a = met.where(~many & (F.col("root") != F.col("main"))).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).alias("a")
+    b = met.where(~many).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).alias("b")
     apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
     near = 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")
     both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cut") == F.col("b.cut")) & apart & near)
-    n, up = F.least("a.n", "b.n"), F.ceil(F.least("a.n", "b.n") / 5) * 5
-    need = F.least(8 + F.floor(n / 32), *(m - k + 1 - k * F.floor(m / 5) for m in (n, up)))
-    need = F.when(F.col("a.key") >= parts << 32, 1).otherwise(need)
+    need = F.when(F.col("a.short"), 1).otherwise(_shared(F.least("a.n", "b.n"), k)[1])
     pairs = both.select(F.least("a.id", "b.id").alias("leader"), F.greatest("a.id", "b.id").alias("id"), need.cast("int").alias("need"))
     pairs = pairs.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need")
     pairs = scratch.table(pairs.select("id", "leader"), "unmet")
-    many = scratch.table(found.where("key IS NULL").select("id").distinct(), "many")
+    others = scratch.table(met.where(many).select("id").distinct(), "many")
     scratch.drop(found, met)
-    return pairs, many
+    return pairs, others
 
 
 def _rest(texts: DataFrame, member: DataFrame, scratch: Scratch) -> DataFrame:
@@ -432,16 +406,14 @@ def _rest(texts: DataFrame, member: DataFrame, scratch: Scratch) -> DataFrame:
     Two linked texts have so many k-mers in common that some are among the rarest of both; where such a k-mer is common,
     so many words that some are among the rarest words. Short texts have the keys of all that is left of them.
     """
-    spark = texts.sparkSession
     roots = texts.select("id", F.floor(F.length("words") / 4).cast("int").alias("n"), F.xxhash64("words").alias("hash")).join(member.withColumnRenamed("node", "id"), "id", "left")
     roots = roots.withColumn("root", F.coalesce("root", "id")).groupBy("root", "hash").agg(F.min("id").alias("id"), F.min("n").alias("n"))  # copies once
     roots = scratch.table(roots.select("id", "n", "root"), "roots")
     texts = texts.where("length(words) > 0")
-    count, words = roots.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    known = spark.sparkContext.broadcast(_order(texts, max(1, count // SAMPLED)))  # of bounded size
-    parts = max(4 * partitions(spark), words // GROUP)
-    pairs, many = _unmet(texts, roots, K, known, parts, COMMON, scratch)
-    alike, _ = _unmet(texts.join(many, "id", "left_semi"), roots, 1, known, parts, 2**62, scratch)
+    words = roots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(4 * partitions(texts.sparkSession), words // GROUP)
+    pairs, many = _unmet(texts, roots, K, parts, COMMON, scratch)
+    alike, _ = _unmet(texts.join(many, "id", "left_semi"), roots, 1, parts, 2**62, scratch)
     pairs = scratch.table(pairs.union(alike).distinct().withColumn("open", F.lit(False)), "pairs")
     found = _aligned(pairs, texts, scratch, 1).where("similarity IS NOT NULL")
     a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(r)) for c, r in (("id", "a"), ("leader", "b")))

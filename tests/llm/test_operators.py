@@ -331,10 +331,11 @@ def test_linked_texts_share_rare_kmers(n, seed, k):
     if neardup.similarity(*pair) < 0 or min(len(a), len(b)) < 12:
         return
     found = [neardup.kmers(x.astype(np.uint64), k) for x in pair]
-    hashes = np.unique(np.concatenate(found))[::2]
-    known = hashes, np.random.default_rng(seed).integers(1, 9, len(hashes))
-    rare = [neardup.rarest(f, len(x), k, known) for f, x in zip(found, pair, strict=True)]
-    assert len(np.intersect1d(*rare)) >= neardup.shared_rare(min(len(a), len(b)), k) >= min(4, n - 8)
+    size = {int(x): rng.randrange(3) for x in np.concatenate(found)}
+    rare = []
+    for f, m in zip(found, (len(a), len(b)), strict=True):
+        rare.append(set(sorted(f.tolist(), key=lambda x: (size[x], x))[: len(f) - neardup.shared_least(m, k) + neardup.shared_rare(m, k)]))
+    assert len(rare[0] & rare[1]) >= neardup.shared_rare(min(len(a), len(b)), k) >= 4
 
 
 def test_near_duplicates_against_all_pairs(spark):
