@@ -67,13 +67,15 @@ def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     for i in range(k):
         out += words[i : i + n] * ROLL[i]
     out = mixed(out)
-    order = np.argsort(out, kind="stable")
-    same = np.concatenate(([False], out[order][1:] == out[order][:-1]))
-    if same.any():
-        at = np.arange(n)
-        occurrence = np.zeros(n, np.uint64)
-        occurrence[order] = at - np.maximum.accumulate(np.where(same, 0, at))
-        out = np.where(occurrence > 0, mixed(out + occurrence * ROLL[63]), out)
+    in_order = np.sort(out)
+    twice = in_order[1:][in_order[1:] == in_order[:-1]]
+    if len(twice):  # only these are put in order with their places
+        at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, out), len(twice) - 1)] == out)
+        at = at[np.argsort(out[at], kind="stable")]
+        place = np.arange(len(at))
+        first = np.concatenate(([True], out[at][1:] != out[at][:-1]))
+        occurrence = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
+        out[at] = np.where(occurrence > 0, mixed(out[at] + occurrence * ROLL[63]), out[at])
     return out
 
 
@@ -83,7 +85,7 @@ def sketch(found: np.ndarray, picked: int = PICKED) -> np.ndarray:
     if not picked:
         return np.zeros(0, np.uint64)
     out = np.full(BANDS, picked, np.uint64)
-    step = max(1, (1 << 20) // len(found))
+    step = max(1, (1 << 16) // len(found))
     for a in range(0, BANDS, step):
         values = (found[None, :] ^ OFFSETS[a : a + step, None]) * FACTORS[a : a + step, None]
         if picked <= 3:
@@ -248,7 +250,7 @@ class _Going:
 
 
 def _checked(number: int):
-    """Rows (id, leader, open, wa, alive, wb), those of an id together, to links and to the texts that go on to pass `number`."""
+    """Rows (id, leader, open, tried, wa, alive, wb), those of an id together, to links and to the texts that go on to pass `number`. What was tried has failed."""
     names = ["id", "leader", "similarity", "keys", "words", "alive"]
 
     def batch(links: list[tuple], going: list[_Going]) -> pa.RecordBatch:
@@ -269,9 +271,9 @@ def _checked(number: int):
             for k in range(0, whole.num_rows, 512):
                 links, going = [], []
                 part = whole.slice(k, 512)
-                for id_, leader, is_open, wa, alive, wb in zip(*(part.column(c).to_pylist() for c in ("id", "leader", "open", "wa", "alive", "wb")), strict=True):
+                for id_, leader, is_open, tried, wa, alive, wb in zip(*(part.column(c).to_pylist() for c in ("id", "leader", "open", "tried", "wa", "alive", "wb")), strict=True):
                     a, b = np.frombuffer(wa, "<u4"), np.frombuffer(wb, "<u4")
-                    found = similarity(a, b)
+                    found = -1.0 if tried else similarity(a, b)
                     if found >= 0:
                         links.append((id_, leader, found))
                     elif is_open:
@@ -286,81 +288,112 @@ def _checked(number: int):
 
 
 def _pairs(active: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of texts (id, keys): each member of a key with its leaders, and whether the member is still to be held against others of the key."""
+    """Of texts (id, keys): each member of a key with its leaders, whether the member is still to be held against others of the key, and
+    whether the leader is the one that it shares most keys with."""
     keyed = active.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = scratch.table(shared, "shared")
     middle = (F.col("id") != F.col("low")) & (F.col("id") != F.col("high"))
     leaders = F.when(middle, F.array("low", "high")).when(F.col("id") == F.col("high"), F.array("low")).otherwise(F.array().cast("array<bigint>"))
     met = keyed.join(shared, "key").select("id", F.explode(leaders).alias("leader"), (middle & (F.col("n") >= 4)).alias("open"))
-    pairs = scratch.table(met.groupBy("id", "leader").agg(F.max("open").alias("open")), "pairs")
+    met = met.groupBy("id", "leader").agg(F.max("open").alias("open"), F.struct(F.count(F.lit(1)), -F.col("leader")).alias("order"))
+    pairs = scratch.table(met.select("id", "leader", "open", (F.col("order") == F.max("order").over(Window.partitionBy("id"))).alias("most")), "pairs")
     scratch.drop(shared)
     return pairs
 
 
 def _aligned(pairs: DataFrame, active: DataFrame, scratch: Scratch, number: int) -> DataFrame:
-    """Pairs (id, leader, open) of texts (id, words, alive), checked."""
+    """Pairs (id, leader, open, tried) of texts (id, words, alive), checked."""
     # Both sides are the same exchange of the texts by id, so that words are dealt out once; merged at every size.
     texts = active.select("id", "words", "alive").hint("merge")
-    met = pairs.join(texts.alias("b"), F.col("leader") == F.col("b.id")).select(pairs["id"], "leader", "open", F.col("b.words").alias("wb"), F.col("b.alive").alias("alive_b"))
+    met = pairs.join(texts.alias("b"), F.col("leader") == F.col("b.id")).select(pairs["id"], "leader", "open", "tried", F.col("b.words").alias("wb"), F.col("b.alive").alias("alive_b"))
     met = met.alias("p").join(texts.alias("a"), F.col("p.id") == F.col("a.id")).select("p.*", F.col("a.words").alias("wa"), F.col("a.alive").alias("alive")).sortWithinPartitions("id")
     return scratch.table(met.mapInArrow(_checked(number), "id long, leader long, similarity double, keys array<long>, words binary, alive binary"), "checked")
 
 
+def _apart(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """The pairs (id, leader, and more) of which no class has both."""
+    a, b = (member.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("id", "leader"))
+    met = pairs.join(a, "id", "left").join(b, "leader", "left")
+    return met.where(F.coalesce("root_id", "id") != F.coalesce("root_leader", "leader")).select(pairs.columns)
+
+
 def _links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """The rows (doc_id, text_hash, id, first), the firsts (id, words, alive), and tables of links (id, leader, similarity) between firsts."""
+    """The rows (doc_id, text_hash, id, first), the firsts (id, words, alive), and tables of links (a, b) between firsts or from classes' roots to them.
+
+    In the first pass each text is held against the leader that it shares most keys with, and the classes that these links
+    make are found. Pairs inside a class need no alignment, there and in the passes that follow.
+    """
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("id"))
     made = scratch.table(source.mapInArrow(_first, "doc_id long, text_hash long, id long, first long, words binary, keys array<long>"), "first")
     firsts = made.where("keys IS NOT NULL").select("id", "words", "keys", F.lit(None).cast("binary").alias("alive"))
-    active, links, number = firsts, [], 0
-    while number == 0 or not active.isEmpty():
-        number += 1
-        pairs = _pairs(active, scratch)
-        checked = _aligned(pairs, active, scratch, number)
-        links.append(scratch.table(checked.where("similarity IS NOT NULL").select("id", "leader", "similarity"), "links"))
+    active, pairs, number = firsts, _pairs(firsts, scratch), 1
+    checked = _aligned(pairs.where("most").select("id", "leader", F.lit(False).alias("open"), F.lit(False).alias("tried")), active, scratch, number)
+    member = scratch.table(components(checked.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), scratch), "member")
+    scratch.drop(checked)
+    links = [member.select(F.col("root").alias("a"), F.col("node").alias("b"))]
+    while number == 1 or not active.isEmpty():
+        pairs = pairs if number == 1 else _pairs(active, scratch)
+        apart = _apart(pairs.select("id", "leader", "open", (F.col("most") & (number == 1)).alias("tried")).where("open OR NOT tried"), member)
+        checked = _aligned(scratch.table(apart, "apart"), active, scratch, number)
+        links.append(scratch.table(checked.where("similarity IS NOT NULL").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "links"))
         going = scratch.table(checked.where("keys IS NOT NULL").select("id", "words", "keys", "alive").dropDuplicates(["id"]), "going")
-        scratch.drop(pairs, checked, active)
-        active = going
+        scratch.drop_all_but(made, member, going, *links)
+        active, number = going, number + 1
     scratch.drop(active)
     return made.select("doc_id", "text_hash", "id", "first"), firsts.select("id", "words", "alive"), links
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, byte by byte: all lowest bytes, then all second ones, as many as the largest has."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _widened(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that _narrow was given."""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.view("<i8").ravel()
+
+
 def _dealt(k: int, parts: int):
-    """Texts to their k-mers (and the keys of short texts), dealt into parts: of each batch and part the keys' low halves and ids less base."""
+    """Texts (id, root, words) to their k-mers (and the keys of short texts), dealt into parts: of each batch and part the keys' low halves, ids and roots."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for id_, words in zip(batch.column("id").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            keys, of, roots = [np.zeros(0, np.uint64)], [], batch.column("root").to_numpy()
+            for words in batch.column("words").to_pylist():
                 own = np.frombuffer(words, "<u4").astype(np.uint64)
                 short = shortened(own) if k > 1 else own[:0]
                 for found, first in ((kmers(own, k) if len(own) >= 4 * SHORT // 5 else own[:0], 0), (short, parts)):
                     part = (found >> np.uint64(40)) % np.uint64(parts) + np.uint64(first)
                     keys.append(part << np.uint64(32) | found & np.uint64(2**32 - 1))
-                    of.append(np.full(len(found), id_, np.int64))
-            keys, of = np.concatenate(keys), np.concatenate(of)
+                of.append(len(keys[-2]) + len(keys[-1]))
+            keys, of = np.concatenate(keys), np.repeat(np.arange(len(of)), np.array(of, np.int64))
             part = (keys >> np.uint64(32)).astype(np.int64)
-            by = np.lexsort((part, of >> 33))
-            keys, of, part = keys[by], of[by], part[by]
-            starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (of[1:] >> 33 != of[:-1] >> 33)))) if len(keys) else np.zeros(0, np.int64)
-            ends, base = np.append(starts[1:], len(keys)), of[starts] >> 33 << 33
-            low, less = keys.astype("<u4"), (of & (2**33 - 1)).astype("<u4")
-            arrays = [pa.array(part[starts]), pa.array(base), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=False)], pa.binary()) for x in (low, less))]
-            yield pa.RecordBatch.from_arrays(arrays, ["part", "base", "low", "less"])
+            by = np.argsort(part, kind="stable")
+            low, part, ids, roots = keys[by].astype("<u4"), part[by], batch.column("id").to_numpy()[of[by]], roots[of[by]]
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+            cuts = list(zip(starts, np.append(starts[1:], len(part)), strict=True))
+            arrays = [[low[a:b].tobytes() for a, b in cuts], [_narrow(ids[a:b]) for a, b in cuts], [_narrow(ids[a:b] ^ roots[a:b]) for a, b in cuts]]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *(pa.array(x, pa.binary()) for x in arrays)], ["part", "low", "ids", "roots"])
 
     return rows
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """The keys of a part that two texts or more have, with their texts and how many these are."""
-    ids = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + b for x, b in zip(table.column("less").to_pylist(), table.column("base").to_pylist(), strict=True)])
-    low = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()])
-    by = np.argsort(low, kind="stable")
-    low, ids = low[by], ids[by]
-    size = np.diff(np.append(np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))), len(low)))
-    size = np.repeat(size, size)
-    kept = size > 1
-    return pa.table({"key": low[kept].astype(np.int64) | table.column("part")[0].as_py() << 32, "id": ids[kept], "size": size[kept].astype(np.int64)})
+    """The keys of a part that texts of two classes or more have, with their texts and how many these are."""
+    low = [np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()]
+    ids, roots = (np.concatenate([_widened(x, len(n)) for x, n in zip(table.column(c).to_pylist(), low, strict=True)]) for c in ("ids", "roots"))
+    low = np.concatenate(low)
+    by = np.argsort(low)
+    low, ids, roots = low[by], ids[by], (ids ^ roots)[by]
+    starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    size = np.diff(np.append(starts, len(low)))
+    kept = np.repeat(np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts), size)
+    size = np.repeat(size, size)[kept].astype(np.int64)
+    return pa.table({"key": low[kept].astype(np.int64) | table.column("part")[0].as_py() << 32, "id": ids[kept], "size": size})
 
 
 def _shared(n: F.Column, k: int) -> tuple[F.Column, F.Column]:
@@ -372,10 +405,11 @@ def _shared(n: F.Column, k: int) -> tuple[F.Column, F.Column]:
 def _unmet(texts: DataFrame, roots: DataFrame, k: int, parts: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs (id, leader) of texts of different classes that may be linked, and the ids of texts that share a rare key with more than `most`.
 
-    roots: of each text that is asked for id, n (its words) and root (its class). A text's keys that no other text has are
-    its rarest: where these are too many, it has no link. Of the others as many stay as the rarest ones may still be.
+    roots: of each text that is asked for id, n (its words) and root (its class). A text's keys that no other class has are
+    put first: where these are too many, it has no link. Of the others as many stay as the rarest ones may still be.
     """
-    dealt = texts.select("id", "words").mapInArrow(_dealt(k, parts), "part long, base long, low binary, less binary")
+    asked = texts.join(roots.select("id", "root"), "id").select("id", "root", "words")
+    dealt = asked.mapInArrow(_dealt(k, parts), "part long, low binary, ids binary, roots binary")
     found = scratch.table(dealt.groupBy("part").applyInArrow(_repeated, "key long, id long, size long"), "repeated")
     short, own, same = F.col("key") >= parts << 32, Window.partitionBy("id", "short"), Window.partitionBy("key")
     least, rare = _shared(F.col("n"), k)
@@ -414,7 +448,7 @@ def _rest(texts: DataFrame, member: DataFrame, scratch: Scratch) -> DataFrame:
     parts = max(4 * partitions(texts.sparkSession), words // GROUP)
     pairs, many = _unmet(texts, roots, K, parts, COMMON, scratch)
     alike, _ = _unmet(texts.join(many, "id", "left_semi"), roots, 1, parts, 2**62, scratch)
-    pairs = scratch.table(pairs.union(alike).distinct().withColumn("open", F.lit(False)), "pairs")
+    pairs = scratch.table(pairs.union(alike).distinct().withColumns({"open": F.lit(False), "tried": F.lit(False)}), "pairs")
     found = _aligned(pairs, texts, scratch, 1).where("similarity IS NOT NULL")
     a, b = (roots.select(F.col("id").alias(c), F.col("root").alias(r)) for c, r in (("id", "a"), ("leader", "b")))
     return scratch.table(found.join(a, "id").join(b, "leader").select("a", "b"), "rest")
@@ -457,7 +491,7 @@ def _rooted(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows, texts, links = _links(docs, scratch)
     edges = rows.where("first != id").select(F.col("first").alias("a"), F.col("id").alias("b"))
     for part in links:
-        edges = edges.union(part.select(F.least("id", "leader"), F.greatest("id", "leader")))
+        edges = edges.union(part)
     member = components(edges, scratch)
     joined = components(_rest(texts, member, scratch), scratch).select(F.col("node").alias("root"), F.col("root").alias("least"))
     found = rows.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "id"))

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barwright.llm import bpe, chat, decontaminate, linedup, neardup, packing, quality, suffixes, units, warc
-from barwright.llm.common import read, word_hashes
+from barwright.llm.common import read, string_hashes, word_hashes
 from tests.llm.conftest import LONG, ODD
 
 
@@ -361,6 +361,25 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {d: top(d) for d in ids}
 
 
+def test_near_copies_are_not_aligned_with_all_their_leaders(spark, monkeypatch):
+    """In a dense group a text is aligned until its class is known, and the exact step takes no keys that one class alone has."""
+    rng, aligned, rows = np.random.default_rng(5), [], {}
+    base = rng.integers(0, 10**6, 80)
+    texts = [" ".join(f"w{w}" for w in np.where(rng.random(80) < 0.1, rng.integers(0, 10**6, 80), base)) for _ in range(300)]
+    held, written = neardup._aligned, neardup.Scratch.table
+    monkeypatch.setattr(neardup, "_aligned", lambda pairs, *more: aligned.append(pairs.count()) or held(pairs, *more))
+
+    def table(self, df, name):
+        made = written(self, df, name)
+        rows[name] = rows.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(neardup.Scratch, "table", table)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(300), 0)
+    assert sum(aligned) < 3 * len(texts) and rows["repeated"] == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(220)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
@@ -807,6 +826,15 @@ def test_lines_odd(spark, odd, none):
     assert linedup.line_report(none).count() == 0
 
 
+def test_string_hashes():
+    """Of any lengths and slices: the same for equal strings, apart for others."""
+    words = sorted({"", "a", "\x00", "\x00\x00", "é", "x" * 63, "x" * 64, "x" * 65, "x" * 5000, *(chr(97 + i % 26) * (i // 26) for i in range(26 * 80))})
+    h = string_hashes(pa.array(words))
+    assert len(set(h.tolist())) == len(words) and not len(string_hashes(pa.array([], pa.string())))
+    for a, n in ((7, 50), (1900, 100), (0, 1)):
+        assert (string_hashes(pa.array(words).slice(a, n)) == h[a : a + n]).all()
+
+
 def test_word_hashes():
     h, o = word_hashes(pa.array(["a b\x0bc", "", " a ", "b c"], pa.large_string()))
     assert o.tolist() == [0, 3, 3, 4, 5] and h[0] == h[3] and len(set(h.tolist())) == 4
