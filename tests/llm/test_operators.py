@@ -365,7 +365,7 @@ def test_near_copies_are_not_aligned_with_all_their_leaders(spark, monkeypatch):
     """In a dense group a text is aligned until its class is known, and the exact step takes no keys that one class alone has."""
     rng, aligned, rows = np.random.default_rng(5), [], {}
     base = rng.integers(0, 10**6, 80)
-    texts = [" ".join(f"w{w}" for w in np.where(rng.random(80) < 0.1, rng.integers(0, 10**6, 80), base)) for _ in range(300)]
+    texts = [" ".join(f"w{w}" for w in np.where(rng.random(80) < 0.06, rng.integers(0, 10**6, 80), base)) for _ in range(300)]
     held, written = neardup._aligned, neardup.Scratch.table
     monkeypatch.setattr(neardup, "_aligned", lambda pairs, *more: aligned.append(pairs.count()) or held(pairs, *more))
 
